@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdigris.llm import mixing, simhash
+from verdigris.llm import mixing, simhash, tokenfile
 from verdigris.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,13 +17,21 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents written as blocks and read back."""
+    import public_tokenizers
+
+    file = tokenfile.write_file(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfile.read_documents(file)
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return simhash.edited_likeness(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op9_fingerprints)}
+    return {f.__name__: f for f in (op1_mixing, op7_token_file, op9_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
