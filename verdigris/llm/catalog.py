@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from verdigris.llm import mixing, simhash, tokenfile
+from verdigris.llm import langid, mixing, simhash, tokenfile, toxicity
 from verdigris.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +18,16 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from the documents that are not held out."""
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = langid.held_out(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    langs, prob = langid.train(docs.where(~F.col("held_out")), model)
+    return langid.predict(docs, langs, prob, model, ["doc_id", "held_out"])
+
+
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents written as blocks and read back."""
     import public_tokenizers
@@ -25,13 +36,21 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_documents(file)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    labels = toxicity.held_out(table(spark, sf_dir, "labels")).where(~F.col("held_out"))
+    scored = toxicity.held_out(toxicity.score(docs, toxicity.train(docs, labels)))
+    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "n_sentences", "n_offending", "worst")
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return simhash.edited_likeness(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op7_token_file, op9_fingerprints)}
+    return {f.__name__: f for f in (op1_mixing, op3_language_id, op7_token_file, op8_toxicity, op9_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:

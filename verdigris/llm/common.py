@@ -132,3 +132,47 @@ def range_of(column: Column, cuts: list[int]) -> Column:
         return F.lit(0)
     array = F.lit(cuts).cast("array<bigint>")
     return F.when(column.isNull(), F.lit(0)).otherwise(F.size(F.filter(array, lambda c: c <= column)))
+
+
+class WordRows:
+    """Word (bytes) to the number of a row of values, worked out for new words a batch at a time.
+
+    ``make`` gives an array of rows for a list of words. At most about ``bound`` words are kept.
+    """
+
+    def __init__(self, make, bound: int = 500_000):
+        self.make, self.bound = make, bound
+        self.known: dict[bytes, int] = {}
+        self.rows: np.ndarray | None = None
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        """Row numbers of ``words``, good until the next call."""
+        if len(self.known) > self.bound:
+            self.known.clear()
+        fresh = list(set(words).difference(self.known))
+        if fresh or self.rows is None:
+            made = self.make(fresh)
+            at = len(self.known)
+            if self.rows is None or len(self.rows) < at + len(fresh):
+                grown = np.zeros((max(1024, 2 * (at + len(fresh))), *made.shape[1:]), made.dtype)
+                if at:
+                    grown[:at] = self.rows[:at]
+                self.rows = grown
+            self.rows[at : at + len(fresh)] = made
+            self.known.update(zip(fresh, range(at, at + len(fresh)), strict=True))
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+
+def flat_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The words of all texts in a row, and where each text's begin and the last one's end."""
+    parts = [t.split() for t in texts]
+    ends = np.zeros(len(parts) + 1, np.int64)
+    np.cumsum([len(p) for p in parts], out=ends[1:])
+    return [w for p in parts for w in p], ends
+
+
+def sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` between consecutive ``ends``; 0 where there is none."""
+    total = np.zeros((len(values) + 1, *values.shape[1:]), np.float64)
+    np.cumsum(values, axis=0, out=total[1:])
+    return total[ends[1:]] - total[ends[:-1]]
