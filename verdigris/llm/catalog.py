@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import langid, mixing, simhash, tokenfile, toxicity
+from verdigris.llm import langid, mixing, nearest, simhash, tokenfile, toxicity
 from verdigris.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langs, prob, model, ["doc_id", "held_out"])
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of every vector whose id is divisible by 50."""
+    rows = nearest.usable(table(spark, sf_dir, "embeddings"))
+    return nearest.search(rows, rows.where(F.col("id") % 50 == 0))
+
+
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents written as blocks and read back."""
     import public_tokenizers
@@ -50,7 +56,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op3_language_id, op7_token_file, op8_toxicity, op9_fingerprints)}
+    return {f.__name__: f for f in (op1_mixing, op3_language_id, op4_nearest, op7_token_file, op8_toxicity, op9_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
