@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import langid, mixing, nearest, simhash, tokenfile, toxicity
+from verdigris.llm import langid, mixing, nearest, simhash, substrings, tokenfile, toxicity
 from verdigris.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,8 +55,13 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of 20-word windows that start earlier elsewhere."""
+    return substrings.removed(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op3_language_id, op4_nearest, op7_token_file, op8_toxicity, op9_fingerprints)}
+    return {f.__name__: f for f in (op1_mixing, op3_language_id, op4_nearest, op7_token_file, op8_toxicity, op9_fingerprints, op10_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:
