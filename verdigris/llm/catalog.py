@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import jaccard, langid, mixing, nearest, simhash, substrings, tokenfile, toxicity
+from verdigris.llm import jaccard, langid, lines, mixing, nearest, simhash, substrings, tokenfile, toxicity
 from verdigris.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,11 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(table(spark, sf_dir, "documents"))
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents that are within two edits of an earlier class member."""
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents written as blocks and read back."""
     import public_tokenizers
@@ -66,7 +71,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op3_language_id, op4_nearest, op5_jaccard, op7_token_file, op8_toxicity, op9_fingerprints, op10_substrings)}
+    return {f.__name__: f for f in (op1_mixing, op3_language_id, op4_nearest, op5_jaccard, op6_lines, op7_token_file, op8_toxicity, op9_fingerprints, op10_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:

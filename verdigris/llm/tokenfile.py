@@ -13,15 +13,15 @@ follow in the order of their ids' checksum. An empty table gives an empty file.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -95,50 +95,53 @@ def unpack(payload: bytes) -> np.ndarray:
     return (gap + base[:, None]).reshape(-1)[:n]
 
 
-#: A stretch that ends in a letter and one full stop or comma, which is always a token of its own.
-_STOPPED = re.compile(rb"[^.,]*[A-Za-z][.,]", re.DOTALL).fullmatch
+#: Stretches of words with full stops, commas and line ends between them; their parts are always tokens' bounds.
+_PLAIN = regex.compile(r"\p{L}+[.,]?(?:\n\p{L}+[.,]?)*").fullmatch
+_PARTS = regex.compile(r" ?\p{L}+|[.,]|\n").findall
 
 
 class CachedEncoder:
     """Texts to ids by the tokenizers library, which sees each distinct stretch of text once.
 
-    A text is cut before every space that follows a character other than white space, and between
-    a letter and the full stop or comma that ends a stretch. The byte-level pre-tokenizer always
-    ends a token there, so the stretches' ids in a row are the text's ids. At most ``bound`` stretches are kept.
+    A text is cut before every space that follows a character other than white space; plain
+    stretches are cut around full stops, commas and single line ends too. The byte-level
+    pre-tokenizer always ends a token there, so the parts' ids in a row are the text's ids. At most ``bound`` stretches are kept.
     """
 
-    def __init__(self, path: str, bound: int = 700_000):
+    def __init__(self, path: str, bound: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.bound, self.known = bound, {}
-        self.stops = {x: self._ids([chr(x)])[0] for x in b".,"}
+        self.bound, self.known, self.parts = bound, {}, {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in got]
 
     def _learn(self, cuts: set[bytes]) -> None:
-        fresh, ended = set(), []
+        known, whole, split, missing = self.known, self.parts, {}, set()
         for c in cuts:
-            if _STOPPED(c):
-                ended.append(c)
-                if c[:-1] not in self.known:
-                    fresh.add(c[:-1])
-            elif not c or c.decode()[-1].isspace():
-                self.known[c] = b"\0"  # must be seen with what follows
+            text = c.decode()
+            if _PLAIN(text):
+                split[c] = parts = [x.encode() for x in _PARTS(f" {text}")]
+                missing.update(p for p in parts if p not in whole)
+            elif not text or text[-1].isspace():
+                known[c] = b"\0"  # must be seen with what follows
             else:
-                fresh.add(c)
-        for c, ids in zip(fresh, self._ids([f" {c.decode()}" for c in fresh]), strict=True):
-            self.known[c] = ids
-        for c in ended:
-            self.known[c] = self.known[c[:-1]] + self.stops[c[-1]]
+                split[c] = [p := b" " + c]
+                missing.add(p)
+        missing.difference_update(whole)
+        fresh = list(missing)
+        whole.update(zip(fresh, self._ids([p.decode() for p in fresh]), strict=True))
+        for c, parts in split.items():
+            known[c] = b"".join([whole[p] for p in parts]) if len(parts) > 1 else whole[parts[0]]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > self.bound:
-            self.known.clear()
+            self.known = dict(islice(self.known.items(), self.bound // 2))  # the first seen are the most frequent
+            self.parts = dict(islice(self.parts.items(), self.bound // 2))
         parts = [t.split(b" ") for t in texts]
         heads = [p.pop(0) for p in parts]
         self._learn(set(chain.from_iterable(parts)).difference(self.known))
