@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import jaccard, langid, lines, mixing, nearest, simhash, substrings, tokenfile, toxicity
+from verdigris.llm import jaccard, langid, lines, mixing, nearest, segmentations, simhash, substrings, tokenfile, toxicity
 from verdigris.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,13 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best segmentation and three distinct sampled ones of every text, all decoded again."""
+    import public_tokenizers
+
+    return segmentations.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text, learned from the documents that are not held out."""
     import public_tokenizers
@@ -71,7 +78,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op3_language_id, op4_nearest, op5_jaccard, op6_lines, op7_token_file, op8_toxicity, op9_fingerprints, op10_substrings)}
+    return {f.__name__: f for f in (op1_mixing, op2_segmentations, op3_language_id, op4_nearest, op5_jaccard, op6_lines, op7_token_file, op8_toxicity, op9_fingerprints, op10_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:

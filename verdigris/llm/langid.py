@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from verdigris.llm.common import WordRows, blobs, flat_words, long_crc, small_batches, sums
+from verdigris.llm.trie import Trie
 
 LONGEST = 24
 PIECE = 6
@@ -30,8 +31,8 @@ UNKNOWN = 1e-8
 START = "▁"
 
 
-class Pieces:
-    """Trie of the vocabulary's letter pieces of at most ``PIECE`` characters, as a transition table."""
+class Pieces(Trie):
+    """The vocabulary's letter pieces of at most ``PIECE`` characters, in lower case."""
 
     def __init__(self, model: str):
         import sentencepiece
@@ -39,51 +40,13 @@ class Pieces:
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         raw = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
         found = sorted(p for p in raw if len(p) <= PIECE and p.removeprefix(START).isalpha() or p == START)
-        letters = sorted({c for p in found if len(p) > 1 for c in p})
-        self.letters = {c: i + 1 for i, c in enumerate(letters)}
-        found = [p for p in found if all(c in self.letters for c in p)]
-        self.pieces = found
-        nodes: list[dict[int, int]] = [{}, {}]  # 0 is dead, 1 the root
-        ends = [0, 0]
-        for n, p in enumerate(found, 1):
-            at = 1
-            for c in p:
-                nxt = nodes[at].get(self.letters[c])
-                if nxt is None:
-                    nxt = nodes[at][self.letters[c]] = len(nodes)
-                    nodes.append({})
-                    ends.append(0)
-                at = nxt
-            ends[at] = n
-        self.ends = np.array(ends, np.int32)
-        self.next = np.zeros((len(nodes), len(letters) + 1), np.int32)
-        for i, node in enumerate(nodes):
-            for c, to in node.items():
-                self.next[i, c] = to
+        letters = {c for p in found if len(p) > 1 for c in p}
+        self.pieces = [p for p in found if letters.issuperset(p)]
+        super().__init__(self.pieces)
 
     def codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Letter numbers of the words after a word start, and their lengths with it."""
-        size = np.array([len(w) + 1 for w in words], np.int64)
-        out = np.zeros((len(words), int(size.max(initial=1)) + PIECE), np.int32)
-        get = self.letters.get
-        flat = [get(c, 0) for w in words for c in START + w]
-        out[np.arange(out.shape[1]) < size[:, None]] = flat
-        return out, size
-
-    def spans(self, codes: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(start, end, words, piece numbers) for every span that is a piece, or one unknown letter (0)."""
-        for i in range(int(size.max(initial=0))):
-            live = np.flatnonzero(size > i)
-            state = np.ones(len(live), np.int32)
-            for j in range(i + 1, i + 1 + PIECE):
-                state = self.next[state, codes[live, j - 1]]
-                piece = self.ends[state]
-                hit = piece > 0 if j > i + 1 else slice(None)
-                yield i, j, live[hit], piece[hit]
-                keep = state > 0
-                live, state = live[keep], state[keep]
-                if not len(live):
-                    break
+        return super().codes([START + w for w in words])
 
     def forward(self, codes: np.ndarray, size: np.ndarray, prob: np.ndarray) -> np.ndarray:
         """Sums over segmentations of all prefixes: words x positions x languages; ``prob`` has row 0 for unknown letters."""
