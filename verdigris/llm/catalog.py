@@ -77,8 +77,15 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removed(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline.py."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_segmentations, op3_language_id, op4_nearest, op5_jaccard, op6_lines, op7_token_file, op8_toxicity, op9_fingerprints, op10_substrings)}
+    return {f.__name__: f for f in (op1_mixing, op2_segmentations, op3_language_id, op4_nearest, op5_jaccard, op6_lines, op7_token_file, op8_toxicity, op9_fingerprints, op10_substrings, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
