@@ -1,24 +1,16 @@
-"""Registered queries and their SQL."""
+"""All registered queries and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from verdigris.plans import retrieval_queries
+from verdigris.plans.registry import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-from verdigris.sources.tables import table
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
-    """Placeholder until the retrieval operators are registered."""
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label")
+FLAGSHIP: Query = retrieval_queries.hybrid_rrf
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
