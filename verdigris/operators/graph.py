@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from verdigris.operators.lineage import written
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """(src, dst, weight) in both directions, so that a hop is an equi-join."""
@@ -40,12 +42,12 @@ def anchored_subgraph(edges: DataFrame, anchors: DataFrame) -> DataFrame:
 
 def hops(edges: DataFrame, starts: DataFrame, most: int = 30) -> DataFrame:
     """(node, hop) by breadth-first search, a join per level; the frontier leaves out what was seen."""
-    way = both_ways(edges).select("src", "dst").distinct()
+    way = written(both_ways(edges).select("src", "dst").distinct())
     seen = starts.select("node").distinct().withColumn("hop", F.lit(0))
     edge = seen
     for level in range(1, most + 1):
         fresh = edge.join(way, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(level))
-        fresh = fresh.checkpoint() if level % 4 == 0 and fresh.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else fresh
+        fresh = written(fresh)
         if fresh.isEmpty():
             break
         seen, edge = seen.unionByName(fresh), fresh
@@ -54,14 +56,16 @@ def hops(edges: DataFrame, starts: DataFrame, most: int = 30) -> DataFrame:
 
 def prerequisites(edges: DataFrame, targets: DataFrame, depth: int = 6, least: float = 0.5) -> DataFrame:
     """(target, concept, depth): what leads up to each target, at its deepest, over edges of enough confidence."""
-    kept = edges.where(F.col("confidence") >= least).select("prerequisite", "concept")
+    kept = written(edges.where(F.col("confidence") >= least).select("prerequisite", "concept"))
     now = targets.select(F.col("concept").alias("target"), F.col("concept").alias("at"), F.array("concept").alias("path"))
     found = None
     for level in range(1, depth + 1):
         step = now.join(kept, F.col("at") == kept.concept).where(~F.array_contains("path", F.col("prerequisite")))
-        now = step.select("target", F.col("prerequisite").alias("at"), F.concat("path", F.array("prerequisite")).alias("path"))
+        now = written(step.select("target", F.col("prerequisite").alias("at"), F.concat("path", F.array("prerequisite")).alias("path")))
         rows = now.select("target", F.col("at").alias("concept"), F.lit(level).alias("depth"))
         found = rows if found is None else found.unionByName(rows)
+        if now.isEmpty():
+            break
     return found.groupBy("target", "concept").agg(F.max("depth").alias("depth"))
 
 

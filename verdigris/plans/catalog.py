@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verdigris.plans import retrieval_queries
+from verdigris.plans import graph_queries, retrieval_queries  # noqa: F401
 from verdigris.plans.registry import QUERIES, SQL, Query
 
 FLAGSHIP: Query = retrieval_queries.hybrid_rrf
