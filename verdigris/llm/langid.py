@@ -143,7 +143,7 @@ def predict(docs: DataFrame, langs: list[str], prob: np.ndarray, model: str, kee
                 for b in range(0, len(some), 5_000):
                     at = np.array([i for i, _ in some[b : b + 5_000]])
                     codes, size = trie.codes([p for _, p in some[b : b + 5_000]])
-                    got = trie.forward(codes, size, prob)[np.arange(len(at)), size]
+                    got = trie.forward(codes, size, prob)[np.arange(len(at)), size] if langs else np.zeros((len(at), 0))
                     np.add.at(out, at, np.hstack([np.log(np.maximum(got, 1e-300)), size[:, None] - 1]))
             return out
 
