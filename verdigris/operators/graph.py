@@ -21,7 +21,7 @@ def two_hop(edges: DataFrame, anchors: DataFrame, limit: int = 50, fade: float =
     A step multiplies by the edge's weight and ``fade``; it is dropped when path times edge, before
     fading, does not exceed ``prune``. Paths never enter an anchor or turn back.
     """
-    way = both_ways(edges)
+    way = written(both_ways(edges))
     seed = anchors.select(F.col("node").alias("at")).distinct().withColumn("w", F.lit(1.0))
     stop = seed.select(F.col("at").alias("dst"))
     free = way.join(stop, "dst", "left_anti").select("src", "dst", "weight")

@@ -188,12 +188,12 @@ def curriculum_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH RECURSIVE {OPS_SQL}, {FOLD_SQL}, {TREE_SQL}, up AS (SELECT concept AS target, prerequisite AS concept, 1 AS depth FROM tree UNION ALL SELECT u.target, t.prerequisite, u.depth + 1 FROM up u JOIN tree t ON t.concept = u.concept WHERE u.depth < 6),
-    live AS (SELECT DISTINCT s, o::INT AS concept, p FROM edges WHERE invalidated_at IS NULL), hard AS (SELECT DISTINCT s, concept FROM live WHERE p IN ('struggles_with', 'confused_about'))
-    SELECT s AS student, u.concept, COUNT(DISTINCT target) AS n FROM hard JOIN up u ON u.target = hard.concept WHERE NOT EXISTS (SELECT 1 FROM live l WHERE l.s = hard.s AND l.concept = u.concept AND l.p IN ('mastered', 'struggles_with', 'confused_about')) GROUP BY s, u.concept HAVING COUNT(DISTINCT target) >= 2"""
+    live AS (SELECT DISTINCT s, o::INT AS concept, p FROM edges WHERE invalidated_at IS NULL), hard AS (SELECT DISTINCT s, concept FROM live WHERE p = 'struggles_with')
+    SELECT s AS student, u.concept, COUNT(DISTINCT target) AS n FROM hard JOIN up u ON u.target = hard.concept WHERE NOT EXISTS (SELECT 1 FROM live l WHERE l.s = hard.s AND l.concept = u.concept AND l.p IN ('mastered', 'struggles_with')) GROUP BY s, u.concept HAVING COUNT(DISTINCT target) >= 2"""
 )
 def gap_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tree(spark, sf_dir)
-    state = F.when(F.col("p") == "mastered", "mastered").when(F.col("p").isin("struggles_with", "confused_about"), "struggling")
+    state = F.when(F.col("p") == "mastered", "mastered").when(F.col("p") == "struggles_with", "struggling")
     states = B.current(edges(spark, sf_dir)).select(F.col("s").alias("student"), F.col("o").cast("int").alias("concept"), state.alias("state")).where("state is not null").distinct()
     return G.gaps(G.prerequisites(t, t.select("concept"), least=0.0), states)
 
