@@ -1,8 +1,8 @@
 """Operator 7: token ids written as patched frame-of-reference blocks.
 
 A file row holds about ``ROW_IDS`` ids of consecutive documents: their doc_ids and lengths, and a
-payload of blocks of 256 ids. A block keeps its minimum, packs the differences at the width that
-90 % of them need, and lists the others as exceptions. An index at the payload's head gives each
+payload of blocks of 256 ids. A block keeps its minimum, packs the differences at the width (in half
+bytes) that 90 % of them need, and lists the others as exceptions. An index at the payload's head gives each
 block's first byte. Rows are written by Spark's writer, so a retried task leaves no trace and any
 store works; ``shard`` and ``start`` place a row's ids in ascending doc_id order.
 
@@ -31,6 +31,8 @@ from verdigris.llm.common import blobs, id_cuts, range_of, settle, small_batches
 BLOCK = 256
 ROW_IDS = 1 << 16
 MAGIC = b"PFR1"
+#: Widths are multiples of half a byte, so that two values fill whole bytes.
+STEP = 4
 #: Ranges of doc_id at most; bounds the table of shard offsets.
 SHARDS = 4000
 
@@ -48,14 +50,15 @@ def pack(ids: np.ndarray, quantile: float = 0.9) -> bytes:
     gap = grid - base[:, None]
     rank = min(BLOCK - 1, int(BLOCK * quantile))
     usual = np.partition(gap, rank, 1)[:, rank]
-    width = np.array([int(x).bit_length() for x in usual], np.uint8)
+    width = np.array([-(-int(x).bit_length() // STEP) * STEP for x in usual], np.uint8)
     outlier = gap > ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)[:, None]
     bodies: list[bytes] = [b""] * count
     for w in np.unique(width):
         at = np.flatnonzero(width == w)
         if w:
-            bits = ((gap[at][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
-            packed = np.packbits(bits.reshape(len(at), -1), axis=1, bitorder="little")
+            low = gap[at].astype("<u8") & np.uint64((1 << int(w)) - 1)
+            pairs = low[:, 0::2] | (low[:, 1::2] << np.uint64(w))
+            packed = pairs.view(np.uint8).reshape(len(at), BLOCK // 2, 8)[:, :, : int(w) // 4]
             for i, row in zip(at, packed, strict=True):
                 bodies[i] = row.tobytes()
     many = outlier.sum(1)
@@ -86,10 +89,12 @@ def unpack(payload: bytes) -> np.ndarray:
         at = np.flatnonzero(width == w)
         size = BLOCK * int(w) // 8
         body = raw[starts[at][:, None] + 6 + np.arange(size)]
-        bits = np.zeros((len(at), BLOCK, 32), np.uint8)
-        bits[:, :, :w] = np.unpackbits(body, axis=1, bitorder="little").reshape(len(at), BLOCK, w)
-        gap[at] = np.packbits(bits, axis=2, bitorder="little").view("<u4").reshape(len(at), BLOCK)
-    for i in np.flatnonzero(many):
+        pairs = np.zeros((len(at), BLOCK // 2, 8), np.uint8)
+        pairs[:, :, : int(w) // 4] = body.reshape(len(at), BLOCK // 2, int(w) // 4)
+        both = pairs.view("<u8")[:, :, 0]
+        gap[at, 0::2] = both & np.uint64((1 << int(w)) - 1)
+        gap[at, 1::2] = both >> np.uint64(w)
+    for i in np.flatnonzero(many).tolist():
         at, k = int(starts[i]) + 6 + BLOCK * int(width[i]) // 8, int(many[i])
         gap[i, raw[at : at + k]] = np.frombuffer(payload, "<u4", k, at + k)
     return (gap + base[:, None]).reshape(-1)[:n]
@@ -97,6 +102,7 @@ def unpack(payload: bytes) -> np.ndarray:
 
 #: Stretches of words with full stops, commas and line ends between them; their parts are always tokens' bounds.
 _PLAIN = regex.compile(r"\p{L}+[.,]?(?:\n\p{L}+[.,]?)*").fullmatch
+_LETTERS = regex.compile(r" ?\p{L}+").fullmatch
 _PARTS = regex.compile(r" ?\p{L}+|[.,]|\n").findall
 
 
@@ -113,29 +119,70 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.bound, self.known, self.parts = bound, {}, {}
+        self.bound, self.known, self.parts, self.heads = bound, {}, {}, {}
+        vocabulary = self.tokenizer.get_vocab()  # byte-level: a character of a token stands for a byte
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.lengths[i] = len(token)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in got]
 
+    def _joined(self, parts: list[bytes], before: bytes, skip: int) -> None:
+        """Learn parts that are a space, or ``before``, and letters, as one text: tokens spell bytes, so lengths tell whose they are."""
+        for a in range(0, len(parts), 2000):
+            some = parts[a : a + 2000]
+            ids = np.frombuffer(self._ids([(before + before.join(some)).decode()])[0], "<u4")
+            at = np.cumsum(np.array([len(p) + skip for p in some]))
+            stops = np.searchsorted(np.cumsum(self.lengths[ids]), at) + 1
+            flat, starts = ids.tobytes(), [0, *stops[:-1].tolist()]
+            self.parts.update((p, flat[4 * (x + skip) : 4 * y]) for p, x, y in zip(some, starts, stops.tolist(), strict=True))
+
     def _learn(self, cuts: set[bytes]) -> None:
-        known, whole, split, missing = self.known, self.parts, {}, set()
+        known, whole, split = self.known, self.parts, {}
+        plain, ended = [], []  # ASCII words, alone or before a full stop or comma: most, and cheap to tell
+        missing, spaced = set(), set()
         for c in cuts:
+            if c.isalpha():
+                plain.append(c)
+                spaced.add(b" " + c)
+                continue
+            stem = c[:-1]
+            if stem.isalpha() and c[-1:] in b".,":
+                ended.append(c)
+                spaced.add(b" " + stem)
+                continue
             text = c.decode()
             if _PLAIN(text):
                 split[c] = parts = [x.encode() for x in _PARTS(f" {text}")]
-                missing.update(p for p in parts if p not in whole)
+                missing.update(parts)
             elif not text or text[-1].isspace():
                 known[c] = b"\0"  # must be seen with what follows
             else:
                 split[c] = [p := b" " + c]
                 missing.add(p)
+        missing.update((b".", b","))
         missing.difference_update(whole)
-        fresh = list(missing)
-        whole.update(zip(fresh, self._ids([p.decode() for p in fresh]), strict=True))
+        spaced.difference_update(whole)
+        bare, other = [], []
+        for p in missing:
+            text = p.decode()
+            if not _LETTERS(text):
+                other.append(p)
+            elif p[:1] == b" ":
+                spaced.add(p)
+            else:
+                bare.append(p)
+        self._joined(list(spaced), b"", 0)
+        self._joined(bare, b"\n", 1)
+        whole.update(zip(other, self._ids([p.decode() for p in other]), strict=True))
+        for c in plain:
+            known[c] = whole[b" " + c]
+        for c in ended:
+            known[c] = whole[b" " + c[:-1]] + whole[c[-1:]]
         for c, parts in split.items():
-            known[c] = b"".join([whole[p] for p in parts]) if len(parts) > 1 else whole[parts[0]]
+            known[c] = b"".join([whole[p] for p in parts])
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -145,7 +192,16 @@ class CachedEncoder:
         parts = [t.split(b" ") for t in texts]
         heads = [p.pop(0) for p in parts]
         self._learn(set(chain.from_iterable(parts)).difference(self.known))
-        return [self._whole(t) if not h or h.decode()[-1].isspace() else self._whole(h) + self._rest(p) for t, h, p in zip(texts, heads, parts, strict=True)]
+        return [self._whole(t) if not h or h.decode()[-1].isspace() else self._head(h) + self._rest(p) for t, h, p in zip(texts, heads, parts, strict=True)]
+
+    def _head(self, text: bytes) -> bytes:
+        """The ids of a text's first stretch, which no space precedes."""
+        ids = self.heads.get(text)
+        if ids is None:
+            if len(self.heads) > self.bound // 10:
+                self.heads.clear()
+            ids = self.heads[text] = self._whole(text)
+        return ids
 
     def _whole(self, text: bytes) -> bytes:
         return self._ids([text.decode()])[0] if text else b""
