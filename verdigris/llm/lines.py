@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -59,21 +60,30 @@ def segments(length: int, edits: int = EDITS) -> list[tuple[int, int]]:
     return [(sum(sizes[:i]), sizes[i]) for i in range(parts)]
 
 
-def keys(line: str, edits: int = EDITS) -> tuple[list[int], list[int]]:
-    """Keys of the line's own segments, and of its substrings that may equal a segment of a line no longer than it."""
+@lru_cache(1 << 14)
+def _places(n: int, edits: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """(start, end, seed) of the segments of a line of n characters, and of its substrings that may equal a segment of one no longer."""
     own, probes = [], []
-    n = len(line)
     for shorter in range(max(0, n - edits), n + 1):
         gap = n - shorter
         for i, (start, size) in enumerate(segments(shorter, edits)):
             low = max(0, start - i, start + gap - (edits - i))
             high = min(n - size, start + i, start + gap + (edits - i))
             for at in range(low, high + 1):
-                key = xxhash.xxh3_64_intdigest(line[at : at + size].encode(), shorter * 16 + i)
-                (own if not gap and at == start else probes).append(key)
+                (own if not gap and at == start else probes).append((at, at + size, shorter * 16 + i))
     return own, probes
 
 
+def keys(line: str, edits: int = EDITS) -> tuple[list[int], list[int]]:
+    """Keys of the line's own segments, and of its substrings that may equal a segment of a line no longer than it."""
+    own, probes = _places(len(line), edits)
+    name = xxhash.xxh3_64_intdigest
+    if line.isascii():
+        raw = line.encode()
+        return [name(raw[x:y], s) for x, y, s in own], [name(raw[x:y], s) for x, y, s in probes]
+    return [name(line[x:y].encode(), s) for x, y, s in own], [name(line[x:y].encode(), s) for x, y, s in probes]
+
+
 def within(a: str, b: str, edits: int = EDITS) -> bool:
     """Whether two strings are at most ``edits`` apart, by bit vectors over the band of diagonals that matter."""
     if abs(len(a) - len(b)) > edits:
