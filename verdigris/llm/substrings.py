@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import WordHashes, blobs, flat_words, ngram_hashes, signed, small_batches
+from verdigris.llm.common import WordHashes, blobs, flat_words, ngram_hashes, release, settle, signed, small_batches
 
 WIDTH = 20
 LOWEST = -(2**63)
@@ -150,7 +150,9 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, text, starts): every row with the starts of its windows whose words also start earlier (null: none)."""
     small_batches(docs.sparkSession)
     rows = keyed(docs)
-    found = later(suffixes(rows, shared(anchors(rows, width)), width))
+    groups = settle(shared(anchors(rows, width)))
+    release(docs.sparkSession)  # the shuffled anchors, most of which are gone
+    found = later(suffixes(rows, groups, width))
     starts = found.groupBy("k", "r").agg(F.collect_list("s").alias("starts"))  # a document's own, so bounded by its length
     return rows.join(starts, ["k", "r"], "left").select(F.nullif("k", F.lit(LOWEST)).alias("doc_id"), "text", "starts")
 
