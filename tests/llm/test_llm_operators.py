@@ -192,8 +192,7 @@ def test_jaccard_large_cells(spark, monkeypatch):
             w[r.randrange(120)] = str(r.random())
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    links = jaccard.links
-    monkeypatch.setattr(jaccard, "links", lambda a, b, c: links(a, b, c, leaf=700))
+    monkeypatch.setattr(jaccard, "LEAF", 700)
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.joined(df).collect()}
     assert got == components(df.collect())
 

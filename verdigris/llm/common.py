@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -55,7 +56,21 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/verdigris-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def drop(*settled: DataFrame) -> None:
+    """Remove the files of tables from ``settle`` that nothing will read any more."""
+    for df in settled:
+        _remove(df.sparkSession, df._settled_at)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now, not when the driver next happens to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def long_crc(column: str) -> Column:

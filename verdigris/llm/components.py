@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import settle
+from verdigris.llm.common import drop, settle
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,7 +32,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select("a", "b").distinct()
     mark = None
     for _ in range(rounds):
-        now = settle(_star(_star(now, True), False))
+        old, now = now, settle(_star(_star(now, True), False))
+        if mark:
+            drop(old)
         sums = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if (sums["n"], sums["x"]) == mark:
             break

@@ -31,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import WordHashes, blobs, flat_words, mix, ngram_hashes, settle, signed, small_batches
+from verdigris.llm.common import WordHashes, blobs, drop, flat_words, mix, ngram_hashes, release, settle, signed, small_batches
 from verdigris.llm.components import components
 
 SHINGLE = 5
 NEEDED, OUT_OF = 75, 100
 SPARE = 8
+#: Tokens of a leaf of a cell, which bounds a task's memory.
+LEAF = 300_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -354,20 +356,26 @@ def join_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
-def _chunk(rows: DataFrame, total: str, tokens: int) -> F.Column:
+def _chunk(total: str, tokens: int) -> F.Column:
     """A chunk number by hash, so that chunks hold about ``tokens`` tokens."""
     return F.pmod(F.xxhash64("sid"), F.ceil(F.col(total) / tokens).cast("long"))
 
 
-def links(sets: DataFrame, leaf: int = 300_000) -> DataFrame:
-    """(a, b): links that connect the linked sets of every cell, from (cell, sid, n, tokens)."""
-    sizes = sets.groupBy("cell").agg(F.sum("n").alias("total"))
-    rows = sets.join(sizes, "cell")
-    rows = settle(rows.withColumn("leaf", _chunk(rows, "total", leaf)).withColumn("root", F.col("sid")).withColumn("side", F.lit(0)))
+def celled(sets: DataFrame, cells: DataFrame, sizes: DataFrame, leaf: int) -> DataFrame:
+    """(sid, cell, leaf, n, total, root, side, tokens) from (sid, n, tokens), (sid, cell) and (sid, n) rows."""
+    total = cells.join(sizes, "sid").groupBy("cell").agg(F.sum("n").alias("total"))
+    rows = sets.dropDuplicates(["sid"]).join(cells, "sid").join(total, "cell")
+    return rows.select("sid", "cell", _chunk("total", leaf).alias("leaf"), "n", "total", F.col("sid").alias("root"), F.lit(0).alias("side"), "tokens")
+
+
+def links(rows: DataFrame, leaf: int | None = None) -> DataFrame:
+    """(a, b): links that connect the linked sets of every cell, from a written table of ``celled`` rows."""
+    leaf = leaf or LEAF
     found = settle(join_groups(rows, ["cell", "leaf"]))
     large = rows.where(F.col("total") > leaf).drop("root")
     if large.isEmpty():
         return found
+    release(rows.sparkSession)
 
     def rooted(edges: DataFrame) -> DataFrame:
         names = components(edges)
@@ -378,7 +386,9 @@ def links(sets: DataFrame, leaf: int = 300_000) -> DataFrame:
     heads = now.where(F.col("root") == F.col("sid"))
     weight = heads.groupBy("cell").agg(F.sum("n").alias("heads"))
     heads = heads.join(weight, "cell")
-    found = settle(found.unionByName(join_groups(heads.withColumn("leaf", _chunk(heads, "heads", leaf)), ["cell", "leaf"])))
+    found = settle(found.unionByName(join_groups(heads.withColumn("leaf", _chunk("heads", leaf)), ["cell", "leaf"])))
+    drop(now)
+    release(rows.sparkSession)
     now = rooted(found)
     parts = now.groupBy("cell", "root").agg(F.sum("n").alias("n"))
     main = parts.groupBy("cell").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
@@ -389,7 +399,7 @@ def links(sets: DataFrame, leaf: int = 300_000) -> DataFrame:
     zero = F.lit(0).cast("long")
     left = open_.select("cell", "leaf", F.explode(F.sequence(zero, chunks)).alias("chunk"), "sid", "root", F.lit(0).alias("side"), "tokens")
     right = open_.where(F.col("root") != F.col("main"))
-    right = right.select("cell", F.explode(F.sequence(zero, many)).alias("leaf"), _chunk(right, "minor", leaf).alias("chunk"), "sid", "root", F.lit(1).alias("side"), "tokens")
+    right = right.select("cell", F.explode(F.sequence(zero, many)).alias("leaf"), _chunk("minor", leaf).alias("chunk"), "sid", "root", F.lit(1).alias("side"), "tokens")
     return found.unionByName(join_groups(left.unionByName(right), ["cell", "leaf", "chunk"]))
 
 
@@ -399,12 +409,21 @@ def joined(docs: DataFrame) -> DataFrame:
     heavy = frequent(docs)
     rows = settle(shared(postings(docs, heavy)))
     enough = rows.groupBy("sid").agg(F.count("*").alias("c"), F.min("n").alias("n")).where(F.col("c") > F.floor(F.floor(F.col("n") * NEEDED / OUT_OF) / SPARE))
-    cells = components(candidates(rows.join(enough.select("sid"), "sid", "left_semi")))
-    cells = settle(cells.select(F.col("node").alias("sid"), F.col("root").alias("cell")))
-    described_ = settle(described(docs, bloom(cells.select("sid"))))
-    sets = described_.where(F.col("tokens").isNotNull()).select("sid", "n", "tokens").dropDuplicates(["sid"]).join(cells, "sid")
-    roots = components(links(sets)).withColumnRenamed("node", "sid")
-    named = described_.select("doc_id", "n", "sid").join(roots, "sid", "left").withColumn("class", F.coalesce("root", "sid"))
+    spark = docs.sparkSession
+    release(spark)  # the postings
+    edges = settle(candidates(rows.join(enough.select("sid"), "sid", "left_semi")))
+    drop(rows)
+    cells = settle(components(edges).select(F.col("node").alias("sid"), F.col("root").alias("cell")))
+    every = settle(described(docs, bloom(cells.select("sid"))))
+    release(spark)
+    plain = settle(every.select("doc_id", "n", "sid"))
+    sizes = every.where(F.col("tokens").isNotNull()).select("sid", "n").distinct()
+    rows = settle(celled(every.where(F.col("tokens").isNotNull()).select("sid", "n", "tokens"), cells, sizes, LEAF))
+    drop(every)
+    release(spark)
+    roots = settle(components(links(rows)))
+    drop(rows)
+    named = plain.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("class", F.coalesce("root", "sid"))
     least = named.where(F.col("sid") >= 0).groupBy("class").agg(F.min("doc_id").alias("least"))
     out = named.join(least, "class", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid") >= 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
