@@ -1,8 +1,9 @@
 """Operator 6: near-duplicate lines by a segment-partition edit join.
 
-Lines (split at line feeds, outer white space aside) of at least ``SHORTEST`` characters within
-``EDITS`` edits of each other link; linked lines form classes, and of each class the first line in
-(doc_id, line) order stays. Shorter lines are left alone.
+Lines (split at line feeds, outer white space aside) that are equal link, and so do lines of at least
+``SHORTEST`` characters within ``EDITS`` edits of each other; linked lines form classes, and of each
+class the first line in (doc_id, line) order stays. Shorter lines link with equal ones only, as two
+edits turn many short lines into others. Empty lines are left alone.
 
 1. A line is cut into EDITS + 1 even segments. If a line of length L links with one of length l >= L,
    a substring of the longer equals a segment of the shorter, at one of the few places that the
@@ -48,7 +49,7 @@ def eligible(text: bytes) -> Iterator[tuple[int, str]]:
     """(number, line) of the lines that take part."""
     for i, line in enumerate(text.decode().split("\n")):
         line = line.strip(" \t\r\v\f")
-        if len(line) >= SHORTEST:
+        if line:
             yield i, line
 
 
@@ -148,7 +149,7 @@ def occurrences(rows: DataFrame) -> DataFrame:
 
 
 def _distinct_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, str]]]:
-    """Lines with their ids, a batch at a time; those met before in the task are left out."""
+    """Lines long enough for the edit join with their ids, a batch at a time; those met before in the task are left out."""
     seen: set[int] = set()
     for b in batches:
         if len(seen) > 1_000_000:
@@ -156,6 +157,8 @@ def _distinct_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[in
         out = []
         for t in blobs(b["text"]):
             for _, line in eligible(t):
+                if len(line) < SHORTEST:
+                    continue
                 lid = line_id(line)
                 if lid not in seen:
                     seen.add(lid)
