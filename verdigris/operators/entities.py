@@ -9,17 +9,19 @@ from pyspark.sql import functions as F
 from verdigris.functions.text import trigrams
 
 
-def fuzzy(surfaces: DataFrame, names: DataFrame, least: float = 0.6) -> DataFrame:
+def fuzzy(surfaces: DataFrame, names: DataFrame, least: float = 0.6, others: bool = False) -> DataFrame:
     """(surface, name, similarity): the most similar name of each surface at or above ``least``; ties to the smaller name.
 
     Pairs come from shared trigrams, counted in the join; similarity at least t needs at least
-    t times the larger side shared, so only pairs of close sizes are kept.
+    t times the larger side shared, so only pairs of close sizes are kept. With ``others``, a
+    surface does not match the name that equals it.
     """
     a = surfaces.select("surface", trigrams("surface").alias("g")).withColumn("na", F.size("g"))
     b = names.select("name", trigrams("name").alias("g")).withColumn("nb", F.size("g"))
     x = a.select("surface", "na", F.explode("g").alias("g"))
     y = b.select("name", "nb", F.explode("g").alias("g"))
     near = (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))
+    near = near & (F.col("surface") != F.col("name")) if others else near
     both = x.join(y, "g").where(near).groupBy("surface", "name", "na", "nb").agg(F.count("*").alias("c"))
     scored = both.select("surface", "name", F.round(F.col("c") / (F.col("na") + F.col("nb") - F.col("c")), 9).alias("similarity")).where(F.col("similarity") >= least)
     n = F.row_number().over(W.partitionBy("surface").orderBy(F.desc("similarity"), "name"))

@@ -183,6 +183,13 @@ def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.fuzzy(names.select(F.col("p_name").alias("surface")), names.where(F.md5(F.col("p_name").cast("binary")) < "2").select(F.col("p_name").alias("name")))
 
 
+@query()
+def fuzzy_names_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part name against all other part names."""
+    names = table(spark, sf_dir, "part").select("p_name").where("p_name is not null").distinct()
+    return entities.fuzzy(names.select(F.col("p_name").alias("surface")), names.select(F.col("p_name").alias("name")), others=True)
+
+
 @query("SELECT o_orderpriority AS source_file, CASE WHEN old IS NULL THEN 'insert' WHEN old = new THEN 'skip' ELSE 'replace' END AS action FROM (SELECT o_orderpriority, COUNT(*) AS new, SUM(CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' AND o_orderkey % 2 = 0 THEN 1 END) AS old FROM orders GROUP BY 1)")
 def load_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     fresh = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("source_file"), "o_orderkey")
