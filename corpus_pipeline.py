@@ -2,6 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the
 last return the columns of ``documents``. ``run`` writes each stage's rows to the shared folder.
+
+Stages that choose rows give each row a number first, so null and repeated doc_ids are rows like others.
 """
 
 from __future__ import annotations
@@ -30,17 +32,26 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lines.deduped(docs)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of its own for every row, written so that it stays."""
+    return settle(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id. Rows outside any group stay."""
-    groups = jaccard.joined(docs.select("doc_id", "text")).where(F.col("component_id").isNotNull() & (F.col("component_id") != F.col("doc_id")))
-    return docs.join(groups.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each near-duplicate group: the one with the smallest doc_id, null ids last. Rows outside any group stay."""
+    rows = numbered(docs)
+    classes = jaccard.joined(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_class"))
+    named = settle(rows.select("_row", "doc_id").join(classes, "_row"))
+    first = named.groupBy("_class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_first")).select(F.col("_first._row").alias("_row"))
+    return rows.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; the document at a budget's edge gives its first words only."""
-    mixed = mixing.mix(docs.select("doc_id", "text", "source"))
-    taken = mixed.where(F.col("taken") > 0).groupBy("doc_id").agg(F.max("epochs").alias("_epochs"), F.max(F.col("taken") - F.col("epochs") * F.col("size")).alias("_extra"), F.max("size").alias("_size"))
-    rows = docs.join(taken, "doc_id")
+    rows = numbered(docs)
+    mixed = mixing.mix(rows.select("_row", "doc_id", "text", "source"), carry=["_row"])
+    taken = mixed.where(F.col("taken") > 0).select("_row", F.col("epochs").alias("_epochs"), (F.col("taken") - F.col("epochs") * F.col("size")).alias("_extra"), F.col("size").alias("_size"))
+    rows = rows.join(taken, "_row")
     words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     part = F.when(F.col("_extra") == F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_extra").cast("int")), " "))
     copies = F.concat(F.array_repeat(F.lit(True), F.col("_epochs").cast("int")), F.when(F.col("_extra") > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))

@@ -1,9 +1,13 @@
 """Places where a bound once left out part of the job."""
 
 import hashlib
+import math
+import random
+from collections import Counter
 
 import pytest
 
+from tests.llm.test_llm_operators import shingles
 from verdigris.llm import lines
 
 DOCS = "doc_id long, text string, source string, n_chars long"
@@ -36,3 +40,42 @@ def test_short_lines_that_are_equal(spark, short_lines):
     got = [(x.doc_id, x.n_lines, x.n_removed, x.kept_sha256) for x in lines.report(df).collect()]
     assert sorted(got, key=key) == sorted(want, key=key) and sum(x[2] for x in want) == 6
     assert {x.text for x in lines.deduped(df).collect()} >= {"}\nfirst", "other text"}
+
+
+def test_stages_with_null_and_repeated_ids(spark):
+    """Near-duplicate removal and mixing row by row: exact copies of one id, copies without an id, an id shared with a clean text."""
+    import corpus_pipeline
+
+    r = random.Random(6)
+    base = [" ".join(f"w{r.randrange(10**6)}" for _ in range(n)) for n in (60, 45, 30, 37, 21)]
+    near = base[0].rsplit(" ", 1)[0] + " changed"
+    rows = [(1, base[0]), (1, base[0]), (2, near), (2, base[1]), (None, base[0]), (None, base[2]), (None, base[2]), (None, base[3]), (7, base[4]), (7, "two words"), (8, "two words"), (9, " "), (None, " ")]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    sets = [shingles(t) for _, t in rows]
+    kept = []
+    for i, (d, t) in enumerate(rows):  # here each group's members all link with each other
+        group = [rows[j] for j in range(len(rows)) if j == i or sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+        if (d, t) == min(group, key=lambda x: (x[0] is None, x[0] or 0)):
+            kept.append((d, t))
+    want = Counter({x: 1 if x[1].strip() else kept.count(x) for x in kept})
+    got = Counter((x.doc_id, x.text) for x in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    assert got == want and want[2, base[1]] == 1 and want[None, base[2]] == 1 and (2, near) not in want
+
+    def draw(d, t):
+        n = len(t.split())
+        weight = 1.0 if n >= 20 and 4 * n <= len(t) <= 11 * n else 0.5
+        u = int(hashlib.md5(("" if d is None else str(d)).encode()).hexdigest()[:12], 16)
+        return (-math.log((u + 1) / 281474976710657.0) / weight, d is not None, d or 0, n)
+
+    size = sum(len(t.split()) for _, t in rows)
+    left, want = size // 2, Counter()  # one source: every row once, then half of the words again
+    for d, t in sorted(rows, key=lambda x: draw(*x)):
+        n = len(t.split())
+        if n:
+            want[d, t] += 1
+        extra = min(n, left)
+        left -= extra
+        if extra:
+            want[d, t if extra == n else " ".join(t.split()[:extra])] += 1
+    got = Counter((x.doc_id, x.text) for x in corpus_pipeline.source_mix(spark, df, "").collect())
+    assert got == want and any(d is None for d, _ in want)

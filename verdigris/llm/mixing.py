@@ -15,6 +15,8 @@ Null texts have no words and are taken as 0; sources null come last; an empty ta
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,13 +27,13 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 BINS = 4096
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, key): words and sampling key of every row."""
-    out = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("_chars"))
+def sized(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, source, size, key) and the columns ``carry``: words and sampling key of every row."""
+    out = docs.select(*carry, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("_chars"))
     fair = (F.col("size") >= 20) & F.col("_chars").between(4 * F.col("size"), 11 * F.col("size"))
     weight = F.when(fair, F.lit(1.0)).otherwise(F.lit(0.5))
     draw = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 12), 16, 10).cast("double")
-    return out.select("doc_id", "source", "size", (-F.log((draw + 1) / F.lit(281474976710657.0)) / weight).alias("key"))
+    return out.select(*carry, "doc_id", "source", "size", (-F.log((draw + 1) / F.lit(281474976710657.0)) / weight).alias("key"))
 
 
 def targets(sizes: DataFrame, weights: list[int], share: float, most: int) -> DataFrame:
@@ -56,9 +58,12 @@ def targets(sizes: DataFrame, weights: list[int], share: float, most: int) -> Da
     return ranked.select("source", "source_size", F.when(F.col("_flat").isNull(), cap).otherwise(F.least(cap, F.col("_flat") * F.col("_w"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: list[int] = [3, 1, 2], share: float = 1.5, most: int = 2) -> DataFrame:  # noqa: B006
-    """(doc_id, size, source_size, target, taken, epochs) of every row; ``taken`` counts words, repeats included."""
-    rows = settle(sized(docs).withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * BINS).cast("int")).withColumn("source", F.col("source").cast("string")))
+def mix(docs: DataFrame, weights: list[int] = [3, 1, 2], share: float = 1.5, most: int = 2, carry: Sequence[str] = ()) -> DataFrame:  # noqa: B006
+    """(doc_id, size, source_size, target, taken, epochs) of every row; ``taken`` counts words, repeats included.
+
+    The columns ``carry`` tell rows of one doc_id apart: they come first in the result and break ties.
+    """
+    rows = settle(sized(docs, carry).withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * BINS).cast("int")).withColumn("source", F.col("source").cast("string")))
     bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("words"))
     sizes = bins.groupBy("source").agg(F.sum("words").alias("source_size"))
     goal = targets(sizes, weights, share, most)
@@ -69,13 +74,13 @@ def mix(docs: DataFrame, weights: list[int] = [3, 1, 2], share: float = 1.5, mos
     same = F.col("g.source").eqNullSafe(F.col("b.source"))
     plan = bins.alias("b").join(goal.alias("g"), same).select("b.source", "bin", "words", "before", "source_size", "target", "epochs", "budget")
     joined = rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.bin") == F.col("p.bin")))
-    joined = joined.select("doc_id", "size", "key", F.col("r.source").alias("source"), F.col("r.bin").alias("bin"), "words", "before", "source_size", "target", "epochs", "budget")
+    joined = joined.select(*carry, "doc_id", "size", "key", F.col("r.source").alias("source"), F.col("r.bin").alias("bin"), "words", "before", "source_size", "target", "epochs", "budget")
     whole = F.col("before") + F.col("words") <= F.col("budget")
     edge = ~whole & (F.col("before") < F.col("budget"))
     plain = joined.where(~edge).withColumn("extra", F.when(whole, F.col("size")).otherwise(0))
-    within = W.partitionBy("source", "bin").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("source", "bin").orderBy("key", "doc_id", "size", *carry).rowsBetween(W.unboundedPreceding, -1)
     cut = joined.where(edge).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - F.col("before") - F.coalesce(F.sum("size").over(within), F.lit(0)))))
-    return plain.unionByName(cut).select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("extra")).cast("long").alias("taken"), "epochs")
+    return plain.unionByName(cut).select(*carry, "doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("extra")).cast("long").alias("taken"), "epochs")
 
 
 MIX_SQL = """
