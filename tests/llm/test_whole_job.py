@@ -5,10 +5,11 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from tests.llm.test_llm_operators import shingles
-from verdigris.llm import lines
+from tests.llm.test_llm_operators import PIECES, shingles
+from verdigris.llm import lines, segmentations
 
 DOCS = "doc_id long, text string, source string, n_chars long"
 
@@ -79,3 +80,36 @@ def test_stages_with_null_and_repeated_ids(spark):
             want[d, t if extra == n else " ".join(t.split()[:extra])] += 1
     got = Counter((x.doc_id, x.text) for x in corpus_pipeline.source_mix(spark, df, "").collect())
     assert got == want and any(d is None for d, _ in want)
+
+
+def test_every_lattice_path_is_drawn():
+    """All paths of a text's runs come, each with its own probability, in the order of sampling without replacement."""
+    lat = segmentations.lattice(PIECES, 0.5)
+
+    def paths(run):
+        out = [((), 0.0, 0)]
+        done = []
+        while out:
+            ids, w, at = out.pop()
+            for j, more, own in lat.steps(run)[at].values() if at < len(run) else ():
+                (done if j == len(run) else out).append((ids + more, w + own, j))
+        z = sum(math.exp(w) for _, w, _ in done)
+        return {ids: math.exp(w) / z for ids, w, _ in done}
+
+    rows = lat.rows([b"there an".split(b" ")])[0]
+    a, b = paths("▁there"), paths("▁an")
+    every = {x + y: p * q for x, p in a.items() for y, q in b.items()}
+    assert len(a) > segmentations.BEST and [lat.ways[r] for r in rows] == [len(a), len(b)]
+    whole = lat.draw(rows, 10_000, np.random.default_rng(0))
+    assert sorted(tuple(d[0].tolist()) for d in whole) == sorted(every)
+    assert all(abs(math.exp(d[1]) - every[tuple(d[0].tolist())]) < 1e-6 for d in whole)
+    first, second, n = Counter(), Counter(), 6000
+    for seed in range(n):
+        x, y = (tuple(d[0].tolist()) for d in lat.draw(rows, 2, np.random.default_rng(seed)))
+        first[x] += 1
+        second[y] += 1
+    beyond = sum(c for x, c in first.items() if x not in {lat.kept(rows[0], i) + lat.kept(rows[1], j) for i in range(4) for j in range(4)})
+    assert beyond > 0
+    for x, p in every.items():
+        later = sum(q * p / (1 - q) for y, q in every.items() if y != x)
+        assert abs(first[x] / n - p) < 0.025 and abs(second[x] / n - later) < 0.025

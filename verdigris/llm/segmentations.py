@@ -2,11 +2,12 @@
 
 A text is cut at spaces, each then shown by the vocabulary's space mark, and into runs of letters and
 runs of others (runs over ``RUN`` characters are cut). A run's lattice holds the vocabulary's pieces,
-bytes stand for what has no piece, and the ``BEST`` likeliest paths are kept. A piece is as likely as
+bytes stand for what has no piece. The ``BEST`` likeliest paths are kept; others are spelt from the
+lattice when drawn, so every path has its own probability. A piece is as likely as
 Zipf's law makes its rank. The best segmentation is the encoding.
 
 Samples are drawn by Gumbel top-k. The tree's levels are the runs, its leaves the text's
-segmentations; a node's perturbed value is the largest among its leaves. A search that always expands
+segmentations; what leaves a path at a run is one branch, split when it is reached. A node's perturbed value is the largest among its leaves. A search that always expands
 the node with the largest value reaches leaves in the order of perturbed log-probability, so the
 first k leaves are k distinct segmentations drawn without replacement. The next value in the queue
 is the threshold that gives each its inclusion probability. Random numbers come from the row key.
@@ -19,6 +20,7 @@ back every text exactly. Rows with one doc_id and text draw the same samples.
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from array import array
 from collections import Counter
@@ -88,12 +90,16 @@ class Lattice:
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
         self.at, self.size = np.zeros((1024, BEST), np.int32), np.zeros((1024, BEST), np.int16)
         self.log, self.cum = np.zeros((1024, BEST), np.float32), np.zeros((1024, BEST), np.float32)
+        self.true, self.upto = np.zeros((1024, BEST)), np.zeros((1024, BEST))  # over all paths: log-probabilities, running sums
+        self.ways = np.zeros(1024)
+        self.run_of: list[str] = []
+        self.graphs: dict[str, tuple[list[dict], np.ndarray]] = {}
 
-    def _store(self, runs: list[str], score: np.ndarray, paths: np.ndarray) -> None:
-        """Rows for ``runs``: scores of the best paths (-inf: none) and their ids (runs x BEST x steps, -1: none)."""
+    def _store(self, runs: list[str], score: np.ndarray, paths: np.ndarray, total: np.ndarray, ways: np.ndarray) -> None:
+        """Rows for ``runs``: scores of the best paths (-inf: none), their ids (runs x BEST x steps, -1: none), log-sum and number of all paths."""
         first = len(self.row_of)
         while first + len(runs) > len(self.at):
-            self.at, self.size, self.log, self.cum = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.log, self.cum))
+            self.at, self.size, self.log, self.cum, self.true, self.upto, self.ways = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.log, self.cum, self.true, self.upto, self.ways))
         real = paths >= 0
         flat = paths[real]
         while self.used + len(flat) > len(self.ids):
@@ -112,6 +118,14 @@ class Lattice:
         some[share == 0] = 1  # no draw, being below 1, goes past the last path there is
         self.cum[rows] = np.minimum(some, 1)
         self.cum[rows][np.arange(len(runs)), (share > 0).sum(1) - 1] = 1
+        self.true[rows] = np.minimum(score * self.sharpness - total[:, None], 0)
+        self.upto[rows] = np.minimum(np.cumsum(np.exp(self.true[rows]), axis=1), 1)
+        some = self.upto[rows]
+        some[ways <= BEST, BEST - 1] = 1  # all paths are kept, so none is beyond them
+        for i in range(BEST - 1):
+            some[ways <= i + 1, i] = 1
+        self.ways[rows] = ways
+        self.run_of[first:] = runs
         self.row_of.update(zip(runs, range(first, first + len(runs)), strict=True))
         if self.full is not None:
             self.passing_runs += runs
@@ -153,10 +167,14 @@ class Lattice:
             score = np.full((far, len(some), BEST), -np.inf, np.float32)
             score[0, :, 0] = 0
             piece, back = np.zeros(score.shape, np.int32), np.zeros(score.shape, np.int16)
+            total, ways = np.full(score.shape[:2], -np.inf), np.zeros(score.shape[:2])
+            total[0], ways[0] = 0, 1
             for i, j, words, found in self.trie.spans(codes, size):
                 if not len(words):
                     continue
                 own = self.scores[found]
+                total[j, words] = np.logaddexp(total[j, words], total[i, words] + own.astype(np.float64) * self.sharpness)
+                ways[j, words] += ways[i, words]
                 ahead = score[i, words, 0] + own > score[j, words, BEST - 1]
                 words, found, own = words[ahead], found[ahead], own[ahead]
                 if not len(words):
@@ -174,20 +192,179 @@ class Lattice:
                 steps.append(np.where(at > 0, piece[at, last, way], 0))
                 link = back[at, last, way].astype(np.int64)
                 at, way = np.where(at > 0, link // BEST, 0), np.where(at > 0, link % BEST, 0)
-            self._store(some, score[size, last[:, 0]].astype(np.float64), self.numbers[np.stack(steps[::-1], 2)])
+            self._store(some, score[size, last[:, 0]].astype(np.float64), self.numbers[np.stack(steps[::-1], 2)], total[size, last[:, 0]], ways[size, last[:, 0]])
 
     def _odd(self, run: str) -> None:
         """The row of a run with other characters."""
         if run[0] == INNER and MARK in run:
             raw = tuple(self.byte_ids[x] for x in run[1:].encode())
             ways = [(self.byte_score * len(raw), raw)]
+            total, many = self.byte_score * len(raw) * self.sharpness, 1.0
         else:
             ways = self.best(run)
+            total, many = self.sums(run)
         paths = np.full((1, BEST, max(len(ids) for _, ids in ways)), -1)
         score = np.full((1, BEST), -np.inf)
         for i, (s, ids) in enumerate(ways):
             paths[0, i, : len(ids)], score[0, i] = ids, s
-        self._store([run], score, paths)
+        self._store([run], score, paths, np.array([total]), np.array([many]))
+
+    def steps(self, run: str) -> list[dict[int, tuple[int, tuple[int, ...], float]]]:
+        """For each place of a run the steps from it, by their first id: (place reached, ids, sharpened score)."""
+        out: list[dict[int, tuple[int, tuple[int, ...], float]]] = []
+        for i in range(len(run)):
+            here = {}
+            known = False
+            for j in range(i + 1, len(run) + 1):
+                part = run[i:j]
+                if part not in self.heads:
+                    break
+                hit = self.pieces.get(part)
+                if hit:
+                    here[hit[1]] = (j, (hit[1],), hit[0] * self.sharpness)
+                    known = known or j == i + 1
+            if not known:
+                raw = tuple(self.byte_ids[x] for x in run[i].encode())
+                here[raw[0]] = (i + 1, raw, self.byte_score * len(raw) * self.sharpness)
+            out.append(here)
+        return out
+
+    def sums(self, run: str) -> tuple[float, float]:
+        """Log of the sum over all paths of a run, and how many there are."""
+        total, ways = [-np.inf] * len(run) + [-np.inf], [0.0] * (len(run) + 1)
+        total[0], ways[0] = 0.0, 1.0
+        for i, here in enumerate(self.steps(run)):
+            for j, _, w in here.values():
+                total[j] = float(np.logaddexp(total[j], total[i] + w))
+                ways[j] += ways[i]
+        return total[-1], ways[-1]
+
+    def graph(self, run: str) -> tuple[list[dict], list[float]]:
+        """The steps of a run and the log-sums of the paths from each place to its end."""
+        if run not in self.graphs:
+            if len(self.graphs) > 50_000:
+                self.graphs.clear()
+            steps = self.steps(run)
+            ahead = [0.0] * (len(run) + 1)
+            for i in range(len(run) - 1, -1, -1):
+                parts = [w + ahead[j] for j, _, w in steps[i].values()]
+                top = max(parts)
+                ahead[i] = top + math.log(sum(math.exp(x - top) for x in parts))
+            self.graphs[run] = steps, ahead
+        return self.graphs[run]
+
+    def log_of(self, run: str, path: tuple[int, ...]) -> float:
+        steps, ahead = self.graph(run)
+        at, place, out = 0, 0, -ahead[0]
+        while at < len(path):
+            place, ids, w = steps[place][path[at]]
+            at, out = at + len(ids), out + w
+        return out
+
+    def other(self, run: str, without: list[tuple[int, ...]], rng: np.random.Generator) -> tuple[tuple[int, ...], float]:
+        """A path of the run drawn from all but ``without``, and its log-probability among all paths."""
+        steps, ahead = self.graph(run)
+        barred = [(x, math.exp(self.log_of(run, x))) for x in without]
+        path: tuple[int, ...] = ()
+        place, logp = 0, -ahead[0]
+        while place < len(run):
+            ways = list(steps[place].values())
+            mass = []
+            for j, ids, w in ways:
+                gone = [p for x, p in barred if x[len(path)] == ids[0]]
+                m = math.exp(logp + w + ahead[j])
+                # past the last step, or with every path beyond barred, nothing is left but rounding
+                mass.append(0.0 if gone and m - sum(gone) < 1e-13 * m else m - sum(gone))
+            pick = rng.random() * sum(mass)
+            n = max(i for i, m in enumerate(mass) if m > 0)
+            for i, m in enumerate(mass):
+                if m > 0 and pick < m:
+                    n = i
+                    break
+                pick -= m
+            place, ids, w = ways[n]
+            barred = [(x, p) for x, p in barred if x[len(path)] == ids[0]]
+            path, logp = path + ids, logp + w
+        return path, logp
+
+    def kept(self, row: int, way: int) -> tuple[int, ...]:
+        a = int(self.at[row, way])
+        return tuple(self.ids[a : a + int(self.size[row, way])].tolist())
+
+    def written(self, rows: np.ndarray, choice: np.ndarray, own: dict[int, tuple[int, ...]]) -> np.ndarray:
+        """The ids of a segmentation given by kept paths, and by paths of its ``own`` at some runs."""
+        parts, at = [], 0
+        for t in sorted(own):
+            parts += [self.spelt(rows[at:t], choice[at:t]), np.array(own[t], np.int32)]
+            at = t + 1
+        return np.concatenate([*parts, self.spelt(rows[at:], choice[at:])])
+
+    def draw(self, rows: np.ndarray, k: int, rng: np.random.Generator) -> list[tuple[np.ndarray, float, float, float]]:
+        """Up to k distinct segmentations out of all paths of the runs: (ids, log-probability, perturbed value, log inclusion probability).
+
+        What leaves a segmentation at a run is one branch, all other paths of that run with anything
+        after it; when the search reaches it, it gives one of these paths and what is then left of it.
+        """
+        n = len(rows)
+        true, upto, many = self.true[rows], self.upto[rows], self.ways[rows]
+        queue: list[tuple] = []
+        order = 0
+
+        def fill(choice: np.ndarray, own: dict, logs: np.ndarray, start: int) -> None:
+            if start < n:
+                choice[start:] = (rng.random(n - start)[:, None] >= upto[start:]).sum(1)
+                far = np.flatnonzero(choice[start:] == BEST) + start
+                choice[far] = 0
+                logs[start:] = true[np.arange(start, n), choice[start:]]
+                for t in far.tolist():
+                    row = int(rows[t])
+                    own[t], logs[t] = self.other(self.run_of[row], [self.kept(row, i) for i in range(BEST)], rng)
+
+        def queue_up(value: float, loc: float, leaf: tuple, t: int, barred: list) -> None:
+            nonlocal order
+            cut = loc - np.logaddexp(loc - value, math.log(rng.exponential() + 1e-300))
+            order += 1
+            heapq.heappush(queue, (-cut, order, leaf, t, barred))
+
+        def branches(leaf: tuple, start: int, value: float) -> float:
+            choice, own, logs = leaf
+            before = np.concatenate([[0.0], np.cumsum(logs)])
+            stop = int(np.searchsorted(-before[:-1], -FAR))
+            if start < stop:
+                loc = np.where(many[start:stop] > 1, before[start:stop] + np.log(np.maximum(-np.expm1(logs[start:stop]), 1e-300)), -np.inf)
+                at = np.flatnonzero(loc > -np.inf)
+                loc = loc[at]
+                cut = loc - np.logaddexp(loc - value, np.log(rng.exponential(size=len(loc)) + 1e-300))
+                for i in np.argsort(-cut)[:k]:  # no more than k can be reached
+                    nonlocal order
+                    order += 1
+                    heapq.heappush(queue, (-cut[i], order, leaf, start + int(at[i]), None))
+            return float(before[-1])
+
+        value = float(rng.gumbel())
+        leaf: tuple = (np.zeros(n, np.int64), {}, np.zeros(n))
+        fill(*leaf, 0)
+        found = [(leaf, branches(leaf, 0, value), value)]
+        while queue and len(found) < k:
+            minus, _, old, t, barred = heapq.heappop(queue)
+            row = int(rows[t])
+            barred = barred or [old[1][t] if t in old[1] else self.kept(row, int(old[0][t]))]
+            run = self.run_of[row]
+            path, logp = self.other(run, barred, rng)
+            leaf = (old[0].copy(), {i: x for i, x in old[1].items() if i < t}, old[2].copy())
+            leaf[0][t], leaf[1][t], leaf[2][t] = 0, path, logp
+            fill(*leaf, t + 1)
+            barred = [*barred, path]
+            if len(barred) < many[t]:
+                left = -math.expm1(math.log(min(sum(math.exp(self.log_of(run, x)) for x in barred), 1 - 1e-15)))
+                queue_up(-minus, float(old[2][:t].sum()) + math.log(left), old, t, barred)
+            found.append((leaf, branches(leaf, t + 1, -minus), -minus))
+        edge = -queue[0][0] if queue else -np.inf
+        out = []
+        for (choice, own, _), logp, value in found:
+            gap = min(logp - edge, 30.0)
+            out.append((self.written(rows, choice, own), logp, value, float(np.log(-np.expm1(-np.exp(gap)))) if gap > -30 else gap))
+        return out
 
     def _learn(self, fresh: list[bytes]) -> None:
         cut: list[list[str]] = []
@@ -240,7 +417,7 @@ class Lattice:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))[1:]  # the first mark is no space of the text
 
     def sample(self, rows: np.ndarray, k: int, rng: np.random.Generator) -> list[tuple[np.ndarray, float, float, float]]:
-        """Up to k distinct segmentations: (choices, log-probability, perturbed value, log inclusion probability)."""
+        """Up to k distinct segmentations out of the kept paths only, which ``draw`` goes beyond: (choices, log-probability, perturbed value, log inclusion probability)."""
         logs, cums = self.log[rows], self.cum[rows]
         n = len(rows)
 
@@ -311,8 +488,8 @@ def encoded(docs: DataFrame, model: str, k: int = 3, sharpness: float = 0.5, see
             out: list[tuple] = []
             for text, key, rows in zip(texts, b["doc_id"].to_pylist(), lat.rows([t.split(b" ") if t else [] for t in texts]), strict=True):
                 rng = np.random.Generator(np.random.SFC64(xxhash.xxh3_64_intdigest(f"{seed}|{key}")))
-                drawn = lat.sample(rows, k, rng)
-                ids = [lat.spelt(rows, c) for c in (np.zeros(len(rows), np.int64), *(d[0] for d in drawn))]
+                drawn = lat.draw(rows, k, rng)
+                ids = [lat.spelt(rows, np.zeros(len(rows), np.int64)), *(d[0] for d in drawn)]
                 if digest:
                     crc = [zlib.crc32(x.astype("<i4").tobytes()) for x in ids]
                     good = all(lat.decode(x) == text for x in ids)
