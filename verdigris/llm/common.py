@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import atexit
 import gc
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +29,8 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='verdigris-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset, the warehouse, which a cluster shares too."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return folder.rstrip("/")
 
 
@@ -78,23 +74,6 @@ def long_crc(column: str) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
-class WordHashes(dict):
-    """Word (bytes) to a 64-bit hash, kept for the words seen so far, within ``bound`` entries."""
-
-    def __init__(self, seed: int = 0, bound: int = 1_000_000):
-        super().__init__()
-        self.seed, self.bound = seed, bound
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = value = xxhash.xxh3_64_intdigest(word, self.seed)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.bound:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -126,68 +105,197 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def id_cuts(df: DataFrame, column: str, per_bucket: int, most: int = 4000) -> list[int]:
+def id_cuts(df: DataFrame, column: str, per_bucket: int, most: int = 100_000) -> list[int]:
     """Cut points that split the column's values into ranges of about ``per_bucket`` rows.
 
-    Reads that one column; the list is bounded by ``most``. Ranges only steer how rows are
-    dealt out, so approximate cuts are enough.
+    Reads that one column; the list is bounded by ``most``, which only makes ranges larger, and their
+    rows stream through a task. Ranges steer how rows are dealt out, so approximate cuts are enough.
     """
     n = df.select(column).count()
     k = max(1, min(most, -(-n // per_bucket)))
     if k == 1:
         return []
     shares = [i / k for i in range(1, k)]
-    found = df.agg(F.percentile_approx(F.col(column), shares, 10_000).alias("c")).first()["c"]
+    found = df.agg(F.percentile_approx(F.col(column), shares, max(10_000, 4 * k)).alias("c")).first()["c"]
     return sorted(set(found or []))
 
 
 def range_of(column: Column, cuts: list[int]) -> Column:
-    """Number of cuts at or below the value; null counts as below all."""
+    """Number of cuts at or below the value, looked up in two steps; null counts as below all."""
     if not cuts:
         return F.lit(0)
-    array = F.lit(cuts).cast("array<bigint>")
-    return F.when(column.isNull(), F.lit(0)).otherwise(F.size(F.filter(array, lambda c: c <= column)))
+    step = max(1, round(len(cuts) ** 0.5))
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    heads = F.lit([g[0] for g in groups]).cast("array<bigint>")
+    group = F.size(F.filter(heads, lambda c: c <= column)) - 1
+    inner = F.get(F.array(*[F.lit(g).cast("array<bigint>") for g in groups]), group)
+    return F.when(column.isNull() | (group < 0), F.lit(0)).otherwise(group * step + F.size(F.filter(inner, lambda c: c <= column)))
+
+
+#: The six ASCII white-space characters, at which words end.
+WHITE = b"\t\n\v\f\r "
+
+
+class Texts:
+    """The bytes of a string column in one array, null as empty, and where each text begins and the last one ends."""
+
+    def __init__(self, column: pa.Array | pa.ChunkedArray):
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        _, at, data = column.buffers()
+        self.ends = np.frombuffer(at, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+        first = self.ends[0]
+        self.data = np.frombuffer(data, np.uint8)[first : self.ends[-1]] if data is not None else np.zeros(0, np.uint8)
+        self.ends = self.ends - first
+
+
+class Words:
+    """The words of a batch of texts: ``starts`` and ``stops`` in its bytes; a text's words are those between two of ``ends``."""
+
+    def __init__(self, column: pa.Array | pa.ChunkedArray):
+        texts = Texts(column)
+        self.data = texts.data
+        solid = ~_IS_WHITE[self.data]
+        first, last = solid.copy(), solid.copy()
+        first[1:] &= ~solid[:-1]
+        last[:-1] &= ~solid[1:]
+        edge = texts.ends[:-1][texts.ends[:-1] < texts.ends[1:]]
+        first[edge] = solid[edge]
+        edge = texts.ends[1:][texts.ends[:-1] < texts.ends[1:]] - 1
+        last[edge] = solid[edge]
+        self.starts, self.stops = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.ends = np.searchsorted(self.starts, texts.ends)
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+
+_IS_WHITE = np.zeros(256, bool)
+_IS_WHITE[list(WHITE)] = True
+
+
+class Hasher:
+    """64-bit hashes of stretches of bytes, many at once: random values of the bytes as a polynomial's coefficients."""
+
+    def __init__(self, seed: int = 0, lower: bool = False):
+        rng = np.random.Generator(np.random.PCG64(seed))
+        self.values = np.frombuffer(rng.bytes(2048), "<u8").copy()
+        self.base = int.from_bytes(rng.bytes(8)) | 1
+        if lower:
+            self.values[ord("A") : ord("Z") + 1] = self.values[ord("a") : ord("z") + 1]
+        self._power(1 << 15)
+
+    def _power(self, n: int) -> None:
+        self.powers = np.multiply.accumulate(np.full(n, self.base, np.uint64))
+        self.inverse = np.multiply.accumulate(np.full(n, pow(self.base, -1, 1 << 64), np.uint64))
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, step: int = 4096) -> np.ndarray:
+        out = np.empty(len(starts), np.uint64)
+        for a in range(0, len(starts), step):
+            first, last = int(starts[a]), int(stops[min(a + step, len(stops)) - 1])
+            if last - first > len(self.powers):
+                self._power(2 * (last - first))
+            total = np.zeros(last - first + 1, np.uint64)
+            np.cumsum(self.values[data[first:last]] * self.powers[: last - first], out=total[1:])
+            x, y = starts[a : a + step] - first, stops[a : a + step] - first
+            out[a : a + step] = (total[y] - total[x]) * self.inverse[x]
+        return mix(out)
+
+
+class HashIndex:
+    """64-bit hashes to numbers, by open addressing."""
+
+    def __init__(self, bits: int = 14):
+        self.keys, self.values, self.many = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32), 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The numbers of ``hashes``, -1 for those not held."""
+        last = np.uint64(len(self.keys) - 1)
+        out = np.full(len(hashes), -1, np.int64)
+        open_, slot = np.arange(len(hashes)), hashes & last
+        while len(open_):
+            value = self.values[slot]
+            same = (self.keys[slot] == hashes[open_]) & (value >= 0)
+            out[open_[same]] = value[same]
+            on = (value >= 0) & ~same
+            open_, slot = open_[on], (slot[on] + np.uint64(1)) & last
+        return out
+
+    def add(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        """Hold distinct ``hashes`` that are not held yet."""
+        if 2 * (self.many + len(hashes)) > len(self.keys):
+            old = self.values >= 0
+            keys, values = self.keys[old], self.values[old]
+            bits = int(4 * (self.many + len(hashes))).bit_length()
+            self.keys, self.values = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+            self._put(keys, values)
+        self._put(hashes, numbers.astype(np.int32))
+        self.many += len(hashes)
+
+    def _put(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        last = np.uint64(len(self.keys) - 1)
+        slot = hashes & last
+        while len(hashes):
+            free = np.flatnonzero(self.values[slot] < 0)
+            self.values[slot[free]] = numbers[free]
+            won = free[self.values[slot[free]] == numbers[free]]
+            self.keys[slot[won]] = hashes[won]
+            lost = np.ones(len(hashes), bool)
+            lost[won] = False
+            hashes, numbers, slot = hashes[lost], numbers[lost], (slot[lost] + np.uint64(1)) & last
 
 
 class WordRows:
-    """Word (bytes) to the number of a row of values, worked out for new words a batch at a time.
+    """A row of values for each distinct stretch of bytes, worked out for new ones a batch at a time.
 
-    ``make`` gives an array of rows for a list of words. At most about ``bound`` words are kept.
+    ``make`` gives an array of rows for a list of bytes. Stretches are told apart by 64-bit hashes. At
+    most about ``bound`` rows are kept; past that the first half stays, which holds the most frequent.
     """
 
-    def __init__(self, make, bound: int = 500_000):
+    def __init__(self, make, bound: int = 400_000):
         self.make, self.bound = make, bound
-        self.known: dict[bytes, int] = {}
-        self.rows: np.ndarray | None = None
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        """Row numbers of ``words``, good until the next call."""
-        if len(self.known) > self.bound:
-            self.known.clear()
-        fresh = list(set(words).difference(self.known))
-        if fresh or self.rows is None:
-            made = self.make(fresh)
-            at = len(self.known)
-            if self.rows is None or len(self.rows) < at + len(fresh):
-                grown = np.zeros((max(1024, 2 * (at + len(fresh))), *made.shape[1:]), made.dtype)
-                if at:
-                    grown[:at] = self.rows[:at]
-                self.rows = grown
-            self.rows[at : at + len(fresh)] = made
-            self.known.update(zip(fresh, range(at, at + len(fresh)), strict=True))
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-
-
-def flat_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """The words of all texts in a row, and where each text's begin and the last one's end."""
-    parts = [t.split() for t in texts]
-    ends = np.zeros(len(parts) + 1, np.int64)
-    np.cumsum([len(p) for p in parts], out=ends[1:])
-    return [w for p in parts for w in p], ends
+        self.index, self.rows, self.names = HashIndex(), None, np.zeros(1024, np.uint64)
+
+    def halve(self) -> None:
+        half = self.index.many // 2
+        self.index = HashIndex(max(14, int(4 * half).bit_length()))
+        self.index.add(self.names[:half], np.arange(half))
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Row numbers of the stretches, good until the next call."""
+        if self.index.many > self.bound:
+            self.halve()
+        out = self.index.find(hashes)
+        new = np.flatnonzero(out < 0)
+        names, first, which = np.unique(hashes[new], return_index=True, return_inverse=True)
+        order = np.argsort(first)  # the order of the text, so that early ones get low numbers
+        names, first = names[order], first[order]
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        raw = data.tobytes() if len(new) else b""
+        at = new[first]
+        made = self.make([raw[x:y] for x, y in zip(starts[at].tolist(), stops[at].tolist(), strict=True)])
+        many = self.index.many
+        if self.rows is None:
+            self.rows = np.zeros((1024, *made.shape[1:]), made.dtype)
+        need = many + len(names)
+        for name in ("rows", "names"):
+            old = getattr(self, name)
+            if len(old) < need:
+                grown = np.zeros((need + need // 2, *old.shape[1:]), old.dtype)
+                grown[:many] = old[:many]
+                setattr(self, name, grown)
+        self.rows[many:need], self.names[many:need] = made, names
+        self.index.add(names, np.arange(many, need))
+        out[new] = many + rank[which]
+        return out
 
 
 def sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Sums of ``values`` between consecutive ``ends``; 0 where there is none."""
-    total = np.zeros((len(values) + 1, *values.shape[1:]), np.float64)
-    np.cumsum(values, axis=0, out=total[1:])
-    return total[ends[1:]] - total[ends[:-1]]
+    """Sums of ``values`` between consecutive ``ends``; 0 where there is none. Each depends on its own values only."""
+    out = np.zeros((len(ends) - 1, *values.shape[1:]), np.float64)
+    some = np.flatnonzero(ends[1:] > ends[:-1])
+    if len(some):
+        out[some] = np.add.reduceat(values, ends[:-1][some], axis=0)
+    return out

@@ -1,8 +1,8 @@
 """Operator 7: token ids written as patched frame-of-reference blocks.
 
 A file row holds about ``ROW_IDS`` ids of consecutive documents: their doc_ids and lengths, and a
-payload of blocks of 256 ids. A block keeps its minimum, packs the differences at the width (in half
-bytes) that 90 % of them need, and lists the others as exceptions. An index at the payload's head gives each
+payload of blocks of 256 ids. A block keeps its minimum, packs the differences at the width in bits
+that 90 % of them need, and lists the others as exceptions. An index at the payload's head gives each
 block's first byte. Rows are written by Spark's writer, so a retried task leaves no trace and any
 store works; ``shard`` and ``start`` place a row's ids in ascending doc_id order.
 
@@ -17,24 +17,55 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import blobs, id_cuts, range_of, settle, small_batches
+from verdigris.llm.common import Hasher, Texts, WordRows, id_cuts, range_of, settle, small_batches
 
 BLOCK = 256
 ROW_IDS = 1 << 16
 MAGIC = b"PFR1"
-#: Widths are multiples of half a byte, so that two values fill whole bytes.
-STEP = 4
-#: Ranges of doc_id at most; bounds the table of shard offsets.
-SHARDS = 4000
+def _squeeze(values: np.ndarray, w: int) -> np.ndarray:
+    """The low ``w`` bits of 32-bit values (blocks x BLOCK) without gaps, lowest first: blocks x bytes."""
+    if w > 16:
+        bits = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(len(values), BLOCK, 4), axis=2, bitorder="little")
+        return np.packbits(bits[:, :, :w].reshape(len(values), -1), axis=1, bitorder="little")
+    low = (values & np.uint32((1 << w) - 1)).astype("<u8").reshape(len(values), -1, 8)
+    shift = (np.arange(4, dtype=np.uint64) * np.uint64(w))[None, None]
+    a, b = (low[:, :, :4] << shift).sum(2, dtype=np.uint64), (low[:, :, 4:] << shift).sum(2, dtype=np.uint64)
+    half = w // 2  # eight values fill w bytes; for an odd w the middle byte is shared
+    out = np.empty((len(values), low.shape[1], w), np.uint8)
+    if w % 2:
+        out[:, :, : half + 1] = a.view(np.uint8).reshape(*a.shape, 8)[:, :, : half + 1]
+        out[:, :, half] |= ((b & np.uint64(15)) << np.uint64(4)).astype(np.uint8)
+        out[:, :, half + 1 :] = (b >> np.uint64(4)).view(np.uint8).reshape(*b.shape, 8)[:, :, :half]
+    else:
+        out[:, :, :half] = a.view(np.uint8).reshape(*a.shape, 8)[:, :, :half]
+        out[:, :, half:] = b.view(np.uint8).reshape(*b.shape, 8)[:, :, :half]
+    return out.reshape(len(values), -1)
+
+
+def _spread(packed: np.ndarray, w: int) -> np.ndarray:
+    """The values that ``_squeeze`` has packed."""
+    if w > 16:
+        bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(packed), BLOCK, w)
+        wide = np.zeros((len(packed), BLOCK, 32), np.uint8)
+        wide[:, :, :w] = bits
+        return np.packbits(wide.reshape(len(packed), -1), axis=1, bitorder="little").view("<u4")
+    groups, half = packed.reshape(len(packed), -1, w), w // 2
+    parts = np.zeros((2, *groups.shape[:2], 8), np.uint8)
+    parts[0, :, :, : half + w % 2] = groups[:, :, : half + w % 2]
+    parts[1, :, :, : half + w % 2] = groups[:, :, half:]
+    a, b = parts.view("<u8")[..., 0]
+    if w % 2:
+        b = b >> np.uint64(4)
+    shift = (np.arange(4, dtype=np.uint64) * np.uint64(w))[None, None]
+    both = np.concatenate([a[:, :, None] >> shift, b[:, :, None] >> shift], 2) & np.uint64((1 << w) - 1)
+    return both.astype(np.uint32).reshape(len(packed), BLOCK)
 
 
 def pack(ids: np.ndarray, quantile: float = 0.9) -> bytes:
@@ -50,17 +81,14 @@ def pack(ids: np.ndarray, quantile: float = 0.9) -> bytes:
     gap = grid - base[:, None]
     rank = min(BLOCK - 1, int(BLOCK * quantile))
     usual = np.partition(gap, rank, 1)[:, rank]
-    width = np.array([-(-int(x).bit_length() // STEP) * STEP for x in usual], np.uint8)
+    width = np.array([int(x).bit_length() for x in usual], np.uint8)
     outlier = gap > ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)[:, None]
     bodies: list[bytes] = [b""] * count
-    for w in np.unique(width):
+    for w in np.unique(width[width > 0]).tolist():
         at = np.flatnonzero(width == w)
-        if w:
-            low = gap[at].astype("<u8") & np.uint64((1 << int(w)) - 1)
-            pairs = low[:, 0::2] | (low[:, 1::2] << np.uint64(w))
-            packed = pairs.view(np.uint8).reshape(len(at), BLOCK // 2, 8)[:, :, : int(w) // 4]
-            for i, row in zip(at, packed, strict=True):
-                bodies[i] = row.tobytes()
+        packed = _squeeze(gap[at], w)
+        for i, row in zip(at.tolist(), packed, strict=True):
+            bodies[i] = row.tobytes()
     many = outlier.sum(1)
     blocks = []
     for i in range(count):
@@ -85,142 +113,133 @@ def unpack(payload: bytes) -> np.ndarray:
     width, many = raw[starts + 4], raw[starts + 5]
     base = np.frombuffer(raw[starts[:, None] + np.arange(4)].tobytes(), "<u4")
     gap = np.zeros((count, BLOCK), np.uint32)
-    for w in np.unique(width[width > 0]):
+    for w in np.unique(width[width > 0]).tolist():
         at = np.flatnonzero(width == w)
-        size = BLOCK * int(w) // 8
-        body = raw[starts[at][:, None] + 6 + np.arange(size)]
-        pairs = np.zeros((len(at), BLOCK // 2, 8), np.uint8)
-        pairs[:, :, : int(w) // 4] = body.reshape(len(at), BLOCK // 2, int(w) // 4)
-        both = pairs.view("<u8")[:, :, 0]
-        gap[at, 0::2] = both & np.uint64((1 << int(w)) - 1)
-        gap[at, 1::2] = both >> np.uint64(w)
+        gap[at] = _spread(raw[starts[at][:, None] + 6 + np.arange(BLOCK * w // 8)], w)
     for i in np.flatnonzero(many).tolist():
         at, k = int(starts[i]) + 6 + BLOCK * int(width[i]) // 8, int(many[i])
         gap[i, raw[at : at + k]] = np.frombuffer(payload, "<u4", k, at + k)
     return (gap + base[:, None]).reshape(-1)[:n]
 
 
-#: Stretches of words with full stops, commas and line ends between them; their parts are always tokens' bounds.
-_PLAIN = regex.compile(r"\p{L}+[.,]?(?:\n\p{L}+[.,]?)*").fullmatch
-_LETTERS = regex.compile(r" ?\p{L}+").fullmatch
-_PARTS = regex.compile(r" ?\p{L}+|[.,]|\n").findall
+class _Stretches(WordRows):
+    """Where the ids of each stretch stand in a pool of ids; the pool goes with the rows."""
+
+    def __init__(self, make, bound: int):
+        super().__init__(make, bound)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def add(self, ids: list[bytes]) -> np.ndarray:
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        many = np.array([len(x) // 4 for x in ids], np.int64)
+        at = self.used + np.cumsum(many) - many
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used // 2 + len(flat), np.uint32)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        return np.stack([at, many], 1).astype(np.int32)
+
+    def halve(self) -> None:
+        super().halve()
+        self.used = int(self.rows[self.index.many - 1].sum())
+        self.ids = self.ids[: self.used].copy()
 
 
 class CachedEncoder:
     """Texts to ids by the tokenizers library, which sees each distinct stretch of text once.
 
-    A text is cut before every space that follows a character other than white space; plain
-    stretches are cut around full stops, commas and single line ends too. The byte-level
-    pre-tokenizer always ends a token there, so the parts' ids in a row are the text's ids. At most ``bound`` stretches are kept.
+    A text is cut before white space, between an ASCII letter and another ASCII character, and between
+    a single line feed and an ASCII letter: there the byte-level pre-tokenizer always ends a token, so the
+    stretches' ids in a row are the text's ids. New ASCII words are put into one text for the library.
+    At most about ``bound`` stretches are kept (some 80 bytes each), by 64-bit hashes.
     """
 
-    def __init__(self, path: str, bound: int = 1_000_000):
+    def __init__(self, path: str, bound: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.bound, self.known, self.parts, self.heads = bound, {}, {}, {}
         vocabulary = self.tokenizer.get_vocab()  # byte-level: a character of a token stands for a byte
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.lengths[i] = len(token)
+        self.whole = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]  # found before all else
+        self.stretches, self.hashes = _Stretches(self._learn, bound), Hasher()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in got]
 
-    def _joined(self, parts: list[bytes], before: bytes, skip: int) -> None:
-        """Learn parts that are a space, or ``before``, and letters, as one text: tokens spell bytes, so lengths tell whose they are."""
+    def _joined(self, parts: list[bytes], before: bytes, skip: int) -> dict[bytes, bytes]:
+        """Ids of parts that are a space, or ``before``, and letters, as one text: tokens spell bytes, so lengths tell whose they are."""
+        out = {}
         for a in range(0, len(parts), 2000):
             some = parts[a : a + 2000]
             ids = np.frombuffer(self._ids([(before + before.join(some)).decode()])[0], "<u4")
             at = np.cumsum(np.array([len(p) + skip for p in some]))
             stops = np.searchsorted(np.cumsum(self.lengths[ids]), at) + 1
             flat, starts = ids.tobytes(), [0, *stops[:-1].tolist()]
-            self.parts.update((p, flat[4 * (x + skip) : 4 * y]) for p, x, y in zip(some, starts, stops.tolist(), strict=True))
+            out.update((p, flat[4 * (x + skip) : 4 * y]) for p, x, y in zip(some, starts, stops.tolist(), strict=True))
+        return out
 
-    def _learn(self, cuts: set[bytes]) -> None:
-        known, whole, split = self.known, self.parts, {}
-        plain, ended = [], []  # ASCII words, alone or before a full stop or comma: most, and cheap to tell
-        missing, spaced = set(), set()
-        for c in cuts:
+    def _learn(self, stretches: list[bytes]) -> np.ndarray:
+        spaced, bare, other = [], [], []
+        for c in stretches:
             if c.isalpha():
-                plain.append(c)
-                spaced.add(b" " + c)
-                continue
-            stem = c[:-1]
-            if stem.isalpha() and c[-1:] in b".,":
-                ended.append(c)
-                spaced.add(b" " + stem)
-                continue
-            text = c.decode()
-            if _PLAIN(text):
-                split[c] = parts = [x.encode() for x in _PARTS(f" {text}")]
-                missing.update(parts)
-            elif not text or text[-1].isspace():
-                known[c] = b"\0"  # must be seen with what follows
+                bare.append(c)
+            elif c[:1] == b" " and c[1:].isalpha():
+                spaced.append(c)
             else:
-                split[c] = [p := b" " + c]
-                missing.add(p)
-        missing.update((b".", b","))
-        missing.difference_update(whole)
-        spaced.difference_update(whole)
-        bare, other = [], []
-        for p in missing:
-            text = p.decode()
-            if not _LETTERS(text):
-                other.append(p)
-            elif p[:1] == b" ":
-                spaced.add(p)
-            else:
-                bare.append(p)
-        self._joined(list(spaced), b"", 0)
-        self._joined(bare, b"\n", 1)
-        whole.update(zip(other, self._ids([p.decode() for p in other]), strict=True))
-        for c in plain:
-            known[c] = whole[b" " + c]
-        for c in ended:
-            known[c] = whole[b" " + c[:-1]] + whole[c[-1:]]
-        for c, parts in split.items():
-            known[c] = b"".join([whole[p] for p in parts])
+                other.append(c)
+        known = self._joined(spaced, b"", 0) | self._joined(bare, b"\n", 1)
+        known.update(zip(other, self._ids([c.decode() for c in other]), strict=True))
+        return self.stretches.add([known[c] for c in stretches])
+
+    def flat(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin and the last one's end."""
+        data, ends = texts.data, texts.ends
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(ends), np.int64)
+        white = _ENDS_WHITE[data]
+        wide = np.flatnonzero(_LAST_OF_WIDE[data])  # the last bytes of white space beyond ASCII, told by those before them; some others too
+        wide = wide[wide > 1]
+        white[wide] = (data[wide - 1] == 0xC2) | (np.isin(data[wide - 2], (0xE1, 0xE2, 0xE3)) & np.isin(data[wide - 1], (0x9A, 0x80, 0x81)))
+        white[: min(2, len(data))] |= data[: min(2, len(data))] >= 0x80
+        head = np.zeros(len(data) + 1, bool)
+        letter = _LETTERS[data]
+        head[1:-1] = _WHITE[data[1:]] & ~white[:-1] | letter[:-1] & ~letter[1:] & (data[1:] < 0x80)
+        head[2:-1] |= letter[2:] & (data[1:-1] == ord("\n")) & _VISIBLE[data[:-2]]
+        raw = data.tobytes()
+        for token in self.whole:
+            at = raw.find(token)
+            while at >= 0:
+                head[at + 1 : at + len(token)] = False
+                at = raw.find(token, at + 1)
+        head[ends[:-1]] = True
+        starts = np.flatnonzero(head[:-1])
+        stops = np.append(starts[1:], len(data))
+        at = self.stretches(data, starts, stops, self.hashes(data, starts, stops))
+        at = self.stretches.rows[at]
+        many = at[:, 1].astype(np.int64)
+        total = np.cumsum(many)
+        ids = self.stretches.ids[np.repeat(at[:, 0] - total + many, many) + np.arange(int(total[-1]))]
+        return ids, np.concatenate([[0], total])[np.searchsorted(starts, ends)]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > self.bound:
-            self.known = dict(islice(self.known.items(), self.bound // 2))  # the first seen are the most frequent
-            self.parts = dict(islice(self.parts.items(), self.bound // 2))
-        parts = [t.split(b" ") for t in texts]
-        heads = [p.pop(0) for p in parts]
-        self._learn(set(chain.from_iterable(parts)).difference(self.known))
-        return [self._whole(t) if not h or h.decode()[-1].isspace() else self._head(h) + self._rest(p) for t, h, p in zip(texts, heads, parts, strict=True)]
-
-    def _head(self, text: bytes) -> bytes:
-        """The ids of a text's first stretch, which no space precedes."""
-        ids = self.heads.get(text)
-        if ids is None:
-            if len(self.heads) > self.bound // 10:
-                self.heads.clear()
-            ids = self.heads[text] = self._whole(text)
-        return ids
-
-    def _whole(self, text: bytes) -> bytes:
-        return self._ids([text.decode()])[0] if text else b""
-
-    def _rest(self, cuts: list[bytes]) -> bytes:
-        got = [*map(self.known.__getitem__, cuts)]
-        if b"\0" not in got:
-            return b"".join(got)
-        joined, held = [], []
-        for c, v in zip(cuts, got, strict=True):
-            held.append(c)
-            if v != b"\0":
-                joined.append(v if len(held) == 1 else self._whole(b" " + b" ".join(held)))
-                held = []
-        if held:
-            joined.append(self._whole(b" " + b" ".join(held)))
-        return b"".join(joined)
+        ids, ends = self.flat(Texts(pa.array(texts, pa.large_binary()).cast(pa.large_string())))
+        return [ids[x:y].astype("<u4").tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)]
 
 
+_WHITE, _LETTERS, _VISIBLE = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_WHITE[list(b"\t\n\v\f\r ")] = True
+_LETTERS[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
+_VISIBLE[33:127] = True
+_ENDS_WHITE = np.zeros(256, bool)
+_ENDS_WHITE[[*range(9, 14), *range(28, 33)]] = True
+_LAST_OF_WIDE = np.zeros(256, bool)
+_LAST_OF_WIDE[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
+
 _ENCODERS: dict[str, CachedEncoder] = {}
 
 
@@ -231,27 +250,32 @@ def encoder(path: str) -> CachedEncoder:
     return _ENCODERS[path]
 
 
-def _narrow(ids: bytes) -> bytes:
-    """Ids as 16-bit integers where all fit; the first byte tells the width."""
-    wide = np.frombuffer(ids, "<u4")
-    return b"\2" + wide.astype("<u2").tobytes() if not len(wide) or wide.max() < 65536 else b"\4" + ids
-
-
 def _widen(ids: bytes) -> np.ndarray:
     return np.frombuffer(ids, "<u2" if ids[0] == 2 else "<u4", offset=1).astype(np.uint32)
 
 
+def _batch(encode: CachedEncoder, column: pa.Array, end_id: int) -> tuple[list[int], list[bytes]]:
+    """Checksums of the texts' ids with the end id, and the ids: 16-bit where all of a batch fit; the first byte tells the width."""
+    ids, ends = encode.flat(Texts(column))
+    ids = np.insert(ids, ends[1:], end_id).astype("<u4")
+    ends = ends + np.arange(len(ends))
+    narrow = not len(ids) or ids.max() < 65536
+    raw, kept = ids.tobytes(), ids.astype("<u2").tobytes() if narrow else ids.tobytes()
+    head, wide = (b"\2", 2) if narrow else (b"\4", 4)
+    pairs = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+    return [zlib.crc32(raw[4 * x : 4 * y]) for x, y in pairs], [head + kept[wide * x : wide * y] for x, y in pairs]
+
+
 def encoded(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     """(doc_id, shard, crc, ids): each document's ids with the end id; ``shard`` ascends with doc_id."""
     small_batches(docs.sparkSession)
-    cuts = id_cuts(docs, "doc_id", 2000, SHARDS)
-    end = struct.pack("<I", end_id)
+    cuts = id_cuts(docs, "doc_id", 2000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for b in batches:
-            ids = [x + end for x in encode(blobs(b["text"]))]
-            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "shard": b["shard"], "crc": pa.array([zlib.crc32(x) for x in ids], pa.int64()), "ids": pa.array([_narrow(x) for x in ids], pa.binary())})
+            crc, ids = _batch(encode, b["text"], end_id)
+            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "shard": b["shard"], "crc": pa.array(crc, pa.int64()), "ids": pa.array(ids, pa.binary())})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), range_of(F.col("doc_id"), cuts).cast("int").alias("shard"))
     return rows.mapInArrow(run, "doc_id long, shard int, crc long, ids binary")
@@ -305,7 +329,7 @@ def read_documents(file: DataFrame) -> DataFrame:
     docs = file.select("shard", "start", "doc_ids", "lengths", "payload").mapInArrow(run, "doc_id long, shard int, local long, n_tokens long, ids_crc32 long")
     before = W.partitionBy(F.lit(1)).orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     offsets = file.groupBy("shard").agg(F.sum("ids").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return docs.join(F.broadcast(offsets), "shard").select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")  # at most SHARDS rows
+    return docs.join(F.broadcast(offsets), "shard").select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")  # as many rows as ``id_cuts`` gives at most
 
 
 def write_file(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:

@@ -8,15 +8,27 @@ import numpy as np
 
 
 class Trie:
-    """Strings are numbered from 1 in the order given; letters that none of them has are number 0."""
+    """Strings are numbered from 1 in the order given; letters that none of them has are number 0.
+
+    Letters that are strings of their own and in no longer one need no transitions: they have numbers past the table's.
+    """
 
     def __init__(self, strings: list[str]):
-        letters = sorted({c for p in strings for c in p})
+        inner = sorted({c for p in strings if len(p) > 1 for c in p})
         self.longest = max(map(len, strings), default=1)
-        self.letters = {c: i + 1 for i, c in enumerate(letters)}
+        self.letters = {c: i + 1 for i, c in enumerate(inner)}
+        self.inner = len(inner)
+        alone = [(p, n) for n, p in enumerate(strings, 1) if len(p) == 1 and p not in self.letters]
+        self.letters.update((p, self.inner + 1 + i) for i, (p, _) in enumerate(alone))
+        self.alone = np.array([0, *(n for _, n in alone)], np.int32)
+        self.number = np.zeros(0x110000, np.int16)
+        for c, i in self.letters.items():
+            self.number[ord(c)] = i
         nodes: list[dict[int, int]] = [{}, {}]  # 0 is dead, 1 the root
         ends = [0, 0]
         for n, p in enumerate(strings, 1):
+            if self.letters[p[0]] > self.inner:
+                continue
             at = 1
             for c in p:
                 nxt = nodes[at].get(self.letters[c])
@@ -26,31 +38,37 @@ class Trie:
                     ends.append(0)
                 at = nxt
             ends[at] = n
-        self.ends = np.array(ends, np.int32)
-        self.next = np.zeros((len(nodes), len(letters) + 1), np.int32)
-        for i, node in enumerate(nodes):
-            for c, to in node.items():
-                self.next[i, c] = to
+        # nodes with a way on come first, so that the table needs no rows for the others
+        order = [0, 1, *(i for i in range(2, len(nodes)) if nodes[i]), *(i for i in range(2, len(nodes)) if not nodes[i])]
+        number = {old: new for new, old in enumerate(order)}
+        self.ends = np.array([ends[i] for i in order], np.int32)
+        self.open = 2 + sum(map(bool, nodes[2:]))
+        self.next = np.zeros((self.open, self.inner + 1), np.int32)
+        for i in order[1 : self.open]:
+            for c, to in nodes[i].items():
+                self.next[number[i], c] = number[to]
 
     def codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Letter numbers of the words, and their lengths."""
         size = np.array([len(w) for w in words], np.int64)
         out = np.zeros((len(words), int(size.max(initial=1)) + self.longest), np.int32)
-        get = self.letters.get
-        out[np.arange(out.shape[1]) < size[:, None]] = [get(c, 0) for w in words for c in w]
+        out[np.arange(out.shape[1]) < size[:, None]] = self.number[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
         return out, size
 
     def spans(self, codes: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(start, end, words, string numbers), by start, for every span that is a string, or one letter that is none (0)."""
+        plain = np.where(codes <= self.inner, codes, 0)
         for i in range(int(size.max(initial=0))):
             live = np.flatnonzero(size > i)
-            state = np.ones(len(live), np.int32)
-            for j in range(i + 1, i + 1 + self.longest):
-                state = self.next[state, codes[live, j - 1]]
-                found = self.ends[state]
-                hit = found > 0 if j > i + 1 else slice(None)
-                yield i, j, live[hit], found[hit]
-                keep = state > 0
+            own = codes[live, i]
+            state = self.next[1, plain[live, i]]
+            yield i, i + 1, live, np.where(own > self.inner, self.alone[np.maximum(own - self.inner, 0)], self.ends[state])
+            for j in range(i + 2, i + 1 + self.longest):
+                keep = (state > 0) & (state < self.open)
                 live, state = live[keep], state[keep]
                 if not len(live):
                     break
+                state = self.next[state, plain[live, j - 1]]
+                found = self.ends[state]
+                hit = found > 0
+                yield i, j, live[hit], found[hit]
