@@ -1,466 +1,415 @@
 """Operator 2: SentencePiece encoding and decoding with segmentations sampled without replacement.
 
-A text is cut at spaces, each then shown by the vocabulary's space mark, and into runs of letters and
-runs of others (runs over ``RUN`` characters are cut). A run's lattice holds the vocabulary's pieces,
-bytes stand for what has no piece. The ``BEST`` likeliest paths are kept; others are spelt from the
-lattice when drawn, so every path has its own probability. A piece is as likely as
-Zipf's law makes its rank. The best segmentation is the encoding.
-
-Samples are drawn by Gumbel top-k. The tree's levels are the runs, its leaves the text's
-segmentations; what leaves a path at a run is one branch, split when it is reached. A node's perturbed value is the largest among its leaves. A search that always expands
-the node with the largest value reaches leaves in the order of perturbed log-probability, so the
-first k leaves are k distinct segmentations drawn without replacement. The next value in the queue
-is the threshold that gives each its inclusion probability. Random numbers come from the row key.
-Branches after a prefix of log-probability below ``FAR`` are left out of the queue.
+A text's ids are the model's own encoding. Its lattice holds every vocabulary piece at every place;
+characters without a piece are spelt in bytes. Between two characters that no piece holds side
+by side every segmentation has a cut, so there the lattice falls apart into runs, exactly: a run's
+paths are kept once for all texts, with the backward sums of all of them. A piece is as likely as Zipf's law makes its
+rank, raised to ``sharpness``.
+
+Samples are drawn by Gumbel top-k. The search tree's levels are the runs, its leaves the text's
+segmentations; what leaves a path at a run is one branch. The backward sums give each branch its whole
+mass, and from that the largest perturbed value among its leaves, an exact bound: A-star, expanding the largest value first, reaches leaves in
+the order of perturbed log-probability. So the first k leaves are k distinct segmentations drawn
+without replacement, and the next value in the queue is the threshold that gives each its inclusion
+probability. Random numbers are hashes of the row key and the place, so batches do not matter.
 
 Null texts are encoded as empty: no ids, one empty segmentation, decoded as empty. Decoding gives
-back every text exactly. Rows with one doc_id and text draw the same samples.
+back every text exactly: a space mark that stands in a text itself is spelt in bytes. Rows with one doc_id and text draw
+the same samples; a null doc_id is a key like others. A text with fewer than k segmentations gives all it has.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import struct
 import zlib
-from array import array
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import blobs, small_batches
+from verdigris.llm.common import HashIndex, Hasher, Texts, WordRows, mix, small_batches
 from verdigris.llm.trie import Trie
 
-BEST = 4
-RUN = 32
-#: Runs of the vocabulary's most frequent characters, so many of them, are segmented many at a time.
-LETTERS = 128
-FAR = -60.0
 MARK = "▁"
-#: Heads a run in which the mark is a character of the text; no text has it there.
-INNER = "\0"
-_RUNS = regex.compile(rf"\p{{L}}{{1,{RUN}}}|\P{{L}}{{1,{RUN}}}").findall
+#: Stands for a mark that is a character of the text; no text decodes to a lone surrogate.
+LITERAL = "\ud800"
+#: An edge that spells a character in bytes holds this bit and the character's number instead of a piece.
+SPELT = 1 << 31
+#: Runs of more characters are summed in logarithms, as products of their pieces leave the range of doubles.
+LONG = 64
+#: Bytes of texts that are worked on at once, and edges that are kept for later ones.
+PORTION, EDGES = 1 << 21, 5_000_000
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def uniform(keys: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1) from 64-bit keys."""
+    return (mix(keys) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
+
+
+class Pool:
+    """A growing array."""
+
+    def __init__(self, dtype: type):
+        self.all, self.n = np.zeros(1024, dtype), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.all):
+            self.all = np.concatenate([self.all[: self.n], np.zeros(self.n // 2 + len(values), self.all.dtype)])
+        self.all[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+    def cut(self, n: int) -> None:
+        self.all, self.n = self.all[:n].copy(), n
 
 
 class Lattice:
-    """Segmentations of stretches over a vocabulary; rows of a table hold the best of each stretch."""
+    """The runs met so far: a run has nodes (its places), a node has edges (the pieces from there)."""
 
-    def __init__(self, model: str, sharpness: float = 0.5, bound: int = 900_000):
+    def __init__(self, model: str, sharpness: float = 0.5, edges: int = EDGES):
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=model)
         size = sp.get_piece_size()
+        self.sharpness, self.bound = sharpness, edges
         self.bytes_of = [b""] * size
-        self.pieces: dict[str, tuple[float, int]] = {}
-        self.byte_ids = [0] * 256
-        base = 0.0
+        self.byte_ids = np.zeros(256, np.uint32)
+        base, pieces = 0, []
         for i in range(size):
             if sp.is_byte(i):
                 value = int(sp.id_to_piece(i)[3:5], 16)
                 self.byte_ids[value], self.bytes_of[i] = i, bytes([value])
                 base = i + 1
         for i in range(size):
-            piece = sp.id_to_piece(i)
             if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)):
-                self.pieces[piece] = (-float(np.log(max(1, i - base + 2))), i)
-                self.bytes_of[i] = piece.replace(MARK, " ").encode()
-        common = Counter(c for p in self.pieces if len(p) > 1 for c in p if c in self.pieces)
-        self.usual = {c for c, _ in common.most_common(LETTERS)}
-        self.short = [p for p in self.pieces if self.usual.issuperset(p)]
-        self.trie = Trie(self.short)
-        self.scores = np.array([0.0, *(self.pieces[p][0] for p in self.short)], np.float32)
-        self.numbers = np.array([-1, *(self.pieces[p][1] for p in self.short)])
-        self.heads = {p[:i] for p in self.pieces for i in range(1, len(p) + 1)}
-        self.byte_score = -float(np.log(size)) - 5
-        self.sharpness, self.bound = sharpness, bound
+                pieces.append((sp.id_to_piece(i), i))
+                self.bytes_of[i] = pieces[-1][0].replace(MARK, " ").encode()
+        if any(MARK in p.lstrip(MARK) for p, _ in pieces):
+            raise ValueError("a piece holds a space after another character")
+        self.beside = {p[i : i + 2] for p, _ in pieces for i in range(len(p) - 1)}
+        # whether a piece may hold one byte after another; bytes beyond ASCII are one kind, within which nothing is cut here
+        self.joined = np.zeros((129, 129), bool)
+        self.joined[128, 128] = True
+        for a, b in self.beside:
+            self.joined[ord(" ") if a == MARK else min(ord(a), 128), ord(" ") if b == MARK else min(ord(b), 128)] = True
+        self.trie = Trie([p for p, _ in pieces])
+        self.numbers = np.array([0, *(i for _, i in pieces)], np.uint32)
+        self.scores = np.array([0.0, *(-sharpness * math.log(max(1, i - base + 2)) for _, i in pieces)])
+        self.byte_score = -sharpness * (math.log(size) + 5)
+        self.lead = sp.encode("\n")  # before a run it keeps the library from adding a mark
+        self.size_of = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.spelling = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.spelling_at = np.cumsum(self.size_of) - self.size_of
+        self.stretches, self.hashes = WordRows(self._learn), Hasher()
         self._clear()
 
     def _clear(self) -> None:
-        self.full: int | None = None  # ids in use when the tables were full; what comes later stays for a batch only
-        self.passing_runs: list[str] = []
-        self.passing: list[bytes] = []
-        self.known: dict[bytes, bytes] = {}  # stretch to the rows of its runs
-        self.row_of: dict[str, int] = {}
-        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
-        self.at, self.size = np.zeros((1024, BEST), np.int32), np.zeros((1024, BEST), np.int16)
-        self.log, self.cum = np.zeros((1024, BEST), np.float32), np.zeros((1024, BEST), np.float32)
-        self.true, self.upto = np.zeros((1024, BEST)), np.zeros((1024, BEST))  # over all paths: log-probabilities, running sums
-        self.ways = np.zeros(1024)
-        self.run_of: list[str] = []
-        self.graphs: dict[str, tuple[list[dict], np.ndarray]] = {}
-
-    def _store(self, runs: list[str], score: np.ndarray, paths: np.ndarray, total: np.ndarray, ways: np.ndarray) -> None:
-        """Rows for ``runs``: scores of the best paths (-inf: none), their ids (runs x BEST x steps, -1: none), log-sum and number of all paths."""
-        first = len(self.row_of)
-        while first + len(runs) > len(self.at):
-            self.at, self.size, self.log, self.cum, self.true, self.upto, self.ways = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.log, self.cum, self.true, self.upto, self.ways))
-        real = paths >= 0
-        flat = paths[real]
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        many = real.sum(2)
-        ends = np.cumsum(many.reshape(-1)).reshape(many.shape)
-        rows = slice(first, first + len(runs))
-        self.at[rows], self.size[rows] = self.used + ends - many, many
-        self.used += len(flat)
-        share = np.exp((score - score[:, :1]) * self.sharpness)
-        share /= share.sum(1, keepdims=True)
-        with np.errstate(divide="ignore"):
-            self.log[rows] = np.log(share)
-        some = np.cumsum(share, axis=1)
-        some[share == 0] = 1  # no draw, being below 1, goes past the last path there is
-        self.cum[rows] = np.minimum(some, 1)
-        self.cum[rows][np.arange(len(runs)), (share > 0).sum(1) - 1] = 1
-        self.true[rows] = np.minimum(score * self.sharpness - total[:, None], 0)
-        self.upto[rows] = np.minimum(np.cumsum(np.exp(self.true[rows]), axis=1), 1)
-        some = self.upto[rows]
-        some[ways <= BEST, BEST - 1] = 1  # all paths are kept, so none is beyond them
-        for i in range(BEST - 1):
-            some[ways <= i + 1, i] = 1
-        self.ways[rows] = ways
-        self.run_of[first:] = runs
-        self.row_of.update(zip(runs, range(first, first + len(runs)), strict=True))
-        if self.full is not None:
-            self.passing_runs += runs
-
-    def best(self, run: str) -> list[tuple[float, tuple[int, ...]]]:
-        """The likeliest segmentations of a run that has no mark but at its start."""
-        n = len(run)
-        heads, get = self.heads, self.pieces.get
-        ways: list[list[tuple[float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
-        ways[0] = [(0.0, ())]
-        for i in range(n):
-            here = ways[i]
-            if len(here) > 1:
-                here.sort(reverse=True)
-                del here[BEST:]
-            known = False
-            for j in range(i + 1, n + 1):
-                part = run[i:j]
-                if part not in heads:
-                    break
-                hit = get(part)
-                if hit:
-                    score, piece = hit
-                    ways[j] += [(s + score, (*ids, piece)) for s, ids in here]
-                    known = known or j == i + 1
-            if not known:
-                raw = tuple(self.byte_ids[x] for x in run[i].encode())
-                ways[i + 1] += [(s + self.byte_score * len(raw), ids + raw) for s, ids in here]
-        ways[n].sort(reverse=True)
-        return ways[n][:BEST]
-
-    def many_best(self, runs: list[str]) -> None:
-        """Rows for runs of usual characters: the best paths to every place, for all runs together."""
-        runs = sorted(runs, key=len)
-        for a in range(0, len(runs), 4096):
-            some = runs[a : a + 4096]
-            codes, size = self.trie.codes(some)
-            far = int(size[-1]) + 1
-            score = np.full((far, len(some), BEST), -np.inf, np.float32)
-            score[0, :, 0] = 0
-            piece, back = np.zeros(score.shape, np.int32), np.zeros(score.shape, np.int16)
-            total, ways = np.full(score.shape[:2], -np.inf), np.zeros(score.shape[:2])
-            total[0], ways[0] = 0, 1
-            for i, j, words, found in self.trie.spans(codes, size):
-                if not len(words):
-                    continue
-                own = self.scores[found]
-                total[j, words] = np.logaddexp(total[j, words], total[i, words] + own.astype(np.float64) * self.sharpness)
-                ways[j, words] += ways[i, words]
-                ahead = score[i, words, 0] + own > score[j, words, BEST - 1]
-                words, found, own = words[ahead], found[ahead], own[ahead]
-                if not len(words):
-                    continue
-                both = np.concatenate([score[j, words], score[i, words] + own[:, None]], axis=1)
-                order = np.argsort(-both, axis=1, kind="stable")[:, :BEST]
-                score[j, words] = np.take_along_axis(both, order, 1)
-                new, rank = order >= BEST, order % BEST
-                piece[j, words] = np.where(new, found[:, None], np.take_along_axis(piece[j, words], rank, 1))
-                back[j, words] = np.where(new, i * BEST + rank, np.take_along_axis(back[j, words], rank, 1))
-            last = np.arange(len(some))[:, None]
-            at, way = np.repeat(size[:, None], BEST, 1), np.repeat(np.arange(BEST)[None], len(some), 0)
-            steps = []
-            while (at > 0).any():
-                steps.append(np.where(at > 0, piece[at, last, way], 0))
-                link = back[at, last, way].astype(np.int64)
-                at, way = np.where(at > 0, link // BEST, 0), np.where(at > 0, link % BEST, 0)
-            self._store(some, score[size, last[:, 0]].astype(np.float64), self.numbers[np.stack(steps[::-1], 2)], total[size, last[:, 0]], ways[size, last[:, 0]])
-
-    def _odd(self, run: str) -> None:
-        """The row of a run with other characters."""
-        if run[0] == INNER and MARK in run:
-            raw = tuple(self.byte_ids[x] for x in run[1:].encode())
-            ways = [(self.byte_score * len(raw), raw)]
-            total, many = self.byte_score * len(raw) * self.sharpness, 1.0
-        else:
-            ways = self.best(run)
-            total, many = self.sums(run)
-        paths = np.full((1, BEST, max(len(ids) for _, ids in ways)), -1)
-        score = np.full((1, BEST), -np.inf)
-        for i, (s, ids) in enumerate(ways):
-            paths[0, i, : len(ids)], score[0, i] = ids, s
-        self._store([run], score, paths, np.array([total]), np.array([many]))
-
-    def steps(self, run: str) -> list[dict[int, tuple[int, tuple[int, ...], float]]]:
-        """For each place of a run the steps from it, by their first id: (place reached, ids, sharpened score)."""
-        out: list[dict[int, tuple[int, tuple[int, ...], float]]] = []
-        for i in range(len(run)):
-            here = {}
-            known = False
-            for j in range(i + 1, len(run) + 1):
-                part = run[i:j]
-                if part not in self.heads:
-                    break
-                hit = self.pieces.get(part)
-                if hit:
-                    here[hit[1]] = (j, (hit[1],), hit[0] * self.sharpness)
-                    known = known or j == i + 1
-            if not known:
-                raw = tuple(self.byte_ids[x] for x in run[i].encode())
-                here[raw[0]] = (i + 1, raw, self.byte_score * len(raw) * self.sharpness)
-            out.append(here)
+        self.index = HashIndex()
+        self.stretches = WordRows(self._learn)
+        self.parts = Pool(np.int32)  # the runs of the stretches
+        self.first, self.ids_at = Pool(np.int32), Pool(np.int32)  # of each run: first node, first id of the encoding; a last entry ends the last run
+        self.ids = Pool(np.uint32)
+        self.edge_at, self.ways = Pool(np.int32), Pool(np.float32)  # of each node: first edge, paths from here
+        self.to, self.piece, self.cum, self.log = Pool(np.int32), Pool(np.uint32), Pool(np.float32), Pool(np.float32)
+        for p in (self.first, self.ids_at, self.edge_at):
+            p.add(np.zeros(1, np.int64))
+
+    def _store(self, runs: list[str]) -> None:
+        """Nodes and edges of new runs, for many at a time."""
+        order = sorted(range(len(runs)), key=lambda i: len(runs[i]))
+        a = 0
+        rows: list[str] = []
+        while a < len(order):
+            b = min(len(order), a + 16_384)
+            while b - a > 1 and (b - a) * len(runs[order[b - 1]]) > 400_000:
+                b = a + (b - a) // 2
+            some = [runs[i] for i in order[a:b]]
+            self._build(some)
+            rows += some
+            a = b
+        names = np.array([xxhash.xxh3_64_intdigest(r.encode("utf-8", "surrogatepass")) for r in rows], np.uint64)
+        have = self.index.many
+        self.index.add(names, np.arange(have, have + len(rows)))
+        cut = len(self.lead)
+        found = self.sp.encode(["\n" + r.replace(MARK, " ").replace(LITERAL, "") for r in rows], num_threads=1)
+        ids = [self._raw("▁") if r == LITERAL else x[cut:] for r, x in zip(rows, found, strict=True)]
+        self.ids_at.add(self.ids.n + np.cumsum([len(x) for x in ids]))
+        self.ids.add(np.array([i for x in ids for i in x], np.uint32))
+
+    def _raw(self, character: str) -> list[int]:
+        return [int(self.byte_ids[x]) for x in character.encode()]
+
+    def _build(self, runs: list[str]) -> None:
+        codes, size = self.trie.codes(runs)
+        far = int(size[-1]) + 1
+        long = far > LONG
+        back, ways = np.full((len(runs), far), -np.inf if long else 0.0), np.zeros((len(runs), far))
+        every = np.arange(len(runs))
+        back[every, size], ways[every, size] = 0 if long else 1, 1
+        spans = [(i, j, words, found) for i, j, words, found in self.trie.spans(codes, size) if len(words)]
+        weights = []
+        for i, _, words, found in spans:
+            own = self.scores[found]
+            for k in np.flatnonzero(found == 0).tolist():
+                c = runs[words[k]][i]
+                own[k] = self.byte_score * len(("▁" if c == LITERAL else c).encode())
+            weights.append(own)
+        for (i, j, words, _), own in zip(reversed(spans), reversed(weights), strict=True):
+            back[words, i] = np.logaddexp(back[words, i], own + back[words, j]) if long else back[words, i] + np.exp(own) * back[words, j]
+            ways[words, i] += ways[words, j]
+        if not long:
+            with np.errstate(divide="ignore"):
+                back = np.log(back)
+        # nodes and edges in the order of the runs
+        place = np.cumsum(size + 1) - (size + 1)
+        source = np.concatenate([place[w] + i for i, _, w, _ in spans])
+        target = np.concatenate([place[w] + j for _, j, w, _ in spans])
+        logs = np.concatenate([own + back[w, j] - back[w, i] for (i, j, w, _), own in zip(spans, weights, strict=True)])
+        piece = np.concatenate([np.where(f > 0, self.numbers[f], 0) for *_, f in spans]).astype(np.uint32)
+        unknown = np.concatenate([np.where(f > 0, -1, i) for i, _, _, f in spans])
+        owner = np.concatenate([w for _, _, w, _ in spans])
+        for k in np.flatnonzero(unknown >= 0).tolist():
+            c = runs[owner[k]][unknown[k]]
+            piece[k] = SPELT | ord("▁" if c == LITERAL else c)
+        order = np.argsort(source, kind="stable")
+        source, target, logs, piece = source[order], target[order], np.minimum(logs[order], 0), piece[order]
+        nodes = int(size.sum()) + len(runs)
+        many = np.bincount(source, minlength=nodes)
+        share = np.cumsum(np.exp(logs))
+        ends = np.cumsum(many)
+        start = np.concatenate([[0.0], share])[ends - many]
+        cum = share - np.repeat(start, many)
+        cum[ends[many > 0] - 1] = 2  # no draw goes past a node's last edge
+        self.to.add(target + self.ways.n)
+        self.edge_at.add(self.piece.n + ends)
+        self.first.add(self.ways.n + place + size + 1)
+        self.piece.add(piece)
+        self.cum.add(cum)
+        self.log.add(logs)
+        self.ways.add(np.concatenate([ways[i, : n + 1] for i, n in enumerate(size.tolist())]))
+
+    def _runs(self, stretch: bytes) -> list[str]:
+        """The runs of a stretch of a text; short ones may as well be cut less often."""
+        text = stretch.decode()
+        if MARK in text or len(text) > LONG:
+            text = text.replace(MARK, LITERAL).replace(" ", MARK)
+            edge = [0, *(i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.beside), len(text)]
+            return [text[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)]
+        return [text.replace(" ", MARK)]
+
+    def _learn(self, stretches: list[bytes]) -> np.ndarray:
+        """Where the runs of each stretch begin in ``parts``, and how many they are."""
+        cut = [self._runs(s) for s in stretches]
+        flat = [r for runs in cut for r in runs]
+        names = np.array([xxhash.xxh3_64_intdigest(r.encode("utf-8", "surrogatepass")) for r in flat], np.uint64)
+        fresh = dict.fromkeys(flat[i] for i in np.flatnonzero(self.index.find(names) < 0).tolist())
+        if fresh:
+            self._store(list(fresh))
+        many = np.array([len(runs) for runs in cut], np.int64)
+        out = np.stack([self.parts.n + np.cumsum(many) - many, many], 1) if len(cut) else np.zeros((0, 2), np.int64)
+        self.parts.add(self.index.find(names))
         return out
 
-    def sums(self, run: str) -> tuple[float, float]:
-        """Log of the sum over all paths of a run, and how many there are."""
-        total, ways = [-np.inf] * len(run) + [-np.inf], [0.0] * (len(run) + 1)
-        total[0], ways[0] = 0.0, 1.0
-        for i, here in enumerate(self.steps(run)):
-            for j, _, w in here.values():
-                total[j] = float(np.logaddexp(total[j], total[i] + w))
-                ways[j] += ways[i]
-        return total[-1], ways[-1]
-
-    def graph(self, run: str) -> tuple[list[dict], list[float]]:
-        """The steps of a run and the log-sums of the paths from each place to its end."""
-        if run not in self.graphs:
-            if len(self.graphs) > 50_000:
-                self.graphs.clear()
-            steps = self.steps(run)
-            ahead = [0.0] * (len(run) + 1)
-            for i in range(len(run) - 1, -1, -1):
-                parts = [w + ahead[j] for j, _, w in steps[i].values()]
-                top = max(parts)
-                ahead[i] = top + math.log(sum(math.exp(x - top) for x in parts))
-            self.graphs[run] = steps, ahead
-        return self.graphs[run]
-
-    def log_of(self, run: str, path: tuple[int, ...]) -> float:
-        steps, ahead = self.graph(run)
-        at, place, out = 0, 0, -ahead[0]
-        while at < len(path):
-            place, ids, w = steps[place][path[at]]
-            at, out = at + len(ids), out + w
-        return out
-
-    def other(self, run: str, without: list[tuple[int, ...]], rng: np.random.Generator) -> tuple[tuple[int, ...], float]:
-        """A path of the run drawn from all but ``without``, and its log-probability among all paths."""
-        steps, ahead = self.graph(run)
-        barred = [(x, math.exp(self.log_of(run, x))) for x in without]
-        path: tuple[int, ...] = ()
-        place, logp = 0, -ahead[0]
-        while place < len(run):
-            ways = list(steps[place].values())
+    def rows(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of all texts in a row, and where each text's begin and the last one's end."""
+        if self.piece.n > self.bound:
+            self._clear()
+        lead = texts.ends[:-1] < texts.ends[1:]  # a mark goes before each text that is not empty
+        data = np.insert(texts.data, texts.ends[:-1][lead], ord(" "))
+        ends = texts.ends + np.concatenate([[0], np.cumsum(lead)])
+        kind = np.minimum(data, 128)
+        head = np.zeros(len(data) + 1, bool)
+        head[1:-1] = ~self.joined[kind[:-1], kind[1:]]
+        head[ends[:-1][lead]] = True
+        starts = np.flatnonzero(head[:-1])
+        if not len(starts):
+            return starts, np.zeros(len(ends), np.int64)
+        stops = np.append(starts[1:], len(data))
+        at = self.stretches(data, starts, stops, self.hashes(data, starts, stops))
+        where = self.stretches.rows[at]
+        many = where[:, 1]
+        total = np.cumsum(many)
+        flat = self.parts.all[np.repeat(where[:, 0] - total + many, many) + np.arange(int(many.sum()))].astype(np.int64)
+        return flat, np.concatenate([[0], total])[np.searchsorted(starts, ends)]
+
+    def best(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the model's encoding of all ``rows``, and how many each has."""
+        at, many = self.ids_at.all[rows].astype(np.int64), self.ids_at.all[rows + 1].astype(np.int64) - self.ids_at.all[rows]
+        total = np.cumsum(many)
+        return self.ids.all[np.repeat(at - total + many, many) + np.arange(int(many.sum()))], many
+
+    def walk(self, rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A path drawn for each of ``rows``: edges of all, how many each has, log-probabilities. ``keys`` seed the draws."""
+        at = self.first.all[rows].astype(np.int64)
+        alive = np.arange(len(rows))
+        taken, logs = [], np.zeros(len(rows))
+        step = 0
+        while len(alive):
+            edge = self.edge_at.all[at].astype(np.int64)
+            alone = self.edge_at.all[at + 1] - edge < 2
+            draw = uniform(keys[alive] ^ mix(np.array([step + 1], np.uint64)))
+            on = np.flatnonzero(~alone & (draw >= self.cum.all[edge]))
+            while len(on):
+                edge[on] += 1
+                on = on[draw[on] >= self.cum.all[edge[on]]]
+            taken.append((alive, edge))
+            logs[alive] += self.log.all[edge]
+            at = self.to.all[edge].astype(np.int64)
+            more = self.edge_at.all[at + 1] > self.edge_at.all[at]
+            alive, at, step = alive[more], at[more], step + 1
+        many = np.zeros(len(rows), np.int64)
+        for alive, _ in taken:
+            many[alive] += 1
+        start = np.cumsum(many) - many
+        out = np.zeros(int(many.sum()), np.int64)
+        for i, (alive, edge) in enumerate(taken):
+            out[start[alive] + i] = edge
+        return out, many, logs
+
+    def other(self, row: int, barred: list[tuple[int, ...]], key: int) -> tuple[tuple[int, ...], float]:
+        """A path of the run drawn from all but ``barred`` (edges), and its log-probability among all paths."""
+        paths = [(p, math.exp(float(self.log.all[list(p)].sum(dtype=np.float64)))) for p in barred]
+        at, path, logp = int(self.first.all[row]), (), 0.0
+        while (edges := range(int(self.edge_at.all[at]), int(self.edge_at.all[at + 1]))):
             mass = []
-            for j, ids, w in ways:
-                gone = [p for x, p in barred if x[len(path)] == ids[0]]
-                m = math.exp(logp + w + ahead[j])
-                # past the last step, or with every path beyond barred, nothing is left but rounding
-                mass.append(0.0 if gone and m - sum(gone) < 1e-13 * m else m - sum(gone))
-            pick = rng.random() * sum(mass)
-            n = max(i for i, m in enumerate(mass) if m > 0)
+            for e in edges:
+                gone = [q for p, q in paths if p[len(path)] == e]
+                if len(gone) >= self.ways.all[self.to.all[e]]:
+                    mass.append(0.0)
+                else:
+                    mass.append(max(math.exp(logp + float(self.log.all[e])) - sum(gone), 1e-300))
+            pick = xxhash.xxh3_64_intdigest(struct.pack("<QI", key, len(path))) / 2.0**64 * sum(mass)
+            chosen = max(i for i, m in enumerate(mass) if m > 0)
             for i, m in enumerate(mass):
                 if m > 0 and pick < m:
-                    n = i
+                    chosen = i
                     break
                 pick -= m
-            place, ids, w = ways[n]
-            barred = [(x, p) for x, p in barred if x[len(path)] == ids[0]]
-            path, logp = path + ids, logp + w
+            e = edges[chosen]
+            paths = [(p, q) for p, q in paths if p[len(path)] == e]
+            path, logp, at = (*path, e), logp + float(self.log.all[e]), int(self.to.all[e])
         return path, logp
 
-    def kept(self, row: int, way: int) -> tuple[int, ...]:
-        a = int(self.at[row, way])
-        return tuple(self.ids[a : a + int(self.size[row, way])].tolist())
-
-    def written(self, rows: np.ndarray, choice: np.ndarray, own: dict[int, tuple[int, ...]]) -> np.ndarray:
-        """The ids of a segmentation given by kept paths, and by paths of its ``own`` at some runs."""
-        parts, at = [], 0
-        for t in sorted(own):
-            parts += [self.spelt(rows[at:t], choice[at:t]), np.array(own[t], np.int32)]
-            at = t + 1
-        return np.concatenate([*parts, self.spelt(rows[at:], choice[at:])])
-
-    def draw(self, rows: np.ndarray, k: int, rng: np.random.Generator) -> list[tuple[np.ndarray, float, float, float]]:
-        """Up to k distinct segmentations out of all paths of the runs: (ids, log-probability, perturbed value, log inclusion probability).
+    def spelt(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of edges, and how many each has."""
+        ids, many = self.piece.all[edges], np.ones(len(edges), np.int64)
+        raw = np.flatnonzero(ids & np.uint32(SPELT))
+        if len(raw):
+            spellings = [self._raw(chr(int(x) & ~SPELT)) for x in ids[raw].tolist()]
+            many[raw] = [len(s) for s in spellings]
+            ids = np.repeat(ids, many)
+            place = np.repeat(np.cumsum(many)[raw] - many[raw], many[raw]) + np.concatenate([np.arange(len(s)) for s in spellings])
+            ids[place] = [x for s in spellings for x in s]
+        return ids, many
+
+    def draw(self, rows: np.ndarray, ends: np.ndarray, keys: list[int], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
+        """For each text up to k distinct segmentations out of all: (ids, log-probability, perturbed value, log inclusion probability).
 
         What leaves a segmentation at a run is one branch, all other paths of that run with anything
         after it; when the search reaches it, it gives one of these paths and what is then left of it.
+        Texts are searched together, a found segmentation each at a time.
         """
-        n = len(rows)
-        true, upto, many = self.true[rows], self.upto[rows], self.ways[rows]
-        queue: list[tuple] = []
-        order = 0
-
-        def fill(choice: np.ndarray, own: dict, logs: np.ndarray, start: int) -> None:
-            if start < n:
-                choice[start:] = (rng.random(n - start)[:, None] >= upto[start:]).sum(1)
-                far = np.flatnonzero(choice[start:] == BEST) + start
-                choice[far] = 0
-                logs[start:] = true[np.arange(start, n), choice[start:]]
-                for t in far.tolist():
-                    row = int(rows[t])
-                    own[t], logs[t] = self.other(self.run_of[row], [self.kept(row, i) for i in range(BEST)], rng)
-
-        def queue_up(value: float, loc: float, leaf: tuple, t: int, barred: list) -> None:
-            nonlocal order
-            cut = loc - np.logaddexp(loc - value, math.log(rng.exponential() + 1e-300))
-            order += 1
-            heapq.heappush(queue, (-cut, order, leaf, t, barred))
-
-        def branches(leaf: tuple, start: int, value: float) -> float:
-            choice, own, logs = leaf
-            before = np.concatenate([[0.0], np.cumsum(logs)])
-            stop = int(np.searchsorted(-before[:-1], -FAR))
-            if start < stop:
-                loc = np.where(many[start:stop] > 1, before[start:stop] + np.log(np.maximum(-np.expm1(logs[start:stop]), 1e-300)), -np.inf)
-                at = np.flatnonzero(loc > -np.inf)
-                loc = loc[at]
-                cut = loc - np.logaddexp(loc - value, np.log(rng.exponential(size=len(loc)) + 1e-300))
-                for i in np.argsort(-cut)[:k]:  # no more than k can be reached
-                    nonlocal order
-                    order += 1
-                    heapq.heappush(queue, (-cut[i], order, leaf, start + int(at[i]), None))
-            return float(before[-1])
-
-        value = float(rng.gumbel())
-        leaf: tuple = (np.zeros(n, np.int64), {}, np.zeros(n))
-        fill(*leaf, 0)
-        found = [(leaf, branches(leaf, 0, value), value)]
-        while queue and len(found) < k:
-            minus, _, old, t, barred = heapq.heappop(queue)
-            row = int(rows[t])
-            barred = barred or [old[1][t] if t in old[1] else self.kept(row, int(old[0][t]))]
-            run = self.run_of[row]
-            path, logp = self.other(run, barred, rng)
-            leaf = (old[0].copy(), {i: x for i, x in old[1].items() if i < t}, old[2].copy())
-            leaf[0][t], leaf[1][t], leaf[2][t] = 0, path, logp
-            fill(*leaf, t + 1)
-            barred = [*barred, path]
-            if len(barred) < many[t]:
-                left = -math.expm1(math.log(min(sum(math.exp(self.log_of(run, x)) for x in barred), 1 - 1e-15)))
-                queue_up(-minus, float(old[2][:t].sum()) + math.log(left), old, t, barred)
-            found.append((leaf, branches(leaf, t + 1, -minus), -minus))
-        edge = -queue[0][0] if queue else -np.inf
-        out = []
-        for (choice, own, _), logp, value in found:
-            gap = min(logp - edge, 30.0)
-            out.append((self.written(rows, choice, own), logp, value, float(np.log(-np.expm1(-np.exp(gap)))) if gap > -30 else gap))
+        n = len(keys)
+        seeds = np.array(keys, np.uint64)
+        ways = self.ways.all[self.first.all[rows]]
+        tops = (-np.log(-np.log(uniform(seeds ^ np.uint64(1))))).tolist()
+        queues: list[list[tuple]] = [[] for _ in range(n)]
+        found: list[list[tuple]] = [[] for _ in range(n)]
+        jobs = [(i, int(ends[i]), None, None, None) for i in range(n)]  # text, first run to draw, the leaf it continues, its path there, value
+        for turn in range(k):
+            lows = np.array([j[1] for j in jobs], np.int64)
+            highs = ends[1:][[j[0] for j in jobs]] if jobs else lows
+            many = highs - lows
+            stop = np.cumsum(many)
+            flat = np.repeat(lows - stop + many, many) + np.arange(int(many.sum()))
+            own = np.repeat(seeds[[j[0] for j in jobs]] if jobs else seeds[:0], many)
+            place = mix(own + (flat - np.repeat(ends[:-1][[j[0] for j in jobs]] if jobs else lows, many)).astype(np.uint64) * _STEP + np.uint64(turn))
+            edges, sizes, logs = self.walk(rows[flat], place)
+            edge_stop = np.concatenate([[0], np.cumsum(sizes)])[stop] if len(stop) else stop
+            noise = np.log(-np.log(uniform(place ^ _STEP)))  # of exponential numbers
+            leaves = []
+            a = b = 0
+            for job, x, y in zip(jobs, stop.tolist(), edge_stop.tolist(), strict=True):
+                i, low, old, path, value = job
+                if old is None:
+                    value = tops[i]
+                    leaf = (edges[b:y], sizes[a:x], logs[a:x])
+                else:
+                    t = low - 1 - int(ends[i])
+                    before = int(old[1][:t].sum())
+                    leaf = (np.concatenate([old[0][:before], path[0], edges[b:y]]), np.concatenate([old[1][:t], [len(path[0])], sizes[a:x]]), np.concatenate([old[2][:t], [path[1]], logs[a:x]]))
+                leaves.append((i, low, leaf, value, a, x))
+                a, b = x, y
+            done = []
+            for i, low, leaf, value, a, x in leaves:
+                found[i].append((leaf, float(leaf[2].sum()), value))
+                if x > a:
+                    own_logs = leaf[2]
+                    first = low - int(ends[i])
+                    before = np.cumsum(own_logs) - own_logs
+                    with np.errstate(divide="ignore"):
+                        loc = before[first:] + np.where(ways[low : low + x - a] > 1, np.log(np.maximum(-np.expm1(own_logs[first:]), 1e-12)), -np.inf)
+                    with np.errstate(invalid="ignore"):
+                        cut = loc - np.logaddexp(loc - value, noise[a:x])
+                    top = np.argpartition(-cut, k)[:k] if len(cut) > k else np.arange(len(cut))
+                    for t in top.tolist():  # no more than k can be reached
+                        if loc[t] > -np.inf:
+                            heapq.heappush(queues[i], (-float(cut[t]), len(found[i]), first + t, leaf, None))
+                done.append(i)
+            jobs = []
+            if turn == k - 1:
+                break
+            for i in done:
+                if not queues[i]:
+                    continue
+                minus, _, t, old, barred = heapq.heappop(queues[i])
+                row = int(rows[ends[i] + t])
+                if barred is None:
+                    at = int(old[1][:t].sum())
+                    barred = [tuple(old[0][at : at + int(old[1][t])].tolist())]
+                path, logp = self.other(row, barred, xxhash.xxh3_64_intdigest(struct.pack("<QQI", keys[i], t, turn)))
+                barred = [*barred, path]
+                if len(barred) < ways[ends[i] + t]:
+                    left = max(1.0 - sum(math.exp(float(self.log.all[list(p)].sum(dtype=np.float64))) for p in barred), 1e-12)
+                    loc = float(old[2][:t].sum()) + math.log(left)
+                    e = math.log(-math.log((xxhash.xxh3_64_intdigest(struct.pack("<QQQ", keys[i], t, turn)) + 0.5) / 2.0**64))
+                    heapq.heappush(queues[i], (-float(loc - np.logaddexp(loc + minus, e)), len(found[i]) + 1000, t, old, barred))
+                jobs.append((i, int(ends[i]) + t + 1, old, (np.array(path, np.int64), logp), -minus))
+        flat, many = self.spelt(np.concatenate([leaf[0] for own in found for leaf, _, _ in own]) if n else np.zeros(0, np.int64))
+        out, at, stop = [], 0, np.concatenate([[0], np.cumsum(many)])
+        first = 0
+        for i in range(n):
+            edge = -queues[i][0][0] if queues[i] else -np.inf
+            own = []
+            for leaf, logp, value in found[i]:
+                gap = min(logp - edge, 30.0)
+                at, first = first, first + len(leaf[0])
+                own.append((flat[stop[at] : stop[first]], logp, value, math.log(-math.expm1(-math.exp(gap))) if gap > -30 else gap))
+            out.append(own)
         return out
 
-    def _learn(self, fresh: list[bytes]) -> None:
-        cut: list[list[str]] = []
-        usual, odd = set(), set()
-        row_of, likely = self.row_of, self.usual.issuperset
-        for raw in fresh:
-            if raw.isalpha() and len(raw) <= RUN:  # ASCII words, alone or before a mark: most, and cheap to tell
-                runs = [MARK + raw.decode()]
-            elif raw[:-1].isalpha() and len(raw) <= RUN and raw[-1:] in b".,":
-                text = raw.decode()
-                runs = [MARK + text[:-1], text[-1]]
-            else:
-                runs = _RUNS(raw.decode()) or [""]
-                if MARK in runs[0] or len(runs) > 1 and any(MARK in r for r in runs):
-                    runs = ["", *(INNER + r if MARK in r else r for r in runs)]  # marks that are not spaces
-                runs[0] = MARK + runs[0]
-            cut.append(runs)
-            for r in runs:
-                if r not in row_of:
-                    (usual if likely(r) else odd).add(r)
-        self.many_best(list(usual))
-        for r in odd:
-            self._odd(r)
-        row = self.row_of
-        for raw, runs in zip(fresh, cut, strict=True):
-            self.known[raw] = array("i", [row[r] for r in runs]).tobytes()
-
-    def rows(self, stretches: list[list[bytes]]) -> list[np.ndarray]:
-        """Table rows of the runs of each text, given as its stretches between spaces."""
-        if self.full is not None:  # the first seen, which are the most frequent, stay
-            for r in self.passing_runs:
-                del self.row_of[r]
-            for x in self.passing:
-                del self.known[x]
-            self.used, self.passing_runs = self.full, []
-        elif len(self.row_of) > self.bound or len(self.known) > self.bound + self.bound // 2:
-            self.full = self.used
-        self.passing = sorted(set(chain.from_iterable(stretches)).difference(self.known))
-        self._learn(self.passing)
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, t)), np.int32) for t in stretches]
-
-    def spelt(self, rows: np.ndarray, choice: np.ndarray) -> np.ndarray:
-        """The ids of a segmentation given by its choice at each stretch."""
-        n = self.size[rows, choice].astype(np.int64)
-        ends = np.cumsum(n)
-        return self.ids[np.repeat(self.at[rows, choice] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
-
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))[1:]  # the first mark is no space of the text
-
-    def sample(self, rows: np.ndarray, k: int, rng: np.random.Generator) -> list[tuple[np.ndarray, float, float, float]]:
-        """Up to k distinct segmentations out of the kept paths only, which ``draw`` goes beyond: (choices, log-probability, perturbed value, log inclusion probability)."""
-        logs, cums = self.log[rows], self.cum[rows]
-        n = len(rows)
-
-        def rest(choice: np.ndarray, start: int) -> None:
-            if start < n:
-                draw = rng.random(n - start, np.float32)
-                choice[start:] = sum((draw >= cums[start:, i]).view(np.int8) for i in range(BEST - 1))
-
-        queue: list[tuple[float, int, np.ndarray, int, int]] = []
-        order = 0
-
-        def branches(choice: np.ndarray, start: int, value: float) -> float:
-            """Queue what leaves the path at or after ``start``; gives the path's log-probability."""
-            nonlocal order
-            own = logs[np.arange(n), choice]
-            before = np.concatenate([[0.0], np.cumsum(own, dtype=np.float64)])
-            stop = int(np.searchsorted(-before[:-1], -FAR))
-            if start < stop:
-                place = before[start:stop, None] + logs[start:stop]
-                place[np.arange(stop - start), choice[start:stop]] = -np.inf
-                at, way = np.nonzero(place > -np.inf)
-                loc = place[at, way]
-                cut = loc - np.logaddexp(loc - value, np.log(rng.exponential(size=len(loc)) + 1e-300))
-                for i in np.argsort(-cut)[:k]:  # no more than k can be reached
-                    order += 1
-                    heapq.heappush(queue, (-cut[i], order, choice, start + int(at[i]), int(way[i])))
-            return float(before[-1])
-
-        value = float(rng.gumbel())
-        choice = np.zeros(n, np.int64)
-        rest(choice, 0)
-        found = [(choice, branches(choice, 0, value), value)]
-        while queue and len(found) < k:
-            minus, _, old, at, way = heapq.heappop(queue)
-            choice = old.copy()
-            choice[at] = way
-            rest(choice, at + 1)
-            found.append((choice, branches(choice, at + 1, -minus), -minus))
-        edge = -queue[0][0] if queue else -np.inf
-        out = []
-        for choice, logp, value in found:
-            gap = min(logp - edge, 30.0)
-            out.append((choice, logp, value, float(np.log(-np.expm1(-np.exp(gap)))) if gap > -30 else gap))
+        """The text that ids spell; the first mark is no space of it."""
+        return self._bytes(ids)[0].tobytes()[1:]
+
+    def _bytes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        many = self.size_of[ids]
+        total = np.cumsum(many)
+        return self.spelling[np.repeat(self.spelling_at[ids] - total + many, many) + np.arange(int(many.sum()))], total
+
+    def decodes_to(self, ids: list[np.ndarray], texts: list[bytes]) -> list[bool]:
+        """Whether ids spell the text of the same number, for all at once."""
+        data, total = self._bytes(np.concatenate(ids) if ids else np.zeros(0, np.uint32))
+        stop = np.concatenate([[0], total])[np.cumsum([len(x) for x in ids])] if ids else []
+        raw, out, a = data.tobytes(), [], 0
+        for b, text in zip(stop, texts, strict=True):
+            out.append(raw[a + 1 : b] == text)
+            a = int(b)
         return out
 
 
@@ -468,6 +417,7 @@ _LATTICES: dict[tuple[str, float], Lattice] = {}
 
 
 def lattice(model: str, sharpness: float) -> Lattice:
+    """One for each Python worker; ``EDGES`` bounds what it keeps to about 60 MB."""
     if (model, sharpness) not in _LATTICES:
         _LATTICES[model, sharpness] = Lattice(model, sharpness)
     return _LATTICES[model, sharpness]
@@ -477,25 +427,40 @@ IDS = "ids array<int>, samples array<struct<ids:array<int>,log_prob:double,pertu
 DIGEST = "n_tokens long, ids_crc32 long, sample_tokens array<bigint>, sample_crc32 array<bigint>, log_prob array<double>, log_inclusion array<double>, round_trip boolean"
 
 
+def portions(column: pa.Array) -> Iterator[tuple[int, Texts]]:
+    """The texts of a batch, at most about ``PORTION`` bytes at a time, with the number of the first."""
+    sizes = Texts(column).ends
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(sizes, sizes[a] + PORTION, "right")) - 1)
+        yield a, Texts(column.slice(a, b - a))
+        a = b
+
+
 def encoded(docs: DataFrame, model: str, k: int = 3, sharpness: float = 0.5, seed: int = 0, digest: bool = False) -> DataFrame:
-    """doc_id with the best ids and the samples of every row, or with their lengths, checksums and whether all decode to the text."""
+    """doc_id with the ids and the samples of every row, or with their lengths, checksums and whether all decode to the text."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(model, sharpness)
         for b in batches:
-            texts = blobs(b["text"])
+            keys = [xxhash.xxh3_64_intdigest(f"{seed}|{key}") for key in b["doc_id"].to_pylist()]
             out: list[tuple] = []
-            for text, key, rows in zip(texts, b["doc_id"].to_pylist(), lat.rows([t.split(b" ") if t else [] for t in texts]), strict=True):
-                rng = np.random.Generator(np.random.SFC64(xxhash.xxh3_64_intdigest(f"{seed}|{key}")))
-                drawn = lat.draw(rows, k, rng)
-                ids = [lat.spelt(rows, np.zeros(len(rows), np.int64)), *(d[0] for d in drawn)]
+            for a, texts in portions(b["text"]):
+                rows, ends = lat.rows(texts)
+                flat, many = lat.best(rows)
+                edge = np.concatenate([[0], np.cumsum(many)])[ends]
+                every = lat.draw(rows, ends, keys[a : a + len(ends) - 1], k)
+                ids = [[flat[edge[i] : edge[i + 1]], *(d[0] for d in drawn)] for i, drawn in enumerate(every)]
                 if digest:
-                    crc = [zlib.crc32(x.astype("<i4").tobytes()) for x in ids]
-                    good = all(lat.decode(x) == text for x in ids)
-                    out.append((len(ids[0]), crc[0], [len(x) for x in ids[1:]], crc[1:], [d[1] for d in drawn], [d[3] for d in drawn], good))
+                    raw = texts.data.tobytes()
+                    own = [raw[x:y] for x, y in zip(texts.ends[:-1].tolist(), texts.ends[1:].tolist(), strict=True)]
+                    good = iter(lat.decodes_to([x for xs in ids for x in xs], [t for xs, t in zip(ids, own, strict=True) for _ in xs]))
+                    for xs, drawn in zip(ids, every, strict=True):
+                        crc = [zlib.crc32(x.astype("<u4", copy=False)) for x in xs]
+                        out.append((len(xs[0]), crc[0], [len(x) for x in xs[1:]], crc[1:], [d[1] for d in drawn], [d[3] for d in drawn], all([next(good) for _ in xs])))
                 else:
-                    out.append((ids[0], [{"ids": x, "log_prob": d[1], "perturbed": d[2], "log_inclusion": d[3]} for x, d in zip(ids[1:], drawn, strict=True)]))
+                    out += [(xs[0], [{"ids": x, "log_prob": d[1], "perturbed": d[2], "log_inclusion": d[3]} for x, d in zip(xs[1:], drawn, strict=True)]) for xs, drawn in zip(ids, every, strict=True)]
             columns = list(zip(*out, strict=True)) if out else [[] for _ in types]
             yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))], names=["doc_id", *names])
 
