@@ -2,13 +2,13 @@
 
 Pieces of a fixed public vocabulary have a probability for each language. A word's probability
 is the sum over all its segmentations into pieces, found by the forward algorithm; a text's is the
-product over its words. Words are lower-cased and reduced to letters; longer runs than ``LONGEST``
-letters are scored in parts. The piece probabilities are fitted by expectation maximisation on word
-counts of at most ``sample_docs`` documents and ``sample_words`` words a language.
+product over its words. Words are lower-cased and reduced to letters, and scored whole; long ones
+are summed in logarithms. The piece probabilities are fitted by expectation maximisation on the word
+counts of at most about ``sample_docs`` distinct texts a language.
 
 Null texts and texts without a letter get ``und`` and score 0, as does every text when there is
-nothing to learn from. Rows are scored one by one, so repeated rows get equal results; equal
-likelihoods go to the first language by code point.
+nothing to learn from. A text's result depends on that text alone, so equal texts get equal results;
+equal likelihoods go to the first language by code point. Rows may repeat and ids may be null.
 """
 
 from __future__ import annotations
@@ -19,29 +19,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import WordRows, blobs, flat_words, long_crc, small_batches, sums
+from verdigris.llm.common import Hasher, WordRows, Words, blobs, long_crc, small_batches, sums
 from verdigris.llm.trie import Trie
 
-LONGEST = 24
-PIECE = 6
+#: Words of more letters are summed in logarithms, as products of their pieces leave the range of doubles.
+LONG = 48
+#: Cells of a table of words by letters that are worked on at once.
+CELLS = 400_000
 UNKNOWN = 1e-8
 START = "▁"
 
 
 class Pieces(Trie):
-    """The vocabulary's letter pieces of at most ``PIECE`` characters, in lower case."""
+    """The vocabulary's letter pieces in lower case."""
 
     def __init__(self, model: str):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         raw = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-        found = sorted(p for p in raw if len(p) <= PIECE and p.removeprefix(START).isalpha() or p == START)
-        letters = {c for p in found if len(p) > 1 for c in p}
-        self.pieces = [p for p in found if letters.issuperset(p)]
+        self.pieces = sorted(p for p in raw if p.removeprefix(START).isalpha() or p == START)
         super().__init__(self.pieces)
 
     def codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -56,6 +55,14 @@ class Pieces(Trie):
             out[words, j] += out[words, i] * prob[piece]
         return out
 
+    def log_forward(self, codes: np.ndarray, size: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        """Log-sums over segmentations of whole words: words x languages, from log-probabilities."""
+        out = np.full((len(codes), codes.shape[1] + 1, logs.shape[1]), -np.inf)
+        out[:, 0] = 0
+        for i, j, words, piece in self.spans(codes, size):
+            out[words, j] = np.logaddexp(out[words, j], out[words, i] + logs[piece])
+        return out[np.arange(len(codes)), size]
+
     def expect(self, codes: np.ndarray, size: np.ndarray, prob: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in words that occur ``count`` times, one language."""
         ahead = self.forward(codes, size, prob[:, None])[:, :, 0]
@@ -75,8 +82,35 @@ def letters_only(word: bytes) -> str:
     return "".join(filter(str.isalpha, word.decode("utf-8", "replace").lower()))
 
 
-def parts_of(word: str) -> list[str]:
-    return [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
+def by_length(words: list[str]) -> Iterator[np.ndarray]:
+    """Numbers of the non-empty words in portions of like length and bounded tables."""
+    size = np.array([len(w) for w in words], np.int64)
+    order = np.argsort(size, kind="stable")
+    order = order[np.searchsorted(size[order], 1) :]
+    a = 0
+    while a < len(order):
+        b = len(order)
+        while b - a > 1 and (b - a) * (size[order[b - 1]] + 20) > CELLS or (size[order[b - 1]] > LONG) != (size[order[a]] > LONG):
+            b = a + max(1, (b - a) // 2)
+        yield order[a:b]
+        a = b
+
+
+def word_scores(trie: Pieces, words: list[str], prob: np.ndarray) -> np.ndarray:
+    """Log-probability of each word in each language, and its letters."""
+    out = np.zeros((len(words), prob.shape[1] + 1))
+    with np.errstate(divide="ignore"):
+        logs = np.log(prob)
+    for at in by_length(words):
+        codes, size = trie.codes([words[i] for i in at.tolist()])
+        if not prob.shape[1]:
+            pass  # no language to score
+        elif size[-1] > LONG + 1:
+            out[at, :-1] = trie.log_forward(codes, size, logs)
+        else:
+            out[at, :-1] = np.log(np.maximum(trie.forward(codes, size, prob)[np.arange(len(at)), size], 1e-300))
+        out[at, -1] = size - 1
+    return out
 
 
 _PIECES: dict[str, Pieces] = {}
@@ -88,70 +122,59 @@ def pieces(model: str) -> Pieces:
     return _PIECES[model]
 
 
-def train(docs: DataFrame, model: str, sample_docs: int = 2000, sample_words: int = 20_000, rounds: int = 4) -> tuple[list[str], np.ndarray]:
-    """Languages and piece probabilities (row 0: unknown letter) from (doc_id, text, lang) rows."""
+def train(docs: DataFrame, model: str, sample_docs: int = 600, rounds: int = 4) -> tuple[list[str], np.ndarray]:
+    """Languages and piece probabilities (row 0: unknown letter) from (text, lang) rows."""
     small_batches(docs.sparkSession)
-    rows = docs.where(F.col("lang").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = docs.where(F.col("lang").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((1, 0))
     share = F.element_at(F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, sample_docs / sizes[k])))]), F.col("lang"))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+    # by the text, and each text once: copies do not add to the sample
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000).distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: Counter = Counter()
             for lang, text in zip(b["lang"].to_pylist(), blobs(b["text"]), strict=True):
                 for w, n in Counter(text.split()).items():
-                    for part in parts_of(letters_only(w)):
-                        seen[lang, part] += n
+                    if plain := letters_only(w):
+                        seen[lang, plain] += n
             yield pa.RecordBatch.from_pydict({"lang": pa.array([k for k, _ in seen], pa.string()), "word": pa.array([w for _, w in seen], pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
 
-    words = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    best = words.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= sample_words).toPandas()
+    words = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()  # of the sample
     trie = pieces(model)
     prob = np.zeros((len(trie.pieces) + 1, len(langs)))
     for k, lang in enumerate(langs):
-        own = best[best.lang == lang].sort_values("word")
+        own = words[words.lang == lang].sort_values("word")
+        every, n = own.word.tolist(), own.n.to_numpy(float)
+        parts = [(*trie.codes([every[i] for i in at.tolist()]), n[at]) for at in by_length(every) if len(every[at[-1]]) <= LONG]
         p = np.full(len(prob), 1 / len(prob))
-        if len(own):
-            codes, size = trie.codes(own.word.tolist())
-            n = own.n.to_numpy(float)
-            for _ in range(rounds):
-                used = trie.expect(codes, size, p, n) + 0.02
-                p = used / used.sum()
-                p[0] = UNKNOWN
+        for _ in range(rounds if parts else 0):
+            used = sum(trie.expect(codes, size, p, m) for codes, size, m in parts) + 0.02
+            p = used / used.sum()
+            p[0] = UNKNOWN
         prob[:, k] = p
     return langs, prob
 
 
-def predict(docs: DataFrame, langs: list[str], prob: np.ndarray, model: str, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all, unless given) with ``lang_pred`` and ``score``, from the text alone."""
+def predict(docs: DataFrame, langs: list[str], prob: np.ndarray, model: str, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` (all, unless given) with the predicted language and its score as ``names``, from the text alone.
+
+    Columns of ``docs`` that are already called so are left out; other names for the result keep them.
+    """
     small_batches(docs.sparkSession)
-    keep = keep if keep is not None else [c for c in docs.columns if c not in ("lang_pred", "score")]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    own = [f"c{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = pieces(model)
-
-        def make(words: list[bytes]) -> np.ndarray:
-            out = np.zeros((len(words), len(langs) + 1))
-            plain = [letters_only(w) for w in words]
-            cut = [(i, p) for i, w in enumerate(plain) for p in parts_of(w)]
-            for a in range(0, len(cut), 50_000):
-                some = sorted(cut[a : a + 50_000], key=lambda x: len(x[1]))
-                for b in range(0, len(some), 5_000):
-                    at = np.array([i for i, _ in some[b : b + 5_000]])
-                    codes, size = trie.codes([p for _, p in some[b : b + 5_000]])
-                    got = trie.forward(codes, size, prob)[np.arange(len(at)), size] if langs else np.zeros((len(at), 0))
-                    np.add.at(out, at, np.hstack([np.log(np.maximum(got, 1e-300)), size[:, None] - 1]))
-            return out
-
-        rows = WordRows(make, 300_000)
+        trie, hashes = pieces(model), Hasher()
+        rows = WordRows(lambda words: word_scores(trie, [letters_only(w) for w in words], prob), 300_000)
         for b in batches:
-            words, ends = flat_words(blobs(b["_text"]))
-            at = rows(words)
-            total = sums(rows.rows[at], ends)
+            words = Words(b["t"])
+            at = rows(words.data, words.starts, words.stops, hashes(words.data, words.starts, words.stops))
+            total = sums(rows.rows[at], words.ends)
             logs, letters = total[:, :-1], np.rint(total[:, -1])
             if langs:
                 odds = np.exp(logs - logs.max(1, keepdims=True))
@@ -160,11 +183,11 @@ def predict(docs: DataFrame, langs: list[str], prob: np.ndarray, model: str, kee
                 best, score = np.zeros(len(total), int), np.zeros(len(total))
             known = (letters > 0) & bool(langs)
             pred = [langs[i] if ok else "und" for i, ok in zip(best, known, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0))], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in own), pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0))], names=[*own, "p", "s"])
 
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("_text"))
-    shape = source.select(*[F.col(f"`{c}`") for c in keep]).schema.add("lang_pred", "string").add("score", "double")
-    return source.mapInArrow(run, shape)
+    source = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(keep, own, strict=True)], F.col("text").cast("string").alias("t"))
+    told = source.mapInArrow(run, source.drop("t").schema.add("p", "string").add("s", "double"))
+    return told.select(*[F.col(o).alias(c) for c, o in zip(keep, own, strict=True)], F.col("p").alias(names[0]), F.col("s").alias(names[1]))
 
 
 def held_out(df: DataFrame) -> DataFrame:
