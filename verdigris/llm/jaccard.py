@@ -7,9 +7,11 @@ no words: nothing, linked with nothing). Two documents link when 100 * common >=
    for all: hash order, but shingles that are frequent in a sample come last. In two linked sets
    the j-th common token is preceded by at most n - ceil(0.75 n) others, so the first
    1 + n // 8 common tokens (n of the smaller set) lie in both prefixes.
-2. Sets that share fewer of their prefix tokens with anyone cannot link and are left out. Rows of one
-   token whose sizes may link are chained to the run's first one. The components of this
-   candidate graph are cells; every link lies within a cell.
+2. Sets that share fewer of their prefix tokens with anyone cannot link and are left out. A token of at
+   most ``FEW`` such sets gives all their pairs, and a pair that comes as often as a link needs is a candidate.
+   A token of more chains them to the first one whose size may link, which is a candidate at once: if a linked pair has
+   such a token both are chained to each other, and if not all its tokens are counted. The
+   components of the candidates are cells; every link lies within a cell, and chance pairs make none.
 3. A cell's documents, cut into leaves of bounded size, are joined by a signature tree: nodes hold
    OR-combined bitmaps and size ranges, and a dual traversal drops pairs of nodes whose largest
    possible overlap is too small. Pairs already connected need no check, for the result is the
@@ -31,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import WordHashes, blobs, drop, flat_words, mix, ngram_hashes, release, settle, signed, small_batches
+from verdigris.llm.common import Hasher, Words, drop, mix, ngram_hashes, release, settle, signed, small_batches
 from verdigris.llm.components import components
 
 SHINGLE = 5
 NEEDED, OUT_OF = 75, 100
 SPARE = 8
+#: Sets of one token that are paired one by one.
+FEW = 24
 #: Tokens of a leaf of a cell, which bounds a task's memory.
 LEAF = 300_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -46,13 +50,13 @@ def linked(common: int, a: int, b: int) -> bool:
     return OUT_OF * common >= NEEDED * (a + b - common)
 
 
-def shingle_sets(texts: list[bytes], hashes: WordHashes) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
-    words, ends = flat_words([t.lower() for t in texts])  # bytes: only A-Z change
-    codes = hashes.of(words)
+def shingle_sets(texts: pa.Array, hashes: Hasher) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text; ``hashes`` takes A-Z as lower case."""
+    words = Words(texts)
+    codes = hashes(words.data, words.starts, words.stops)
     runs = ngram_hashes(codes, SHINGLE)
     out = []
-    for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+    for x, y in zip(words.ends[:-1].tolist(), words.ends[1:].tolist(), strict=True):
         if y - x >= SHINGLE:
             s = np.sort(runs[x : y - SHINGLE + 1])
             out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
@@ -80,12 +84,12 @@ def prefix(s: np.ndarray, heavy: np.ndarray) -> np.ndarray:
 
 
 def frequent(docs: DataFrame, one_in: int = 16, times: int = 8, most: int = 1_000_000) -> np.ndarray:
-    """At most ``most`` hashes of shingles that are in ``times`` sets of a sample of the documents.
+    """At most ``most`` hashes of shingles that are in ``times`` sets of a sample of the documents, drawn by their text.
 
     Any choice gives the same links, since it only moves tokens within the order; this one keeps
     passages that many documents share out of most prefixes.
     """
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0)
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0)
     rows = _tokens(sample, lambda s: s).groupBy("token").count()
     found = rows.where(F.col("count") >= times).orderBy(F.desc("count"), "token").limit(most).select("token").toPandas()
     return np.sort(found["token"].to_numpy(np.int64).view(np.uint64))
@@ -100,10 +104,10 @@ def _tokens(docs: DataFrame, part) -> DataFrame:
     """(token, sid, n): a part of each set; copies within a task are sent once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        hashes, seen = Hasher(lower=True), set()
         for b in batches:
             tokens, sids, sizes = [], [], []
-            for s in shingle_sets(blobs(b["text"]), hashes):
+            for s in shingle_sets(b["text"], hashes):
                 if len(s) and (sid := set_id(s)) not in seen:
                     seen.add(sid)
                     tokens.append(part(s))
@@ -145,32 +149,83 @@ def shared(rows: DataFrame) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(run, "token long, sid long, n int")
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """(a, b): sets that share a prefix token, chained to the first of a run whose sizes may link."""
+def candidates(rows: DataFrame, few: int | None = None) -> DataFrame:
+    """(a, b): pairs of sets with enough prefix tokens in common, or chained by a token of more than ``few`` sets."""
+    few = few or FEW
+    always = 1 << 40
+
+    def pairs(token: np.ndarray, sid: np.ndarray, n: np.ndarray, crowded: bool) -> Iterator[pa.RecordBatch]:
+        """Of whole groups, of which the first one may go on from rows before."""
+        new = np.ones(len(token), bool)
+        new[1:] = token[1:] != token[:-1]
+        group = np.cumsum(new) - 1
+        crowd = np.bincount(group)[group] > few
+        if crowded:
+            crowd[group == 0] = True
+        a, b, size, many = [], [], [], []
+        at = np.flatnonzero(~crowd)
+        for d in range(1, few):
+            x, y = at[:-d], at[d:]
+            same = token[x] == token[y]
+            if not same.any():
+                break
+            may = same & (OUT_OF * n[x].astype(np.int64) >= NEEDED * n[y].astype(np.int64))
+            x, y = x[may], y[may]
+            a.append(sid[x])
+            b.append(sid[y])
+            size.append(n[x])
+            many.append(np.ones(len(x), np.int64))
+        at = np.flatnonzero(crowd)
+        if len(at):
+            leader = self_lead(token[at], n[at])
+            other = sid[at] != sid[at][leader]
+            a.append(sid[at][leader][other])
+            b.append(sid[at][other])
+            size.append(n[at][other])
+            many.append(np.full(int(other.sum()), always))
+        if sum(map(len, a)):
+            a, b, size, many = (np.concatenate(x) for x in (a, b, size, many))
+            yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64()), "n": pa.array(size.astype(np.int64)), "c": pa.array(many)})
+
+    def self_lead(token: np.ndarray, n: np.ndarray) -> np.ndarray:
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (OUT_OF * n[:-1].astype(np.int64) < NEEDED * n[1:].astype(np.int64))
+        return np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: tuple | None = None  # token, size and leader of the last row
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)]  # rows of the last token so far
+        crowded = False  # its earlier rows are chained already; the first row held is then the leader, with the last size
         for b in batches:
             if not b.num_rows:
                 continue
-            token, sid, n = (b[c].to_numpy() for c in ("token", "sid", "n"))
-            if carry is not None:
-                token, sid, n = (np.concatenate([[c], x]) for c, x in zip(carry, (token, sid, n), strict=True))
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (OUT_OF * n[:-1].astype(np.int64) < NEEDED * n[1:].astype(np.int64))
-            leader = sid[np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))]
-            other = leader != sid
-            carry = (token[-1], leader[-1], n[-1])
-            if other.any():
-                pairs = np.unique(np.stack([sid[other], leader[other]], 1), axis=0)
-                yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
-
-    return rows.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(run, "a long, b long").distinct()
-
-
-def bloom(ids: DataFrame, bits: int = 1 << 23) -> np.ndarray:
-    """A bit table of fixed size (a megabyte) over the longs of the first column; may hold others, never misses one."""
+            cols = [np.concatenate([h, b[c].to_numpy()]) for h, c in zip(held, ("token", "sid", "n"), strict=True)]
+            token, sid, n = cols
+            edge = int(np.searchsorted(token, token[-1]))
+            if edge:
+                yield from pairs(token[:edge], sid[:edge], n[:edge], crowded)
+                crowded = False
+            held = [c[edge:] for c in cols]
+            if len(held[0]) > few:
+                yield from pairs(*held, True)
+                lead = self_lead(held[0], held[2])[-1]
+                held = [held[0][-1:], held[1][lead : lead + 1], held[2][-1:]]
+                crowded = True
+        if len(held[0]):
+            yield from pairs(*held, crowded)
+
+    dealt = rows.repartition("token").sortWithinPartitions("token", "n", "sid")
+    counted = dealt.mapInArrow(run, "a long, b long, n long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("n").alias("n"))
+    return counted.where(F.col("c") > F.floor(F.col("n") / SPARE)).select("a", "b")
+
+
+def bloom(ids: DataFrame) -> np.ndarray:
+    """A bit table over the longs of the first column; may hold others, never misses one.
+
+    It has 16 bits or more an id, up to 32 MB in all: past 16 million ids it lets more others through, and
+    these cost a shuffle of what they stand for, once each, but change no result.
+    """
     name = ids.columns[0]
+    bits = 1 << min(28, max(16, (16 * ids.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(bits, bool)
@@ -180,7 +235,7 @@ def bloom(ids: DataFrame, bits: int = 1 << 23) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"t": pa.array([np.packbits(table).tobytes()], pa.binary())})
 
     out = np.zeros(bits // 8, np.uint8)
-    for r in ids.coalesce(8).mapInArrow(run, "t binary").toLocalIterator():
+    for r in ids.coalesce(8).mapInArrow(run, "t binary").toLocalIterator():  # at most 8 tables
         out |= np.frombuffer(r["t"], np.uint8)
     return np.unpackbits(out).view(bool)
 
@@ -196,9 +251,9 @@ def described(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     packed = np.packbits(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, hashes, seen = np.unpackbits(packed).view(bool), WordHashes(), set()
+        table, hashes, seen = np.unpackbits(packed).view(bool), Hasher(lower=True), set()
         for b in batches:
-            sets = shingle_sets(blobs(b["text"]), hashes)
+            sets = shingle_sets(b["text"], hashes)
             sids = np.array([set_id(s) if len(s) else -1 for s in sets], np.int64)
             hit = np.logical_and.reduce([table[h] for h in _slots(sids, bits)])
             tokens = []
@@ -421,9 +476,12 @@ def joined(docs: DataFrame) -> DataFrame:
     rows = settle(celled(every.where(F.col("tokens").isNotNull()).select("sid", "n", "tokens"), cells, sizes, LEAF))
     drop(every)
     release(spark)
-    roots = settle(components(links(rows)))
+    roots = components(links(rows))
     drop(rows)
-    named = plain.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("class", F.coalesce("root", "sid"))
-    least = named.where(F.col("sid") >= 0).groupBy("class").agg(F.min("doc_id").alias("least"))
-    out = named.join(least, "class", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid") >= 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    known = F.col("sid") >= 0
+    first = plain.where(known).groupBy("sid").agg(F.min("doc_id").alias("first"))  # copies are one row from here on
+    named = settle(first.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("class", F.coalesce("root", "sid")))
+    least = named.groupBy("class").agg(F.min("first").alias("component_id"))
+    classes = named.join(least, "class").select("sid", "component_id")
+    told = plain.where(known).join(classes, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return told.unionByName(plain.where(~known).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import WordHashes, blobs, flat_words, ngram_hashes, release, settle, signed, small_batches
+from verdigris.llm.common import Hasher, Words, blobs, ngram_hashes, release, settle, signed, small_batches
 
 WIDTH = 20
 LOWEST = -(2**63)
@@ -59,10 +59,10 @@ def anchors(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     """(h, k, r): the group nodes of every document, a row for each place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = Hasher()
         for b in batches:
-            words, ends = flat_words(blobs(b["text"]))
-            start, place, runs, text = _anchored(hashes.of(words), ends, width)
+            words = Words(b["text"])
+            start, place, runs, text = _anchored(hashes(words.data, words.starts, words.stops), words.ends, width)
             if not len(start):
                 continue
             new = np.ones(len(place), bool)
@@ -105,17 +105,18 @@ def suffixes(rows: DataFrame, groups: DataFrame, width: int = WIDTH) -> DataFram
     both = rows.join(lists, ["k", "r"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, others = WordHashes(), WordHashes(seed=1)
+        hashes, others = Hasher(), Hasher(seed=1)
         for b in batches:
-            words, ends = flat_words(blobs(b["text"]))
-            start, place, runs, text = _anchored(hashes.of(words), ends, width)
+            words = Words(b["text"])
+            ends = words.ends
+            start, place, runs, text = _anchored(hashes(words.data, words.starts, words.stops), ends, width)
             wanted = [np.array(x, np.int64).view(np.uint64) for x in b["hs"].to_pylist()]
             anchor = runs[place]
             edge = np.searchsorted(text, np.arange(len(wanted) + 1))
             keep = np.concatenate([np.isin(anchor[x:y], own) for x, y, own in zip(edge[:-1], edge[1:], wanted, strict=True)]) if wanted else np.zeros(0, bool)
             if not keep.any():
                 continue
-            whole = ngram_hashes(others.of(words), width)
+            whole = ngram_hashes(others(words.data, words.starts, words.stops), width)
             at, text = start[keep], text[keep]
             own = pa.array(text)
             yield pa.RecordBatch.from_pydict({"a": signed(anchor[keep]), "w": signed(whole[at]), "k": b["k"].take(own), "r": b["r"].take(own), "s": pa.array((at - ends[text]).astype(np.int32))})
