@@ -325,16 +325,41 @@ def test_forward_sums_all_segmentations():
         if not s:
             return np.ones(2)
         total = np.zeros(2)
-        for n in range(1, min(langid.PIECE, len(s)) + 1):
+        for n in range(1, len(s) + 1):
             i = number.get(s[:n], 0 if n == 1 else None)
             if i is not None:
                 total += prob[i] * ways(s[n:])
         return total
 
-    some = ["the", "anderer", "q"]
+    some = ["the", "anderer", "q", "漢字", "internationalization"]
     codes, size = trie.codes(some)
-    got = trie.forward(codes, size, prob)[np.arange(3), size]
+    got = trie.forward(codes, size, prob)[np.arange(len(some)), size]
     assert np.allclose(got, [ways(langid.START + w) for w in some])
+    longer = ["the" * 30, "x" * 3000]
+    scores = langid.word_scores(trie, [*some, "", *longer], prob)
+    assert np.allclose(scores[: len(some), :-1], np.log(got)) and not scores[len(some)].any()
+    assert np.isfinite(scores).all() and scores[-1, -1] == 3000
+    codes, size = trie.codes(longer[:1])
+    assert np.allclose(scores[-2, :-1], np.log(trie.forward(codes, size, prob)[0, size[0]]))
+
+
+def test_equal_texts_get_equal_scores(spark):
+    """Wherever a text stands; texts of one batch do not touch each other, and ties go to the first language."""
+    from verdigris.llm.common import table
+
+    docs = langid.held_out(table(spark, "/root/testdata/sf0.001", "documents"))
+    text = docs.where("length(text) > 500").first().text
+    langs, prob = langid.train(docs.where("not held_out"), PIECES)
+    rows = spark.createDataFrame([(i, text if i % 3 == 1 else f"other {i} text. " * (i + 1), "mine", "yours", "k") for i in range(60)], "doc_id long, text string, score string, _text string, t string").repartition(4)
+    told = langid.predict(rows, langs, prob, PIECES, names=("guess", "sure")).collect()
+    assert len({(r.guess, r.sure) for r in told if r.doc_id % 3 == 1}) == 1 and len(told) == 60
+    assert {(r.score, r._text, r.t) for r in told} == {("mine", "yours", "k")}
+    even = np.repeat(prob[:, :1], 2, axis=1)
+    assert {(r.lang_pred, r.score) for r in langid.predict(rows.select("doc_id", "text"), ["aa", "bb"], even, PIECES).collect()} == {("aa", 0.5)}
+    folder = "/root/testdata/sf0.001"
+    model = toxicity.train(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    assert len({r.score for r in toxicity.score(rows, model).collect() if r.doc_id % 3 == 1}) == 1
+    assert toxicity.score(rows.where("false"), model).count() == 0
 
 
 def test_toxicity(spark, empty):
@@ -382,23 +407,6 @@ def test_segmentations_decode(docs, odd, empty):
     assert again == {r.doc_id: r.sample_crc32 for r in rows}
 
 
-def test_samples_are_drawn_without_replacement():
-    lat = segmentations.lattice(PIECES, 0.5)
-    rows = lat.rows([b"thereof anon".split(b" ")])[0]
-    p = np.exp(lat.log[rows])
-    every = {(a, b): p[0, a] * p[1, b] for a in range(4) for b in range(4)}
-    first, second = Counter(), Counter()
-    for seed in range(4000):
-        a, b = (tuple(d[0].tolist()) for d in lat.sample(rows, 2, np.random.default_rng(seed)))
-        assert a != b
-        first[a] += 1
-        second[b] += 1
-    for k in every:
-        assert abs(first[k] / 4000 - every[k]) < 0.04
-        assert abs(second[k] / 4000 - sum(q * every[k] / (1 - q) for j, q in every.items() if j != k)) < 0.04
-    assert len(lat.sample(rows, 99, np.random.default_rng(0))) == 16
-
-
 def test_pipeline(spark):
     import corpus_pipeline
 

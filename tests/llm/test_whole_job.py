@@ -6,10 +6,13 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
 from tests.llm.test_llm_operators import PIECES, shingles
 from verdigris.llm import lines, segmentations
+from verdigris.llm.common import Texts
 
 DOCS = "doc_id long, text string, source string, n_chars long"
 
@@ -82,34 +85,102 @@ def test_stages_with_null_and_repeated_ids(spark):
     assert got == want and any(d is None for d, _ in want)
 
 
+def lattice_rows(lat, texts):
+    return lat.rows(Texts(pa.array(texts, pa.string())))
+
+
+def run_paths(lat, row):
+    """Every path of a run with its log-probability, by walking its edges."""
+    out, done = [((), 0.0, int(lat.first.all[row]))], []
+    while out:
+        path, w, at = out.pop()
+        edges = range(int(lat.edge_at.all[at]), int(lat.edge_at.all[at + 1]))
+        if not len(edges):
+            done.append((path, w))
+        out += [((*path, e), w + float(lat.log.all[e]), int(lat.to.all[e])) for e in edges]
+    return done
+
+
+def test_lattice_holds_every_segmentation():
+    """A text's lattice against all ways to cut it into pieces, scored apart; spaces, stops and letters without a piece included."""
+    lat = segmentations.Lattice(PIECES)
+    pieces = {lat.sp.id_to_piece(i): i for i in range(lat.sp.get_piece_size()) if not (lat.sp.is_byte(i) or lat.sp.is_control(i) or lat.sp.is_unknown(i))}
+    base = 1 + max(i for i in range(lat.sp.get_piece_size()) if lat.sp.is_byte(i))
+
+    def ways(rest):
+        if not rest:
+            return {(): 0.0}
+        out = {}
+        for n in range(1, len(rest) + 1):
+            if rest[:n] in pieces:
+                i = pieces[rest[:n]]
+                out.update(((i, *more), -0.5 * math.log(max(1, i - base + 2)) + w) for more, w in ways(rest[n:]).items())
+        if rest[0] not in pieces:
+            raw = rest[0].encode()
+            out.update(((*(int(lat.byte_ids[x]) for x in raw), *more), lat.byte_score * len(raw) + w) for more, w in ways(rest[1:]).items())
+        return out
+
+    for text in ("there an", "a   b", "it's.", "x☃y", "  -- ", "né"):
+        want = ways("▁" + text.replace(" ", "▁"))
+        total = math.log(sum(math.exp(w) for w in want.values()))
+        rows, _ = lattice_rows(lat, [text])
+        got = {(): 0.0}
+        for r in rows.tolist():
+            got = {(*a, *lat.spelt(np.array(p))[0].tolist()): w + v for a, w in got.items() for p, v in run_paths(lat, r)}
+        assert got.keys() == want.keys() and all(abs(got[x] - (want[x] - total)) < 1e-4 for x in want), text
+
+
 def test_every_lattice_path_is_drawn():
-    """All paths of a text's runs come, each with its own probability, in the order of sampling without replacement."""
-    lat = segmentations.lattice(PIECES, 0.5)
-
-    def paths(run):
-        out = [((), 0.0, 0)]
-        done = []
-        while out:
-            ids, w, at = out.pop()
-            for j, more, own in lat.steps(run)[at].values() if at < len(run) else ():
-                (done if j == len(run) else out).append((ids + more, w + own, j))
-        z = sum(math.exp(w) for _, w, _ in done)
-        return {ids: math.exp(w) / z for ids, w, _ in done}
-
-    rows = lat.rows([b"there an".split(b" ")])[0]
-    a, b = paths("▁there"), paths("▁an")
-    every = {x + y: p * q for x, p in a.items() for y, q in b.items()}
-    assert len(a) > segmentations.BEST and [lat.ways[r] for r in rows] == [len(a), len(b)]
-    whole = lat.draw(rows, 10_000, np.random.default_rng(0))
+    """All segmentations of a text come, each with its own probability, in the order of sampling without replacement."""
+    lat = segmentations.Lattice(PIECES)
+    rows, ends = lattice_rows(lat, ["there an"])
+    every = {(): 0.0}
+    for r in rows.tolist():
+        every = {(*a, *lat.spelt(np.array(p))[0].tolist()): w + v for a, w in every.items() for p, v in run_paths(lat, r)}
+    every = {x: math.exp(w) for x, w in every.items()}
+    whole = lat.draw(rows, ends, [5], 10_000)[0]
     assert sorted(tuple(d[0].tolist()) for d in whole) == sorted(every)
     assert all(abs(math.exp(d[1]) - every[tuple(d[0].tolist())]) < 1e-6 for d in whole)
-    first, second, n = Counter(), Counter(), 6000
-    for seed in range(n):
-        x, y = (tuple(d[0].tolist()) for d in lat.draw(rows, 2, np.random.default_rng(seed)))
-        first[x] += 1
-        second[y] += 1
-    beyond = sum(c for x, c in first.items() if x not in {lat.kept(rows[0], i) + lat.kept(rows[1], j) for i in range(4) for j in range(4)})
-    assert beyond > 0
+    assert [d[2] for d in whole] == sorted((d[2] for d in whole), reverse=True)
+    n = 6000
+    keys = [xxhash.xxh3_64_intdigest(str(i)) for i in range(n)]
+    drawn = lat.draw(np.tile(rows, n), np.arange(n + 1) * len(rows), keys, 2)
+    first, second = Counter(tuple(d[0][0].tolist()) for d in drawn), Counter(tuple(d[1][0].tolist()) for d in drawn)
     for x, p in every.items():
         later = sum(q * p / (1 - q) for y, q in every.items() if y != x)
         assert abs(first[x] / n - p) < 0.025 and abs(second[x] / n - later) < 0.025
+    # weighting by inclusion probabilities gives unbiased counts: the sum of 1 / inclusion is the number of segmentations on average
+    seen = np.mean([sum(math.exp(d[1] - d[3]) for d in own) for own in drawn])
+    assert abs(seen - 1) < 0.05
+    again = lat.draw(np.tile(rows, 3), np.arange(4) * len(rows), keys[7:10], 2)
+    assert [[x[0].tolist() for x in d] for d in again] == [[x[0].tolist() for x in d] for d in drawn[7:10]]
+
+
+def test_encoding_is_the_librarys():
+    lat = segmentations.Lattice(PIECES)
+    r = random.Random(0)
+    parts = [" ", "  ", "\n", "\t", "word", "É", "1", ".", ",", "☃", "漢字", "the", "---", "a" * 90]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(500)]
+    rows, ends = lattice_rows(lat, texts)
+    ids, many = lat.best(rows)
+    edge = np.concatenate([[0], np.cumsum(many)])[ends]
+    assert [ids[x:y].tolist() for x, y in zip(edge[:-1], edge[1:], strict=True)] == lat.sp.encode(texts)
+    odd = ["▁", "a▁b ▁", "\0", "▁▁ ▁"]
+    rows, ends = lattice_rows(lat, odd)
+    for text, own in zip(odd, lat.draw(rows, ends, [1, 2, 3, 4], 3), strict=True):
+        assert all(lat.decode(d[0]) == text.encode() for d in own)
+
+
+def test_small_memory_gives_the_same_samples():
+    """What is kept between portions does not matter."""
+    r = random.Random(1)
+    texts = [" ".join(r.choice("abcdefgh") * r.randint(1, 9) + "ing" for _ in range(20)) for _ in range(40)]
+    big, small = segmentations.Lattice(PIECES), segmentations.Lattice(PIECES, edges=50)
+    out = []
+    for lat in (big, small):
+        own = []
+        for a in range(0, 40, 8):
+            rows, ends = lattice_rows(lat, texts[a : a + 8])
+            own += [[x[0].tolist() for x in d] for d in lat.draw(rows, ends, list(range(a, a + 8)), 3)]
+        out.append(own)
+    assert out[0] == out[1]
