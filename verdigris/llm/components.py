@@ -18,7 +18,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
     moved = both.join(least, "u")
     if large:
-        return moved.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
+        return moved.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b"))  # the small step drops repeats
     kept = moved.where(F.col("v") != F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     return kept.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where(F.col("a") != F.col("b")).distinct()
 
@@ -29,7 +29,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     The table is written between rounds, so no plan grows and a lost executor costs one round. It
     stops when a round leaves every edge as it was, that is when each component is a star.
     """
-    now = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select("a", "b").distinct()
+    now = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select("a", "b")
     mark = None
     for _ in range(rounds):
         old, now = now, settle(_star(_star(now, True), False))

@@ -113,7 +113,7 @@ def _tokens(docs: DataFrame, part) -> DataFrame:
                     tokens.append(part(s))
                     sids.append(sid)
                     sizes.append(len(s))
-            if len(seen) > 1_000_000:
+            if len(seen) > 300_000:
                 seen.clear()
             if tokens:
                 many = [len(t) for t in tokens]
@@ -263,7 +263,7 @@ def described(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
                     tokens.append(s.astype("<u8").tobytes())
                 else:
                     tokens.append(None)
-            if len(seen) > 1_000_000:
+            if len(seen) > 300_000:
                 seen.clear()
             yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "n": pa.array([len(s) for s in sets], pa.int64()), "sid": pa.array(sids), "tokens": pa.array(tokens, pa.binary())})
 
@@ -344,6 +344,13 @@ class SignatureTree:
         return out
 
 
+def _stars(sid: np.ndarray, groups: Groups) -> pa.RecordBatch:
+    """(a, b): each set of a group that is not its root, and the root."""
+    root = sid[[groups.find(i) for i in range(len(sid))]]
+    other = root != sid
+    return pa.RecordBatch.from_pydict({"a": pa.array(sid[other]), "b": pa.array(root[other])})
+
+
 def tree_links(sets: list[np.ndarray], others: list[np.ndarray] | None, groups: Groups) -> list[tuple[int, int]]:
     """Links that join groups, as numbers in ``sets`` and, after them, ``others``; checked exactly."""
     every = sets + (others or [])
@@ -385,10 +392,10 @@ def _sets(column: pd.Series) -> list[np.ndarray]:
 
 
 def join_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(a, b): links within each group of (keys, sid, root, side, tokens) rows.
+    """(a, b) from each group of (keys, sid, root, side, tokens) rows.
 
-    With side 0 only, all pairs of the group; otherwise the pairs of a side 0 and a side 1. Rows
-    with one root count as connected from the start.
+    With side 0 only, all pairs of the group are joined: a is connected to b, its component's root. Otherwise
+    the pairs of a side 0 and a side 1: a and b link. Rows with one root count as connected from the start.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,7 +410,9 @@ def join_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
             cut = int((side == 0).sum())
             if cut and (both := (side == 1).any()) or cut > 1:
                 links = tree_links(sets[:cut], sets[cut:] if both else None, groups)
-                if links:
+                if not both:
+                    yield _stars(sid, groups)
+                elif links:
                     at = np.array(links)
                     yield pa.RecordBatch.from_pydict({"a": pa.array(sid[at[:, 0]]), "b": pa.array(sid[at[:, 1]])})
 
@@ -424,27 +433,18 @@ def celled(sets: DataFrame, cells: DataFrame, sizes: DataFrame, leaf: int) -> Da
 
 
 def links(rows: DataFrame, leaf: int | None = None) -> DataFrame:
-    """(a, b): links that connect the linked sets of every cell, from a written table of ``celled`` rows."""
+    """(node, root) of the sets that link with others, from a written table of ``celled`` rows."""
     leaf = leaf or LEAF
-    found = settle(join_groups(rows, ["cell", "leaf"]))
+    stars = settle(join_groups(rows, ["cell", "leaf"]))  # in a cell of one leaf these are the components
     large = rows.where(F.col("total") > leaf).drop("root")
     if large.isEmpty():
-        return found
-    release(rows.sparkSession)
-
-    def rooted(edges: DataFrame) -> DataFrame:
-        names = components(edges)
-        out = large.join(names.withColumnRenamed("node", "sid"), "sid", "left")
-        return settle(out.withColumn("root", F.coalesce("root", "sid")))
-
-    now = rooted(found)
+        return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    now = settle(large.join(stars.withColumnRenamed("a", "sid"), "sid", "left").withColumn("root", F.coalesce("b", "sid")).drop("b"))
     heads = now.where(F.col("root") == F.col("sid"))
     weight = heads.groupBy("cell").agg(F.sum("n").alias("heads"))
-    heads = heads.join(weight, "cell")
-    found = settle(found.unionByName(join_groups(heads.withColumn("leaf", _chunk("heads", leaf)), ["cell", "leaf"])))
-    drop(now)
-    release(rows.sparkSession)
-    now = rooted(found)
+    heads = heads.join(weight, "cell").withColumn("leaf", _chunk("heads", leaf))
+    upper = settle(join_groups(heads, ["cell", "leaf"]).withColumnRenamed("a", "root"))
+    now = now.join(upper, "root", "left").withColumn("root", F.coalesce("b", "root")).drop("b")
     parts = now.groupBy("cell", "root").agg(F.sum("n").alias("n"))
     main = parts.groupBy("cell").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
     main = main.where(F.col("all") > F.col("most")).withColumn("minor", F.col("all") - F.col("most"))
@@ -455,7 +455,10 @@ def links(rows: DataFrame, leaf: int | None = None) -> DataFrame:
     left = open_.select("cell", "leaf", F.explode(F.sequence(zero, chunks)).alias("chunk"), "sid", "root", F.lit(0).alias("side"), "tokens")
     right = open_.where(F.col("root") != F.col("main"))
     right = right.select("cell", F.explode(F.sequence(zero, many)).alias("leaf"), _chunk("minor", leaf).alias("chunk"), "sid", "root", F.lit(1).alias("side"), "tokens")
-    return found.unionByName(join_groups(left.unionByName(right), ["cell", "leaf", "chunk"]))
+    across = join_groups(left.unionByName(right), ["cell", "leaf", "chunk"])
+    merged = components(now.select(F.col("sid").alias("a"), F.col("root").alias("b")).unionByName(across))
+    rest = stars.select(F.col("a").alias("node"), F.col("b").alias("root")).join(merged.select("node"), "node", "left_anti")
+    return rest.unionByName(merged)
 
 
 def joined(docs: DataFrame) -> DataFrame:
@@ -476,7 +479,7 @@ def joined(docs: DataFrame) -> DataFrame:
     rows = settle(celled(every.where(F.col("tokens").isNotNull()).select("sid", "n", "tokens"), cells, sizes, LEAF))
     drop(every)
     release(spark)
-    roots = components(links(rows))
+    roots = settle(links(rows))
     drop(rows)
     known = F.col("sid") >= 0
     first = plain.where(known).groupBy("sid").agg(F.min("doc_id").alias("first"))  # copies are one row from here on
