@@ -258,9 +258,12 @@ class WordRows:
         self.index, self.rows, self.names = HashIndex(), None, np.zeros(1024, np.uint64)
 
     def halve(self) -> None:
-        half = self.index.many // 2
-        self.index = HashIndex(max(14, int(4 * half).bit_length()))
-        self.index.add(self.names[:half], np.arange(half))
+        self.keep(self.index.many // 2)
+
+    def keep(self, many: int) -> None:
+        """Forget all but the first ``many``."""
+        self.index = HashIndex(max(14, int(4 * many).bit_length()))
+        self.index.add(self.names[:many], np.arange(many))
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """Row numbers of the stretches, good until the next call."""

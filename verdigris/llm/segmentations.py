@@ -43,7 +43,7 @@ SPELT = 1 << 31
 #: Runs of more characters are summed in logarithms, as products of their pieces leave the range of doubles.
 LONG = 64
 #: Bytes of texts that are worked on at once, and edges that are kept for later ones.
-PORTION, EDGES = 1 << 21, 5_000_000
+PORTION, EDGES = 1 << 21, 7_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -105,12 +105,11 @@ class Lattice:
         self.size_of = np.array([len(b) for b in self.bytes_of], np.int64)
         self.spelling = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.spelling_at = np.cumsum(self.size_of) - self.size_of
-        self.stretches, self.hashes = WordRows(self._learn), Hasher()
+        self.stretches, self.hashes = WordRows(self._learn, 1 << 40), Hasher()  # bounded with the runs
         self._clear()
 
     def _clear(self) -> None:
-        self.index = HashIndex()
-        self.stretches = WordRows(self._learn)
+        self.index, self.names = HashIndex(), Pool(np.uint64)
         self.parts = Pool(np.int32)  # the runs of the stretches
         self.first, self.ids_at = Pool(np.int32), Pool(np.int32)  # of each run: first node, first id of the encoding; a last entry ends the last run
         self.ids = Pool(np.uint32)
@@ -119,6 +118,21 @@ class Lattice:
         for p in (self.first, self.ids_at, self.edge_at):
             p.add(np.zeros(1, np.int64))
 
+    def _halve(self) -> None:
+        """Forget the later half of the runs, and the stretches that need them: the first met are the most frequent."""
+        half = self.index.many // 2
+        nodes = int(self.first.all[half])
+        edges, ids = int(self.edge_at.all[nodes]), int(self.ids_at.all[half])
+        for pools, n in (((self.names,), half), ((self.first, self.ids_at), half + 1), ((self.ids,), ids), ((self.edge_at,), nodes + 1), ((self.ways,), nodes), ((self.to, self.piece, self.cum, self.log), edges)):
+            for pool in pools:
+                pool.cut(n)
+        self.index = HashIndex(max(14, int(4 * half).bit_length()))
+        self.index.add(self.names.all[:half], np.arange(half))
+        late = np.flatnonzero(self.parts.all[: self.parts.n] >= half)
+        self.parts.cut(int(late[0]) if len(late) else self.parts.n)
+        stretches = self.stretches.rows[: self.stretches.index.many].sum(1)
+        self.stretches.keep(int(np.searchsorted(stretches, self.parts.n, "right")))
+
     def _store(self, runs: list[str]) -> None:
         """Nodes and edges of new runs, for many at a time."""
         order = sorted(range(len(runs)), key=lambda i: len(runs[i]))
@@ -135,6 +149,7 @@ class Lattice:
         names = np.array([xxhash.xxh3_64_intdigest(r.encode("utf-8", "surrogatepass")) for r in rows], np.uint64)
         have = self.index.many
         self.index.add(names, np.arange(have, have + len(rows)))
+        self.names.add(names)
         cut = len(self.lead)
         found = self.sp.encode(["\n" + r.replace(MARK, " ").replace(LITERAL, "") for r in rows], num_threads=1)
         ids = [self._raw("▁") if r == LITERAL else x[cut:] for r, x in zip(rows, found, strict=True)]
@@ -218,7 +233,7 @@ class Lattice:
     def rows(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """The runs of all texts in a row, and where each text's begin and the last one's end."""
         if self.piece.n > self.bound:
-            self._clear()
+            self._halve()
         lead = texts.ends[:-1] < texts.ends[1:]  # a mark goes before each text that is not empty
         data = np.insert(texts.data, texts.ends[:-1][lead], ord(" "))
         ends = texts.ends + np.concatenate([[0], np.cumsum(lead)])
@@ -417,7 +432,7 @@ _LATTICES: dict[tuple[str, float], Lattice] = {}
 
 
 def lattice(model: str, sharpness: float) -> Lattice:
-    """One for each Python worker; ``EDGES`` bounds what it keeps to about 60 MB."""
+    """One for each Python worker; ``EDGES`` bounds what it keeps to about 100 MB."""
     if (model, sharpness) not in _LATTICES:
         _LATTICES[model, sharpness] = Lattice(model, sharpness)
     return _LATTICES[model, sharpness]
