@@ -8,13 +8,14 @@ inner products. A query is turned into a table of partial scores; two four-bit c
 precision, and the blocks' best are merged.
 
 Codewords are fitted on at most ``sample`` rows (a documented bound); every row is indexed and
-every query meets every block. Equal vectors are held once with their ``k + 1`` smallest ids, which
-is all that can be returned of them, so copies never crowd a block. Blocks hold about
+every query meets every block. Equal vectors are held once with their ``k`` smallest ids other than
+each query's own, which is all that can be returned of them, so copies never crowd a block. Blocks hold about
 ``block_rows`` distinct vectors and ``block_queries`` queries, which bounds a task's memory.
 
 Vectors that are null, zero, hold null or non-finite components or differ in length from
 most take no part, neither as queries nor as candidates. Null ids take no part. Rows that repeat
-an id are candidates each. Ties in score go to the smaller id.
+an id are one where their vectors are equal; with different vectors each is a candidate, and a repeated query id asks
+once, by its smallest vector in Spark's order of arrays. A row is never a candidate of its own id. Ties in score go to the smaller id.
 """
 
 from __future__ import annotations
@@ -140,6 +141,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = 640
     """(query_id, rank, vec_id, score): each query's k nearest other rows. Both inputs come from ``usable``."""
     spark = vectors.sparkSession
     groups = settle(_distinct(vectors, k))
+    queries = queries.groupBy("id").agg(F.min("v").alias("v"))
     n, m = groups.count(), queries.count()
     schema = "query_id long, rank int, vec_id long, score double"
     if not n or not m:
@@ -183,7 +185,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = 640
 
 
 def _distinct(vectors: DataFrame, k: int) -> DataFrame:
-    """(v, h, ids): distinct vectors with their k + 1 smallest ids; copies are cut down before the shuffle."""
+    """(v, h, ids): distinct vectors with their k + 1 smallest different ids; copies are cut down before the shuffle."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[int]] = {}
@@ -191,17 +193,17 @@ def _distinct(vectors: DataFrame, k: int) -> DataFrame:
             keep = []
             for row, (h, i) in enumerate(zip(b["h"].to_pylist(), b["id"].to_pylist(), strict=True)):
                 own = held.setdefault(h, [])
-                if len(own) <= k or i < own[-1]:
+                if i not in own and (len(own) <= k or i < own[-1]):
                     own.append(i)
                     own.sort()
                     del own[k + 1 :]
                     keep.append(row)
-            if len(held) > 500_000:
+            if len(held) > 200_000:
                 held.clear()
             yield b.take(pa.array(keep, pa.int64()))
 
     rows = vectors.select("id", "v", F.xxhash64("v").alias("h"))
     thin = rows.mapInArrow(cut, rows.schema)
     by = W.partitionBy("h", "v").orderBy("id")
-    ranked = thin.withColumn("n", F.row_number().over(by)).where(F.col("n") <= k + 1)
-    return ranked.groupBy("h", "v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    ranked = thin.withColumn("n", F.dense_rank().over(by)).where(F.col("n") <= k + 1)
+    return ranked.groupBy("h", "v").agg(F.array_sort(F.collect_set("id")).alias("ids"))
