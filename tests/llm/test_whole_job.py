@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 from tests.llm.test_llm_operators import PIECES, shingles
-from verdigris.llm import lines, segmentations
+from verdigris.llm import lines, nearest, segmentations
 from verdigris.llm.common import Texts
 
 DOCS = "doc_id long, text string, source string, n_chars long"
@@ -184,3 +184,30 @@ def test_small_memory_gives_the_same_samples():
             own += [[x[0].tolist() for x in d] for d in lat.draw(rows, ends, list(range(a, a + 8)), 3)]
         out.append(own)
     assert out[0] == out[1]
+
+
+def test_stages_keep_other_columns(spark):
+    """Columns called as the stages call theirs stay what they are; empty tables, null texts and repeated rows pass through every stage."""
+    import corpus_pipeline
+
+    names = ["score", "lang_pred", "_text", "_row", "_epochs", "_extra", "_size", "_whole", "doc", "k", "r", "c0", "t"]
+    shape = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    r = random.Random(8)
+    vocabulary = ["the", "of", "and", "house", "water", "people", "light", "morning"]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(30)) for _ in range(9)] + [None, "", "12 34", "the same\nthe same\nthe end"]
+    rows = [(None if i == 3 else i, t, "en", "s" if i % 2 else None, 0, *names) for i, t in enumerate(texts)]
+    for docs in (spark.createDataFrame(rows + rows[:4], shape), spark.createDataFrame([], shape)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.settle(stage(spark, docs, ""))
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names], name
+            assert all(getattr(x, n) == n for x in docs.collect() for n in names), name
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == docs.count()
+
+
+def test_nearest_with_repeated_ids(spark):
+    """Copies of a query's own row take no place of others, and a repeated query asks once."""
+    x, far = [1.0, 0.0, 0.0], [0.0, 1.0, 0.5]
+    rows = [(50, x)] * 7 + [(100, x), (3, far), (7, far), (7, far), (8, [0.5, 0.5, 0.0])]
+    vectors = nearest.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = nearest.search(vectors, vectors.where("id % 50 = 0")).orderBy("query_id", "rank").collect()
+    assert [(g.query_id, g.rank, g.vec_id) for g in got] == [(50, 1, 100), (50, 2, 8), (50, 3, 3), (50, 4, 7), (100, 1, 50), (100, 2, 8), (100, 3, 3), (100, 4, 7)]
