@@ -16,6 +16,13 @@ from verdigris.llm import jaccard, langid, lines, mixing, segmentations
 from verdigris.llm.common import settle, table
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, with marks behind it until no column of ``docs`` is called so."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; null texts and texts without a letter go. ``lang`` becomes the predicted one.
 
@@ -23,8 +30,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     model = public_tokenizers.path("piece_bpe_32k.model")
     langs, prob = langid.train(langid.held_out(docs).where(~F.col("held_out")), model)
-    told = langid.predict(docs, langs, prob, model)
-    return told.where(F.col("lang_pred") != "und").withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    guess, sure = fresh(docs, "lang_pred"), fresh(docs, "score")
+    told = langid.predict(docs, langs, prob, model, names=(guess, sure))
+    return told.where(F.col(guess) != "und").withColumn("lang", F.col(guess)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,30 +41,31 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number of its own for every row, written so that it stays."""
-    return settle(docs.withColumn("_row", F.monotonically_increasing_id()))
+    """``docs`` as a struct ``doc`` with a number of its own for every row as ``_row``, written so that it stays."""
+    return settle(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest doc_id, null ids last. Rows outside any group stay."""
     rows = numbered(docs)
-    classes = jaccard.joined(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_class"))
-    named = settle(rows.select("_row", "doc_id").join(classes, "_row"))
+    classes = jaccard.joined(rows.select(F.col("_row").alias("doc_id"), F.col("doc.text").alias("text"))).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_class"))
+    named = settle(rows.select("_row", F.col("doc.doc_id").alias("doc_id")).join(classes, "_row"))
     first = named.groupBy("_class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_first")).select(F.col("_first._row").alias("_row"))
-    return rows.join(first, "_row", "left_semi").select(*docs.columns)
+    return rows.join(first, "_row", "left_semi").select("doc.*")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; the document at a budget's edge gives its first words only."""
     rows = numbered(docs)
-    mixed = mixing.mix(rows.select("_row", "doc_id", "text", "source"), carry=["_row"])
+    mixed = mixing.mix(rows.select("_row", "doc.doc_id", "doc.text", "doc.source"), carry=["_row"])
     taken = mixed.where(F.col("taken") > 0).select("_row", F.col("epochs").alias("_epochs"), (F.col("taken") - F.col("epochs") * F.col("size")).alias("_extra"), F.col("size").alias("_size"))
     rows = rows.join(taken, "_row")
-    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    part = F.when(F.col("_extra") == F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_extra").cast("int")), " "))
+    words = F.filter(F.split("doc.text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    part = F.when(F.col("_extra") == F.col("_size"), F.col("doc.text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_extra").cast("int")), " "))
     copies = F.concat(F.array_repeat(F.lit(True), F.col("_epochs").cast("int")), F.when(F.col("_extra") > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
-    rows = rows.withColumn("_whole", F.explode(copies)).withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(part))
-    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rows = rows.withColumn("_whole", F.explode(copies)).withColumn("_text", F.when(F.col("_whole"), F.col("doc.text")).otherwise(part))
+    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return rows.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
