@@ -1,5 +1,7 @@
 """Golden cases of the procedural pieces."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,8 +130,21 @@ def test_text_functions(spark):
 
 
 def test_sentences():
-    done, rest = sentences.split("Dr. Ng said 3.5 is e.g. fine here today. Right. And more words follow in this one! tail")
+    done, rest = sentences.complete("Dr. Ng said 3.5 is e.g. fine here today. Right. And more words follow in this one! tail")
     assert done == ["Dr. Ng said 3.5 is e.g. fine here today. Right.", "And more words follow in this one!"] and rest == " tail"
+    assert sentences.complete("A Ph.D. student of hers wrote it down.")[0] == ["A Ph.D. student of hers wrote it down."]
+
+
+def test_sentences_of_batches_are_those_of_streams(spark):
+    r = random.Random(0)
+    parts = ["Dr. ", "e.g. ", "A. Ng ", "word ", "3.5 ", "Yes. ", "no. ", "(etc.) ", "Ph.D. ", "end. ", "ok! ", '"Hm." ', "\n", "what? ", "a long enough run of words here. ", "x.y ", "...", "été. "]
+    texts = [None, "", "  \n", *("".join(r.choice(parts) for _ in range(r.randint(1, 12))) for _ in range(400))]
+    got: dict = {}
+    for row in sentences.of_texts(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id").orderBy("id", "n").collect():
+        got.setdefault(row.id, []).append(row.sentence)
+    for i, text in enumerate(texts):
+        done, rest = sentences.complete((text or "").strip())
+        assert got.get(i, []) == [*done, *([rest.strip()] if rest.strip() else [])], repr(text)
 
 
 def test_chunks():

@@ -1,80 +1,81 @@
-"""Complete sentences from fragments of text, for batches and streams."""
+"""Complete sentences from fragments of text, for batches and streams.
+
+One pattern matches a sentence's end with the quotes and brackets after it. Batches use it in Spark's
+own functions; the stateful stream uses the same pattern on what has come so far.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+# The least length of a sentence of its own, and abbreviations whose full stop ends no sentence.
 SHORT = 24
-# Abbreviations that end in a full stop within a sentence.
-ABBREVIATIONS = {"e.g", "i.e", "etc", "vs", "cf", "al", "fig", "eq", "dr", "mr", "mrs", "ms", "prof", "sr", "jr", "st", "no", "approx", "dept", "est", "inc", "ltd", "co"}
-
-
-def ends(text: str, at: int) -> bool:
-    """Whether the mark at a place ends a sentence: not within numbers, after abbreviations or initials, or within words."""
-    mark = text[at]
-    if mark in "!?":
-        return True
-    if mark != ".":
-        return False
-    after = text[at + 1 : at + 2]
-    head = text[:at]
-    if after.isdigit() and head[-1:].isdigit():
-        return False
-    word = head.replace("(", " ").split(" ")[-1].split("\n")[-1].lower().rstrip(".")
-    if word in ABBREVIATIONS or (len(word) == 1 and word.isalpha()):
-        return False
-    return not after or after.isspace()
-
-
-def split(text: str) -> tuple[list[str], str]:
-    """(sentences, rest); short sentences join the one before."""
-    out: list[str] = []
-    start = at = 0
-    while at < len(text):
-        if not ends(text, at):
-            at += 1
-            continue
-        at += 1
-        while at < len(text) and text[at] in "\"')]":
-            at += 1
-        if piece := text[start:at].strip():
-            if out and len(piece) < SHORT:
-                out[-1] += f" {piece}"
-            else:
-                out.append(piece)
-        start = at
-    return out, text[start:]
+ABBREVIATIONS = [
+    "dr", "mr", "mrs", "ms", "prof", "sr", "jr", "st",
+    "e.g", "i.e", "etc", "vs", "fig", "eq", "approx", "no",
+    "al", "ph.d", "b.sc", "m.sc", "inc", "ltd", "co",
+]
+
+_WORD = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+#: A stop counts before white space or at the end, unless an abbreviation or a single letter stands before it.
+END = rf"""(?:[!?]|(?<!(?:^|[\s(])(?:{_WORD}|\p{{L}})\.{{0,9}})\.(?=\s|\z))["')\]]*"""
+_ENDS = regex.compile(END.replace(r"\z", r"\Z"), regex.IGNORECASE)
+#: No character of any text, by Unicode's rules.
+_CUT = "￿"
+
+
+def array_of(text: Column) -> Column:
+    """The sentences of whole texts: short ones join the one before, what follows the last end is a sentence too."""
+    parts = F.split(F.regexp_replace(text, f"(?iU){END}", f"$0{_CUT}"), _CUT)
+    done = F.filter(F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), F.trim), lambda s: s != "")
+    joined = F.array_join(F.transform(done, lambda s, i: F.when((i == 0) | (F.length(s) >= SHORT), F.concat(F.lit(_CUT), s)).otherwise(F.concat(F.lit(" "), s))), "")
+    rest = F.trim(F.element_at(parts, -1))
+    return F.filter(F.concat(F.split(joined, _CUT), F.array(rest)), lambda s: s != "")
 
 
 def of_texts(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, n, sentence) of whole texts, the rest as the last sentence."""
+    """(key, n, sentence) of whole texts; null and blank ones have none."""
+    told = F.regexp_replace(F.col(text).cast("string"), r"\A(?U)\s+|(?U)\s+\z", "")
+    return rows.select(F.col(key), F.posexplode(array_of(told)).alias("n", "sentence"))
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = []
-            for i, x in enumerate(b["text"].to_pylist()):
-                done, rest = split(x or "")
-                found += [(i, n, s) for n, s in enumerate([*done, *([rest.strip()] if rest.strip() else [])])]
-            yield pa.RecordBatch.from_pydict({"key": b["key"].take(pa.array([i for i, _, _ in found], pa.int64())), "n": pa.array([n for _, n, _ in found], pa.int32()), "sentence": pa.array([s for _, _, s in found], pa.string())})
+def complete(text: str) -> tuple[list[str], str]:
+    """(sentences, rest) of what has come of a text so far."""
+    out: list[str] = []
+    last = 0
+    for end in _ENDS.finditer(text):
+        piece = text[last : end.end()].strip()
+        last = end.end()
+        if piece and out and len(piece) < SHORT:
+            out[-1] = f"{out[-1]} {piece}"
+        elif piece:
+            out.append(piece)
+    return out, text[last:]
 
-    source = rows.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(run, source.select("key").schema.add("n", "integer").add("sentence", "string")).withColumnRenamed("key", key)
 
+def of_stream(fragments: DataFrame, idle: str = "10 minutes") -> DataFrame:
+    """(stream, sentence) as sentences complete, from a stream of (stream, seq, fragment).
 
-def of_stream(fragments: DataFrame) -> DataFrame:
-    """(stream, sentence) as sentences complete, from a stream of (stream, seq, fragment)."""
+    A stream that sends nothing for ``idle`` has ended: its rest is its last sentence, and its state goes.
+    """
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.get[0] if state.exists else ""
-        rows = pd.concat(list(frames)).sort_values("seq")
-        done, rest = split(held + "".join(x or "" for x in rows["fragment"]))
-        state.update((rest,))
+        if state.hasTimedOut:
+            state.remove()
+            done = [held.strip()] if held.strip() else []
+        else:
+            rows = pd.concat(list(frames)).sort_values("seq")
+            done, rest = complete(held + "".join(x or "" for x in rows["fragment"]))
+            state.update((rest,))
+            state.setTimeoutDuration(wait)
         yield pd.DataFrame({"stream": [key[0]] * len(done), "sentence": done})
 
-    return fragments.groupBy("stream").applyInPandasWithState(step, "stream long, sentence string", "rest string", "append", GroupStateTimeout.NoTimeout)
+    return fragments.groupBy("stream").applyInPandasWithState(step, "stream long, sentence string", "rest string", "append", GroupStateTimeout.ProcessingTimeTimeout)
