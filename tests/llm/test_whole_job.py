@@ -94,9 +94,10 @@ def run_paths(lat, row):
     out, done = [((), 0.0, int(lat.first.all[row]))], []
     while out:
         path, w, at = out.pop()
-        edges = range(int(lat.edge_at.all[at]), int(lat.edge_at.all[at + 1]))
-        if not len(edges):
+        if at < 0:
             done.append((path, w))
+            continue
+        edges = range(int(lat.edge_at.all[at]), int(lat.edge_at.all[at + 1]))
         out += [((*path, e), w + float(lat.log.all[e]), int(lat.to.all[e])) for e in edges]
     return done
 

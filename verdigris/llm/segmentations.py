@@ -43,7 +43,7 @@ SPELT = 1 << 31
 #: Runs of more characters are summed in logarithms, as products of their pieces leave the range of doubles.
 LONG = 64
 #: Bytes of texts that are worked on at once, and edges that are kept for later ones.
-PORTION, EDGES = 1 << 21, 7_000_000
+PORTION, EDGES = 1 << 19, 6_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -118,7 +118,7 @@ class Lattice:
         for p in (self.first, self.ids_at, self.edge_at):
             p.add(np.zeros(1, np.int64))
 
-    def _halve(self) -> None:
+    def halve(self) -> None:
         """Forget the later half of the runs, and the stretches that need them: the first met are the most frequent."""
         half = self.index.many // 2
         nodes = int(self.first.all[half])
@@ -200,7 +200,7 @@ class Lattice:
         start = np.concatenate([[0.0], share])[ends - many]
         cum = share - np.repeat(start, many)
         cum[ends[many > 0] - 1] = 2  # no draw goes past a node's last edge
-        self.to.add(target + self.ways.n)
+        self.to.add(np.where(target == np.repeat((place + size), size + 1)[source], -1, target + self.ways.n))  # -1: the run's end
         self.edge_at.add(self.piece.n + ends)
         self.first.add(self.ways.n + place + size + 1)
         self.piece.add(piece)
@@ -233,7 +233,7 @@ class Lattice:
     def rows(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """The runs of all texts in a row, and where each text's begin and the last one's end."""
         if self.piece.n > self.bound:
-            self._halve()
+            self.halve()
         lead = texts.ends[:-1] < texts.ends[1:]  # a mark goes before each text that is not empty
         data = np.insert(texts.data, texts.ends[:-1][lead], ord(" "))
         ends = texts.ends + np.concatenate([[0], np.cumsum(lead)])
@@ -265,17 +265,19 @@ class Lattice:
         taken, logs = [], np.zeros(len(rows))
         step = 0
         while len(alive):
+            if step < 2:  # half of the key each
+                draw = ((keys[alive] >> np.uint64(32 * step)) & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32
+            else:
+                draw = uniform(keys[alive] ^ mix(np.array([step], np.uint64)))
             edge = self.edge_at.all[at].astype(np.int64)
-            alone = self.edge_at.all[at + 1] - edge < 2
-            draw = uniform(keys[alive] ^ mix(np.array([step + 1], np.uint64)))
-            on = np.flatnonzero(~alone & (draw >= self.cum.all[edge]))
+            on = np.flatnonzero(draw >= self.cum.all[edge])
             while len(on):
                 edge[on] += 1
                 on = on[draw[on] >= self.cum.all[edge[on]]]
             taken.append((alive, edge))
             logs[alive] += self.log.all[edge]
-            at = self.to.all[edge].astype(np.int64)
-            more = self.edge_at.all[at + 1] > self.edge_at.all[at]
+            at = self.to.all[edge]
+            more = at >= 0
             alive, at, step = alive[more], at[more], step + 1
         many = np.zeros(len(rows), np.int64)
         for alive, _ in taken:
@@ -290,11 +292,12 @@ class Lattice:
         """A path of the run drawn from all but ``barred`` (edges), and its log-probability among all paths."""
         paths = [(p, math.exp(float(self.log.all[list(p)].sum(dtype=np.float64)))) for p in barred]
         at, path, logp = int(self.first.all[row]), (), 0.0
-        while (edges := range(int(self.edge_at.all[at]), int(self.edge_at.all[at + 1]))):
+        while at >= 0:
+            edges = range(int(self.edge_at.all[at]), int(self.edge_at.all[at + 1]))
             mass = []
             for e in edges:
                 gone = [q for p, q in paths if p[len(path)] == e]
-                if len(gone) >= self.ways.all[self.to.all[e]]:
+                if len(gone) >= (self.ways.all[self.to.all[e]] if self.to.all[e] >= 0 else 1):
                     mass.append(0.0)
                 else:
                     mass.append(max(math.exp(logp + float(self.log.all[e])) - sum(gone), 1e-300))
@@ -458,6 +461,11 @@ def encoded(docs: DataFrame, model: str, k: int = 3, sharpness: float = 0.5, see
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(model, sharpness)
+        yield from told(lat, batches)
+        while lat.piece.n > EDGES // 4:  # other tasks of this worker need memory too
+            lat.halve()
+
+    def told(lat: Lattice, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = [xxhash.xxh3_64_intdigest(f"{seed}|{key}") for key in b["doc_id"].to_pylist()]
             out: list[tuple] = []
