@@ -32,17 +32,19 @@ _CUT = "
 
 def array_of(text: Column) -> Column:
     """The sentences of whole texts: short ones join the one before, what follows the last end is a sentence too."""
+    def bare(s: Column) -> Column:
+        return F.regexp_replace(s, r"(?U)\A\s+|\s+\z", "")
+
     parts = F.split(F.regexp_replace(text, f"(?iU){END}", f"$0{_CUT}"), _CUT)
-    done = F.filter(F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), F.trim), lambda s: s != "")
+    done = F.filter(F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), bare), lambda s: s != "")
     joined = F.array_join(F.transform(done, lambda s, i: F.when((i == 0) | (F.length(s) >= SHORT), F.concat(F.lit(_CUT), s)).otherwise(F.concat(F.lit(" "), s))), "")
-    rest = F.trim(F.element_at(parts, -1))
+    rest = bare(F.element_at(parts, -1))
     return F.filter(F.concat(F.split(joined, _CUT), F.array(rest)), lambda s: s != "")
 
 
 def of_texts(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, n, sentence) of whole texts; null and blank ones have none."""
-    told = F.regexp_replace(F.col(text).cast("string"), r"\A(?U)\s+|(?U)\s+\z", "")
-    return rows.select(F.col(key), F.posexplode(array_of(told)).alias("n", "sentence"))
+    return rows.select(F.col(key), F.posexplode(array_of(F.col(text).cast("string"))).alias("n", "sentence"))
 
 
 def complete(text: str) -> tuple[list[str], str]:
