@@ -27,10 +27,29 @@ def prereqs(edges):
     return out
 
 
-def test_topological_order():
-    order = graph.order_concepts(prereqs(DAG), {"transformers"})
-    assert order[-1] == "transformers" and all(order.index(p) < order.index(c) for p, c in DAG if c in order and p in order)
-    assert set(graph.order_concepts(prereqs([("b", "a"), ("c", "b"), ("a", "c")]), {"a"})) == {"a", "b", "c"}
+def ordered(edges, target):
+    """The order by its definition: level by level, by the place of the last prerequisite, then the name."""
+    own = prereqs(edges)
+    need, new = {target}, {target}
+    while new:
+        new = {p for c in new for p in own.get(c, ())} - need
+        need |= new
+    place: dict = {}
+    while ready := [c for c in need if c not in place and all(p in place for p in own.get(c, ()))]:
+        for c in sorted(ready, key=lambda c: (max([place[p] for p in own.get(c, ())], default=-1), c)):
+            place[c] = len(place)
+    return [*sorted(place, key=place.get), *sorted(need - set(place))]
+
+
+def test_learning_paths_are_ordered(spark):
+    r = random.Random(3)
+    edges = [(f"c{i}", f"c{j}") for j in range(40) for i in r.sample(range(j), min(j, r.randint(0, 3)))] + [("c50", "c51"), ("c51", "c50"), ("c50", "c39"), ("c3", "c51")] + DAG
+    targets = ["c39", "c38", "c20", "c0", "transformers", "unknown"]
+    rows = spark.createDataFrame([(p, c) for p, c in edges] + edges[:5], "prerequisite string, concept string")
+    got: dict = {}
+    for x in graph.learning_paths(rows, spark.createDataFrame([(t, ["c1", None]) for t in targets], "target string, mastered array<string>")).orderBy("target", "step").collect():
+        got.setdefault(x.target, []).append(x.concept)
+    assert got == {t: [c for c in ordered(edges, t) if c != "c1"] for t in targets}
 
 
 def test_paths_gaps_and_cycles(spark):

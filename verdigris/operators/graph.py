@@ -85,48 +85,50 @@ def gaps(closure: DataFrame, states: DataFrame) -> DataFrame:
     return open_.groupBy("student", "concept").agg(F.count_distinct("target").alias("n")).where(F.col("n") >= 2)
 
 
-def order_concepts(prereqs: dict[str, set[str]], targets: set[str]) -> list[str]:
-    """Concepts that the targets need, prerequisites first; ready ones by name, what a cycle holds last."""
-    need, stack = set(), list(targets)
-    while stack:
-        c = stack.pop()
-        if c not in need:
-            need.add(c)
-            stack += prereqs.get(c, set())
-    left = {c: len(prereqs.get(c, set()) & need) for c in need}
-    after: dict[str, list[str]] = {}
-    for c in need:
-        for p in prereqs.get(c, set()) & need:
-            after.setdefault(p, []).append(c)
-    queue, out = sorted(c for c in need if not left[c]), []
-    for c in queue:
-        out.append(c)
-        for d in sorted(after.get(c, [])):
-            left[d] -= 1
-            if not left[d]:
-                queue.append(d)
-    return out + sorted(need.difference(out))
+def reachable(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target, concept): all that a target needs, itself included, however deep; a join per level, over what is new."""
+    way = written(edges.select("prerequisite", "concept").distinct())
+    seen = fresh = written(targets.select("target", F.col("target").alias("concept")).distinct())
+    while not fresh.isEmpty():
+        step = fresh.join(way, "concept").select("target", F.col("prerequisite").alias("concept")).distinct()
+        fresh = written(step.join(seen, ["target", "concept"], "left_anti"))
+        seen = seen.unionByName(fresh)
+    return seen
 
 
 def learning_paths(edges: DataFrame, targets: DataFrame) -> DataFrame:
-    """(target, step, concept): each target's ordered prerequisites; (target, mastered array) rows ask.
+    """(target, step, concept): each target's prerequisites in order, without the mastered; (target, mastered array) rows ask.
 
-    The closure of a target is found by joins; only its own edges come together to be ordered.
+    A level holds the concepts whose prerequisites all stand in earlier ones. Within a level they follow
+    the place of their last prerequisite, then the name; what a cycle holds comes last, by name.
     """
-    closure = prerequisites(edges.withColumn("confidence", F.lit(1.0)), targets.select(F.col("target").alias("concept")), depth=30)
-    own = closure.select("target", "concept").unionByName(targets.select("target", F.col("target").alias("concept")))
-    part = own.join(edges.select("prerequisite", "concept"), "concept", "left").join(targets, "target")
-
-    def order(rows: pd.DataFrame) -> pd.DataFrame:
-        prereqs: dict = {}
-        for c, p in zip(rows["concept"], rows["prerequisite"], strict=True):
-            if isinstance(p, str):
-                prereqs.setdefault(c, set()).add(p)
-        target, known = rows["target"].iloc[0], set(rows["mastered"].iloc[0])
-        steps = [c for c in order_concepts(prereqs, {target}) if c not in known]
-        return pd.DataFrame({"target": target, "step": range(len(steps)), "concept": steps})
-
-    return part.groupBy("target").applyInPandas(order, "target string, step int, concept string")
+    need = written(reachable(edges, targets))
+    way = edges.select("prerequisite", "concept").distinct()
+    inner = written(need.join(way, "concept").select("target", "concept", "prerequisite"))  # a prerequisite of what is needed is needed
+    left = need
+    placed = None
+    by = W.partitionBy("target").orderBy("last", "concept")
+    while True:
+        waits = inner.join(left.select("target", F.col("concept").alias("prerequisite")), ["target", "prerequisite"]).select("target", "concept").distinct()
+        ready = left.join(waits, ["target", "concept"], "left_anti")
+        if placed is None:
+            last, offset = ready.withColumn("last", F.lit(-1)), None
+        else:
+            after = inner.join(placed.withColumnRenamed("concept", "prerequisite"), ["target", "prerequisite"]).groupBy("target", "concept").agg(F.max("place").alias("last"))
+            last = ready.join(after, ["target", "concept"], "left")
+            offset = placed.groupBy("target").agg(F.count("*").alias("offset"))
+        ranked = last.withColumn("rank", F.row_number().over(by))
+        ranked = ranked.withColumn("offset", F.lit(0)) if offset is None else ranked.join(offset, "target", "left")
+        done = written(ranked.select("target", "concept", (F.col("rank") - 1 + F.coalesce("offset", F.lit(0))).alias("place")))
+        if done.isEmpty():
+            break
+        placed = done if placed is None else placed.unionByName(done)
+        left = written(left.join(done.select("target", "concept"), ["target", "concept"], "left_anti"))
+    rest = left.withColumn("place", F.lit(1 << 40).cast("long"))
+    placed = rest if placed is None else placed.withColumn("place", F.col("place").cast("long")).unionByName(rest)
+    open_ = placed.join(targets.select("target", "mastered"), "target").where(~F.coalesce(F.array_contains("mastered", F.col("concept")), F.lit(False)))
+    step = F.row_number().over(W.partitionBy("target").orderBy("place", "concept")) - 1
+    return open_.select("target", step.alias("step"), "concept")
 
 
 def drop_cycles(edges: DataFrame) -> DataFrame:
