@@ -447,7 +447,11 @@ def links(rows: DataFrame, leaf: int | None = None) -> DataFrame:
     now = now.join(upper, "root", "left").withColumn("root", F.coalesce("b", "root")).drop("b")
     parts = now.groupBy("cell", "root").agg(F.sum("n").alias("n"))
     main = parts.groupBy("cell").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    main = main.where(F.col("all") > F.col("most")).withColumn("minor", F.col("all") - F.col("most"))
+    main = settle(main.where(F.col("all") > F.col("most")).withColumn("minor", F.col("all") - F.col("most")))
+    names = now.select(F.col("sid").alias("node"), "root")
+    if main.isEmpty():  # every large cell is one component, as cells of near copies are
+        rest = stars.select(F.col("a").alias("node"), F.col("b").alias("root")).join(names.select("node"), "node", "left_anti")
+        return rest.unionByName(names)
     open_ = now.join(main, "cell")
     many = F.ceil(F.col("total") / leaf).cast("long") - 1
     chunks = F.ceil(F.col("minor") / leaf).cast("long") - 1
@@ -456,7 +460,7 @@ def links(rows: DataFrame, leaf: int | None = None) -> DataFrame:
     right = open_.where(F.col("root") != F.col("main"))
     right = right.select("cell", F.explode(F.sequence(zero, many)).alias("leaf"), _chunk("minor", leaf).alias("chunk"), "sid", "root", F.lit(1).alias("side"), "tokens")
     across = join_groups(left.unionByName(right), ["cell", "leaf", "chunk"])
-    merged = components(now.select(F.col("sid").alias("a"), F.col("root").alias("b")).unionByName(across))
+    merged = components(names.toDF("a", "b").unionByName(across))
     rest = stars.select(F.col("a").alias("node"), F.col("b").alias("root")).join(merged.select("node"), "node", "left_anti")
     return rest.unionByName(merged)
 
