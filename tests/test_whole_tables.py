@@ -19,7 +19,7 @@ def test_bfs_over_all_events(spark, tmp_path):
         for x in way[node] - set(want):
             want[x] = want[node] + 1
             edge.append(x)
-    got = {r.node: r.hop for r in catalog.queries()["bfs_hops_all"](spark, str(tmp_path)).collect()}
+    got = {r.node: r.hop for r in catalog.queries()["bfs_hops"](spark, str(tmp_path)).collect()}
     assert got == want and max(want.values()) > 30 and "900" not in want
 
 
@@ -39,5 +39,5 @@ def test_fuzzy_over_all_names(spark, tmp_path):
                 best.append((-s, b))
         if best:
             want[a] = (min(best)[1], -min(best)[0])
-    got = {r.surface: (r.name, r.similarity) for r in catalog.queries()["fuzzy_names_all"](spark, str(tmp_path)).collect()}
+    got = {r.surface: (r.name, r.similarity) for r in catalog.queries()["fuzzy_names"](spark, str(tmp_path)).collect()}
     assert got == want and len(want) >= 5

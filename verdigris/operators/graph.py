@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -40,12 +42,12 @@ def anchored_subgraph(edges: DataFrame, anchors: DataFrame) -> DataFrame:
     return out.select("node", "hop", F.round(F.when(F.col("hop") == 0, F.col("score")).otherwise(F.col("weight") * (1 - 0.15 * F.col("hop"))), 9).alias("combined"))
 
 
-def hops(edges: DataFrame, starts: DataFrame, most: int = 30) -> DataFrame:
-    """(node, hop) by breadth-first search, a join per level; the frontier leaves out what was seen."""
+def hops(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node, hop) by breadth-first search, a join per level until nothing new is reached; the frontier leaves out what was seen."""
     way = written(both_ways(edges).select("src", "dst").distinct())
     seen = starts.select("node").distinct().withColumn("hop", F.lit(0))
     edge = seen
-    for level in range(1, most + 1):
+    for level in count(1):
         fresh = edge.join(way, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(level))
         fresh = written(fresh)
         if fresh.isEmpty():

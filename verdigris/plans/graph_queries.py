@@ -116,13 +116,12 @@ def learner_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.current(edges(spark, sf_dir)).groupBy("s").agg(F.when(n >= 6, "advanced").when(n >= 2, "intermediate").otherwise("beginner").alias("level"))
 
 
-GRAPH_SQL = f"""{FULL}, g AS (SELECT 'u' || s AS s, 'c' || o AS o, MAX(weight) AS weight FROM edges WHERE invalidated_at IS NULL AND s::INT < 12 GROUP BY 1, 2), way AS (SELECT s AS src, o AS dst, weight FROM g UNION ALL SELECT o, s, weight FROM g), free AS (SELECT * FROM way WHERE dst NOT IN ('u0', 'u1'))"""
+GRAPH_SQL = f"""{FULL}, g AS (SELECT 'u' || s AS s, 'c' || o AS o, MAX(weight) AS weight FROM edges WHERE invalidated_at IS NULL GROUP BY 1, 2), way AS (SELECT s AS src, o AS dst, weight FROM g UNION ALL SELECT o, s, weight FROM g), free AS (SELECT * FROM way WHERE dst NOT IN ('u0', 'u1'))"""
 
 
-def graph(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    live = B.current(edges(spark, sf_dir))
-    live = live if whole else live.where(F.col("s").cast("int") < 12)
-    return live.groupBy(F.concat(F.lit("u"), "s").alias("s"), F.concat(F.lit("c"), "o").alias("o")).agg(F.max("weight").alias("weight"))
+def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live relations between all students and concepts, by their strongest edge."""
+    return B.current(edges(spark, sf_dir)).groupBy(F.concat(F.lit("u"), "s").alias("s"), F.concat(F.lit("c"), "o").alias("o")).agg(F.max("weight").alias("weight"))
 
 
 TWO_HOP_SQL = f"""{GRAPH_SQL}, one AS (SELECT dst, round(weight * 0.85::DOUBLE, 15) AS w FROM free WHERE src IN ('u0', 'u1') AND weight > 0.05),
@@ -141,37 +140,17 @@ def anchored_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.anchored_subgraph(graph(spark, sf_dir), spark.createDataFrame([("u0", 0.9), ("u1", 0.6)], "node string, score double"))
 
 
-ALL_TWO_HOP_SQL = TWO_HOP_SQL.replace(" AND s::INT < 12", "")
-
-
-@query(f"{ALL_TWO_HOP_SQL} SELECT * FROM best")
-def two_hop_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Like ``two_hop``, over all subjects."""
-    return G.two_hop(graph(spark, sf_dir, whole=True), spark.createDataFrame([("u0",), ("u1",)], "node string"))
-
-
-@query(f"{ALL_TWO_HOP_SQL} SELECT node, hop, round(CASE WHEN hop = 0 THEN CASE node WHEN 'u0' THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END ELSE weight * (1 - 0.15::DOUBLE * hop) END, 9) AS combined FROM best")
-def anchored_subgraph_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Like ``anchored_subgraph``, over all subjects."""
-    return G.anchored_subgraph(graph(spark, sf_dir, whole=True), spark.createDataFrame([("u0", 0.9), ("u1", 0.6)], "node string, score double"))
-
-
 @query(
-    f"""WITH RECURSIVE e AS (SELECT DISTINCT (user_id % 400)::VARCHAR AS s, 'k' || json_extract(props, '$.k') AS o FROM events WHERE event_id % 40 = 0), way AS (SELECT s AS src, o AS dst FROM e UNION SELECT o, s FROM e),
-    walk AS (SELECT '1' AS node, 0 AS hop UNION SELECT w.dst, hop + 1 FROM walk JOIN way w ON w.src = walk.node WHERE hop < 14) SELECT node, MIN(hop) AS hop FROM walk GROUP BY node"""
+    """WITH RECURSIVE e AS (SELECT DISTINCT user_id::VARCHAR AS s, 'k' || json_extract(props, '$.k') AS o FROM events), way AS (SELECT s AS src, o AS dst FROM e UNION SELECT o, s FROM e),
+    walk AS (SELECT '1' AS node, 0 AS hop UNION SELECT w.dst, hop + 1 FROM walk JOIN way w ON w.src = walk.node WHERE hop < 30) SELECT node, MIN(hop) AS hop FROM walk GROUP BY node"""
 )
 def bfs_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hops from a user over the graph of a fortieth of the events (the graph is the feature under test, its size is fixed by the rule)."""
-    e = table(spark, sf_dir, "events").where("event_id % 40 = 0")
-    rows = e.select((F.col("user_id") % 400).cast("string").alias("s"), F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("o")).distinct().withColumn("weight", F.lit(1.0))
-    return G.hops(rows, spark.createDataFrame([("1",)], "node string"), 14).where("hop <= 14")
+    """Hops from a user over the graph of all users, concepts and events, until no new node is reached.
 
-
-@query()
-def bfs_hops_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hops from a user over the graph of all users, concepts and events, until no new node is reached."""
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("s"), F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("o")).distinct().withColumn("weight", F.lit(1.0))
-    return G.hops(rows, spark.createDataFrame([("1",)], "node string"), 1_000_000)
+    The SQL walks 30 levels (recursion in SQL needs an end); the tables' graphs are far shallower.
+    """
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("s"), F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("o")).distinct()
+    return G.hops(rows.withColumn("weight", F.lit(1.0)), spark.createDataFrame([("1",)], "node string"))
 
 
 @query(f"{FULL} SELECT node, MAX(weight) AS weight FROM (SELECT s AS node, weight FROM edges WHERE invalidated_at IS NULL UNION ALL SELECT o, weight FROM edges WHERE invalidated_at IS NULL) GROUP BY node")

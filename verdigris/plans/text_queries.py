@@ -173,18 +173,12 @@ def domain_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH g AS (SELECT p_name, list_distinct(flatten(list_transform(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(generate_series(1, length(w) + 1), lambda i: substr('  ' || w || ' ', i, 3))))) AS g FROM (SELECT DISTINCT p_name FROM part) WHERE p_name IS NOT NULL),
-    names AS (SELECT * FROM g WHERE md5(p_name) < '2'), pairs AS (SELECT a.p_name AS surface, b.p_name AS name, round(len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::DOUBLE, 9) AS similarity FROM g a, names b)
+    """WITH grams AS (SELECT p_name, unnest(list_distinct(flatten(list_transform(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(generate_series(1, length(w) + 1), lambda i: substr('  ' || w || ' ', i, 3)))))) AS g FROM (SELECT DISTINCT p_name FROM part)),
+    sizes AS (SELECT p_name, COUNT(*) AS n FROM grams GROUP BY p_name), shared AS (SELECT a.p_name AS surface, b.p_name AS name, COUNT(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.p_name <> b.p_name GROUP BY 1, 2),
+    pairs AS (SELECT surface, name, round(c / (x.n + y.n - c)::DOUBLE, 9) AS similarity FROM shared JOIN sizes x ON x.p_name = surface JOIN sizes y ON y.p_name = name)
     SELECT surface, name, similarity FROM (SELECT *, row_number() OVER (PARTITION BY surface ORDER BY similarity DESC, name) AS n FROM pairs WHERE similarity >= 0.6) WHERE n = 1"""
 )
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every part name against a register of names (an eighth of them, by hash, plays the register)."""
-    names = table(spark, sf_dir, "part").select("p_name").where("p_name is not null").distinct()
-    return entities.fuzzy(names.select(F.col("p_name").alias("surface")), names.where(F.md5(F.col("p_name").cast("binary")) < "2").select(F.col("p_name").alias("name")))
-
-
-@query()
-def fuzzy_names_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part name against all other part names."""
     names = table(spark, sf_dir, "part").select("p_name").where("p_name is not null").distinct()
     return entities.fuzzy(names.select(F.col("p_name").alias("surface")), names.select(F.col("p_name").alias("name")), others=True)
