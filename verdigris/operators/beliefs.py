@@ -101,3 +101,47 @@ def parse_operations(raw: DataFrame, column: str = "reply") -> DataFrame:
     rows = raw.select("*", F.explode(F.from_json(bare, schema)).alias("t")).where(F.col("t.subject").isNotNull() & F.col("t.predicate").isNotNull() & F.col("t.object").isNotNull())
     op = F.when(F.col("t.op").isin("add", "invalidate"), F.col("t.op")).otherwise("add")
     return rows.select(*raw.columns, "t.subject", "t.predicate", "t.object", op.alias("op"), F.coalesce(F.expr("try_cast(t.confidence as double)"), F.lit(1.0)).alias("confidence"))
+
+
+# Words in roles and professional context that tell the audience, and predicates by what they say of a person.
+ADVANCED = ["phd", "researcher", "research scientist", "scientist", "professor", "ml engineer", "machine learning engineer", "software engineer", "engineer", "research"]
+BUSINESS = ["product manager", "product lead", "founder", "co-founder", "cofounder", "entrepreneur", "executive", "ceo", "cto", "coo", "vp", "director", "manager", "business", "strategy", "startup"]
+BEGINNER = ["student", "beginner", "new to", "starting out", "undergraduate"]
+SAYS = {
+    "solid": ["mastered"],
+    "hard": ["struggles_with", "confused_about"],
+    "curious": ["curious_about", "wants_to_learn", "interested_in"],
+    "roles": ["is", "works_in"],
+    "context": ["works_at", "leads", "building", "researches", "collaborates_on"],
+    "preferences": ["prefers"],
+}
+
+
+def learner_profiles(edges: DataFrame) -> DataFrame:
+    """(s, level, profile): the audience of each subject by roles, context and mastery, and a line that sums it up.
+
+    Markers are found anywhere in the joined text. A subject without an object in any edge is unknown.
+    """
+    told = edges.where(F.coalesce("o", F.lit("")) != "")
+    sets = [F.array_sort(F.collect_set(F.when(F.col("p").isin(ps), F.col("o")))).alias(name) for name, ps in SAYS.items()]
+    studies = F.max((F.col("p") == "researches").cast("int")).alias("studies")
+    known = told.groupBy("s").agg(*sets, studies)
+    known = edges.select("s").distinct().join(known, "s", "left")
+    for name in SAYS:
+        known = known.withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    roles = F.when(F.col("studies") == 1, F.array_union("roles", F.array(F.lit("research")))).otherwise(F.col("roles"))
+    known = known.withColumn("roles", roles)
+    text = F.lower(F.array_join(F.concat("roles", "context"), " "))
+
+    def marks(words: list[str]) -> Column:
+        return F.exists(F.lit(words), lambda w: F.contains(text, w))
+
+    level = (
+        F.when(marks(ADVANCED) | (F.size("solid") >= 6), "advanced").when(marks(BUSINESS), "business").when(F.size("solid") >= 2, "intermediate").when(marks(BEGINNER), "beginner").otherwise("unknown")
+    )
+
+    def top(head: str, name: str, n: int) -> Column:
+        return F.when(F.size(name) > 0, F.concat(F.lit(f"{head}: "), F.array_join(F.slice(F.array_sort(name), 1, n), ", "), F.lit(".")))
+
+    parts = [top("Role", "roles", 3), top("Professional context", "context", 4), top("Already solid on", "solid", 5), top("Currently finding hard", "hard", 5), top("Interested in", "curious", 4), top("Stated preferences", "preferences", 3)]
+    return known.select("s", level.alias("level"), F.concat_ws(" ", F.concat(F.lit("LEARNER PROFILE: "), level, F.lit(".")), *parts).alias("profile"))

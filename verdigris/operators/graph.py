@@ -5,11 +5,13 @@ from __future__ import annotations
 from itertools import count
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from verdigris.functions.rules import sanitize_evidence
 from verdigris.operators.lineage import written
+from verdigris.operators.retrieval import vector_topk
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -56,6 +58,54 @@ def hops(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return seen
 
 
+def session_graph(nodes: DataFrame, edges: DataFrame, fade: float = 0.9) -> DataFrame:
+    """(node, type, hop, score): hops from the students over (s, o, weight) edges and a score for display.
+
+    A student scores 1, another node its largest weight (0.5 without an edge) faded by the hop, 1 at
+    most. Nodes that no student reaches count as one hop away.
+    """
+    reached = hops(edges, nodes.where(F.col("type") == "Student").select("node"))
+    rows = nodes.join(reached, "node", "left").join(node_weights(edges), "node", "left")
+    hop = F.coalesce("hop", F.lit(1))
+    score = F.when(F.col("type") == "Student", 1.0).otherwise(F.round(F.least(F.lit(1.0), F.coalesce("weight", F.lit(0.5)) * F.pow(F.lit(fade), hop)), 3))
+    return rows.select("node", "type", hop.alias("hop"), score.alias("score"))
+
+
+def vector_anchors(nodes: DataFrame, asked: DataFrame, k: int = 5, least: float = 0.5) -> DataFrame:
+    """(node, score): the nodes nearest to the one query vector of ``asked`` whose cosine reaches ``least``, ``k`` at most."""
+    near = vector_topk(nodes, asked, 3 * k, key="node")
+    return near.where(F.col("score") >= least).orderBy("rank").limit(k).select("node", "score")
+
+
+def vector_subgraph(nodes: DataFrame, edges: DataFrame, asked: DataFrame, k: int = 5, least: float = 0.5) -> DataFrame:
+    """(node, hop, combined): two hops around the nodes nearest to a query vector."""
+    return anchored_subgraph(edges, written(vector_anchors(nodes, asked, k, least)))
+
+
+def summary_lines(edges: DataFrame, session: int, hidden: list[str], most: int = 60) -> DataFrame:
+    """(s, active, past): a student's strongest beliefs as lines, those of one session apart from the others.
+
+    A belief that several sessions hold is told once, by its strongest edge. ``hidden`` predicates are
+    left out, after the ``most`` strongest edges are chosen.
+    """
+    order = [F.desc("weight"), F.desc("observations"), F.desc("valid_from"), "p", "o", "session"]
+    top = by_rank(edges, ["s"], order, most).where(~F.col("p").isin(hidden))
+    told = by_rank(top, ["s", "p", "o"], order, 1)
+    quote = sanitize_evidence("evidence")
+    line = F.concat(
+        F.lit("- "), "s", F.lit(" -["), "p", F.lit("]-> "), "o",
+        F.when(F.col("observations") > 1, F.concat(F.lit(" (mentioned "), F.col("observations"), F.lit(" times)"))).otherwise(""),
+        F.when(quote != "", F.concat(F.lit(" <quote>"), quote, F.lit("</quote>"))).otherwise(""),
+    )
+    placed = told.select("s", "session", F.row_number().over(W.partitionBy("s").orderBy(*order)).alias("n"), line.alias("line"))
+
+    def lines(mine: Column) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(mine, F.struct("n", "line")))), lambda x: x["line"]), "\n")
+
+    mine = F.col("session") == session
+    return placed.groupBy("s").agg(lines(mine).alias("active"), lines(~mine).alias("past"))
+
+
 def prerequisites(edges: DataFrame, targets: DataFrame, depth: int = 6, least: float = 0.5) -> DataFrame:
     """(target, concept, depth): what leads up to each target, at its deepest, over edges of enough confidence."""
     kept = written(edges.where(F.col("confidence") >= least).select("prerequisite", "concept"))
@@ -167,12 +217,17 @@ def drop_cycles(edges: DataFrame) -> DataFrame:
 
 
 def bundle(edges: DataFrame, priority: list[str]) -> DataFrame:
-    """(s, o, top, weight, label): one row per pair of nodes; the top predicate is the first in ``priority``."""
+    """(s, o, top, weight, label, evidence): one row per pair of nodes; the top predicate is the first in ``priority``.
+
+    Quotes that are not empty are joined by predicate and session.
+    """
     rank = F.array_position(F.lit(priority), F.col("p"))
+    quotes = F.array_sort(F.collect_list(F.when(F.coalesce("evidence", F.lit("")) != "", F.struct("p", "session", "evidence"))))
     return edges.groupBy("s", "o").agg(
         F.min_by("p", F.struct(F.when(rank == 0, 999).otherwise(rank), "p")).alias("top"),
         F.max("weight").alias("weight"),
         F.array_join(F.array_sort(F.collect_set("p")), " & ").alias("label"),
+        F.array_join(F.transform(quotes, lambda q: q["evidence"]), " | ").alias("evidence"),
     )
 
 

@@ -22,10 +22,16 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def step_path(spark: SparkSession) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names, removed when the driver ends."""
+    path = f"{_folder(spark)}/verdigris-step-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the folder that ``spark.checkpoint.dir`` names."""
     spark = df.sparkSession
-    path = f"{_folder(spark)}/verdigris-step-{uuid.uuid4().hex}"
+    path = step_path(spark)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)

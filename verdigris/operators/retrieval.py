@@ -7,6 +7,8 @@ below ``QUERY_LIMIT`` rows, counted first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -140,13 +142,55 @@ def confidence(fused: DataFrame, queries: DataFrame, least: float = 0.35) -> Dat
     return queries.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), (F.coalesce("confidence", F.lit(0.0)) >= least).alias("grounded"))
 
 
+def prerequisite_hits(hints: DataFrame, search: Callable[[DataFrame, int], DataFrame], most: int = 3, k: int = 2) -> DataFrame:
+    """(query_id, prerequisite_for, ...): ``k`` hits for each of the first ``most`` hints of a query.
+
+    ``hints`` is (query_id, n, concept, qvec, qtext) with n from 0; ``search`` finds hits for
+    (query_id, qvec, qtext) rows. Every pair of a query and a hint is searched as one query.
+    """
+    asked = hints.where(F.col("n") < most).withColumn("hint_id", F.col("query_id") * most + F.col("n"))
+    found = search(asked.select(F.col("hint_id").alias("query_id"), "qvec", "qtext"), k).withColumnRenamed("query_id", "hint_id")
+    names = asked.select("hint_id", "query_id", F.col("concept").alias("prerequisite_for"))
+    return found.join(names, "hint_id")
+
+
+def retrieve(asked: DataFrame, hints: DataFrame, search: Callable[[DataFrame, int], DataFrame], chunks: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Passages and confidence of a batch of queries.
+
+    The passages are (query_id, prerequisite_for, source_file, start_index, end_index, n_hits, top_score,
+    text); those for a prerequisite name it and have no neighbours. Confidence is (query_id, confidence,
+    grounded), by the queries' own hits alone.
+    """
+    hits = search(asked, k)
+    own = passages(hits, neighbours(hits, chunks)).withColumn("prerequisite_for", F.lit(None).cast("string"))
+    extra = prerequisite_hits(hints, search)
+    tied = passages(extra.drop("query_id").withColumnRenamed("hint_id", "query_id"), neighbours(extra.drop("query_id").withColumnRenamed("hint_id", "query_id"), chunks, 0))
+    names = extra.select("hint_id", F.col("query_id").alias("asker"), "prerequisite_for").distinct()
+    best = W.partitionBy("hint_id").orderBy(F.desc("top_score"), "source_file", "start_index")
+    few = tied.withColumnRenamed("query_id", "hint_id").withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= 2).drop("_n")
+    background = few.join(names, "hint_id").drop("hint_id").withColumnRenamed("asker", "query_id")
+    return own.unionByName(background), confidence(hits, asked)
+
+
 def knowledge_block(found: DataFrame, grounded: DataFrame) -> DataFrame:
-    """(query_id, block): passages under a header that tells how well they match."""
+    """(query_id, block): passages under a header that tells how well they match.
+
+    Passages with a ``prerequisite_for`` (the column may be missing) come first, as background.
+    """
+    rows = found if "prerequisite_for" in found.columns else found.withColumn("prerequisite_for", F.lit(None).cast("string"))
+    own = F.col("prerequisite_for").isNull()
     where = F.when(F.col("start_index") == F.col("end_index"), F.concat(F.lit("chunk "), F.col("start_index"))).otherwise(F.concat(F.lit("chunks "), F.col("start_index"), F.lit("-"), F.col("end_index")))
-    line = F.concat(F.lit("["), F.col("source_file"), F.lit(", "), where, F.lit("]\n"), F.col("text"))
-    body = found.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("top_score")).alias("o"), "source_file", "start_index", line.alias("line")))), lambda p: p["line"]), "\n\n").alias("body"))
-    head = F.when(F.col("body").isNull(), "NO PASSAGES").when(~F.col("grounded"), "WEAK MATCH").otherwise("PASSAGES")
-    return grounded.join(body, "query_id", "left").select("query_id", F.concat_ws("\n\n", head, "body").alias("block"))
+    head = F.when(own, F.concat(F.lit("["), F.col("source_file"), F.lit(", "), where, F.lit("]\n"))).otherwise(F.concat(F.lit("[Prerequisite: "), F.initcap("prerequisite_for"), F.lit("]\n")))
+    item = F.struct((-F.col("top_score")).alias("o"), "source_file", "start_index", F.concat(head, "text").alias("line"))
+
+    def part(which: Column) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(which, item))), lambda p: p["line"]), "\n\n")
+
+    body = rows.groupBy("query_id").agg(part(own).alias("body"), part(~own).alias("background"))
+    body = body.select("query_id", F.nullif("body", F.lit("")).alias("body"), F.nullif("background", F.lit("")).alias("background"))
+    title = F.when(F.col("body").isNull(), "NO PASSAGES").when(~F.col("grounded"), "WEAK MATCH").otherwise("PASSAGES")
+    extra = F.when(F.col("body").isNotNull() & F.col("background").isNotNull(), F.concat(F.lit("BACKGROUND\n\n"), "background", F.lit("\n\nMATERIAL")))
+    return grounded.join(body, "query_id", "left").select("query_id", F.concat_ws("\n\n", title, extra, "body").alias("block"))
 
 
 def rerank_boost(kind: Column, canonical: Column, length: Column) -> Column:

@@ -58,6 +58,13 @@ def pending(turns: DataFrame, done: DataFrame, n: int = 3) -> DataFrame:
     return left.withColumn("n", F.row_number().over(W.partitionBy("session").orderBy(F.desc("turn")))).where(F.col("n") <= n).select("session", "turn")
 
 
+def extraction_status(turns: DataFrame, done: DataFrame) -> DataFrame:
+    """(session, n_turns, n_user, n_extracted, n_pending): user turns with and without a finished (session, turn)."""
+    marked = turns.join(done.select("session", "turn").distinct().withColumn("done", F.lit(True)), ["session", "turn"], "left")
+    user, ready = F.col("role") == "user", F.coalesce("done", F.lit(False))
+    return marked.groupBy("session").agg(F.count("*").alias("n_turns"), F.count_if(user).alias("n_user"), F.count_if(user & ready).alias("n_extracted"), F.count_if(user & ~ready).alias("n_pending"))
+
+
 def without_sessions(table: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows of other sessions; as a delete, for any table with a session column."""
     return table.join(gone.select("session"), "session", "left_anti")

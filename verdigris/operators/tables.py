@@ -68,3 +68,19 @@ def write_report(rows: DataFrame, path: str) -> None:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def isolated(rows: DataFrame, tenant: int | None) -> DataFrame:
+    """The tenant's own rows; without a tenant there are none."""
+    return rows.where(F.col("tenant") == tenant) if tenant is not None else rows.where(F.lit(False))
+
+
+def checked(rows: DataFrame, tenant: int | None) -> DataFrame:
+    """Rows to write for a tenant; the job fails at a row of another tenant, of none, or without a tenant."""
+    fine = F.coalesce(F.col("tenant") == F.lit(tenant), F.lit(False))
+    return rows.where(F.when(fine, True).otherwise(F.raise_error(F.lit("row belongs to another tenant")).cast("boolean")))
+
+
+def from_live_turns(operations: DataFrame, turns: DataFrame) -> DataFrame:
+    """Operations whose source (tenant, session, turn) still exists; work for a deleted turn is not written."""
+    return operations.join(turns.select("tenant", "session", "turn"), ["tenant", "session", "turn"], "left_semi")

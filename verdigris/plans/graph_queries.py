@@ -159,7 +159,7 @@ def node_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{FULL} SELECT s, o, arg_min(p, (CASE p WHEN 'mastered' THEN 1 WHEN 'struggles_with' THEN 2 WHEN 'studied' THEN 3 ELSE 999 END, p)) AS top, MAX(weight) AS weight, array_to_string(list_sort(list(DISTINCT p)), ' & ') AS label FROM edges WHERE invalidated_at IS NULL GROUP BY s, o"""
+    f"""{FULL} SELECT s, o, arg_min(p, (CASE p WHEN 'mastered' THEN 1 WHEN 'struggles_with' THEN 2 WHEN 'studied' THEN 3 ELSE 999 END, p)) AS top, MAX(weight) AS weight, array_to_string(list_sort(list(DISTINCT p)), ' & ') AS label, COALESCE(string_agg(evidence, ' | ' ORDER BY p, session, evidence) FILTER (evidence <> ''), '') AS evidence FROM edges WHERE invalidated_at IS NULL GROUP BY s, o"""
 )
 def bundled_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.bundle(B.current(edges(spark, sf_dir)), ["mastered", "struggles_with", "studied"])
@@ -245,3 +245,73 @@ def validated_triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, i = table(spark, sf_dir, "events"), F.col("event_id")
     raw = e.select((F.col("user_id") % 7).cast("string").alias("subject"), F.lit("Thing").alias("subject_type"), F.when(i % 11 == 0, "knows").when(i % 3 == 0, "related_to").otherwise("studied").alias("predicate"), F.when(i % 13 == 0, " ").otherwise((i % 7).cast("string")).alias("object"), F.when(i % 2 == 0, "Tool").otherwise("Thing").alias("object_type"), ((i % 10) / F.lit(10.0)).alias("confidence"))
     return B.validate_triplets(raw).groupBy("subject", "subject_type", "predicate", "object", "object_type").agg(F.count("*").alias("n"))
+
+
+SESSION_NODES_SQL = "nodes AS (SELECT DISTINCT s AS node, CASE WHEN s = 'u0' THEN 'Student' ELSE 'Person' END AS type FROM g UNION ALL SELECT DISTINCT o, 'Concept' FROM g UNION ALL SELECT n_name, 'Concept' FROM nation)"
+
+
+@query(
+    f"""{GRAPH_SQL.replace("WITH ", "WITH RECURSIVE ", 1)}, {SESSION_NODES_SQL}, walk AS (SELECT node, 0 AS hop FROM nodes WHERE type = 'Student' UNION SELECT w.dst, hop + 1 FROM walk JOIN way w ON w.src = walk.node WHERE hop < 10),
+    top AS (SELECT src AS node, MAX(weight) AS weight FROM way GROUP BY src), near AS (SELECT node, MIN(hop) AS hop FROM walk GROUP BY node)
+    SELECT node, type, COALESCE(hop, 1) AS hop, CASE type WHEN 'Student' THEN 1.0::DOUBLE ELSE round(LEAST(1.0::DOUBLE, COALESCE(weight, 0.5::DOUBLE) * pow(0.9::DOUBLE, COALESCE(hop, 1))), 3) END AS score FROM nodes LEFT JOIN near USING (node) LEFT JOIN top USING (node)"""
+)
+def session_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One student's graph with hops and scores; nations are concepts without an edge."""
+    g = graph(spark, sf_dir)
+    people = g.select(F.col("s").alias("node")).distinct().withColumn("type", F.when(F.col("node") == "u0", "Student").otherwise("Person"))
+    lone = table(spark, sf_dir, "nation").select(F.col("n_name").alias("node"))
+    concepts = g.select(F.col("o").alias("node")).distinct().unionByName(lone).withColumn("type", F.lit("Concept"))
+    return G.session_graph(people.unionByName(concepts), g)
+
+
+@query(
+    f"""{GRAPH_SQL.split(", free AS")[0]}, near AS (SELECT 'c' || e.vec_id AS node, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score FROM embeddings e, embeddings q WHERE q.vec_id = 25 AND e.vec_id < 20),
+    anchors AS (SELECT node, score FROM (SELECT * FROM near ORDER BY score DESC, node LIMIT 15) WHERE score >= 0.05 ORDER BY score DESC, node LIMIT 5), free AS (SELECT * FROM way WHERE dst NOT IN (SELECT node FROM anchors)),
+    one AS (SELECT dst, weight * 0.85::DOUBLE AS w FROM free WHERE src IN (SELECT node FROM anchors) AND weight > 0.05), two AS (SELECT f.dst, o.w * f.weight * 0.85::DOUBLE AS w FROM one o JOIN free f ON f.src = o.dst WHERE f.dst <> o.dst AND o.w * f.weight > 0.05),
+    spread AS (SELECT node, 0 AS hop, 1.0::DOUBLE AS w FROM anchors UNION ALL SELECT dst, 1, round(w, 9) FROM one UNION ALL SELECT dst, 2, round(w, 9) FROM two),
+    best AS (SELECT node, hop, w AS weight FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY w DESC, hop) AS r FROM spread) WHERE r = 1 ORDER BY node LIMIT 50)
+    SELECT node, hop, round(CASE WHEN hop = 0 THEN score ELSE weight * (1 - 0.15::DOUBLE * hop) END, 9) AS combined FROM best LEFT JOIN anchors USING (node)"""
+)
+def vector_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hops around the concepts nearest to a vector."""
+    vecs = table(spark, sf_dir, "embeddings")
+    nodes = vecs.where("vec_id < 20").select(F.concat(F.lit("c"), "vec_id").alias("node"), F.col("embedding").alias("vec"))
+    return G.vector_subgraph(nodes, graph(spark, sf_dir), vecs.where("vec_id = 25").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), least=0.05)
+
+
+@query(
+    f"""{FULL}, top AS (SELECT * FROM edges WHERE invalidated_at IS NULL QUALIFY row_number() OVER (PARTITION BY s ORDER BY weight DESC, observations DESC, valid_from DESC, p, o, session) <= 60),
+    told AS (SELECT * FROM top WHERE p NOT IN ('named', 'is') QUALIFY row_number() OVER (PARTITION BY s, p, o ORDER BY weight DESC, observations DESC, valid_from DESC, session) = 1),
+    lines AS (SELECT s, session, row_number() OVER (PARTITION BY s ORDER BY weight DESC, observations DESC, valid_from DESC, p, o, session) AS n, '- ' || s || ' -[' || p || ']-> ' || o || CASE WHEN observations > 1 THEN ' (mentioned ' || observations || ' times)' ELSE '' END || CASE WHEN COALESCE(evidence, '') <> '' THEN ' <quote>' || evidence || '</quote>' ELSE '' END AS line FROM told)
+    SELECT s, COALESCE(string_agg(line, chr(10) ORDER BY n) FILTER (session = 1), '') AS active, COALESCE(string_agg(line, chr(10) ORDER BY n) FILTER (session <> 1), '') AS past FROM lines GROUP BY s"""
+)
+def graph_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.summary_lines(B.current(edges(spark, sf_dir)), 1, ["named", "is"])
+
+
+TITLES = ["Director of Ops", "Research Scientist", "undergraduate", "Painter", "Product Manager", "cook", "sailor", "", "baker"]
+SAID = ["is", "works_at", "prefers", "works_in", "leads", "interested_in", "mastered", "struggles_with", "researches", "mastered", "confused_about"]
+TOLD_SQL = f"told AS (SELECT 's' || c_custkey % 211 AS s, {SAID}[1 + c_custkey * 7 % 11] AS p, CASE WHEN {SAID}[1 + c_custkey * 7 % 11] IN ('is', 'works_at', 'leads') THEN {TITLES}[1 + c_custkey * 5 % 9] ELSE 'topic ' || c_nationkey END AS o FROM customer)"
+
+
+def _marked(words: list[str]) -> str:
+    return " OR ".join(f"contains(said, '{w}')" for w in words)
+
+
+def _top(head: str, name: str, n: int) -> str:
+    return f"CASE WHEN len({name}) > 0 THEN '{head}: ' || array_to_string({name}[1:{n}], ', ') || '.' END"
+
+
+@query(
+    f"""WITH {TOLD_SQL}, sets AS (SELECT s, {", ".join(f"COALESCE(list_sort(list(DISTINCT o) FILTER (o <> '' AND p IN ({', '.join(chr(39) + x + chr(39) for x in ps)}))), []) AS {name}0" for name, ps in B.SAYS.items())}, bool_or(p = 'researches' AND o <> '') AS studies FROM told GROUP BY s),
+    said AS (SELECT *, solid0 AS solid, hard0 AS hard, curious0 AS curious, context0 AS context, preferences0 AS preferences, CASE WHEN studies AND NOT list_contains(roles0, 'research') THEN list_sort(list_append(roles0, 'research')) ELSE roles0 END AS roles,
+      lower(array_to_string(list_concat(CASE WHEN studies THEN list_append(roles0, 'research') ELSE roles0 END, context0), ' ')) AS said FROM sets),
+    leveled AS (SELECT *, CASE WHEN {_marked(B.ADVANCED)} OR len(solid) >= 6 THEN 'advanced' WHEN {_marked(B.BUSINESS)} THEN 'business' WHEN len(solid) >= 2 THEN 'intermediate' WHEN {_marked(B.BEGINNER)} THEN 'beginner' ELSE 'unknown' END AS level FROM said)
+    SELECT s, level, concat_ws(' ', 'LEARNER PROFILE: ' || level || '.', {_top("Role", "roles", 3)}, {_top("Professional context", "context", 4)}, {_top("Already solid on", "solid", 5)}, {_top("Currently finding hard", "hard", 5)}, {_top("Interested in", "curious", 4)}, {_top("Stated preferences", "preferences", 3)}) AS profile FROM leveled"""
+)
+def learner_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of subjects whose roles, interests and skills come from customers."""
+    c = F.col("c_custkey")
+    p = F.element_at(F.lit(SAID), (c * 7 % 11 + 1).cast("int"))
+    o = F.when(p.isin("is", "works_at", "leads"), F.element_at(F.lit(TITLES), (c * 5 % 9 + 1).cast("int"))).otherwise(F.concat(F.lit("topic "), "c_nationkey"))
+    return B.learner_profiles(table(spark, sf_dir, "customer").select(F.concat(F.lit("s"), c % 211).alias("s"), p.alias("p"), o.alias("o")))
