@@ -114,8 +114,8 @@ def reciprocal_ranks(lists: list[DataFrame], key: str = "id") -> DataFrame:
 
 
 def neighbours(hits: DataFrame, chunks: DataFrame, window: int = 1) -> DataFrame:
-    """(query_id, source_file, chunk_index, chunk_text): chunks within ``window`` of a hit in the same file, once each."""
-    if window <= 0:
+    """(query_id, source_file, chunk_index, chunk_text): chunks within ``window`` of a hit in the same file, once each; hits with a text need no lookup for a window of 0."""
+    if window <= 0 and "chunk_text" in hits.columns:
         return hits.select("query_id", "source_file", "chunk_index", "chunk_text")
     wanted = hits.select("query_id", "source_file", F.explode(F.sequence(F.col("chunk_index") - window, F.col("chunk_index") + window)).alias("chunk_index")).distinct()
     return wanted.join(chunks.select("source_file", "chunk_index", "chunk_text"), ["source_file", "chunk_index"]).select("query_id", "source_file", "chunk_index", "chunk_text")
@@ -164,7 +164,8 @@ def retrieve(asked: DataFrame, hints: DataFrame, search: Callable[[DataFrame, in
     hits = search(asked, k)
     own = passages(hits, neighbours(hits, chunks)).withColumn("prerequisite_for", F.lit(None).cast("string"))
     extra = prerequisite_hits(hints, search)
-    tied = passages(extra.drop("query_id").withColumnRenamed("hint_id", "query_id"), neighbours(extra.drop("query_id").withColumnRenamed("hint_id", "query_id"), chunks, 0))
+    alone = extra.drop("query_id").withColumnRenamed("hint_id", "query_id")
+    tied = passages(alone, neighbours(alone, chunks, 0))
     names = extra.select("hint_id", F.col("query_id").alias("asker"), "prerequisite_for").distinct()
     best = W.partitionBy("hint_id").orderBy(F.desc("top_score"), "source_file", "start_index")
     few = tied.withColumnRenamed("query_id", "hint_id").withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= 2).drop("_n")

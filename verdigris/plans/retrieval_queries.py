@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from verdigris.functions.rules import authority_prior
 from verdigris.operators import retrieval as R
+from verdigris.operators.lineage import written
 from verdigris.plans.registry import query
 from verdigris.sources.tables import table
 
@@ -193,3 +194,52 @@ def abstention_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = W.partitionBy(F.lit(1))
     good = F.sum("yes").over(above) + (F.sum(F.col("n") - F.col("yes")).over(every) - F.sum(F.col("n") - F.col("yes")).over(above))
     return steps.select("threshold", F.round(good / F.sum("n").over(every), 9).alias("accuracy")).orderBy(F.desc("accuracy"), "threshold").limit(1)
+
+
+HINTS_SQL = "hinted AS (SELECT a.query_id * 3 + n AS query_id, a.query_id AS asker, h.qtext AS concept, h.qvec, h.qtext FROM asked a, range(3) r(n), asked h WHERE h.query_id = (a.query_id + n + 1) % 20)"
+HINT_VECTOR_SQL = VECTOR_SQL.replace("vec AS (", "hvec AS (").replace("asked", "hinted").replace("<= 40", "<= 8")
+HINT_LEXICAL_SQL = "hterms AS" + LEXICAL_SQL.split("terms AS", 1)[1].replace("asked", "hinted").replace("lex AS (", "hlex AS (").replace("JOIN terms", "JOIN hterms").replace("<= 40", "<= 8")
+HINT_FUSED_SQL = FUSED_SQL.replace("fused AS (", "hfused AS (").replace("FROM vec v", "FROM hvec v").replace("JOIN lex l", "JOIN hlex l").replace("41)", "9)").replace("<= 10", "<= 2")
+RETRIEVED_SQL = f"""{PASSAGES_SQL}, {HINTS_SQL}, {HINT_VECTOR_SQL}, {HINT_LEXICAL_SQL}, {HINT_FUSED_SQL},
+    hhits AS (SELECT query_id, id::VARCHAR AS source_file, (id % 3 + rank % 2)::INT AS chunk_index, final_score FROM hfused),
+    htied AS (SELECT query_id, source_file, chunk_index, final_score, chunk_text, chunk_index - row_number() OVER (PARTITION BY query_id, source_file ORDER BY chunk_index) AS run FROM hhits JOIN chunks USING (source_file, chunk_index)),
+    background AS (SELECT asker AS query_id, concept AS prerequisite_for, source_file, start_index, end_index, n_hits, top_score, text FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY top_score DESC, source_file, start_index) AS n FROM (
+        SELECT query_id, source_file, MIN(chunk_index) AS start_index, MAX(chunk_index) AS end_index, COUNT(*) AS n_hits, MAX(final_score) AS top_score, string_agg(chunk_text, chr(10) || chr(10) ORDER BY chunk_index) AS text FROM htied GROUP BY query_id, source_file, run)
+      ) JOIN hinted USING (query_id) WHERE n <= 2),
+    retrieved AS (SELECT query_id, NULL AS prerequisite_for, source_file, start_index, end_index, n_hits, top_score, text FROM passages UNION ALL SELECT * FROM background)"""
+
+
+def _retrieved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Whole retrieval for the 20 queries; the concepts of the next four queries play the hints, of which three count."""
+    docs = table(spark, sf_dir, "documents")
+    kind = F.element_at(F.lit(KINDS), F.regexp_extract("source", "[0-9]+", 0).cast("int") % 4 + 1)
+    attributes = docs.select(F.col("doc_id").alias("id"), authority_prior(kind, F.lit(1.0)).alias("authority"))
+
+    def search(wanted: DataFrame, k: int) -> DataFrame:
+        lexical = R.lexical_topk(docs.select(F.col("doc_id").alias("id"), "text"), wanted, 4 * k)
+        fused = R.fuse(R.vector_topk(_docs(spark, sf_dir), wanted, 4 * k), lexical, attributes, k)
+        at = (F.col("id") % 3 + F.col("rank") % 2).cast("int").alias("chunk_index")
+        return written(fused.select("query_id", F.col("id").cast("string").alias("source_file"), at, "final_score", "vector_score"))
+
+    own = asked(spark, sf_dir)
+    turn = own.select("query_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: (F.col("query_id") + n) % 20)).alias("n", "other"))
+    hints = turn.join(own.select(F.col("query_id").alias("other"), "qvec", "qtext"), "other").select("query_id", "n", F.col("qtext").alias("concept"), "qvec", "qtext")
+    return R.retrieve(own, hints, search, chunks(spark, sf_dir))
+
+
+@query(f"{RETRIEVED_SQL} SELECT * FROM retrieved")
+def retrieved_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _retrieved(spark, sf_dir)[0]
+
+
+@query(
+    rf"""{RETRIEVED_SQL}, conf AS (SELECT query_id, COALESCE(MAX(vector_score), 0) >= 0.35 AS grounded FROM asked LEFT JOIN fused USING (query_id) GROUP BY query_id),
+    body AS (SELECT query_id, string_agg('[' || source_file || ', ' || CASE WHEN start_index = end_index THEN 'chunk ' || start_index ELSE 'chunks ' || start_index || '-' || end_index END || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY top_score DESC, source_file, start_index) FILTER (prerequisite_for IS NULL) AS body,
+      string_agg('[Prerequisite: ' || array_to_string(list_transform(string_split(prerequisite_for, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY top_score DESC, source_file, start_index) FILTER (prerequisite_for IS NOT NULL) AS background FROM retrieved GROUP BY query_id)
+    SELECT query_id, md5(concat_ws(chr(10) || chr(10), CASE WHEN body IS NULL THEN 'NO PASSAGES' WHEN NOT grounded THEN 'WEAK MATCH' ELSE 'PASSAGES' END, CASE WHEN body IS NOT NULL AND background IS NOT NULL THEN 'BACKGROUND' || chr(10) || chr(10) || background || chr(10) || chr(10) || 'MATERIAL' END, body)) AS digest FROM conf LEFT JOIN body USING (query_id)"""
+)
+def retrieved_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The block of each query with its background, as a digest."""
+    found, grounded = _retrieved(spark, sf_dir)
+    return R.knowledge_block(found, grounded).select("query_id", F.md5(F.col("block").cast("binary")).alias("digest"))
