@@ -80,7 +80,7 @@ def bm25(rows: DataFrame, queries: DataFrame, k: int = 15, k1: float = 1.5, b: f
     asked = _bounded(query_terms(queries).select("query_id", "term"))
     hits = sized.select(key, "len", F.explode("w").alias("term")).join(_bounded(asked.select("term").distinct()), "term").groupBy("term", key, "len").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(df), "term").join(F.broadcast(whole)).join(asked, "term")  # df has a row per asked term, whole has one
+    scored = hits.join(df, "term").join(F.broadcast(whole)).join(asked, "term")  # whole has one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), key)
