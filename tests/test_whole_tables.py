@@ -41,3 +41,25 @@ def test_fuzzy_over_all_names(spark, tmp_path):
             want[a] = (min(best)[1], -min(best)[0])
     got = {r.surface: (r.name, r.similarity) for r in catalog.queries()["fuzzy_names"](spark, str(tmp_path)).collect()}
     assert got == want and len(want) >= 5
+
+
+def test_no_cycles_left_and_none_dropped_in_vain(spark, tmp_path):
+    """The most confident edges stay; an edge goes only if those before it lead back (by closure over all pairs)."""
+    names = ["click", "view", "error", "purchase", "signup"]
+    rows = [(i, f"2024-01-01 00:{i // 60:02d}:{i % 60:02d}", i % 10, names[(i * i + i // 3) % 5]) for i in range(600)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    weights = defaultdict(int)
+    for user in range(10):
+        line = [r[3] for r in rows if r[2] == user]
+        for a, b in zip(line, line[1:]):
+            if a != b:
+                weights[user % 5, a, b] += 1
+    want = set()
+    for group in range(5):
+        reach = {(x, x) for x in names}
+        for (_, a, b), w in sorted((e for e in weights.items() if e[0][0] == group), key=lambda e: (-e[1], e[0][1:])):
+            if (b, a) not in reach:
+                want.add((group, a, b, float(w)))
+                reach |= {(x, y) for x in names for y in names if (x, a) in reach and (b, y) in reach}
+    got = {(r.group, r.prerequisite, r.concept, r.confidence) for r in catalog.queries()["acyclic_edges"](spark, str(tmp_path)).collect()}
+    assert got == want and 0 < len(want) < len(weights)
