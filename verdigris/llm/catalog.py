@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import jaccard, langid, lines, mixing, nearest, segmentations, simhash, substrings, tokenfile, toxicity
+from verdigris.llm import bpe, jaccard, langid, lines, mixing, nearest, segmentations, simhash, substrings, tokenfile, toxicity
 from verdigris.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,13 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removed(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents and the texts they decode to, as digests."""
+    import public_tokenizers
+
+    return bpe.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py."""
     import corpus_pipeline
@@ -85,7 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_segmentations, op3_language_id, op4_nearest, op5_jaccard, op6_lines, op7_token_file, op8_toxicity, op9_fingerprints, op10_substrings, pipeline)}
+    return {f.__name__: f for f in (op1_mixing, op2_segmentations, op3_language_id, op4_nearest, op5_jaccard, op6_lines, op7_token_file, op8_toxicity, op9_fingerprints, op10_substrings, op11_bpe, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
