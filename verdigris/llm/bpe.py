@@ -32,6 +32,8 @@ from verdigris.llm.tokenfile import CachedEncoder
 LONG_TEXT = 1 << 16
 UNSPLIT = 2048
 PART = 8192
+#: Bytes that are worked on at once, and stretches of text that an encoder keeps.
+SLICE, KEPT = 1 << 20, 400_000
 #: Characters of one kind that a cut inside a run has on either side: more than a contraction's.
 INSIDE = 8
 
@@ -97,11 +99,42 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Coder:
-    """Encodes, cuts and decodes with one tokenizer file."""
+class Spelling:
+    """The bytes of each id of a byte-level tokenizer."""
+
+    def __init__(self, tokenizer):
+        vocabulary = tokenizer.get_vocab()
+        self.names = [""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            self.names[i] = token
+        letters, added = _byte_letters(), {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+        spelled = [x.encode() if x in added else bytes(letters[c] for c in x) for x in self.names]
+        self.size_of = np.array([len(x) for x in spelled], np.int64)
+        self.spelling = np.frombuffer(b"".join(spelled), np.uint8)
+        self.spelling_at = np.cumsum(self.size_of) - self.size_of
+
+    def spell(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of ``ids`` in a row."""
+        many = self.size_of[ids]
+        ends = np.cumsum(many)
+        return self.spelling[np.repeat(self.spelling_at[ids] - ends + many, many) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of ids in a row, some ``SLICE`` bytes at a time; bytes that are no UTF-8 become U+FFFD."""
+        at = np.concatenate([[0], np.cumsum(self.size_of[ids])])[ends]
+        out = []
+        for x, y in slices(at):
+            raw = self.spell(ids[ends[x] : ends[y]]).tobytes()
+            own = (at[x : y + 1] - at[x]).tolist()
+            out += [raw[p:q].decode("utf-8", "replace") for p, q in zip(own[:-1], own[1:], strict=True)]
+        return out
+
+
+class Coder(Spelling):
+    """Encodes and cuts with one tokenizer file."""
 
     def __init__(self, path: str, plain: bool = False):
-        self.cached = CachedEncoder(path)
+        self.cached = CachedEncoder(path, KEPT)
         self.tokenizer = self.cached.tokenizer
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -110,15 +143,7 @@ class Coder:
             self.cached.whole = []
         self.special = [x.decode() for x in self.cached.whole]
         self.model = self.tokenizer.model
-        vocabulary = self.tokenizer.get_vocab()
-        self.names = [""] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
-            self.names[i] = token
-        letters, added = _byte_letters(), {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        spelled = [x.encode() if x in added else bytes(letters[c] for c in x) for x in self.names]
-        self.size_of = np.array([len(x) for x in spelled], np.int64)
-        self.spelling = np.frombuffer(b"".join(spelled), np.uint8)
-        self.spelling_at = np.cumsum(self.size_of) - self.size_of
+        super().__init__(self.tokenizer)
         self.kind = lru_cache(1 << 16)(self._kind)
 
     def again(self, ids: np.ndarray) -> np.ndarray:
@@ -183,30 +208,29 @@ class Coder:
         return self.cached.flat(Texts(texts))
 
     def encode(self, column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-        """As ``flat``; texts with long runs go through their parts."""
+        """As ``flat``, some ``SLICE`` bytes at a time; texts with long runs go through their parts."""
         texts = Texts(column)
-        slow = np.flatnonzero(_longest_runs(texts) > UNSPLIT)
-        if not len(slow):
-            return self.cached.flat(texts)
-        values = column.to_pylist()
-        ids, ends = self.flat(pa.array([None if i in set(slow.tolist()) else v for i, v in enumerate(values)], pa.large_string()))
-        rows = np.split(ids, ends[1:-1])
-        for i in slow.tolist():
-            rows[i] = self.long(values[i])
-        return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+        slow = _longest_runs(texts) > UNSPLIT
+        ids, sizes = [], []
+        for x, y in slices(texts.ends):
+            if slow[x:y].any():
+                for i in range(x, y):
+                    ids.append(self.long(column[i].as_py()) if slow[i] else self.flat(column.slice(i, 1))[0])
+                    sizes.append([len(ids[-1])])
+            else:
+                found, ends = self.flat(column.slice(x, y - x))
+                ids.append(found)
+                sizes.append(np.diff(ends))
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *sizes]))]).astype(np.int64)
 
-    def spell(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of ``ids`` in a row."""
-        many = self.size_of[ids]
-        ends = np.cumsum(many)
-        return self.spelling[np.repeat(self.spelling_at[ids] - ends + many, many) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
-    def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
-        """The texts of ids in a row; bytes that are no UTF-8 become U+FFFD."""
-        data = self.spell(ids)
-        at = np.concatenate([[0], np.cumsum(self.size_of[ids])])[ends]
-        raw = data.tobytes()
-        return pa.array([raw[x:y].decode("utf-8", "replace") for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.string())
+def slices(ends: np.ndarray, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold ``most`` bytes or one row; ``ends`` has where each row's bytes begin and the last one's end."""
+    x = 0
+    while x < len(ends) - 1:
+        y = max(x + 1, int(np.searchsorted(ends, ends[x] + (most or SLICE), "right")) - 1)
+        yield x, y
+        x = y
 
 
 def _places(text: str, token: str, a: int, b: int) -> Iterator[tuple[int, int]]:
@@ -239,6 +263,7 @@ def _unsplit(text: str) -> bool:
 
 
 _CODERS: dict[tuple[str, bool], Coder] = {}
+_SPELLINGS: dict[str, Spelling] = {}
 
 
 def coder(path: str, plain: bool = False) -> Coder:
@@ -248,6 +273,15 @@ def coder(path: str, plain: bool = False) -> Coder:
     return _CODERS[path, plain]
 
 
+def spelling(path: str) -> Spelling:
+    """One for each Python worker; it does not keep the tokenizer."""
+    if path not in _SPELLINGS:
+        from tokenizers import Tokenizer
+
+        _SPELLINGS[path] = Spelling(Tokenizer.from_file(path))
+    return _SPELLINGS[path]
+
+
 def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
 
@@ -320,12 +354,12 @@ def decoded(rows: DataFrame, path: str, column: str = "decoded") -> DataFrame:
     small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(path)
+        code = spelling(path)
         for b in batches:
             ids = b["ids"]
             ends = ids.offsets.to_numpy().astype(np.int64)
-            flat = ids.flatten().to_numpy().astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, code.decode(flat, ends - ends[0])], [*b.schema.names, column])
+            texts = code.decode(ids.flatten().to_numpy(), ends - ends[0])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, column])
 
     kept = ", ".join(f"`{k}` {kind}" for k, kind in rows.dtypes)
     return rows.mapInArrow(run, f"{kept}, `{column}` string")
