@@ -74,7 +74,8 @@ class Pieces:
         head[ends[:-1]] = True
         starts = np.flatnonzero(head[:-1])
         stops = np.append(starts[1:], len(data))
-        at = self.stretches.rows[self.stretches(data, starts, stops, self.hashes(data, starts, stops))]
+        at = self.stretches(data, starts, stops, self.hashes(data, starts, stops))
+        at = self.stretches.rows[at]
         many = at[:, 1].astype(np.int64)
         total = np.cumsum(many)
         ids = self.stretches.ids[np.repeat(at[:, 0] - total + many, many) + np.arange(int(total[-1]))]
@@ -252,7 +253,7 @@ def pair_counts(found: DataFrame) -> DataFrame:
 def scored(found: DataFrame) -> DataFrame:
     """The kept columns, counts, digest, n_best and count_sum of every document of a written table of ``aligned``."""
     counts = pair_counts(found)
-    numbers = found.where(F.col("pairs").isNotNull()).select("block", F.posexplode("pairs").alias("number", "pair")).join(counts, "pair").select("block", "number", "count", "best")
+    numbers = found.where(F.col("pairs").isNotNull()).select("block", F.posexplode("pairs").alias("number", "pair")).join(counts, "pair").select(F.col("block").alias("of"), "number", "count", "best")
     docs = found.where(F.col("pairs").isNull()).drop("pairs", "counts")
     kept = dict(found.dtypes)["kept"]
 
@@ -272,7 +273,7 @@ def scored(found: DataFrame) -> DataFrame:
         cols = [left["kept"], *(left[m] for m in MEASURES), pa.array(bests, pa.int64()), pa.array(sums, pa.int64()), left["groups_sha256"]]
         return pa.Table.from_arrays(cols, ["kept", *MEASURES, "n_best", "count_sum", "groups_sha256"])
 
-    both_ = docs.groupBy("block").cogroup(numbers.groupBy("block"))
+    both_ = docs.groupBy("block").cogroup(numbers.groupBy("of"))
     return both_.applyInArrow(total, f"kept {kept}, {', '.join(m + ' long' for m in MEASURES)}, n_best long, count_sum long, groups_sha256 string").select("kept.*", *MEASURES, "n_best", "count_sum", "groups_sha256")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import bpe, jaccard, langid, lines, mixing, nearest, segmentations, simhash, substrings, tokenfile, toxicity
+from verdigris.llm import align, bpe, convtrie, jaccard, langid, lines, mixing, nearest, segmentations, simhash, substrings, tokenfile, toxicity
 from verdigris.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,18 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents by two tokenizers, aligned by their bytes."""
+    import public_tokenizers
+
+    return align.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of all rebuilt conversations."""
+    return convtrie.report(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py."""
     import corpus_pipeline
@@ -92,8 +104,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_segmentations, op3_language_id, op4_nearest, op5_jaccard, op6_lines, op7_token_file, op8_toxicity, op9_fingerprints, op10_substrings, op11_bpe, pipeline)}
+    return {f.__name__: f for f in (op1_mixing, op2_segmentations, op3_language_id, op4_nearest, op5_jaccard, op6_lines, op7_token_file, op8_toxicity, op9_fingerprints, op10_substrings, op11_bpe, op12_alignment, op13_conversation_trie, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.MIX_SQL}
+    return {"op1_mixing": mixing.MIX_SQL, "op13_conversation_trie": convtrie.TRIE_SQL}
