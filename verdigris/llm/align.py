@@ -120,16 +120,16 @@ def intervals(texts: list[str | None], a: Coder, b: Pieces) -> tuple[np.ndarray,
         ok[where[sorted(bad)]] = False
 
 
+#: A tokens with the B token under their first byte; B tokens that begin inside an A token.
+UNDER = "SELECT a.doc, a.k, a.id, b.id AS other, a.lo, (a.lo = b.lo)::INT AS shared FROM a ASOF JOIN b ON a.lo >= b.lo"
+INSIDE = "SELECT a.doc, b.k, a.id, b.id AS other FROM (SELECT * FROM a WHERE hi - lo > 1) a JOIN (SELECT * FROM b ANTI JOIN (SELECT lo FROM under WHERE shared = 1) USING (lo)) b ON b.lo > a.lo AND b.lo < a.hi"
 COUNTS = """
-WITH links AS (
-  SELECT a.doc, b.id::BIGINT << 32 | a.id AS pair FROM a ASOF JOIN b ON a.lo >= b.lo
-  UNION ALL SELECT a.doc, b.id::BIGINT << 32 | a.id AS pair FROM a JOIN b ON b.lo > a.lo AND b.lo < a.hi)
-SELECT doc, pair, COUNT(*)::INT AS n FROM links GROUP BY doc, pair"""
-GROUPS = """
-WITH sides AS (
-  SELECT a.doc, 0 AS side, a.k, a.id, (a.lo = b.lo)::INT AS shared FROM a ASOF JOIN b ON a.lo >= b.lo
-  UNION ALL SELECT b.doc, 1 AS side, b.k, b.id, (a.lo = b.lo)::INT AS shared FROM b ASOF JOIN a ON b.lo >= a.lo)
-SELECT doc, side, id, SUM(shared) OVER (PARTITION BY side ORDER BY k ROWS UNBOUNDED PRECEDING)::INT AS grp FROM sides ORDER BY grp, side, k"""
+SELECT doc, pair, COUNT(*)::INT AS n FROM (SELECT doc, other::BIGINT << 32 | id AS pair FROM under UNION ALL SELECT doc, other::BIGINT << 32 | id FROM inside) GROUP BY doc, pair"""
+#: The group of each token, by the shared starts so far.
+GROUPS = {
+    "a": "SELECT k, SUM(shared) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING)::INT AS grp FROM under",
+    "b": "SELECT k, SUM((i.k IS NULL)::INT) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING)::INT AS grp FROM b LEFT JOIN inside i USING (k)",
+}
 
 
 class Aligner:
@@ -155,10 +155,19 @@ class Aligner:
             self.duck.register("_in", rows)
             self.duck.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM _in")
             self.duck.unregister("_in")
+        self.duck.execute(f"CREATE OR REPLACE TEMP TABLE under AS {UNDER}")
+        self.duck.execute(f"CREATE OR REPLACE TEMP TABLE inside AS {INSIDE}")
         links = self.duck.execute(COUNTS).fetchnumpy()
         order = np.lexsort((links["pair"], links["doc"]))
         doc, pair, many = (np.asarray(links[c])[order] for c in ("doc", "pair", "n"))
-        told = {c: np.asarray(v) for c, v in self.duck.execute(GROUPS).fetchnumpy().items()}
+        grp = []
+        for name, rows in (("a", a), ("b", b)):
+            found = self.duck.execute(GROUPS[name]).fetchnumpy()
+            grp.append(np.zeros(len(rows), np.int32))
+            grp[-1][found["k"]] = found["grp"]
+        grp = np.concatenate(grp)
+        order = np.argsort(grp, kind="stable")  # two ascending runs are merged; of one group A's tokens come first
+        told = {"doc": np.concatenate([a["doc"].to_numpy(), b["doc"].to_numpy()])[order], "id": np.concatenate([a["id"].to_numpy(), b["id"].to_numpy()])[order], "grp": grp[order], "side": order >= len(a)}
         fresh = np.ones(len(told["doc"]), bool)
         fresh[1:] = told["grp"][1:] != told["grp"][:-1]
         turn = np.zeros(len(fresh), bool)

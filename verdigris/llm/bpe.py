@@ -210,7 +210,7 @@ class Coder(Spelling):
     def encode(self, column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         """As ``flat``, some ``SLICE`` bytes at a time; texts with long runs go through their parts."""
         texts = Texts(column)
-        slow = _longest_runs(texts) > UNSPLIT
+        slow = _long_runs(texts)
         ids, sizes = [], []
         for x, y in slices(texts.ends):
             if slow[x:y].any():
@@ -247,19 +247,18 @@ def pieces(text: str, cuts: list[tuple[int, bool]]) -> Iterator[tuple[int, str,
         yield i, text[x:y], before, after
 
 
-def _longest_runs(texts: Texts) -> np.ndarray:
-    """Of each text the bytes in its longest run without ASCII white space, or a little more."""
-    white = np.flatnonzero((texts.data == 32) | ((texts.data >= 9) & (texts.data <= 13)))
-    marks = np.union1d(white, texts.ends)
-    gaps = np.diff(marks)
-    out = np.zeros(len(texts.ends) - 1, np.int64)
-    if len(gaps):
-        np.maximum.at(out, np.minimum(np.searchsorted(texts.ends, marks[:-1], "right") - 1, len(out) - 1), gaps)
+def _long_runs(texts: Texts) -> np.ndarray:
+    """Whether each text has more than ``UNSPLIT`` bytes without ASCII white space."""
+    mark = (texts.data == 32) | ((texts.data >= 9) & (texts.data <= 13))
+    mark[texts.ends[:-1][texts.ends[:-1] < len(mark)]] = True
+    marks = np.append(np.flatnonzero(mark), len(mark))
+    out = np.zeros(len(texts.ends) - 1, bool)
+    out[np.searchsorted(texts.ends, marks[:-1][np.diff(marks) > UNSPLIT], "right") - 1] = True
     return out
 
 
 def _unsplit(text: str) -> bool:
-    return len(text) > UNSPLIT and int(_longest_runs(Texts(pa.array([text]))).max(initial=0)) > UNSPLIT
+    return len(text) > UNSPLIT // 4 and bool(_long_runs(Texts(pa.array([text])))[0])
 
 
 _CODERS: dict[tuple[str, bool], Coder] = {}
