@@ -46,48 +46,6 @@ def vector_topk(rows: DataFrame, queries: DataFrame, k: int, key: str = "id", di
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def postings(rows: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """(term, key, tf): the inverted index over lower-cased runs of letters and digits."""
-    terms = rows.select(key, F.explode(F.split(F.lower(F.col(text)), "[^a-z0-9]+")).alias("term")).where(F.col("term") != "")
-    return terms.groupBy("term", key).agg(F.count("*").alias("tf"))
-
-
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term, n_terms): distinct terms of (query_id, qtext)."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("qtext"), "[^a-z0-9]+"), lambda t: t != ""))).alias("term"))
-    return terms.withColumn("n_terms", F.count("*").over(W.partitionBy("query_id")))
-
-
-def lexical_topk(rows: DataFrame, queries: DataFrame, k: int, key: str = "id", text: str = "text") -> DataFrame:
-    """(query_id, key, score, rank): rows with every term of the query, by summed frequency; ties to the smaller key.
-
-    The query's terms filter the exploded words before they are counted, so only postings of asked terms are shuffled.
-    """
-    asked = _bounded(query_terms(queries))
-    words = rows.select(key, F.explode(F.split(F.lower(F.col(text)), "[^a-z0-9]+")).alias("term"))
-    hits = words.join(asked, "term").groupBy("query_id", key, "term", "n_terms").agg(F.count("*").alias("tf"))
-    every = hits.groupBy("query_id", key).agg(F.sum("tf").alias("score"), F.count("*").alias("found"), F.max("n_terms").alias("n_terms"))
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), key)
-    matched = every.where(F.col("found") == F.col("n_terms")).select("query_id", key, "score")
-    return matched.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-
-def bm25(rows: DataFrame, queries: DataFrame, k: int = 15, k1: float = 1.5, b: float = 0.75, key: str = "id", text: str = "text") -> DataFrame:
-    """(query_id, key, score, rank) by Okapi BM25 over words; scores above 0 only."""
-    words = F.filter(F.split(F.lower(F.col(text)), "[^a-z0-9]+"), lambda t: t != "")
-    sized = rows.select(key, words.alias("w")).withColumn("len", F.size("w"))
-    whole = sized.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    asked = _bounded(query_terms(queries).select("query_id", "term"))
-    hits = sized.select(key, "len", F.explode("w").alias("term")).join(_bounded(asked.select("term").distinct()), "term").groupBy("term", key, "len").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(df, "term").join(F.broadcast(whole)).join(asked, "term")  # whole has one row
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), key)
-    total = scored.groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score")).where(F.col("score") > 0)
-    return total.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-
 def fuse(vector: DataFrame, lexical: DataFrame, attributes: DataFrame, k: int, rrf_k: int = 60, wv: float = 0.65, wf: float = 0.35, key: str = "id") -> DataFrame:
     """(query_id, key, vector_score, final_score, rank): weighted reciprocal ranks of both lists, times authority.
 

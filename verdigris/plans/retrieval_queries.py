@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from verdigris.functions.rules import authority_prior
 from verdigris.operators import retrieval as R
-from verdigris.operators.lineage import written
+from verdigris.operators import search as S
+from verdigris.operators.lineage import step_path, written
 from verdigris.plans.registry import query
+from verdigris.plans.search_sql import WORDS, ranked_ctes, stem_ctes, text_ctes
 from verdigris.sources.tables import table
 
 KINDS = ["lecture", "paper", "newsletter", "qa"]
@@ -30,14 +32,7 @@ vec AS (
     SELECT query_id, d.doc_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], qvec::DOUBLE[]), 9) AS score FROM asked, documents d JOIN embeddings e ON e.vec_id = d.doc_id % 500
   ) QUALIFY rank <= 40
 )"""
-LEXICAL_SQL = """
-words AS (SELECT doc_id AS id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS term FROM documents),
-terms AS (SELECT query_id, term, COUNT(*) OVER (PARTITION BY query_id) AS n_terms FROM (SELECT DISTINCT query_id, unnest(string_split_regex(lower(qtext), '[^a-z0-9]+')) AS term FROM asked) WHERE term <> ''),
-lex AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
-    SELECT query_id, id, COUNT(*) AS score FROM words JOIN terms USING (term) GROUP BY query_id, id, n_terms HAVING COUNT(DISTINCT term) = n_terms
-  ) QUALIFY rank <= 40
-)"""
+LEXICAL_SQL = text_ctes("doc_id::VARCHAR", "text", "documents", "doc_id") + "," + ranked_ctes()
 FUSED_SQL = """
 fused AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, id) AS rank FROM (
@@ -73,8 +68,26 @@ def _vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.vector_topk(_docs(spark, sf_dir), asked(spark, sf_dir), 40)
 
 
+_INDEXES: dict[tuple, S.TextIndex] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> S.TextIndex:
+    """The index of the documents' names and texts, written once for a state of their files."""
+    docs = table(spark, sf_dir, "documents")
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = []
+    for f in sorted(docs.inputFiles()):
+        at = jvm(f)
+        status = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at)
+        files.append((f, status.getLen(), status.getModificationTime()))
+    key = (spark.sparkContext.applicationId, tuple(files))
+    if key not in _INDEXES:
+        _INDEXES[key] = S.build_index(docs.select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("name"), "text"), {"name": "A", "text": "B"}, step_path(spark))
+    return _INDEXES[key]
+
+
 def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.lexical_topk(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), asked(spark, sf_dir), 40)
+    return S.ranked(text_index(spark, sf_dir), asked(spark, sf_dir), 40)
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,15 +122,33 @@ def plain_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {QUERIES_SQL}, words AS (SELECT doc_id AS id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS term FROM documents),
-    sizes AS (SELECT doc_id AS id, len(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '')) AS len FROM documents), whole AS (SELECT COUNT(*) AS n, AVG(len) AS mean FROM sizes),
-    terms AS (SELECT DISTINCT query_id, unnest(string_split_regex(lower(qtext), '[^a-z0-9]+')) AS term FROM asked), tf AS (SELECT id, term, COUNT(*) AS tf FROM words WHERE term IN (SELECT term FROM terms) GROUP BY ALL), df AS (SELECT term, COUNT(*) AS df FROM tf GROUP BY term)
+    f"""WITH {QUERIES_SQL}, sizes AS (SELECT doc_id AS id, {WORDS.format("text")} AS w FROM documents), whole AS (SELECT COUNT(*) AS n, AVG(len(w)) AS mean FROM sizes),
+    terms AS (SELECT DISTINCT query_id, unnest({WORDS.format("qtext")}) AS term FROM asked), tf AS (SELECT id, term, len, COUNT(*) AS tf FROM (SELECT id, len(w) AS len, unnest(w) AS term FROM sizes) WHERE term IN (SELECT term FROM terms) GROUP BY ALL), df AS (SELECT term, COUNT(*) AS df FROM tf GROUP BY term)
     SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
       SELECT query_id, id, round(SUM(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))), 6) AS score
-      FROM tf JOIN df USING (term) JOIN terms USING (term) JOIN sizes USING (id), whole WHERE term <> '' GROUP BY query_id, id) WHERE score > 0) WHERE rank <= 15"""
+      FROM tf JOIN df USING (term) JOIN terms USING (term), whole GROUP BY query_id, id) WHERE score > 0) WHERE rank <= 15"""
 )
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bm25(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), asked(spark, sf_dir))
+    return S.bm25(text_index(spark, sf_dir), asked(spark, sf_dir))
+
+
+@query(f"WITH all_words AS (SELECT unnest({WORDS.format('text')}) AS word FROM documents), {stem_ctes('all_words')}, told AS (SELECT word, COUNT(DISTINCT id) AS docs FROM (SELECT doc_id AS id, unnest({WORDS.format('text')}) AS word FROM documents) GROUP BY word) SELECT stem, COUNT(*) AS words, SUM(docs)::BIGINT AS uses, min(word) AS first_word FROM told JOIN stems USING (word) GROUP BY stem")
+def stemmed_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stems of all words of the documents: how many words have each, and in how many documents these stand."""
+    words = text_index(spark, sf_dir).lexicon().where(F.col("label") == "B")
+    return words.groupBy("stem").agg(F.count("*").alias("words"), F.sum("docs").alias("uses"), F.min("word").alias("first_word"))
+
+
+PARTS_SQL = "asked AS (SELECT p_partkey AS query_id, p_name || ' ' || string_split(p_type, ' ')[1] AS qtext FROM part WHERE p_partkey % 20 = 0)"
+
+
+@query(f"WITH {PARTS_SQL}, {text_ctes('p_name', 'p_type', 'part', 'p_partkey', 'C')}, {ranked_ctes(5)} SELECT query_id, id, score, rank FROM lex")
+def ranked_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five parts found best by the name and the first word of the type of every twentieth part, names weighing most."""
+    part = table(spark, sf_dir, "part")
+    index = S.build_index(part.select(F.col("p_partkey").alias("id"), "p_name", "p_type"), {"p_name": "A", "p_type": "C"}, step_path(spark))
+    asks = part.where(F.col("p_partkey") % 20 == 0).select(F.col("p_partkey").alias("query_id"), F.concat("p_name", F.lit(" "), F.get(F.split("p_type", " "), F.lit(0))).alias("qtext"))
+    return S.ranked(index, asks, 5)
 
 
 HITS_SQL = "hits AS (SELECT query_id, id::VARCHAR AS source_file, (id % 3 + rank % 2)::INT AS chunk_index, final_score FROM fused)"
@@ -125,8 +156,8 @@ AROUND_SQL = "around AS (SELECT DISTINCT h.query_id, c.source_file, c.chunk_inde
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chunk of each retrieved document, chosen by its id and rank."""
-    return _fused(spark, sf_dir).select("query_id", F.col("id").cast("string").alias("source_file"), (F.col("id") % 3 + F.col("rank") % 2).cast("int").alias("chunk_index"), "final_score")
+    """A chunk of each retrieved document, chosen by its id and rank; written, since hits are read for their neighbours and again for the passages."""
+    return written(_fused(spark, sf_dir).select("query_id", F.col("id").cast("string").alias("source_file"), (F.col("id") % 3 + F.col("rank") % 2).cast("int").alias("chunk_index"), "final_score", "vector_score"))
 
 
 @query(f"WITH {QUERIES_SQL}, {VECTOR_SQL}, {LEXICAL_SQL}, {FUSED_SQL}, {CHUNKS_SQL}, {HITS_SQL}, {AROUND_SQL} SELECT query_id, source_file, chunk_index, chunk_text FROM around")
@@ -152,7 +183,7 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def knowledge_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _hits(spark, sf_dir)
-    return R.knowledge_block(R.passages(hits, R.neighbours(hits, chunks(spark, sf_dir))), R.confidence(_fused(spark, sf_dir), asked(spark, sf_dir)))
+    return R.knowledge_block(R.passages(hits, R.neighbours(hits, chunks(spark, sf_dir))), R.confidence(hits, asked(spark, sf_dir)))
 
 
 @query(f"WITH {QUERIES_SQL}, {VECTOR_SQL}, {LEXICAL_SQL}, {FUSED_SQL} SELECT query_id, COALESCE(MAX(vector_score), 0.0::DOUBLE) AS confidence, COALESCE(MAX(vector_score), 0.0::DOUBLE) >= 0.35 AS grounded FROM asked LEFT JOIN fused USING (query_id) GROUP BY query_id")
@@ -198,7 +229,7 @@ def abstention_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 HINTS_SQL = "hinted AS (SELECT a.query_id * 3 + n AS query_id, a.query_id AS asker, h.qtext AS concept, h.qvec, h.qtext FROM asked a, range(3) r(n), asked h WHERE h.query_id = (a.query_id + n + 1) % 20)"
 HINT_VECTOR_SQL = VECTOR_SQL.replace("vec AS (", "hvec AS (").replace("asked", "hinted").replace("<= 40", "<= 8")
-HINT_LEXICAL_SQL = "hterms AS" + LEXICAL_SQL.split("terms AS", 1)[1].replace("asked", "hinted").replace("lex AS (", "hlex AS (").replace("JOIN terms", "JOIN hterms").replace("<= 40", "<= 8")
+HINT_LEXICAL_SQL = ranked_ctes(8, "hlex_", "hinted", "hlex")
 HINT_FUSED_SQL = FUSED_SQL.replace("fused AS (", "hfused AS (").replace("FROM vec v", "FROM hvec v").replace("JOIN lex l", "JOIN hlex l").replace("41)", "9)").replace("<= 10", "<= 2")
 RETRIEVED_SQL = f"""{PASSAGES_SQL}, {HINTS_SQL}, {HINT_VECTOR_SQL}, {HINT_LEXICAL_SQL}, {HINT_FUSED_SQL},
     hhits AS (SELECT query_id, id::VARCHAR AS source_file, (id % 3 + rank % 2)::INT AS chunk_index, final_score FROM hfused),
@@ -217,7 +248,7 @@ def _retrieved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     attributes = docs.select(F.col("doc_id").alias("id"), authority_prior(kind, F.lit(1.0)).alias("authority"))
 
     def search(wanted: DataFrame, k: int) -> DataFrame:
-        lexical = R.lexical_topk(docs.select(F.col("doc_id").alias("id"), "text"), wanted, 4 * k)
+        lexical = S.ranked(text_index(spark, sf_dir), wanted, 4 * k)
         fused = R.fuse(R.vector_topk(_docs(spark, sf_dir), wanted, 4 * k), lexical, attributes, k)
         at = (F.col("id") % 3 + F.col("rank") % 2).cast("int").alias("chunk_index")
         return written(fused.select("query_id", F.col("id").cast("string").alias("source_file"), at, "final_score", "vector_score"))
