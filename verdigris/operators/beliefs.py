@@ -145,3 +145,57 @@ def learner_profiles(edges: DataFrame) -> DataFrame:
 
     parts = [top("Role", "roles", 3), top("Professional context", "context", 4), top("Already solid on", "solid", 5), top("Currently finding hard", "hard", 5), top("Interested in", "curious", 4), top("Stated preferences", "preferences", 3)]
     return known.select("s", level.alias("level"), F.concat_ws(" ", F.concat(F.lit("LEARNER PROFILE: "), level, F.lit(".")), *parts).alias("profile"))
+
+
+# The reasons that are kept with a retired edge.
+OPPOSED, RETIRED = "superseded when the student showed ", "superseded by later conversation"
+EDGE = "tenant int, session long, s string, p string, o string, weight double, observations long, valid_from timestamp_ntz, invalidated_at timestamp_ntz, reason string, evidence string, updated_at timestamp_ntz"
+
+
+def merge(edges: DataFrame, ops: DataFrame, cap: float = 2.0, step: float = 0.1) -> DataFrame:
+    """The EDGE rows after a batch of operations (as in ``fold``, with a reason), which follow all earlier ones.
+
+    Live edges stand before the batch's operations and are strengthened or retired by them; retired ones
+    stay as they are. An ``invalidate`` names subject and object without regard to case and retires the
+    predicate's edges in all sessions, for its own reason. Every edge that is written anew is dated.
+    Merging the parts of a list of operations, cut anywhere in their order, gives what merging it whole does.
+    """
+    columns = edges.columns
+    live = edges.where(F.col("invalidated_at").isNull())
+    adds = ops.where(F.col("op") != "invalidate")
+    held = sorted({x for xs in OPPOSES.values() for x in xs})
+    marks = adds.select("tenant", "s", "o", F.explode(F.filter(F.lit(held), lambda h: retires(F.col("p"), h))).alias("h"), "ts", "id", F.concat(F.lit(OPPOSED), "p").alias("reason")).withColumnRenamed("h", "p")
+    known = live.select("tenant", "s", "o", "p").unionByName(adds.select("tenant", "s", "o", "p")).distinct()
+    gone = ops.where(F.col("op") == "invalidate").select("tenant", F.lower("s").alias("ls"), F.lower("o").alias("lo"), "p", "ts", "id", F.coalesce(F.nullif("reason", F.lit("")), F.lit(RETIRED)).alias("reason"))
+    named = known.withColumn("ls", F.lower("s")).withColumn("lo", F.lower("o")).join(gone, ["tenant", "ls", "lo", "p"]).drop("ls", "lo")
+    marks = marks.unionByName(named).withColumn("mark", F.lit(1)).withColumn("late", F.lit(1))
+    new = adds.select("tenant", "session", "s", "o", "p", "ts", "id", "confidence", "evidence").withColumn("mark", F.lit(0)).withColumn("late", F.lit(1))
+    old = live.select("tenant", "session", "s", "o", "p", F.struct("weight", "observations", "valid_from", "evidence", "updated_at").alias("old")).withColumn("mark", F.lit(0)).withColumn("late", F.lit(0))
+    line = new.unionByName(marks, allowMissingColumns=True).unionByName(old, allowMissingColumns=True)
+    order = W.partitionBy("tenant", "s", "o", "p").orderBy("late", "ts", "id", F.desc("mark"))
+    line = line.withColumn("segment", F.coalesce(F.sum("mark").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    line = line.withColumn("gone", F.first(F.when(F.col("mark") == 1, F.struct("ts", "reason")), ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing)))
+    asked = F.when(F.col("late") == 1, F.struct("ts", "id"))
+    edge = line.where(F.col("mark") == 0).groupBy("tenant", "session", "s", "p", "o", "segment").agg(
+        F.first("old", ignorenulls=True).alias("old"),
+        F.count("confidence").alias("n"),
+        F.min_by("confidence", asked).alias("first"),
+        F.coalesce(F.sum("confidence"), F.lit(0.0)).alias("total"),
+        F.min("ts").alias("since"),
+        F.max("ts").alias("last"),
+        F.max_by("evidence", F.when(F.coalesce("evidence", F.lit("")) != "", F.struct("ts", "id"))).alias("said"),
+        F.first("gone", ignorenulls=True).alias("gone"),
+    )
+    begun = F.coalesce(F.col("old.weight"), F.col("first"))
+    more = F.col("total") - F.when(F.col("old").isNull(), F.col("first")).otherwise(0.0)
+    fresh = F.col("n") - F.col("old").isNull().cast("int") > 0
+    out = edge.select(
+        "tenant", "session", "s", "p", "o",
+        F.when(fresh, F.least(begun + step * more, F.lit(cap))).otherwise(begun).alias("weight"),
+        (F.coalesce(F.col("old.observations"), F.lit(0)) + F.col("n")).alias("observations"),
+        F.coalesce(F.col("old.valid_from"), F.col("since")).alias("valid_from"),
+        F.col("gone.ts").alias("invalidated_at"), F.col("gone.reason").alias("reason"),
+        F.coalesce(F.col("said"), F.col("old.evidence")).alias("evidence"),
+        F.coalesce(F.col("gone.ts"), F.col("last"), F.col("old.updated_at")).alias("updated_at"),
+    )
+    return edges.where(F.col("invalidated_at").isNotNull()).unionByName(out).select(*columns)

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from verdigris.operators import vectors
+
 QUERY_LIMIT = 10_000
 
 
@@ -40,10 +42,7 @@ def visible(rows: DataFrame, tenant: int | None, kinds: list[str] | None = None)
 
 def vector_topk(rows: DataFrame, queries: DataFrame, k: int, key: str = "id", digits: int = 9) -> DataFrame:
     """(query_id, key, score, rank): the k rows of highest cosine for each (query_id, qvec); ties to the smaller key."""
-    pairs = rows.where(F.col("vec").isNotNull()).select(key, "vec").join(_bounded(queries.select("query_id", "qvec")))  # every row meets every query, by definition
-    scored = pairs.select("query_id", key, F.round(cosine(F.col("vec"), F.col("qvec")), digits).alias("score"))
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return vectors.topk(rows, queries, k, key, digits)
 
 
 def fuse(vector: DataFrame, lexical: DataFrame, attributes: DataFrame, k: int, rrf_k: int = 60, wv: float = 0.65, wf: float = 0.35, key: str = "id") -> DataFrame:

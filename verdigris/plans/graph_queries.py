@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from verdigris.operators import beliefs as B
 from verdigris.operators import graph as G
+from verdigris.operators.lineage import step_path
 from verdigris.plans.registry import query
 from verdigris.sources.tables import table
+from verdigris.streaming.belief_table import BeliefTable
 
 NOW = "2030-01-01 00:00:00"
 
@@ -59,6 +61,31 @@ def belief_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges(spark, sf_dir)
 
 
+NAMED_SQL = f"""WITH {OPS_SQL}, told AS (SELECT tenant, session, 'Student ' || s AS s, CASE WHEN id % 2 = 0 THEN 'Topic ' ELSE 'topic ' END || o AS o, ts, id, p, confidence, evidence, op, CASE WHEN op = 'invalidate' AND id % 2 = 0 THEN 'asked to forget' END AS reason FROM ops),
+    known AS (SELECT DISTINCT tenant, s, o, p FROM told WHERE op = 'add'),
+    marks AS (SELECT k.tenant, k.s, k.o, k.p, t.ts, t.id, COALESCE(t.reason, 'superseded by later conversation') AS reason FROM told t JOIN known k ON k.tenant = t.tenant AND lower(k.s) = lower(t.s) AND lower(k.o) = lower(t.o) AND k.p = t.p WHERE t.op = 'invalidate'
+      UNION ALL SELECT tenant, s, o, unnest(CASE p WHEN 'mastered' THEN ['struggles_with', 'confused_about', 'wants_to_learn'] WHEN 'struggles_with' THEN ['mastered'] WHEN 'confused_about' THEN ['mastered'] ELSE [] END), ts, id, 'superseded when the student showed ' || p FROM told WHERE op = 'add'),
+    line AS (SELECT tenant, s, o, p, ts, id, 0 AS mark, session, confidence, evidence, NULL AS reason FROM told WHERE op = 'add' UNION ALL SELECT tenant, s, o, p, ts, id, 1, NULL, NULL, NULL, reason FROM marks),
+    cut AS (SELECT *, SUM(mark) OVER (w ROWS UNBOUNDED PRECEDING) AS segment, first_value(CASE WHEN mark = 1 THEN ts END IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS gone,
+      first_value(reason IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS why FROM line WINDOW w AS (PARTITION BY tenant, s, o, p ORDER BY ts, id, mark DESC))
+    SELECT tenant, session, s, p, o, round(CASE WHEN COUNT(*) = 1 THEN arg_min(confidence, (ts, id)) ELSE LEAST(arg_min(confidence, (ts, id)) + 0.1::DOUBLE * (SUM(confidence) - arg_min(confidence, (ts, id))), 2.0::DOUBLE) END, 9) AS weight, COUNT(*) AS observations, MIN(ts) AS valid_from, MIN(gone) AS invalidated_at,
+      MIN(why) AS reason, arg_max(evidence, (ts, id)) FILTER (evidence <> '') AS evidence, COALESCE(MIN(gone), MAX(ts)) AS updated_at FROM cut WHERE mark = 0 GROUP BY tenant, session, s, p, o, segment"""
+
+
+@query(NAMED_SQL)
+def belief_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All operations, in four batches of their time, merged into a table of edges with reasons and dates; names differ by case."""
+    topic = F.concat(F.when(F.col("id") % 2 == 0, "Topic ").otherwise("topic "), F.col("o"))
+    ops = operations(spark, sf_dir).withColumn("s", F.concat(F.lit("Student "), F.col("s"))).withColumn("o", topic).withColumn("reason", F.when((F.col("op") == "invalidate") & (F.col("id") % 2 == 0), "asked to forget"))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = ops.agg(F.percentile_approx(at, [0.25, 0.5, 0.75]).alias("c")).first()["c"] or []
+    beliefs = BeliefTable(spark, step_path(spark))
+    for n, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+        part = ops if low is None else ops.where(at > low)
+        beliefs.apply(part if high is None else part.where(at <= high), n)
+    return beliefs.edges().withColumn("weight", F.round("weight", 9))
+
+
 @query(f"{FULL} SELECT s, p, o, session, weight, observations FROM edges WHERE invalidated_at IS NULL")
 def current_beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.current(edges(spark, sf_dir)).select("s", "p", "o", "session", "weight", "observations")

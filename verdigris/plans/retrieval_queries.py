@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from verdigris.functions.rules import authority_prior
 from verdigris.operators import retrieval as R
 from verdigris.operators import search as S
+from verdigris.operators import vectors as V
 from verdigris.operators.lineage import step_path, written
 from verdigris.plans.registry import query
 from verdigris.plans.search_sql import WORDS, ranked_ctes, stem_ctes, text_ctes
@@ -96,16 +97,25 @@ def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.fuse(_vector(spark, sf_dir), _lexical(spark, sf_dir), attributes, 10)
 
 
-@query(
-    """SELECT query_id, id, score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score,
+TOP_SQL = """SELECT query_id, id, score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score,
       row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS rank
       FROM embeddings e, embeddings q WHERE q.vec_id < 20) WHERE rank <= 10"""
-)
+
+
+@query(TOP_SQL)
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vecs = table(spark, sf_dir, "embeddings")
     return R.vector_topk(vecs.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), vecs.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), 10)
 
 
+@query(TOP_SQL)
+def indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from an inverted file, whose cells are read until their bounds close."""
+    vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    index = V.build_index(vecs, step_path(spark))
+    return V.search(index, vecs.where("id < 20").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec")), 10)
+
+
 @query(f"WITH {QUERIES_SQL}, {LEXICAL_SQL} SELECT query_id, id, score, rank FROM lex")
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lexical(spark, sf_dir)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from verdigris.functions import text
 from verdigris.operators import chunking
+from verdigris.operators import semantic_chunks as semantic
 from verdigris.plans.registry import query
 from verdigris.sources import html
 from verdigris.sources.tables import table
@@ -59,3 +60,10 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT vec_id, len(embedding) AS n, true AS same FROM embeddings")
 def vector_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.size("embedding").alias("n"), (text.text_vector(text.vector_text("embedding")) == F.col("embedding")).alias("same"))
+
+
+@query()
+def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents cut where the words change; counts of words stand in for an embedding model."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return semantic.semantic_chunks(docs, semantic.hashed_vectors)

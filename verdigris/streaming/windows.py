@@ -36,8 +36,8 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     spark = stream.sparkSession
     path = f"{_folder(spark)}/verdigris-stream-{uuid.uuid4().hex}"
 
-    def put(rows: DataFrame, _: int) -> None:
-        rows.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/rows")
+    def put(rows: DataFrame, batch: int) -> None:  # a batch that is tried again writes over its own rows
+        rows.write.mode("overwrite").parquet(f"{path}/rows" if mode == "complete" else f"{path}/rows/of_batch={batch}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows").select(*stream.columns)
