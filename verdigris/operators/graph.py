@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import count
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,7 +26,7 @@ def two_hop(edges: DataFrame, anchors: DataFrame, limit: int = 50, fade: float =
     A step multiplies by the edge's weight and ``fade``; it is dropped when path times edge, before
     fading, does not exceed ``prune``. Paths never enter an anchor or turn back.
     """
-    way = written(both_ways(edges))
+    way = both_ways(edges)
     seed = anchors.select(F.col("node").alias("at")).distinct().withColumn("w", F.lit(1.0))
     stop = seed.select(F.col("at").alias("dst"))
     free = way.join(stop, "dst", "left_anti").select("src", "dst", "weight")
@@ -37,6 +38,27 @@ def two_hop(edges: DataFrame, anchors: DataFrame, limit: int = 50, fade: float =
     return best.select("node", (-F.col("m.h")).alias("hop"), F.col("m.w").alias("weight")).orderBy("node").limit(limit)
 
 
+def two_hop_each(edges: DataFrame, asked: DataFrame, limit: int = 50, fade: float = 0.85, prune: float = 0.05) -> DataFrame:
+    """(query_id, node, hop, weight): ``two_hop`` around the anchor array of every (query_id, ids), by a table function called for each.
+
+    The function is SQL with the array as its argument; a lateral join calls it, and the optimiser turns
+    that into equi-joins by query. Null and empty arrays reach nothing.
+    """
+    spark = asked.sparkSession
+    name = f"verdigris_{uuid4().hex}"
+    edges.createOrReplaceTempView(f"{name}_edges")
+    spark.sql(f"""
+CREATE TEMPORARY FUNCTION {name}_near(ids ARRAY<STRING>) RETURNS TABLE (node STRING, hop INT, weight DOUBLE) RETURN
+WITH way AS (SELECT s AS src, o AS dst, weight FROM {name}_edges UNION ALL SELECT o, s, weight FROM {name}_edges),
+seed AS (SELECT DISTINCT explode(ids) AS at),
+one AS (SELECT e.dst, e.weight * {fade}D AS w FROM seed JOIN way e ON e.src = seed.at WHERE e.weight > {prune}D AND NOT array_contains(ids, e.dst)),
+two AS (SELECT e.dst, one.w * e.weight * {fade}D AS w FROM one JOIN way e ON e.src = one.dst WHERE e.dst <> one.dst AND one.w * e.weight > {prune}D AND NOT array_contains(ids, e.dst)),
+every AS (SELECT at AS node, 0 AS hop, 1.0D AS w FROM seed UNION ALL SELECT dst, 1, round(w, 9) FROM one UNION ALL SELECT dst, 2, round(w, 9) FROM two)
+SELECT node, -m.h, m.w FROM (SELECT node, max(struct(w, -hop AS h)) AS m FROM every GROUP BY node ORDER BY node LIMIT {limit})""")
+    asked.createOrReplaceTempView(f"{name}_asked")
+    return spark.sql(f"SELECT a.query_id, near.* FROM {name}_asked a, LATERAL {name}_near(a.ids) near")
+
+
 def anchored_subgraph(edges: DataFrame, anchors: DataFrame) -> DataFrame:
     """(node, hop, combined): two hops from scored anchors; an anchor keeps its score, others fade with the hop."""
     near = two_hop(edges, anchors.select("node"))
@@ -106,14 +128,35 @@ def summary_lines(edges: DataFrame, session: int, hidden: list[str], most: int =
     return placed.groupBy("s").agg(lines(mine).alias("active"), lines(~mine).alias("past"))
 
 
+def turning(edges: DataFrame, rounds: int) -> DataFrame:
+    """(node): nodes that may lie on a cycle; those that ``rounds`` of peeling off sources and sinks take away do not."""
+    left = written(edges.select("prerequisite", "concept").distinct())
+    size = left.count()
+    for _ in range(rounds):
+        inner = left.join(left.select(F.col("concept").alias("prerequisite")).distinct(), "prerequisite", "left_semi").join(left.select(F.col("prerequisite").alias("concept")).distinct(), "concept", "left_semi")
+        left = written(inner.select("prerequisite", "concept"))
+        before, size = size, left.count()
+        if size in (before, 0):
+            break
+    return left.select(F.explode(F.array("prerequisite", "concept")).alias("node")).distinct()
+
+
 def prerequisites(edges: DataFrame, targets: DataFrame, depth: int = 6, least: float = 0.5) -> DataFrame:
-    """(target, concept, depth): what leads up to each target, at its deepest, over edges of enough confidence."""
-    kept = written(edges.where(F.col("confidence") >= least).select("prerequisite", "concept"))
-    now = targets.select(F.col("concept").alias("target"), F.col("concept").alias("at"), F.array("concept").alias("path"))
+    """(target, concept, depth): what leads up to each target, at its deepest, over edges of enough confidence.
+
+    A level keeps each (target, concept) once, however many paths lead there. Only nodes that may lie on a
+    cycle are remembered along the way, since no path may come to one of them twice.
+    """
+    kept = written(edges.where(F.col("confidence") >= least).select("prerequisite", "concept").distinct())
+    risky = turning(kept, depth)
+    way = written(kept.join(risky.select(F.col("node").alias("prerequisite"), F.lit(True).alias("risky")), "prerequisite", "left").select("prerequisite", "concept", F.coalesce("risky", F.lit(False)).alias("risky")))
+    start = targets.select(F.col("concept").alias("target")).distinct()
+    now = start.select("target", F.col("target").alias("at"), F.array("target").alias("met"))
     found = None
     for level in range(1, depth + 1):
-        step = now.join(kept, F.col("at") == kept.concept).where(~F.array_contains("path", F.col("prerequisite")))
-        now = written(step.select("target", F.col("prerequisite").alias("at"), F.concat("path", F.array("prerequisite")).alias("path")))
+        step = now.join(way, F.col("at") == way.concept).where(~F.array_contains("met", F.col("prerequisite")))
+        met = F.when(F.col("risky"), F.array_sort(F.array_append("met", F.col("prerequisite")))).otherwise(F.col("met"))
+        now = written(step.select("target", F.col("prerequisite").alias("at"), met.alias("met")).distinct())
         rows = now.select("target", F.col("at").alias("concept"), F.lit(level).alias("depth"))
         found = rows if found is None else found.unionByName(rows)
         if now.isEmpty():
@@ -121,6 +164,52 @@ def prerequisites(edges: DataFrame, targets: DataFrame, depth: int = 6, least: f
     return found.groupBy("target", "concept").agg(F.max("depth").alias("depth"))
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(group, node, component): the strongly connected components of (group, prerequisite, concept) that have an edge within.
+
+    Round by round, nodes without a way in or out are peeled off, and each of the others learns the
+    smallest node that leads to it; those from which that node is led to in turn are its component.
+    """
+    spark = edges.sparkSession
+    left = written(edges.select("group", "prerequisite", "concept").distinct())
+    out = None
+
+    def spread(seed: DataFrame, way: DataFrame, same: bool) -> DataFrame:
+        """Labels (group, node, label) after the smallest has gone along ``way`` (src, dst); with ``same`` only within the label's own nodes."""
+        now = written(seed)
+        while True:
+            told = now.select("group", F.col("node").alias("src"), "label").join(way, ["group", "src"]).select("group", F.col("dst").alias("node"), "label")
+            if same:
+                grown = now.unionByName(told.join(color, ["group", "node", "label"], "left_semi")).distinct()
+            else:
+                grown = now.unionByName(told).groupBy("group", "node").agg(F.min("label").alias("label"))
+            grown = written(grown)
+            changed = grown.exceptAll(now).limit(1).count()
+            now = grown
+            if not changed:
+                return now
+
+    while True:
+        ins, outs = left.select("group", F.col("concept").alias("prerequisite")).distinct(), left.select("group", F.col("prerequisite").alias("concept")).distinct()
+        inner = written(left.where("prerequisite = concept").unionByName(left.where("prerequisite <> concept").join(ins, ["group", "prerequisite"], "left_semi").join(outs, ["group", "concept"], "left_semi").select("group", "prerequisite", "concept")))
+        if inner.isEmpty():
+            break
+        if inner.count() < left.count():
+            left = inner
+            continue
+        way = written(left.select("group", F.col("prerequisite").alias("src"), F.col("concept").alias("dst")))
+        nodes = way.select("group", F.explode(F.array("src", "dst")).alias("node")).distinct()
+        color = spread(nodes.withColumn("label", F.col("node")), way, False)
+        back = way.select("group", F.col("dst").alias("src"), F.col("src").alias("dst"))
+        mine = spread(color.where(F.col("node") == F.col("label")), back, True)
+        done = written(mine.select("group", "node", F.col("label").alias("component")))
+        out = done if out is None else out.unionByName(done)
+        gone = done.select("group", F.col("node").alias("prerequisite"))
+        left = written(left.join(gone, ["group", "prerequisite"], "left_anti").join(gone.withColumnRenamed("prerequisite", "concept"), ["group", "concept"], "left_anti").select("group", "prerequisite", "concept"))
+    kinds = dict(edges.dtypes)
+    return out if out is not None else spark.createDataFrame([], f"group {kinds['group']}, node {kinds['concept']}, component {kinds['concept']}")
+
+
 def roots(edges: DataFrame) -> DataFrame:
     """Concepts that need nothing."""
     return edges.select(F.col("prerequisite").alias("concept")).distinct().join(edges.select("concept"), "concept", "left_anti")
@@ -137,6 +226,24 @@ def gaps(closure: DataFrame, states: DataFrame) -> DataFrame:
     return open_.groupBy("student", "concept").agg(F.count_distinct("target").alias("n")).where(F.col("n") >= 2)
 
 
+def hints(asked: DataFrame, states: DataFrame, edges: DataFrame, most: int = 5, quiet: int = 20) -> DataFrame:
+    """(query_id, expand, suppress) for the concepts (query_id, student, concept) of queries.
+
+    ``expand`` has the direct prerequisites that the student has not mastered, and the concepts of the
+    query the student struggles with; ``suppress`` has what is mastered and not asked about. Both are
+    sorted and cut. ``states`` is (student, concept, state).
+    """
+    mastered, hard = (states.where(F.col("state") == x).select("student", "concept").distinct() for x in ("mastered", "struggling"))
+    asked = asked.distinct()
+    up = asked.join(edges.select("concept", "prerequisite").distinct(), "concept").select("query_id", "student", F.col("prerequisite").alias("concept")).join(mastered, ["student", "concept"], "left_anti")
+    own = asked.join(hard, ["student", "concept"], "left_semi").select("query_id", "student", "concept")
+    more = up.unionByName(own).groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set("concept")), 1, most).alias("expand"))
+    known = asked.select("query_id", "student").distinct().join(mastered, "student").join(asked.select("query_id", "concept"), ["query_id", "concept"], "left_anti")
+    less = by_rank(known.distinct(), ["query_id"], ["concept"], quiet).groupBy("query_id").agg(F.array_sort(F.collect_list("concept")).alias("suppress"))
+    none = F.array().cast(f"array<{dict(asked.dtypes)['concept']}>")
+    return asked.select("query_id").distinct().join(more, "query_id", "left").join(less, "query_id", "left").select("query_id", F.coalesce("expand", none).alias("expand"), F.coalesce("suppress", none).alias("suppress"))
+
+
 def reachable(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, concept): all that a target needs, itself included, however deep; a join per level, over what is new."""
     way = written(edges.select("prerequisite", "concept").distinct())
@@ -184,10 +291,11 @@ def learning_paths(edges: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def drop_cycles(edges: DataFrame) -> DataFrame:
-    """(prerequisite, concept, confidence) without edges that would close a cycle, the most confident edges first.
+    """(group, prerequisite, concept, confidence) without edges that would close a cycle, the most confident edges first.
 
-    Whether an edge closes a cycle depends on all before it, so a curriculum (a curated graph that
-    fits one task) is gone through in order there; ``group`` keeps curricula apart.
+    An edge can close a cycle only within a strongly connected component, so the others stay at once.
+    Whether an edge of a component closes one depends on all of its edges before, which one task goes
+    through in order.
     """
 
     def keep(rows: pd.DataFrame) -> pd.DataFrame:
@@ -211,9 +319,14 @@ def drop_cycles(edges: DataFrame) -> DataFrame:
             if ok:
                 ups.setdefault(c, set()).add(p)
             good.append(ok)
-        return rows[good]
-
-    return edges.groupBy("group").applyInPandas(keep, edges.schema)
+        return rows[good].drop(columns="component")
+
+    found = components(edges)
+    told = edges.join(found.select("group", F.col("node").alias("prerequisite"), "component"), ["group", "prerequisite"], "left").join(found.select("group", F.col("node").alias("concept"), F.col("component").alias("other")), ["group", "concept"], "left")
+    told = written(told.select(*edges.columns, "component", (F.col("component") == F.col("other")).alias("inside")))
+    free = told.where(~F.coalesce("inside", F.lit(False)) & (F.col("prerequisite") != F.col("concept"))).select(*edges.columns)
+    bound = told.where("inside").select(*edges.columns, "component")
+    return free.unionByName(bound.groupBy("group", "component").applyInPandas(keep, edges.schema))
 
 
 def bundle(edges: DataFrame, priority: list[str]) -> DataFrame:

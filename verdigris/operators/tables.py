@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,21 +53,11 @@ def one_model(rows: DataFrame, model: str) -> None:
         raise ValueError(f"stored vectors come from {sorted(found)}, not {model}")
 
 
-def map_merge(old: str, new: str) -> F.Column:
-    """Maps merged key by key, the right side winning."""
-    kept = F.map_filter(F.col(old), lambda k, _: ~F.array_contains(F.map_keys(F.col(new)), k))
-    return F.map_concat(kept, F.col(new))
-
-
 def write_report(rows: DataFrame, path: str) -> None:
     """A small aggregate as one JSON file."""
     rows.coalesce(1).write.mode("overwrite").json(path)
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
 def isolated(rows: DataFrame, tenant: int | None) -> DataFrame:
     """The tenant's own rows; without a tenant there are none."""
     return rows.where(F.col("tenant") == tenant) if tenant is not None else rows.where(F.lit(False))

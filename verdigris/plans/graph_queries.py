@@ -342,3 +342,61 @@ def learner_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.element_at(F.lit(SAID), (c * 7 % 11 + 1).cast("int"))
     o = F.when(p.isin("is", "works_at", "leads"), F.element_at(F.lit(TITLES), (c * 5 % 9 + 1).cast("int"))).otherwise(F.concat(F.lit("topic "), "c_nationkey"))
     return B.learner_profiles(table(spark, sf_dir, "customer").select(F.concat(F.lit("s"), c % 211).alias("s"), p.alias("p"), o.alias("o")))
+
+
+NEAR_SQL = f"""WITH {OPS_SQL}, {FOLD_SQL}, e AS (SELECT 'u' || s AS s, 'c' || o AS o, MAX(weight) AS weight FROM edges WHERE invalidated_at IS NULL GROUP BY ALL), way AS (SELECT s AS src, o AS dst, weight FROM e UNION ALL SELECT o, s, weight FROM e),
+    asked AS (SELECT n AS query_id, ['u' || n, 'c' || (n * 3 % 20)] AS ids FROM range(10) r(n)), seed AS (SELECT DISTINCT query_id, ids, unnest(ids) AS spot FROM asked),
+    one AS (SELECT query_id, ids, dst, weight * 0.85::DOUBLE AS w FROM seed JOIN way ON src = spot WHERE weight > 0.05 AND NOT list_contains(ids, dst)),
+    two AS (SELECT query_id, y.dst, o.w * y.weight * 0.85::DOUBLE AS w FROM one o JOIN way y ON y.src = o.dst WHERE y.dst <> o.dst AND o.w * y.weight > 0.05 AND NOT list_contains(ids, y.dst)),
+    near AS (SELECT query_id, spot AS node, 0 AS hop, 1.0::DOUBLE AS w FROM seed UNION ALL SELECT query_id, dst, 1, round(w, 9) FROM one UNION ALL SELECT query_id, dst, 2, round(w, 9) FROM two),
+    best AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY query_id, node ORDER BY w DESC, hop) = 1)
+    SELECT query_id, node, hop, w AS weight FROM best QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY node) <= 50"""
+
+
+@query(NEAR_SQL)
+def lateral_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hops around the anchors of ten queries, by a table function for each."""
+    ids = F.array(F.concat(F.lit("u"), F.col("id")), F.concat(F.lit("c"), F.col("id") * 3 % 20))
+    return G.two_hop_each(graph(spark, sf_dir), spark.range(10).select(F.col("id").alias("query_id"), ids.alias("ids")))
+
+
+MESH_SQL = "mesh AS (SELECT DISTINCT k % 23 AS prerequisite, (k * k + 1) % 23 AS concept FROM (SELECT DISTINCT json_extract(props, '$.k')::INT AS k FROM events) UNION SELECT DISTINCT k % 23, (k // 3 + 5) % 23 FROM (SELECT DISTINCT json_extract(props, '$.k')::INT AS k FROM events) WHERE k % 4 = 0)"
+
+
+def mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph with diamonds, cycles and loops."""
+    k = table(spark, sf_dir, "events").select(F.get_json_object("props", "$.k").cast("int").alias("k")).distinct()
+    one = k.select((F.col("k") % 23).alias("prerequisite"), ((F.col("k") * F.col("k") + 1) % 23).alias("concept"))
+    two = k.where("k % 4 = 0").select((F.col("k") % 23).alias("prerequisite"), F.expr("(k div 3 + 5) % 23").cast("int").alias("concept"))
+    return one.unionByName(two).distinct()
+
+
+@query(
+    f"""WITH RECURSIVE {MESH_SQL}, up AS (SELECT c AS target, c AS spot, [c] AS path, 0 AS depth FROM (SELECT DISTINCT concept AS c FROM mesh) UNION ALL SELECT target, prerequisite, list_append(path, prerequisite), depth + 1 FROM up JOIN mesh ON concept = spot WHERE depth < 6 AND NOT list_contains(path, prerequisite))
+    SELECT target, spot AS concept, MAX(depth) AS depth FROM up WHERE depth > 0 GROUP BY target, spot"""
+)
+def mesh_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deepest prerequisites in a graph with diamonds and cycles."""
+    m = mesh(spark, sf_dir)
+    return G.prerequisites(m.withColumn("confidence", F.lit(1.0)), m.select("concept").distinct())
+
+
+@query(
+    f"""WITH RECURSIVE {MESH_SQL}, reach AS (SELECT prerequisite AS a, concept AS b FROM mesh UNION SELECT a, concept FROM reach JOIN mesh ON prerequisite = b) SELECT 0 AS "group", x.a AS node, MIN(x.b) AS component FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a GROUP BY x.a"""
+)
+def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.components(mesh(spark, sf_dir).select(F.lit(0).alias("group"), "prerequisite", "concept"))
+
+
+@query(
+    f"""{FULL}, {TREE_SQL}, live AS (SELECT DISTINCT s AS student, o::INT AS concept, p FROM edges WHERE invalidated_at IS NULL), ask AS (SELECT DISTINCT student || '-' || (concept % 2) AS query_id, student, concept FROM live WHERE p = 'confused_about'),
+    more AS (SELECT DISTINCT query_id, t.prerequisite AS concept FROM ask a JOIN tree t USING (concept) WHERE NOT EXISTS (SELECT 1 FROM live l WHERE l.student = a.student AND l.concept = t.prerequisite AND l.p = 'mastered') UNION SELECT query_id, concept FROM ask a WHERE EXISTS (SELECT 1 FROM live l WHERE l.student = a.student AND l.concept = a.concept AND l.p = 'struggles_with')),
+    less AS (SELECT DISTINCT query_id, l.concept FROM (SELECT DISTINCT query_id, student FROM ask) a JOIN live l ON l.student = a.student AND l.p = 'mastered' WHERE NOT EXISTS (SELECT 1 FROM ask b WHERE b.query_id = a.query_id AND b.concept = l.concept))
+    SELECT query_id, COALESCE((SELECT list_sort(list(concept))[1:5] FROM more m WHERE m.query_id = q.query_id), []) AS expand, COALESCE((SELECT list_sort(list(concept))[1:20] FROM less m WHERE m.query_id = q.query_id), []) AS suppress FROM (SELECT DISTINCT query_id FROM ask) q"""
+)
+def hints_with_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For what each student is confused about: what to explain besides, and what to leave out."""
+    live = B.current(edges(spark, sf_dir)).select(F.col("s").alias("student"), F.col("o").cast("int").alias("concept"), "p").distinct()
+    asks = live.where("p = 'confused_about'").select(F.concat("student", F.lit("-"), F.col("concept") % 2).alias("query_id"), "student", "concept")
+    state = F.when(F.col("p") == "mastered", "mastered").when(F.col("p") == "struggles_with", "struggling")
+    return G.hints(asks, live.select("student", "concept", state.alias("state")).where("state is not null"), tree(spark, sf_dir))

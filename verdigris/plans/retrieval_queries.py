@@ -284,3 +284,38 @@ def retrieved_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The block of each query with its background, as a digest."""
     found, grounded = _retrieved(spark, sf_dir)
     return R.knowledge_block(found, grounded).select("query_id", F.md5(F.col("block").cast("binary")).alias("digest"))
+
+
+CANDIDATES_SQL = """cand AS (SELECT f.query_id, a.qtext, f.id, d.text, f.rank, round(2.0::DOUBLE * (f.id % 5) / 10 + CASE (regexp_extract(d.source, '[0-9]+')::INT % 4) WHEN 0 THEN 2.0::DOUBLE WHEN 1 THEN 1.8::DOUBLE WHEN 2 THEN 0.9::DOUBLE ELSE 0.3::DOUBLE END
+      + CASE WHEN f.id % 7 = 0 THEN 0.5::DOUBLE ELSE 0 END - CASE WHEN contains(lower(d.source), '3') THEN 0.8::DOUBLE ELSE 0 END, 9) AS boost FROM vec f JOIN asked a USING (query_id) JOIN documents d ON d.doc_id = f.id WHERE f.rank <= 12)"""
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hits by vector with their texts and what their sources add."""
+    docs = table(spark, sf_dir, "documents")
+    kind = F.element_at(F.lit(list(R.KIND_BOOST)), F.regexp_extract("source", "[0-9]+", 0).cast("int") % 4 + 1)
+    boost = R.quality_boost(kind, (F.col("doc_id") % 5) / 10, F.col("doc_id") % 7 == 0, F.col("source"), ["3"])
+    found = _vector(spark, sf_dir).where("rank <= 12").select("query_id", "id", "rank")
+    told = found.join(docs.select(F.col("doc_id").alias("id"), "text", F.round(boost, 9).alias("boost")), "id")
+    return told.join(asked(spark, sf_dir).select("query_id", "qtext"), "query_id").select("query_id", "qtext", "id", "text", "boost", "rank")
+
+
+@query(f"WITH {QUERIES_SQL}, {VECTOR_SQL}, {CANDIDATES_SQL} SELECT query_id, id, score, n AS rank FROM (SELECT query_id, id, boost AS score, row_number() OVER (PARTITION BY query_id ORDER BY boost DESC, rank) AS n FROM cand) WHERE n <= 5")
+def boosted_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of twelve hits by what their sources add, without a scorer."""
+    return R.rerank(_candidates(spark, sf_dir), 5)
+
+
+def shared_words(asked: list[str], texts: list[str]) -> list[float]:
+    """A scorer: the share of a query's words that a text holds."""
+    split = [(set(q.lower().split()), set((t or "").lower().split())) for q, t in zip(asked, texts, strict=True)]
+    return [len(a & b) / len(a) if a else 0.0 for a, b in split]
+
+
+@query(
+    f"""WITH {QUERIES_SQL}, {VECTOR_SQL}, {CANDIDATES_SQL}, told AS (SELECT *, list_distinct(list_filter(string_split(lower(qtext), ' '), lambda w: w <> '')) AS q, list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '') AS t FROM cand)
+    SELECT query_id, id, score, n AS rank FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS n FROM (SELECT *, round(boost + CASE WHEN len(q) > 0 THEN len(list_intersect(q, t))::DOUBLE / len(q) ELSE 0 END, 9) AS score FROM told)) WHERE n <= 5"""
+)
+def reranked_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of twelve hits by a scorer and what their sources add."""
+    return R.rerank(_candidates(spark, sf_dir), 5, shared_words)
