@@ -4,7 +4,8 @@ Pieces of a fixed public vocabulary have a probability for each language. A word
 is the sum over all its segmentations into pieces, found by the forward algorithm; a text's is the
 product over its words. Words are lower-cased and reduced to letters, and scored whole; long ones
 are summed in logarithms. The piece probabilities are fitted by expectation maximisation on the word
-counts of at most about ``sample_docs`` distinct texts a language.
+counts of at most about ``sample_docs`` distinct texts a language, and one at least. For the fit alone
+words of more than ``STRETCH`` letters, as languages without spaces have them, are taken in stretches.
 
 Null texts and texts without a letter get ``und`` and score 0, as does every text when there is
 nothing to learn from. A text's result depends on that text alone, so equal texts get equal results;
@@ -28,6 +29,8 @@ from verdigris.llm.trie import Trie
 LONG = 48
 #: Cells of a table of words by letters that are worked on at once.
 CELLS = 400_000
+#: Letters of a stretch of a word in the fit.
+STRETCH = 256
 UNKNOWN = 1e-8
 START = "▁"
 
@@ -78,6 +81,22 @@ class Pieces(Trie):
         return used
 
 
+    def log_expect(self, codes: np.ndarray, size: np.ndarray, logs: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """As ``expect``, by log-sums, from log-probabilities of one language."""
+        ahead = np.full((len(codes), codes.shape[1] + 1), -np.inf)
+        back = ahead.copy()
+        ahead[:, 0], back[np.arange(len(codes)), size] = 0, 0
+        spans = list(self.spans(codes, size))
+        for i, j, words, piece in spans:
+            ahead[words, j] = np.logaddexp(ahead[words, j], ahead[words, i] + logs[piece])
+        for i, j, words, piece in sorted(spans, key=lambda s: (-s[0], s[1])):
+            back[words, i] = np.logaddexp(back[words, i], logs[piece] + back[words, j])
+        used = np.zeros(len(logs))
+        for i, j, words, piece in spans:
+            np.add.at(used, piece, count[words] * np.exp(ahead[words, i] + logs[piece] + back[words, j] - back[words, 0]))
+        return used
+
+
 def letters_only(word: bytes) -> str:
     return "".join(filter(str.isalpha, word.decode("utf-8", "replace").lower()))
 
@@ -126,21 +145,23 @@ def train(docs: DataFrame, model: str, sample_docs: int = 600, rounds: int = 4)
     """Languages and piece probabilities (row 0: unknown letter) from (text, lang) rows."""
     small_batches(docs.sparkSession)
     rows = docs.where(F.col("lang").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000))  # by the text, and each text once: copies do not add to the sample
+    texts = rows.select("lang", F.xxhash64("text").alias("h"), draw.alias("d")).distinct()
+    sizes = {r["lang"]: r for r in texts.groupBy("lang").agg(F.count("*").alias("n"), F.min("d").alias("first")).collect()}  # a row a language
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((1, 0))
-    share = F.element_at(F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, sample_docs / sizes[k])))]), F.col("lang"))
-    # by the text, and each text once: copies do not add to the sample
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000).distinct()
+    most = F.element_at(F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(max(int(1_000_000 * min(1.0, sample_docs / sizes[k]["n"])), sizes[k]["first"] + 1)))]), F.col("lang"))
+    sample = rows.where(draw < most).distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: Counter = Counter()
             for lang, text in zip(b["lang"].to_pylist(), blobs(b["text"]), strict=True):
                 for w, n in Counter(text.split()).items():
-                    if plain := letters_only(w):
-                        seen[lang, plain] += n
+                    plain = letters_only(w)
+                    for x in range(0, len(plain), STRETCH):
+                        seen[lang, plain[x : x + STRETCH]] += n
             yield pa.RecordBatch.from_pydict({"lang": pa.array([k for k, _ in seen], pa.string()), "word": pa.array([w for _, w in seen], pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
 
     words = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()  # of the sample
@@ -149,10 +170,11 @@ def train(docs: DataFrame, model: str, sample_docs: int = 600, rounds: int = 4)
     for k, lang in enumerate(langs):
         own = words[words.lang == lang].sort_values("word")
         every, n = own.word.tolist(), own.n.to_numpy(float)
-        parts = [(*trie.codes([every[i] for i in at.tolist()]), n[at]) for at in by_length(every) if len(every[at[-1]]) <= LONG]
+        parts = [(*trie.codes([every[i] for i in at.tolist()]), n[at]) for at in by_length(every)]
         p = np.full(len(prob), 1 / len(prob))
         for _ in range(rounds if parts else 0):
-            used = sum(trie.expect(codes, size, p, m) for codes, size, m in parts) + 0.02
+            logs = np.log(p)
+            used = sum(trie.log_expect(codes, size, logs, m) if size[-1] > LONG + 1 else trie.expect(codes, size, p, m) for codes, size, m in parts) + 0.02
             p = used / used.sum()
             p[0] = UNKNOWN
         prob[:, k] = p
