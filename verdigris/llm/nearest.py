@@ -5,7 +5,10 @@ dimensions with 16 codewords each. Codes and codewords minimise the anisotropic
 the residual parallel to the vector counts more than the rest, since it is what changes large
 inner products. A query is turned into a table of partial scores; two four-bit codes address
 256 entries at once. The best of each block by table score are scored exactly, in double
-precision, and the blocks' best are merged.
+precision. A table score misses the exact one by the length of the row's residual at most, so
+every row whose table score and residual reach the k-th exact score is scored exactly too: no
+number of near copies in a block is too large, and the result is the exact one. The blocks' best
+are merged.
 
 Codewords are fitted on at most ``sample`` rows (a documented bound); every row is indexed and
 every query meets every block. Equal vectors are held once with their ``k`` smallest ids other than
@@ -65,6 +68,13 @@ class Codebook:
                 total = rest + along[m][rows, codes[:, m]]
         return codes
 
+    def residual(self, unit: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The length of what the codes leave of each row."""
+        gap = self._split(unit.astype(np.float32))
+        for m in range(codes.shape[1]):
+            gap[:, m] -= self.words[m][codes[:, m]]
+        return np.sqrt((gap**2).sum((1, 2)))
+
     def tables(self, query: np.ndarray) -> np.ndarray:
         """Partial scores of pairs of codes: ceil(subspaces / 2) x 256."""
         q = self._split(query[None].astype(np.float32))[0]
@@ -158,22 +168,28 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = 640
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
         if len(left) and len(right):
             x = _matrix(left["v"])
-            codes = np.concatenate([paired(book.encode(_unit(x[a : a + 8192]))) for a in range(0, len(x), 8192)], 1)
+            codes, left_over = [], []
+            for a in range(0, len(x), 8192):
+                unit = _unit(x[a : a + 8192])
+                own = book.encode(unit)
+                codes.append(paired(own))
+                left_over.append(book.residual(unit, own) + 1e-4)  # what single precision may add
+            codes, left_over = np.concatenate(codes, 1), np.concatenate(left_over)
             ids = left["ids"].to_numpy()
             first = np.array([i[0] for i in ids])
             for q_id, q in zip(right["id"], _matrix(right["v"]), strict=True):
-                lut = book.tables(q)
+                lut = book.tables(_unit(q[None])[0])
                 score = lut[0][codes[0]]
                 for t, c in zip(lut[1:], codes[1:], strict=True):
                     score += t[c]
                 top = np.argpartition(-score, rerank)[:rerank] if len(score) > rerank else np.arange(len(score))
-                exact = cosines(q, x[top])
-                got = []
-                for g in np.lexsort((first[top], -exact)):
-                    got += [(-exact[g], i) for i in ids[top[g]] if i != q_id]
-                    if len(got) >= k and exact[g] < -sorted(got)[k - 1][0]:
-                        break
-                for s, i in sorted(got)[:k]:
+                got = _best(q, q_id, x, ids, first, top, k)
+                if len(score) > rerank:
+                    least = -got[k - 1][0] if len(got) >= k else -2.0
+                    more = score + left_over >= least
+                    more[top] = False
+                    got = sorted(got + _best(q, q_id, x, ids, first, np.flatnonzero(more), k))
+                for s, i in got[:k]:
                     out["query_id"].append(q_id)
                     out["vec_id"].append(i)
                     out["score"].append(-s)
@@ -184,6 +200,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, rerank: int = 640
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _best(q: np.ndarray, q_id: int, x: np.ndarray, ids: np.ndarray, first: np.ndarray, rows: np.ndarray, k: int) -> list[tuple[float, int]]:
+    """(-score, id) of the k best ids among ``rows``, ties to the smaller id, a slice of rows at a time."""
+    got: list[tuple[float, int]] = []
+    for a in range(0, len(rows), 65_536):
+        some = rows[a : a + 65_536]
+        exact = cosines(q, x[some])
+        if len(got) >= k:
+            reach = exact >= -got[k - 1][0]
+            some, exact = some[reach], exact[reach]
+        for g in np.lexsort((first[some], -exact)):
+            got += [(-exact[g], i) for i in ids[some[g]] if i != q_id]
+            if len(got) >= k and exact[g] < -sorted(got)[k - 1][0]:
+                break
+        got = sorted(got)[:k]
+    return got
+
+
 def _distinct(vectors: DataFrame, k: int) -> DataFrame:
     """(v, h, ids): distinct vectors with their k + 1 smallest different ids; copies are cut down before the shuffle."""
 
