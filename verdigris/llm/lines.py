@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from verdigris.llm.common import blobs, settle, small_batches
 from verdigris.llm.components import components
 from verdigris.llm.jaccard import _slots, bloom
-from verdigris.llm.substrings import LOWEST, keyed
+from verdigris.llm.substrings import LOWEST, keyed, repeated_ids, told_apart
 
 EDITS = 2
 SHORTEST = 32
@@ -145,7 +145,7 @@ def occurrences(rows: DataFrame) -> DataFrame:
                 at = pa.array(at)
                 yield pa.RecordBatch.from_pydict({"lid": pa.array(lid, pa.int64()), "k": b["k"].take(at), "r": b["r"].take(at), "ln": pa.array(ln, pa.int32())})
 
-    return rows.mapInArrow(run, "lid long, k long, r int, ln int")
+    return rows.mapInArrow(run, "lid long, k long, r long, ln int")
 
 
 def _distinct_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, str]]]:
@@ -305,15 +305,16 @@ def classes(rows: DataFrame) -> DataFrame:
     return components(found).withColumnRenamed("node", "lid")
 
 
-def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The keyed rows, and (k, r, gone) with the numbers of the lines that an earlier line of their class makes repeats."""
+def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The keyed rows, the doc_ids of several rows, and (k, r, gone) with the numbers of the lines that an earlier line of their class makes repeats."""
     small_batches(docs.sparkSession)
-    rows = keyed(docs)
+    ids = repeated_ids(docs)
+    rows = keyed(docs, ids)
     every = occurrences(rows)
     named = every.join(classes(rows), "lid", "left").select(F.coalesce("root", "lid").alias("class"), "k", "r", "ln")
     firsts = named.groupBy("class").agg(F.count("*").alias("c"), F.min(F.struct("k", "r", "ln")).alias("first")).where(F.col("c") > 1)
     again = named.join(firsts, "class").where(F.struct("k", "r", "ln") != F.col("first"))
-    return rows, again.groupBy("k", "r").agg(F.collect_list("ln").alias("gone"))  # a document's own, so bounded by its length
+    return rows, ids, again.groupBy("k", "r").agg(F.collect_list("ln").alias("gone"))  # a document's own, so bounded by its length
 
 
 def _without(text: bytes, gone: list[int] | None) -> tuple[list[bytes], int]:
@@ -327,7 +328,7 @@ def _without(text: bytes, gone: list[int] | None) -> tuple[list[bytes], int]:
 
 def report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256) of every row; the kept lines joined by line feeds, UTF-8."""
-    rows, gone = repeated(docs)
+    rows, _, gone = repeated(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -340,7 +341,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 def deduped(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``; rows left without any text go, rows that had none stay."""
-    _, gone = repeated(docs)
+    _, ids, gone = repeated(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -352,7 +353,8 @@ def deduped(docs: DataFrame) -> DataFrame:
 
     rest = [f"c{i}" for i, c in enumerate(docs.columns) if c != "text"]
     names = [c for c in docs.columns if c != "text"]
-    plain = docs.select(*[F.col(f"`{c}`").alias(r) for c, r in zip(names, rest, strict=True)], F.col("text").cast("string").alias("_t"), *[c.alias(f"_{n}") for n, c in (("k", F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))), ("r", F.hash(F.coalesce(F.col("text").cast("string"), F.lit("")))))])
+    plain = docs.select(*[F.col(f"`{c}`").alias(r) for c, r in zip(names, rest, strict=True)], F.col("text").cast("string").alias("_t"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("_k"))
+    plain = told_apart(plain, ids, "_k", "_t", "_r")
     joined = plain.join(gone.select(F.col("k").alias("_k"), F.col("r").alias("_r"), F.col("gone").alias("_gone")), ["_k", "_r"], "left").select(*rest, "_t", "_gone")
     out = joined.mapInArrow(run, joined.drop("_gone").schema)
     back = dict(zip(names, rest, strict=True))

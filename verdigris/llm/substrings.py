@@ -1,18 +1,16 @@
-"""Operator 10: substring dedup over a prefix-partitioned suffix tree of word suffixes, cut at depth ``width``.
+"""Operator 10: substring dedup by groups of word suffixes with a common sparse prefix. This is not a suffix tree.
 
-Only repeats of at least ``width`` words matter, so suffixes are followed that deep. A node of the
-tree is named by the fingerprint of its path. A suffix's group is its sparse prefix node: the
+Only repeats of at least ``width`` words matter, so suffixes are taken that long. A suffix's group is the
 smallest fingerprint among the runs of ``width // 2`` words within its first ``width`` words, so equal
-suffixes share a group. Groups whose node has one leaf cannot hold a repeat and are dropped
-before any suffix is sent. The others' suffixes are dealt out by group and fingerprint, an order in which
-a subtree's leaves are neighbours and sort by document and start: every leaf of a deep node
-but the first repeats something earlier. Ranges of that order spill to disk instead of having to fit
-in memory, so no group is too large. Two words' runs are taken as equal when two independent 64-bit
-fingerprints agree.
+suffixes share a group. Groups with a single place cannot hold a repeat and are dropped before any suffix
+is sent. The others' suffixes are dealt out by group and fingerprint and sorted, so that equal ones are
+neighbours in the order of document and start: every one but the first repeats something earlier. Ranges
+of that order spill to disk instead of having to fit in memory, so no group is too large. Two words' runs
+are taken as equal when two independent 64-bit fingerprints agree.
 
 Null texts have no words. Null doc_ids come before all others. Rows with the same doc_id and
 the same text are one document and get equal results; rows with the same doc_id and different
-texts are ordered by a hash of the text.
+texts are told apart and ordered by a 64-bit hash of the text.
 """
 
 from __future__ import annotations
@@ -31,10 +29,28 @@ WIDTH = 20
 LOWEST = -(2**63)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+#: Rows of a table that is broadcast, counted first.
+FEW = 100_000
+
+
+def repeated_ids(docs: DataFrame) -> DataFrame:
+    """(k): the doc_ids, null as the lowest number, that several rows have; a hint to broadcast if they are few."""
+    k = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("k")
+    found = settle(docs.groupBy(k).agg(F.count("*").alias("n")).where(F.col("n") > 1).select("k"))
+    return F.broadcast(found) if found.count() <= FEW else found
+
+
+def told_apart(rows: DataFrame, repeated: DataFrame, k: str, text: str, r: str) -> DataFrame:
+    """``rows`` with a column ``r`` that tells texts with one doc_id apart: 64 bits of the text, 0 where the doc_id is one row's."""
+    again = repeated.select(F.col("k").alias(k), F.lit(True).alias("_again"))
+    return rows.join(again, k, "left").withColumn(r, F.when(F.col("_again"), F.xxhash64(F.coalesce(F.col(text), F.lit("")))).otherwise(F.lit(0).cast("long"))).drop("_again")
+
+
+def keyed(docs: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
     """(k, r, text): k orders documents, r tells texts with one doc_id apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("k"), F.hash(text).alias("r"), text.alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("k"), text.alias("text"))
+    return told_apart(rows, repeated_ids(docs) if repeated is None else repeated, "k", "text", "r").select("k", "r", "text")
 
 
 def _anchored(words: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -70,7 +86,7 @@ def anchors(rows: DataFrame, width: int = WIDTH) -> DataFrame:
             at, text = place[new], pa.array(text[new])
             yield pa.RecordBatch.from_pydict({"h": signed(runs[at]), "k": b["k"].take(text), "r": b["r"].take(text)})
 
-    return rows.mapInArrow(run, "h long, k long, r int")
+    return rows.mapInArrow(run, "h long, k long, r long")
 
 
 def shared(nodes: DataFrame) -> DataFrame:
@@ -121,7 +137,7 @@ def suffixes(rows: DataFrame, groups: DataFrame, width: int = WIDTH) -> DataFram
             own = pa.array(text)
             yield pa.RecordBatch.from_pydict({"a": signed(anchor[keep]), "w": signed(whole[at]), "k": b["k"].take(own), "r": b["r"].take(own), "s": pa.array((at - ends[text]).astype(np.int32))})
 
-    return both.select("k", "r", "text", "hs").mapInArrow(run, "a long, w long, k long, r int, s int")
+    return both.select("k", "r", "text", "hs").mapInArrow(run, "a long, w long, k long, r long, s int")
 
 
 def later(leaves: DataFrame) -> DataFrame:
@@ -141,10 +157,10 @@ def later(leaves: DataFrame) -> DataFrame:
             head = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
             again = (k != k[head]) | (r != r[head]) | (s != s[head])
             first = tuple(c[head[-1]] for c in cols)
-            yield pa.RecordBatch.from_pydict({"k": pa.array(k[again], pa.int64()), "r": pa.array(r[again], pa.int32()), "s": pa.array(s[again], pa.int32())})
+            yield pa.RecordBatch.from_pydict({"k": pa.array(k[again], pa.int64()), "r": pa.array(r[again], pa.int64()), "s": pa.array(s[again], pa.int32())})
 
     dealt = leaves.repartition("a", "w").sortWithinPartitions("a", "w", "k", "r", "s")
-    return dealt.mapInArrow(run, "k long, r int, s int")
+    return dealt.mapInArrow(run, "k long, r long, s int")
 
 
 def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
