@@ -181,9 +181,9 @@ def test_html():
 
 
 def test_headers(spark):
-    doc = "# Title: T\n# URL: u\n==========\nbody\n"
+    doc = "# Title: T\n# URL: u\n==========\nbody"
     assert one(spark, html.headers("x", ["Title", "URL", "Date"]), doc) == {"title": "T", "url": "u"}
-    assert one(spark, html.body_after_headers("x"), doc) == "body\n" and one(spark, html.body_after_headers("x"), "# A: b\n\nbody") == "body"
+    assert one(spark, html.body_after_headers("x"), doc) == "body" and one(spark, html.body_after_headers("x"), "# A: b\n\nbody") == "body"
 
 
 def test_token_bucket():

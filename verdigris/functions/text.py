@@ -96,16 +96,12 @@ def clean_transcript(x: Column | str) -> Column:
     """Without time stamps and fillers; a line that ends mid-sentence takes in a next line that starts in lower case."""
     text = F.regexp_replace(col(x), "[\\[(]\\d{1,2}:\\d{2}(?::\\d{2})?[\\])]", "")
     text = F.regexp_replace(text, "(?m)^\\d{1,2}:\\d{2}(?::\\d{2})?\\s*$", "")
+    spoken = text
     for filler in FILLERS:
-        text = F.regexp_replace(text, f"(?i){filler}", "")
-    lines = F.transform(F.split(text, "\n"), lambda line: F.trim(line))
-
-    def fold(done: Column, line: Column) -> Column:
-        last = F.element_at(done, -1)
-        joins = (F.size(done) > 0) & (last != "") & ~last.rlike("[.!?:]$") & line.rlike("^\\p{Ll}")
-        return F.when(joins, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat(last, F.lit(" "), line)))).otherwise(F.concat(done, F.array(line)))
-
-    return F.array_join(F.aggregate(lines, F.array().cast("array<string>"), fold), "\n")
+        spoken = F.regexp_replace(spoken, f"(?i){filler}", "")
+    spoken = F.when(text.rlike(f"(?i){'|'.join(FILLERS)}"), spoken).otherwise(text)
+    lines = F.array_join(F.transform(F.split(spoken, "\n"), lambda line: F.trim(line)), "\n")
+    return F.regexp_replace(lines, "(?<=[^.!?:\\n])\\n(?=\\p{Ll})", " ")
 
 
 # Notation to characters, replaced in this order and without a boundary after the name.
@@ -119,14 +115,15 @@ LATEX = [
 
 def clean_latex(x: Column | str) -> Column:
     """Notation as characters, text commands unwrapped, environments and other commands dropped."""
-    text = col(x)
+    given = text = col(x)
     for name, char in LATEX:
         text = F.regexp_replace(text, f"\\\\{name}", char)
     for name in ("text", "mathrm", "mathbf"):
         text = F.regexp_replace(text, f"\\\\{name}\\{{([^}}]+)\\}}", "$1")
     for name in ("begin", "end"):
         text = F.regexp_replace(text, f"\\\\{name}\\{{[^}}]+\\}}", "")
-    return F.regexp_replace(text, "\\\\[a-zA-Z]+(?:\\{[^}]*\\})?", "")
+    text = F.regexp_replace(text, "\\\\[a-zA-Z]+(?:\\{[^}]*\\})?", "")
+    return F.when(F.contains(given, F.lit("\\")), text).otherwise(given)
 
 
 def normalize_whitespace(x: Column | str) -> Column:

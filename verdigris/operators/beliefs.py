@@ -117,10 +117,21 @@ SAYS = {
 }
 
 
-def learner_profiles(edges: DataFrame) -> DataFrame:
+#: How to explain things to each audience, in our own words.
+GUIDANCE = {
+    "advanced": "Use the mathematics as it is, with its assumptions and where it fails; keep examples short.",
+    "business": "Stay with decisions and effects: what moves the figures, which data is needed, what can be automated; few formulas.",
+    "intermediate": "Take the basics as known, begin with a worked example, and add notation only where it helps.",
+    "beginner": "Begin with something from daily life, go one step at a time, and bring in one new word at a time.",
+    "unknown": "Begin with an analogy at a middle depth, and offer to go further or simpler.",
+}
+
+
+def learner_profiles(edges: DataFrame, names: DataFrame | None = None, guidance: dict[str, str] | None = None) -> DataFrame:
     """(s, level, profile): the audience of each subject by roles, context and mastery, and a line that sums it up.
 
     Markers are found anywhere in the joined text. A subject without an object in any edge is unknown.
+    ``names`` is (s, name); ``guidance`` has a closing sentence for each level.
     """
     told = edges.where(F.coalesce("o", F.lit("")) != "")
     sets = [F.array_sort(F.collect_set(F.when(F.col("p").isin(ps), F.col("o")))).alias(name) for name, ps in SAYS.items()]
@@ -144,6 +155,11 @@ def learner_profiles(edges: DataFrame) -> DataFrame:
         return F.when(F.size(name) > 0, F.concat(F.lit(f"{head}: "), F.array_join(F.slice(F.array_sort(name), 1, n), ", "), F.lit(".")))
 
     parts = [top("Role", "roles", 3), top("Professional context", "context", 4), top("Already solid on", "solid", 5), top("Currently finding hard", "hard", 5), top("Interested in", "curious", 4), top("Stated preferences", "preferences", 3)]
+    if names is not None:
+        known = known.join(names.select("s", F.col("name").alias("_name")), "s", "left")
+        parts.insert(0, F.when(F.coalesce("_name", F.lit("")) != "", F.concat(F.lit("Name: "), "_name", F.lit("."))))
+    if guidance:
+        parts.append(F.coalesce(*(F.when(level == k, v) for k, v in guidance.items())))
     return known.select("s", level.alias("level"), F.concat_ws(" ", F.concat(F.lit("LEARNER PROFILE: "), level, F.lit(".")), *parts).alias("profile"))
 
 

@@ -33,6 +33,34 @@ def sentence_spread(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return rows.select(key, F.col("n").alias("sentences"), F.round(mean, 2).alias("mean_len"), F.round(middle, 2).alias("median_len"), F.round(p90, 2).alias("p90_len"))
 
 
+def analyse(docs: DataFrame, key: str, pronouns: list[str], connectives: list[str], hedges: list[str], probes: list[str], text: str = "text") -> DataFrame:
+    """All statistics of each text in one row: words, sentences and their lengths, pronouns, connectives, hedges and probes by 1,000 words.
+
+    ``connectives`` and ``probes`` are maps by phrase; hedges are one sum. A text without words has zeros.
+    """
+    x = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(key, x.alias("_x"))
+    n = word_count("_x")
+    words = F.regexp_extract_all(F.lower("_x"), F.lit("([a-z']+)"), 1)
+    parts = F.split(F.regexp_replace("_x", "([.!?])[ \\t\\n\\r\\f\\x0B]+", "$1\x01"), "\x01")
+    blank = F.size(F.filter(parts, lambda p: F.regexp_replace(p, "[ \\t\\n\\r\\f\\x0B]+", "") != ""))
+    spread = sentence_spread(rows, key, "_x").drop("sentences")
+    def uses(target: str) -> Column:
+        return F.round(1000.0 * F.size(F.filter(words, lambda w: w == target)) / F.greatest(n, F.lit(1)), 2).alias(f"pronoun_{target}_per_1k")
+
+    per = [uses(p) for p in pronouns]
+
+    def phrases(which: list[str], digits: int) -> Column:
+        return F.create_map(*[v for p in which for v in (F.lit(p), F.round(phrase_per_1k("_x", p), digits))])
+
+    hedged = F.lit(0.0)
+    for h in hedges:
+        hedged = hedged + phrase_per_1k("_x", h)
+    told = rows.select(key, n.alias("words"), blank.alias("sentences"), *per, phrases(connectives, 3).alias("connectives"), F.round(hedged, 3).alias("hedges_per_1k"), phrases(probes, 4).alias("probes"))
+    zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean_len", "median_len", "p90_len")]
+    return told.join(spread, key, "left").select(key, "words", "sentences", *zero, *[p for p in told.columns if p not in (key, "words", "sentences")])
+
+
 def merge(stats: DataFrame, by: str, weight: str, means: list[str]) -> DataFrame:
     """Statistics of groups of texts: the total weight, and means weighted by it."""
     return stats.groupBy(by).agg(F.sum(weight).alias(weight), *[F.round(F.sum(F.col(m) * F.col(weight)) / F.sum(weight), 2).alias(m) for m in means])

@@ -128,23 +128,13 @@ def page_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.drop_page_furniture("text").cast("binary")).alias("digest"))
 
 
-@query()
-def cleaned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full cleaning by kind with what it took away."""
-    docs = table(spark, sf_dir, "documents")
-    kind = F.element_at(F.lit(["pdf", "transcript", "newsletter"]), (F.col("doc_id") % 3 + 1).cast("int"))
-    rows = docs.select("doc_id", kind.alias("kind"), "text", text.clean_document("text", kind).alias("clean"))
-    before, after = text.word_count("text"), text.word_count("clean")
-    return rows.groupBy("kind").agg(F.count("*").alias("files"), F.sum(before).alias("words"), F.sum(before - after).alias("removed"), F.round(100.0 * F.sum(before - after) / F.sum(before), 1).alias("reduction"))
-
-
 @query(
-    """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z'']+') AS w, lower(text) AS t FROM documents)
+    """WITH w AS (SELECT doc_id, regexp_extract_all(lower(COALESCE(text, '')), '[a-z'']+') AS w, lower(COALESCE(text, '')) AS t FROM documents)
     SELECT doc_id, len(w) AS words, round(1000.0::DOUBLE * len(list_filter(w, lambda x: x = 'i')) / GREATEST(len(w), 1), 2) AS i_per_1k, round(1000.0::DOUBLE * len(list_filter(w, lambda x: x = 'we')) / GREATEST(len(w), 1), 2) AS we_per_1k,
     CASE WHEN len(w) = 0 THEN 0.0::DOUBLE ELSE round(1000.0::DOUBLE * len(regexp_extract_all(t, '\\bso')) / len(w), 3) END AS so_per_1k FROM w"""
 )
 def style_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return style.rates(table(spark, sf_dir, "documents").where("text is not null"), "doc_id", {"i_per_1k": "i", "we_per_1k": "we"}, {"so_per_1k": "so"})
+    return style.rates(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", {"i_per_1k": "i", "we_per_1k": "we"}, {"so_per_1k": "so"})
 
 
 SENTENCES_SQL = """sentences AS (SELECT doc_id, len(regexp_extract_all(s, '[A-Za-z'']+')) AS n FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\r\\f\\v]+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM documents)),

@@ -117,7 +117,7 @@ def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
 
 
 def article_links(found: DataFrame, pattern: str, excluded: list[str]) -> DataFrame:
-    """(target): links that match and hold none of ``excluded``, first seen once."""
+    """(target): links that match and hold none of ``excluded``, once each, from the smallest page url."""
     bad = F.lit(False)
     for x in excluded:
         bad = bad | F.col("target").contains(x)
@@ -125,17 +125,38 @@ def article_links(found: DataFrame, pattern: str, excluded: list[str]) -> DataFr
     return rows.withColumn("n", F.row_number().over(W.partitionBy("target").orderBy("url"))).where("n = 1").select("target", "url")
 
 
+#: What ends a line of a text file.
+LINE_ENDS = "\\r\\n|[\\n\\r\\x0B\\f\\x1C-\\x1E\\x85\\u2028\\u2029]"
+
+
+def _opening(lines: Column) -> tuple[Column, Column]:
+    """Lines before the one that ends the headers, and the number of the body's first line: after a rule of ten marks, or a first line that is neither blank nor begins with ``#``; without either the first of all."""
+    bare = lambda x: F.regexp_replace(x, "^\\s+|\\s+$", "")
+    found = F.transform(lines, lambda x, i: F.when(x.rlike("^(?:={10}|-{10})"), F.struct(i.alias("i"), (i + 1).alias("body"))).when(~x.startswith("#") & (bare(x) != ""), F.struct(i.alias("i"), i.alias("body"))))
+    first = F.get(F.filter(found, lambda f: f.isNotNull()), F.lit(0))
+    return F.when(first.isNull(), lines).otherwise(F.slice(lines, F.lit(1), first["i"])), F.coalesce(first["body"], F.lit(0))
+
+
 def headers(text: Column | str, names: list[str]) -> Column:
-    """Map of ``# Name: value`` lines before the body."""
+    """Map of ``# Name: value`` lines before the body, by lower-case names; of several the last."""
     x = F.col(text) if isinstance(text, str) else text
-    pairs = [F.struct(F.lit(n.lower()).alias("k"), F.regexp_extract(x, f"(?m)^#\\s*{n}:\\s*(.*?)\\s*$", 1).alias("v")) for n in names]
-    return F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["v"] != ""))
+    lines, _ = _opening(F.split(x, LINE_ENDS))
+
+    def value(name: str) -> Column:
+        own = F.filter(lines, lambda line: line.startswith(f"# {name}:"))
+        last = F.get(own, F.size(own) - 1)
+        return F.regexp_replace(F.replace(last, F.lit(f"# {name}:"), F.lit("")), "^\\s+|\\s+$", "")
+
+    pairs = [F.struct(F.lit(n.lower()).alias("k"), value(n).alias("v")) for n in names]
+    return F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["v"].isNotNull()))
 
 
 def body_after_headers(text: Column | str) -> Column:
-    """The text after a rule of ten marks, else after its leading header and blank lines."""
+    """The lines from the body's first on, without white space around them."""
     x = F.col(text) if isinstance(text, str) else text
-    return F.when(x.rlike("(?m)^[=\\-]{10}"), F.regexp_replace(x, "(?s)^.*?(?:^|\\n)[=\\-]{10,}[^\\n]*\\n?", "")).otherwise(F.regexp_replace(x, "^(?:(?:#[^\\n]*|[ \\t]*)\\n)+", ""))
+    lines = F.split(x, LINE_ENDS)
+    _, start = _opening(lines)
+    return F.regexp_replace(F.array_join(F.slice(lines, start + 1, F.greatest(F.size(lines) - start, F.lit(0))), "\n"), "^\\s+|\\s+$", "")
 
 
 def documents(spark, path: str) -> DataFrame:
