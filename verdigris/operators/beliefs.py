@@ -78,10 +78,19 @@ def decay(edges: DataFrame, now: str, factor: float = 0.95, least: float = 0.1,
     return edges.withColumn("weight", F.when(idle, F.round(F.greatest(F.col("weight") * factor, F.lit(least)), 9)).otherwise(F.col("weight"))).withColumn("updated_at", F.when(idle, t).otherwise(F.col("updated_at")))
 
 
-def invalidate_by_id(edges: DataFrame, edge_id: int, now: str) -> DataFrame:
-    """Soft delete of one live edge."""
-    hit = (F.col("edge_id") == edge_id) & F.col("invalidated_at").isNull()
-    return edges.withColumn("invalidated_at", F.when(hit, F.lit(now).cast("timestamp_ntz")).otherwise(F.col("invalidated_at")))
+def retract(edges: DataFrame, asked: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+    """Soft deletes of live edges by (tenant, edge_id, reason), one for each edge; and (tenant, edge_id, found) for every one asked.
+
+    The edges are (tenant, edge_id, invalidated_at, reason, updated_at, ...); a retired edge, or one of another tenant, is not found.
+    """
+    t = F.lit(now).cast("timestamp_ntz")
+    wanted = asked.groupBy("tenant", "edge_id").agg(F.min(F.coalesce("reason", F.lit("corrected by student"))).alias("_why"))
+    hit = F.col("invalidated_at").isNull() & F.col("_why").isNotNull()
+    out = edges.join(wanted, ["tenant", "edge_id"], "left")
+    changed = {"invalidated_at": F.when(hit, t).otherwise(F.col("invalidated_at")), "reason": F.when(hit, F.col("_why")).otherwise(F.col("reason")), "updated_at": F.when(hit, t).otherwise(F.col("updated_at"))}
+    live = edges.where(F.col("invalidated_at").isNull()).select("tenant", "edge_id", F.lit(True).alias("found"))
+    found = wanted.join(live, ["tenant", "edge_id"], "left").select("tenant", "edge_id", F.coalesce("found", F.lit(False)).alias("found"))
+    return out.select(*(changed.get(c, F.col(c)).alias(c) for c in edges.columns)), found
 
 
 def validate_triplets(raw: DataFrame) -> DataFrame:

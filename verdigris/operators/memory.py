@@ -7,24 +7,36 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+# What a query says that asks for memories in general.
+GENERIC = [
+    "who am i", "about me", "remember me", "my name", "my background", "what do you know", "what did we talk", "previous conversation", "our last chat", "last session", "my project", "my goals", "what i do",
+]
+
+
 def relevant(memories: DataFrame, queries: DataFrame, n: int = 5) -> DataFrame:
     """(query_id, id, score, rank): memories that share words with a query, scored by overlap, tags, topic and importance.
 
     ``memories`` is (id, memory, tags, topic, importance, ts); ``queries`` is (query_id, text). Words
-    meet in an equi-join, so memories without a shared word never meet a query.
+    meet in an equi-join, so memories without a shared word never meet a query. A tag counts that is a
+    word of the query, a topic that holds one. A query that asks for memories in general gets the most
+    important and recent ones, without a score.
     """
 
     def words(c: str) -> F.Column:
         return F.array_distinct(F.filter(F.split(F.lower(F.col(c)), "[^a-z0-9]+"), lambda w: w != ""))
 
+    general = F.exists(F.lit(GENERIC), lambda t: F.contains(F.lower(F.col("text")), t))
     m = memories.select("id", "tags", "topic", "importance", "ts", F.explode(words("memory")).alias("w"))
-    q = queries.select("query_id", F.lower("text").alias("qtext"), F.explode(words("text")).alias("w"))
-    both = m.join(q, "w").groupBy("query_id", "id", "qtext", "tags", "topic", "importance", "ts").agg(F.count("*").alias("overlap"))
-    tag = F.when(F.exists("tags", lambda t: F.contains(F.col("qtext"), F.lower(t))), 1.5).otherwise(0.0)
-    topic = F.when(F.contains("qtext", F.lower("topic")), 1.0).otherwise(0.0)
+    q = queries.where(~F.coalesce(general, F.lit(False))).select("query_id", words("text").alias("qw")).select("query_id", "qw", F.explode("qw").alias("w"))
+    both = m.join(q, "w").groupBy("query_id", "id", "qw", "tags", "topic", "importance", "ts").agg(F.count("*").alias("overlap"))
+    tag = F.when(F.arrays_overlap(F.transform("tags", lambda t: F.lower(t)), "qw"), 1.5).otherwise(0.0)
+    topic = F.when(F.exists("qw", lambda w: F.contains(F.lower(F.col("topic")), w)), 1.0).otherwise(0.0)
     score = F.round(F.col("overlap") + F.coalesce(tag, F.lit(0.0)) + F.coalesce(topic, F.lit(0.0)) + 0.4 * F.least(F.col("importance"), F.lit(3)), 6)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("ts"), "id"))
-    return both.withColumn("score", score).withColumn("rank", rank).where(F.col("rank") <= n).select("query_id", "id", "score", "rank")
+    own = both.withColumn("score", score).withColumn("rank", rank).where(F.col("rank") <= n).select("query_id", "id", "score", "rank")
+    first = memories.select("id", "importance", "ts").orderBy(F.desc("importance"), F.desc("ts"), "id").limit(n)
+    first = first.withColumn("rank", F.row_number().over(W.orderBy(F.desc("importance"), F.desc("ts"), "id"))).select("id", F.lit(None).cast("double").alias("score"), "rank")  # n rows
+    return own.unionByName(queries.where(general).select("query_id").join(F.broadcast(first)).select("query_id", "id", "score", "rank"))
 
 
 def remember(old: DataFrame, new: DataFrame, most: int = 250) -> DataFrame:

@@ -52,9 +52,11 @@ def memory_text(turns: DataFrame, size: int = 8, chars: int = 220) -> DataFrame:
     return last.groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda t: t["l"]), "\n").alias("memory"))
 
 
-def pending(turns: DataFrame, done: DataFrame, n: int = 3) -> DataFrame:
-    """(session, turn): the newest user turns of each session that no finished (session, turn) covers."""
+def pending(turns: DataFrame, done: DataFrame, n: int = 3, now: str | None = None, minutes: int = 2) -> DataFrame:
+    """(session, turn): the newest user turns of each session that no finished (session, turn) covers; with ``now`` only those whose ``ts`` is ``minutes`` older."""
     left = turns.where(F.col("role") == "user").join(done, ["session", "turn"], "left_anti")
+    if now is not None:
+        left = left.where(F.col("ts") < F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {minutes} MINUTES"))
     return left.withColumn("n", F.row_number().over(W.partitionBy("session").orderBy(F.desc("turn")))).where(F.col("n") <= n).select("session", "turn")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verdigris.plans import corpus_queries, graph_queries, profile_queries, retrieval_queries, stream_queries, style_queries, text_queries  # noqa: F401
+from verdigris.plans import corpus_queries, graph_queries, memory_queries, profile_queries, retrieval_queries, stream_queries, style_queries, text_queries  # noqa: F401
 from verdigris.plans.registry import QUERIES, SQL, Query
 
 FLAGSHIP: Query = retrieval_queries.hybrid_rrf
