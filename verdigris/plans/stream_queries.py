@@ -29,7 +29,12 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE r AS (SELECT user_id AS key, event_id AS id, floor(epoch(ts))::DOUBLE AS seconds, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS i FROM events),
+    walk AS (SELECT key, 0::BIGINT AS i, 2.0::DOUBLE AS tokens, NULL::DOUBLE AS last_, NULL::BIGINT AS id, false AS allowed FROM (SELECT DISTINCT key FROM r)
+      UNION ALL SELECT key, i, t - CASE WHEN t >= 1 THEN 1 ELSE 0 END, seconds, id, t >= 1 FROM (SELECT r.key, r.i, r.id, r.seconds, CASE WHEN last_ IS NULL THEN tokens ELSE LEAST(2.0::DOUBLE, tokens + (seconds - last_) * 2.0::DOUBLE / 60) END AS t FROM walk w JOIN r ON r.key = w.key AND r.i = w.i + 1))
+    SELECT key, id, allowed FROM walk WHERE id IS NOT NULL"""
+)
 def token_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return limits.allowed(e.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("seconds")), 2.0)
