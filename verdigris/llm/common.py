@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+@contextmanager
+def wide_batches(spark: SparkSession, rows: int = 32_768, size: int = 1 << 21) -> Iterator[None]:
+    """Arrow batches of many short rows, bounded by their bytes, for the jobs that run within."""
+    bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {key: spark.conf.get(key) for key in bounds}
+    try:
+        for key, most in bounds.items():
+            spark.conf.set(key, str(most))
+        yield
+    finally:
+        for key, old in before.items():
+            spark.conf.set(key, old)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; where it is unset, the warehouse of a session on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -207,6 +223,14 @@ class Hasher:
             out[a : a + step] = (total[y] - total[x]) * self.inverse[x]
         return mix(out)
 
+    def anywhere(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Hashes of stretches of ``data`` in any order; its sums are held at once."""
+        if len(data) > len(self.powers):
+            self._power(2 * len(data))
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.values[data] * self.powers[: len(data)], out=total[1:])
+        return mix((total[stops] - total[starts]) * self.inverse[np.minimum(starts, len(self.inverse) - 1)])
+
 
 class HashIndex:
     """64-bit hashes to numbers, by open addressing."""

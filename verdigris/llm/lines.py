@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import blobs, settle, small_batches
+from verdigris.llm.common import _IS_WHITE, HashIndex, Hasher, Texts, blobs, mix, settle, signed, small_batches, wide_batches
 from verdigris.llm.components import components
 from verdigris.llm.jaccard import _slots, bloom
 from verdigris.llm.substrings import LOWEST, keyed, repeated_ids, told_apart
@@ -39,6 +39,8 @@ EDITS = 2
 SHORTEST = 32
 #: Keys with more lines than this are joined through their leader first.
 MANY = 48
+#: Bytes of lines whose substrings are hashed at once.
+PORTION = 1 << 17
 
 
 def line_id(line: str) -> int:
@@ -53,6 +55,42 @@ def eligible(text: bytes) -> Iterator[tuple[int, str]]:
             yield i, line
 
 
+class Lines:
+    """The lines that take part of a batch of texts: bytes from ``starts`` to ``stops``, numbers of their texts and within these, ids."""
+
+    def __init__(self, column: pa.Array):
+        texts = Texts(column)
+        data = self.data = texts.data
+        feeds = np.flatnonzero(data == 10)
+        many = np.diff(np.searchsorted(feeds, texts.ends)) + 1
+        text = np.repeat(np.arange(len(many)), many)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+        last = number == many[text] - 1
+        stops = np.empty(len(text), np.int64)
+        stops[last], stops[~last] = texts.ends[1:], feeds
+        starts = np.concatenate([[0], stops + 1])[:-1]
+        starts[number == 0] = texts.ends[:-1]
+        some = np.flatnonzero(starts < stops)
+        starts, stops, self.text, self.number = starts[some], stops[some], text[some], number[some]
+        if len(some) and (_IS_WHITE[data[starts]] | _IS_WHITE[data[stops - 1]]).any():
+            solid = np.flatnonzero(~_IS_WHITE[data])
+            first, after = np.searchsorted(solid, starts), np.searchsorted(solid, stops)
+            some = np.flatnonzero(first < after)
+            starts, stops, self.text, self.number = solid[first[some]], solid[after[some] - 1] + 1, self.text[some], self.number[some]
+        self.starts, self.stops = starts, stops
+        self.raw = data.tobytes()
+        name = xxhash.xxh3_64_intdigest
+        self.ids = np.array([name(self.raw[x:y]) for x, y in zip(starts.tolist(), stops.tolist(), strict=True)], np.uint64) >> np.uint64(2)
+        self.ids = self.ids.view(np.int64)
+        # where characters begin; a line's are those from ``first`` on
+        self.characters = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        self.first = np.searchsorted(self.characters, starts)
+        self.size = np.searchsorted(self.characters, stops) - self.first
+
+    def blobs(self, some: np.ndarray) -> list[bytes]:
+        return [self.raw[x:y] for x, y in zip(self.starts[some].tolist(), self.stops[some].tolist(), strict=True)]
+
+
 def segments(length: int, edits: int = EDITS) -> list[tuple[int, int]]:
     """(start, length) of the even segments of a line of that length; later ones take the remainder."""
     parts = edits + 1
@@ -62,27 +100,40 @@ def segments(length: int, edits: int = EDITS) -> list[tuple[int, int]]:
 
 
 @lru_cache(1 << 14)
-def _places(n: int, edits: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """(start, end, seed) of the segments of a line of n characters, and of its substrings that may equal a segment of one no longer."""
-    own, probes = [], []
+def _places(n: int, edits: int = EDITS) -> np.ndarray:
+    """(start, end, seed, whether a substring) of the segments of a line of n characters, and of its substrings that may equal a segment of a line no longer than it."""
+    out = []
     for shorter in range(max(0, n - edits), n + 1):
         gap = n - shorter
         for i, (start, size) in enumerate(segments(shorter, edits)):
             low = max(0, start - i, start + gap - (edits - i))
             high = min(n - size, start + i, start + gap + (edits - i))
             for at in range(low, high + 1):
-                (own if not gap and at == start else probes).append((at, at + size, shorter * 16 + i))
-    return own, probes
-
-
-def keys(line: str, edits: int = EDITS) -> tuple[list[int], list[int]]:
-    """Keys of the line's own segments, and of its substrings that may equal a segment of a line no longer than it."""
-    own, probes = _places(len(line), edits)
-    name = xxhash.xxh3_64_intdigest
-    if line.isascii():
-        raw = line.encode()
-        return [name(raw[x:y], s) for x, y, s in own], [name(raw[x:y], s) for x, y, s in probes]
-    return [name(line[x:y].encode(), s) for x, y, s in own], [name(line[x:y].encode(), s) for x, y, s in probes]
+                out.append((at, at + size, shorter * 16 + i, int(gap > 0 or at != start)))
+    return np.array(out, np.int64).reshape(-1, 4)
+
+
+def keys(lines: Lines, some: np.ndarray, hashes: Hasher) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the segments and substrings of ``some`` lines, and tags: twice the line's id, plus one for a substring."""
+    sizes, which = np.unique(lines.size[some], return_inverse=True)
+    tables = [_places(n) for n in sizes.tolist()]
+    many = np.array([len(t) for t in tables], np.int64)
+    own = many[which]
+    row = np.repeat((np.cumsum(many) - many)[which] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+    start, end, seed, part = np.concatenate(tables)[row].T
+    line = np.repeat(some, own)
+    at = lines.first[line]
+    x, y = lines.characters[at + start], lines.characters[at + end]
+    out = np.empty(len(x), np.uint64)
+    stop = np.cumsum(own)
+    a = 0
+    while a < len(some):  # lines of about ``PORTION`` bytes at a time
+        base = int(lines.starts[some[a]])
+        b = max(a + 1, int(np.searchsorted(lines.stops[some], base + PORTION, "right")))
+        low, high = int(stop[a] - own[a]), int(stop[b - 1])
+        out[low:high] = hashes.anywhere(lines.data[base : int(lines.stops[some[b - 1]])], x[low:high] - base, y[low:high] - base)
+        a = b
+    return mix(out ^ mix(seed.astype(np.uint64))), 2 * lines.ids[line] + part
 
 
 def within(a: str, b: str, edits: int = EDITS) -> bool:
@@ -139,45 +190,36 @@ def occurrences(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(d, i, line_id(line)) for d, t in enumerate(blobs(b["text"])) for i, line in eligible(t)]
-            if found:
-                at, ln, lid = zip(*found, strict=True)
-                at = pa.array(at)
-                yield pa.RecordBatch.from_pydict({"lid": pa.array(lid, pa.int64()), "k": b["k"].take(at), "r": b["r"].take(at), "ln": pa.array(ln, pa.int32())})
+            found = Lines(b["text"])
+            at = pa.array(found.text)
+            yield pa.RecordBatch.from_pydict({"lid": pa.array(found.ids), "k": b["k"].take(at), "r": b["r"].take(at), "ln": pa.array(found.number.astype(np.int32))})
 
     return rows.mapInArrow(run, "lid long, k long, r long, ln int")
 
 
-def _distinct_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, str]]]:
-    """Lines long enough for the edit join with their ids, a batch at a time; those met before in the task are left out."""
-    seen: set[int] = set()
+def _distinct_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Lines, np.ndarray]]:
+    """The lines of a batch at a time, and which are long enough for the edit join and not met before in the task."""
+    seen = HashIndex()
     for b in batches:
-        if len(seen) > 300_000:
-            seen.clear()
-        out = []
-        for t in blobs(b["text"]):
-            for _, line in eligible(t):
-                if len(line) < SHORTEST:
-                    continue
-                lid = line_id(line)
-                if lid not in seen:
-                    seen.add(lid)
-                    out.append((lid, line))
-        if out:
-            yield out
+        if seen.many > 300_000:
+            seen = HashIndex()
+        lines = Lines(b["text"])
+        long = np.flatnonzero(lines.size >= SHORTEST)
+        names, first = np.unique(lines.ids[long].view(np.uint64), return_index=True)
+        new = seen.find(names) < 0
+        seen.add(names[new], np.zeros(int(new.sum()), np.int32))
+        yield lines, long[np.sort(first[new])]
 
 
 def postings(rows: DataFrame) -> DataFrame:
     """(key, tag): tag is twice the line's id, plus one for a substring."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lines in _distinct_lines(batches):
-            key, tag = [], []
-            for lid, line in lines:
-                own, probes = keys(line)
-                key += own + probes
-                tag += [2 * lid] * len(own) + [2 * lid + 1] * len(probes)
-            yield pa.RecordBatch.from_pydict({"key": pa.array(np.array(key, np.uint64).view(np.int64)), "tag": pa.array(tag, pa.int64())})
+        hashes = Hasher()
+        for lines, some in _distinct_lines(batches):
+            if len(some):
+                key, tag = keys(lines, some, hashes)
+                yield pa.RecordBatch.from_pydict({"key": signed(key), "tag": pa.array(tag)})
 
     return rows.select("text").mapInArrow(run, "key long, tag long")
 
@@ -242,24 +284,28 @@ def _flush(key: int, tags: list[int], begun: bool, out: list) -> None:
     out += [(key, leader, x) for x in lines if x != leader]
 
 
-def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` that link; texts are fetched for the lines in pairs only."""
-    pairs = settle(pairs.select("a", "b").distinct())
-    table = np.packbits(bloom(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))))
+def fetched(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """(lid, line) of the lines whose ids the first column of ``ids`` holds, and perhaps of some others."""
+    table = np.packbits(bloom(ids))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(table).view(bool)
-        for lines in _distinct_lines(batches):
-            ids = np.array([i for i, _ in lines], np.int64)
-            hit = np.logical_and.reduce([bits[h] for h in _slots(ids, len(bits))])
-            yield pa.RecordBatch.from_pydict({"lid": pa.array(ids[hit]), "line": pa.array([s for (_, s), ok in zip(lines, hit, strict=True) if ok], pa.string())})
+        for lines, some in _distinct_lines(batches):
+            own = lines.ids[some]
+            some = some[np.logical_and.reduce([bits[h] for h in _slots(own, len(bits))])]
+            yield pa.RecordBatch.from_pydict({"lid": pa.array(lines.ids[some]), "line": pa.array(lines.blobs(some), pa.binary()).cast(pa.string())})
+
+    return settle(rows.select("text").mapInArrow(texts, "lid long, line string").dropDuplicates(["lid"]))
+
+
+def verified(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` that link, by the texts in ``lines``."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = [within(x, y) for x, y in zip(b["la"].to_pylist(), b["lb"].to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    lines = settle(rows.select("text").mapInArrow(texts, "lid long, line string").dropDuplicates(["lid"]))
     both = pairs.join(lines.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a").join(lines.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b")
     return settle(both.select("a", "b", "la", "lb").mapInArrow(check, "a long, b long"))
 
@@ -288,21 +334,27 @@ def _crossings(rows: DataFrame) -> DataFrame:
 
 def classes(rows: DataFrame) -> DataFrame:
     """(lid, root) of the lines that link with others, from (k, r, text) rows."""
-    met = settle(meetings(postings(rows)))
-    found = verified(rows, met.where(F.col("b").isNotNull()))
-    crowds = met.where(F.col("b").isNull()).select("key", "a").distinct()
-    if not crowds.isEmpty():
-
-        def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for lines in _distinct_lines(batches):
-                yield pa.RecordBatch.from_pydict({"a": pa.array([i for i, _ in lines], pa.int64()), "sketch": pa.array([sketch(s) for _, s in lines], pa.int64())})
-
-        roots = components(found).withColumnRenamed("node", "a")
-        drawn = rows.select("text").mapInArrow(sketches, "a long, sketch long").dropDuplicates(["a"])
-        open_ = crowds.join(roots, "a", "left").withColumn("root", F.coalesce("root", "a")).join(drawn, "a")
-        more = verified(rows, _crossings(open_.select("key", "a", "root", "sketch")))
-        found = found.unionByName(more)
-    return components(found).withColumnRenamed("node", "lid")
+    with wide_batches(rows.sparkSession):
+        met = settle(meetings(postings(rows)))
+    pairs = settle(met.where(F.col("b").isNotNull()).select("a", "b").distinct())
+    lines = fetched(rows, pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))))
+    roots = components(verified(lines, pairs)).withColumnRenamed("node", "lid")
+    crowds = met.where(F.col("b").isNull()).select("key", F.col("a").alias("lid")).distinct()
+    if crowds.isEmpty():
+        return roots
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            drawn = pa.array([sketch(s) for s in b["line"].to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_pydict({"lid": b["lid"], "sketch": drawn})
+
+    drawn = lines.join(crowds.select("lid").distinct(), "lid", "left_semi").mapInArrow(sketches, "lid long, sketch long")
+    open_ = crowds.join(roots, "lid", "left").withColumn("root", F.coalesce("root", "lid")).join(drawn, "lid")
+    crossing = settle(_crossings(open_.select("key", F.col("lid").alias("a"), "root", "sketch")).distinct())
+    if crossing.isEmpty():
+        return roots
+    more = verified(lines, crossing)
+    return components(roots.toDF("a", "b").unionByName(more)).withColumnRenamed("node", "lid")
 
 
 def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
