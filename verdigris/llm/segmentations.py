@@ -25,6 +25,7 @@ import math
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -133,28 +134,26 @@ class Lattice:
         stretches = self.stretches.rows[: self.stretches.index.many].sum(1)
         self.stretches.keep(int(np.searchsorted(stretches, self.parts.n, "right")))
 
-    def _store(self, runs: list[str]) -> None:
-        """Nodes and edges of new runs, for many at a time."""
-        order = sorted(range(len(runs)), key=lambda i: len(runs[i]))
+    def _store(self, runs: dict[str, int]) -> None:
+        """Nodes and edges of new runs, which have their hashes as values, for many at a time."""
+        order = sorted(runs, key=len)
         a = 0
-        rows: list[str] = []
         while a < len(order):
             b = min(len(order), a + 16_384)
-            while b - a > 1 and (b - a) * len(runs[order[b - 1]]) > 400_000:
+            while b - a > 1 and (b - a) * len(order[b - 1]) > 400_000:
                 b = a + (b - a) // 2
-            some = [runs[i] for i in order[a:b]]
-            self._build(some)
-            rows += some
+            self._build(order[a:b])
             a = b
-        names = np.array([xxhash.xxh3_64_intdigest(r.encode("utf-8", "surrogatepass")) for r in rows], np.uint64)
+        names = np.array([runs[r] for r in order], np.uint64)
         have = self.index.many
-        self.index.add(names, np.arange(have, have + len(rows)))
+        self.index.add(names, np.arange(have, have + len(order)))
         self.names.add(names)
         cut = len(self.lead)
-        found = self.sp.encode(["\n" + r.replace(MARK, " ").replace(LITERAL, "") for r in rows], num_threads=1)
-        ids = [self._raw("▁") if r == LITERAL else x[cut:] for r, x in zip(rows, found, strict=True)]
-        self.ids_at.add(self.ids.n + np.cumsum([len(x) for x in ids]))
-        self.ids.add(np.array([i for x in ids for i in x], np.uint32))
+        found = self.sp.encode(["\n" + r.replace(MARK, " ").replace(LITERAL, "") for r in order], num_threads=1)
+        ids = [self._raw("▁") if r == LITERAL else x[cut:] for r, x in zip(order, found, strict=True)]
+        many = np.array(list(map(len, ids)), np.int64)
+        self.ids_at.add(self.ids.n + np.cumsum(many))
+        self.ids.add(np.fromiter(chain.from_iterable(ids), np.uint32, int(many.sum())))
 
     def _raw(self, character: str) -> list[int]:
         return [int(self.byte_ids[x]) for x in character.encode()]
@@ -219,14 +218,23 @@ class Lattice:
 
     def _learn(self, stretches: list[bytes]) -> np.ndarray:
         """Where the runs of each stretch begin in ``parts``, and how many they are."""
-        cut = [self._runs(s) for s in stretches]
-        flat = [r for runs in cut for r in runs]
-        names = np.array([xxhash.xxh3_64_intdigest(r.encode("utf-8", "surrogatepass")) for r in flat], np.uint64)
-        fresh = dict.fromkeys(flat[i] for i in np.flatnonzero(self.index.find(names) < 0).tolist())
-        if fresh:
-            self._store(list(fresh))
-        many = np.array([len(runs) for runs in cut], np.int64)
-        out = np.stack([self.parts.n + np.cumsum(many) - many, many], 1) if len(cut) else np.zeros((0, 2), np.int64)
+        mark, many, name = MARK.encode(), np.ones(len(stretches), np.int64), xxhash.xxh3_64_intdigest
+        flat: list[str] = []
+        raw: list[bytes] = []
+        for k, s in enumerate(stretches):
+            if len(s) <= LONG and mark not in s:  # one run
+                raw.append(s.replace(b" ", mark))
+                flat.append(raw[-1].decode())
+            else:
+                runs = self._runs(s)
+                many[k] = len(runs)
+                flat += runs
+                raw += [r.encode("utf-8", "surrogatepass") for r in runs]
+        names = np.array([name(r) for r in raw], np.uint64)
+        new = np.flatnonzero(self.index.find(names) < 0)
+        if len(new):
+            self._store({flat[i]: n for i, n in zip(new.tolist(), names[new].tolist(), strict=True)})
+        out = np.stack([self.parts.n + np.cumsum(many) - many, many], 1)
         self.parts.add(self.index.find(names))
         return out
 
@@ -260,25 +268,31 @@ class Lattice:
 
     def walk(self, rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A path drawn for each of ``rows``: edges of all, how many each has, log-probabilities. ``keys`` seed the draws."""
-        at = self.first.all[rows].astype(np.int64)
-        alive = np.arange(len(rows))
+        at = self.first.all[rows]
+        alive, seeds = np.arange(len(rows)), keys
         taken, logs = [], np.zeros(len(rows))
         step = 0
         while len(alive):
             if step < 2:  # half of the key each
-                draw = ((keys[alive] >> np.uint64(32 * step)) & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32
+                draw = ((seeds >> np.uint64(32 * step)) & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32
             else:
-                draw = uniform(keys[alive] ^ mix(np.array([step], np.uint64)))
+                draw = uniform(seeds ^ mix(np.array([step], np.uint64)))
             edge = self.edge_at.all[at].astype(np.int64)
             on = np.flatnonzero(draw >= self.cum.all[edge])
+            wanted = draw[on]
             while len(on):
-                edge[on] += 1
-                on = on[draw[on] >= self.cum.all[edge[on]]]
+                tried = edge[on] + 1
+                edge[on] = tried
+                more = np.flatnonzero(wanted >= self.cum.all[tried])
+                on, wanted = on[more], wanted[more]
             taken.append((alive, edge))
-            logs[alive] += self.log.all[edge]
+            if step:
+                logs[alive] += self.log.all[edge]
+            else:
+                logs += self.log.all[edge]
             at = self.to.all[edge]
-            more = at >= 0
-            alive, at, step = alive[more], at[more], step + 1
+            more = np.flatnonzero(at >= 0)
+            alive, at, seeds, step = alive[more], at[more], seeds[more], step + 1
         many = np.zeros(len(rows), np.int64)
         for alive, _ in taken:
             many[alive] += 1
@@ -293,14 +307,15 @@ class Lattice:
         paths = [(p, math.exp(float(self.log.all[list(p)].sum(dtype=np.float64)))) for p in barred]
         at, path, logp = int(self.first.all[row]), (), 0.0
         while at >= 0:
-            edges = range(int(self.edge_at.all[at]), int(self.edge_at.all[at + 1]))
-            mass = []
-            for e in edges:
-                gone = [q for p, q in paths if p[len(path)] == e]
-                if len(gone) >= (self.ways.all[self.to.all[e]] if self.to.all[e] >= 0 else 1):
-                    mass.append(0.0)
+            low, high = int(self.edge_at.all[at]), int(self.edge_at.all[at + 1])
+            edges, logs, to = range(low, high), self.log.all[low:high].tolist(), self.to.all[low:high].tolist()
+            mass = [max(math.exp(logp + x), 1e-300) for x in logs]
+            for i in {p[len(path)] - low for p, _ in paths}:
+                gone = [q for p, q in paths if p[len(path)] == edges[i]]
+                if len(gone) >= (self.ways.all[to[i]] if to[i] >= 0 else 1):
+                    mass[i] = 0.0
                 else:
-                    mass.append(max(math.exp(logp + float(self.log.all[e])) - sum(gone), 1e-300))
+                    mass[i] = max(math.exp(logp + logs[i]) - sum(gone), 1e-300)
             pick = xxhash.xxh3_64_intdigest(struct.pack("<QI", key, len(path))) / 2.0**64 * sum(mass)
             chosen = max(i for i, m in enumerate(mass) if m > 0)
             for i, m in enumerate(mass):
@@ -310,7 +325,7 @@ class Lattice:
                 pick -= m
             e = edges[chosen]
             paths = [(p, q) for p, q in paths if p[len(path)] == e]
-            path, logp, at = (*path, e), logp + float(self.log.all[e]), int(self.to.all[e])
+            path, logp, at = (*path, e), logp + logs[chosen], to[chosen]
         return path, logp
 
     def spelt(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -318,11 +333,14 @@ class Lattice:
         ids, many = self.piece.all[edges], np.ones(len(edges), np.int64)
         raw = np.flatnonzero(ids & np.uint32(SPELT))
         if len(raw):
-            spellings = [self._raw(chr(int(x) & ~SPELT)) for x in ids[raw].tolist()]
-            many[raw] = [len(s) for s in spellings]
+            codes, which = np.unique(ids[raw] & np.uint32(~SPELT & 0xFFFFFFFF), return_inverse=True)
+            spellings = [self._raw(chr(x)) for x in codes.tolist()]
+            sizes = np.array([len(s) for s in spellings], np.int64)
+            own = many[raw] = sizes[which]
             ids = np.repeat(ids, many)
-            place = np.repeat(np.cumsum(many)[raw] - many[raw], many[raw]) + np.concatenate([np.arange(len(s)) for s in spellings])
-            ids[place] = [x for s in spellings for x in s]
+            within = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+            place = np.repeat(np.cumsum(many)[raw] - own, own) + within
+            ids[place] = np.array([x for s in spellings for x in s], np.uint32)[np.repeat((np.cumsum(sizes) - sizes)[which], own) + within]
         return ids, many
 
     def draw(self, rows: np.ndarray, ends: np.ndarray, keys: list[int], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -349,7 +367,11 @@ class Lattice:
             place = mix(own + (flat - np.repeat(ends[:-1][[j[0] for j in jobs]] if jobs else lows, many)).astype(np.uint64) * _STEP + np.uint64(turn))
             edges, sizes, logs = self.walk(rows[flat], place)
             edge_stop = np.concatenate([[0], np.cumsum(sizes)])[stop] if len(stop) else stop
-            noise = np.log(-np.log(uniform(place ^ _STEP)))  # of exponential numbers
+            noise = -np.log(uniform(place ^ _STEP))  # exponential numbers
+            open_ = ways[flat] > 1
+            loc = np.full(len(flat), -np.inf)  # log of what leaves a segmentation at each run, first within the run
+            loc[open_] = np.log(np.maximum(-np.expm1(logs[open_]), 1e-12))
+            values = np.empty(len(flat))
             leaves = []
             a = b = 0
             for job, x, y in zip(jobs, stop.tolist(), edge_stop.tolist(), strict=True):
@@ -361,23 +383,22 @@ class Lattice:
                     t = low - 1 - int(ends[i])
                     before = int(old[1][:t].sum())
                     leaf = (np.concatenate([old[0][:before], path[0], edges[b:y]]), np.concatenate([old[1][:t], [len(path[0])], sizes[a:x]]), np.concatenate([old[2][:t], [path[1]], logs[a:x]]))
+                if x > a:
+                    loc[a:x] += (np.cumsum(leaf[2]) - leaf[2])[low - int(ends[i]) :]
+                    values[a:x] = value
                 leaves.append((i, low, leaf, value, a, x))
                 a, b = x, y
+            cuts = np.log(np.exp(loc - values) + noise) - loc  # the perturbed values, negative
+            reach = k - turn  # of a text, no more can be reached
             done = []
             for i, low, leaf, value, a, x in leaves:
                 found[i].append((leaf, float(leaf[2].sum()), value))
                 if x > a:
-                    own_logs = leaf[2]
-                    first = low - int(ends[i])
-                    before = np.cumsum(own_logs) - own_logs
-                    with np.errstate(divide="ignore"):
-                        loc = before[first:] + np.where(ways[low : low + x - a] > 1, np.log(np.maximum(-np.expm1(own_logs[first:]), 1e-12)), -np.inf)
-                    with np.errstate(invalid="ignore"):
-                        cut = loc - np.logaddexp(loc - value, noise[a:x])
-                    top = np.argpartition(-cut, k)[:k] if len(cut) > k else np.arange(len(cut))
-                    for t in top.tolist():  # no more than k can be reached
-                        if loc[t] > -np.inf:
-                            heapq.heappush(queues[i], (-float(cut[t]), len(found[i]), first + t, leaf, None))
+                    first, cut = low - int(ends[i]), cuts[a:x]
+                    top = [int(cut.argmin())] if reach == 1 else np.argpartition(cut, reach)[:reach].tolist() if len(cut) > reach else range(len(cut))
+                    for t in top:
+                        if loc[a + t] > -np.inf:
+                            heapq.heappush(queues[i], (float(cut[t]), len(found[i]), first + t, leaf, None))
                 done.append(i)
             jobs = []
             if turn == k - 1:
