@@ -43,8 +43,10 @@ LITERAL = "\ud800"
 SPELT = 1 << 31
 #: Runs of more characters are summed in logarithms, as products of their pieces leave the range of doubles.
 LONG = 64
-#: Bytes of texts that are worked on at once, and edges that are kept for later ones.
-PORTION, EDGES = 1 << 19, 6_000_000
+#: Bytes of texts that are worked on at once, edges that are kept for later ones, and characters of new runs at once.
+PORTION, EDGES, CELLS = 1 << 19, 2_500_000, 100_000
+#: Paths are counted up to here, which 32-bit floats can hold.
+MOST = 1e38
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -134,106 +136,146 @@ class Lattice:
         stretches = self.stretches.rows[: self.stretches.index.many].sum(1)
         self.stretches.keep(int(np.searchsorted(stretches, self.parts.n, "right")))
 
-    def _store(self, runs: dict[str, int]) -> None:
-        """Nodes and edges of new runs, which have their hashes as values, for many at a time."""
-        order = sorted(runs, key=len)
-        a = 0
+    def _store(self, raw: list[bytes], names: np.ndarray) -> None:
+        """Nodes, edges and encodings of new runs, as many at a time as have about ``CELLS`` characters."""
+        text = b"".join(raw).decode("utf-8", "surrogatepass")
+        chars = np.frombuffer(text.replace(" ", MARK).encode("utf-32-le", "surrogatepass"), np.uint32)
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        stops = np.cumsum(np.array(list(map(len, raw)), np.int64))
+        size = np.diff(np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)[stops - 1]]))
+        order = np.argsort(size, kind="stable")
+        at = np.cumsum(size) - size
+        own = np.cumsum(size[order])
+        a, short = 0, int(np.searchsorted(size[order], LONG, "right"))
         while a < len(order):
-            b = min(len(order), a + 16_384)
-            while b - a > 1 and (b - a) * len(order[b - 1]) > 400_000:
-                b = a + (b - a) // 2
-            self._build(order[a:b])
+            b = max(a + 1, int(np.searchsorted(own, (own[a - 1] if a else 0) + CELLS, "right")))
+            b = min(b, short) if a < short else b
+            part = order[a:b]
+            n = size[part]
+            self._build(chars[np.repeat(at[part] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))], n, a >= short)
             a = b
-        names = np.array([runs[r] for r in order], np.uint64)
         have = self.index.many
-        self.index.add(names, np.arange(have, have + len(order)))
-        self.names.add(names)
-        cut = len(self.lead)
-        found = self.sp.encode(["\n" + r.replace(MARK, " ").replace(LITERAL, "") for r in order], num_threads=1)
-        ids = [self._raw("▁") if r == LITERAL else x[cut:] for r, x in zip(order, found, strict=True)]
-        many = np.array(list(map(len, ids)), np.int64)
+        self.index.add(names[order], np.arange(have, have + len(order)))
+        self.names.add(names[order])
+        self._encode([raw[i] for i in order.tolist()])
+
+    def _encode(self, raw: list[bytes]) -> None:
+        """The model's encoding of runs, many in a call: no piece holds a line feed, so one stands between them."""
+        many = np.zeros(len(raw), np.int64)
+        alone = {i: ids for i, ids in ((i, self._alone(r)) for i, r in enumerate(raw) if len(r) <= 3) if ids is not None}
+        out, feed = [], self.lead[-1]
+        for a in range(0, len(raw), 1024):
+            part = [i for i in range(a, min(a + 1024, len(raw))) if i not in alone]
+            ids = np.array(self.sp.encode(b"\n".join([b"", *(raw[i] for i in part)]).decode()), np.uint32)
+            feeds = np.flatnonzero(ids == feed)
+            many[part] = np.diff(np.append(feeds, len(ids))) - 1 if part else 0
+            ids = np.delete(ids, np.concatenate([np.arange(len(self.lead) - 1), feeds])) if part else ids[:0]
+            inner = [i for i in range(a, min(a + 1024, len(raw))) if i in alone]
+            if inner:
+                ends = np.cumsum(many[a : a + 1024])
+                many[inner] = [len(alone[i]) for i in inner]
+                places = np.repeat(ends[np.array(inner) - a], many[inner])
+                ids = np.insert(ids, places, np.array([x for i in inner for x in alone[i]], np.uint32))
+            out.append(ids)
         self.ids_at.add(self.ids.n + np.cumsum(many))
-        self.ids.add(np.fromiter(chain.from_iterable(ids), np.uint32, int(many.sum())))
+        for ids in out:
+            self.ids.add(ids)
+
+    def _alone(self, run: bytes) -> list[int] | None:
+        """The encoding of a run that is a line feed, or a mark of the text."""
+        if run == b"\n":
+            return self.sp.encode("\n\n")[len(self.lead) :]
+        return self._raw(MARK) if run == LITERAL.encode("utf-8", "surrogatepass") else None
 
     def _raw(self, character: str) -> list[int]:
         return [int(self.byte_ids[x]) for x in character.encode()]
 
-    def _build(self, runs: list[str]) -> None:
-        codes, size = self.trie.codes(runs)
-        far = int(size[-1]) + 1
-        long = far > LONG
-        back, ways = np.full((len(runs), far), -np.inf if long else 0.0), np.zeros((len(runs), far))
-        every = np.arange(len(runs))
-        back[every, size], ways[every, size] = 0 if long else 1, 1
-        spans = [(i, j, words, found) for i, j, words, found in self.trie.spans(codes, size) if len(words)]
-        weights = []
-        for i, _, words, found in spans:
-            own = self.scores[found]
-            for k in np.flatnonzero(found == 0).tolist():
-                c = runs[words[k]][i]
-                own[k] = self.byte_score * len(("▁" if c == LITERAL else c).encode())
-            weights.append(own)
-        for (i, j, words, _), own in zip(reversed(spans), reversed(weights), strict=True):
-            back[words, i] = np.logaddexp(back[words, i], own + back[words, j]) if long else back[words, i] + np.exp(own) * back[words, j]
-            ways[words, i] += ways[words, j]
+    def _build(self, chars: np.ndarray, size: np.ndarray, long: bool) -> None:
+        """Nodes and edges of runs in ascending size, whose characters stand in a row. A node has its longest piece first."""
+        stop = np.cumsum(size + 1) - 1  # of each run the last node, which ends it
+        nodes, runs = int(stop[-1]) + 1, len(size)
+        inside = np.ones(nodes, bool)
+        inside[stop] = False
+        source, width, found, rank, many = self.trie.edges(chars, inside)
+        ends = np.cumsum(many)
+        at = ends[source] - 1 - rank
+        order = np.empty_like(at)
+        order[at] = np.arange(len(at))
+        source, target, found = source[order], (source + width)[order], found[order]
+        own = self.scores[found]
+        piece = self.numbers[found]
+        spelt = np.flatnonzero(found == 0)
+        if len(spelt):
+            owner = np.searchsorted(stop, source[spelt])
+            codes = chars[source[spelt] - owner]
+            codes = np.where(codes == ord(LITERAL), ord(MARK), codes)
+            own[spelt] = self.byte_score * (1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))
+            piece[spelt] = SPELT | codes
+        back, ways = np.zeros(nodes), np.zeros(nodes)
+        back[stop], ways[stop] = 0 if long else 1, 1
+        # places before the end, from the last: those of one distance have their edges summed together
+        far = int(size[-1])
+        distance = np.repeat(stop, size + 1) - np.arange(nodes)
+        level = distance[source]
+        by = np.argsort(level.astype(np.uint16) if far < 1 << 16 else level, kind="stable")
+        edge_of = np.searchsorted(level[by], np.arange(1, far + 2)).tolist()
+        with_them = np.searchsorted(size, np.arange(1, far + 1)).tolist()  # the first run that is so long
+        run = np.repeat(np.arange(runs), size + 1)[source[by]]
+        to, weight = target[by], own[by] if long else np.exp(own[by])
+        with np.errstate(over="ignore"):
+            for n, (a, b, first) in enumerate(zip(edge_of[:-1], edge_of[1:], with_them, strict=True), 1):
+                which, place = run[a:b] - first, stop[first:] - n
+                ways[place] = np.bincount(which, ways[to[a:b]])
+                if long:
+                    value = weight[a:b] + back[to[a:b]]
+                    top = np.full(len(place), -np.inf)
+                    np.maximum.at(top, which, value)
+                    back[place] = top + np.log(np.bincount(which, np.exp(value - top[which])))
+                else:
+                    back[place] = np.bincount(which, weight[a:b] * back[to[a:b]])
         if not long:
-            with np.errstate(divide="ignore"):
-                back = np.log(back)
-        # nodes and edges in the order of the runs
-        place = np.cumsum(size + 1) - (size + 1)
-        source = np.concatenate([place[w] + i for i, _, w, _ in spans])
-        target = np.concatenate([place[w] + j for _, j, w, _ in spans])
-        logs = np.concatenate([own + back[w, j] - back[w, i] for (i, j, w, _), own in zip(spans, weights, strict=True)])
-        piece = np.concatenate([np.where(f > 0, self.numbers[f], 0) for *_, f in spans]).astype(np.uint32)
-        unknown = np.concatenate([np.where(f > 0, -1, i) for i, _, _, f in spans])
-        owner = np.concatenate([w for _, _, w, _ in spans])
-        for k in np.flatnonzero(unknown >= 0).tolist():
-            c = runs[owner[k]][unknown[k]]
-            piece[k] = SPELT | ord("▁" if c == LITERAL else c)
-        order = np.argsort(source, kind="stable")
-        source, target, logs, piece = source[order], target[order], np.minimum(logs[order], 0), piece[order]
-        nodes = int(size.sum()) + len(runs)
-        many = np.bincount(source, minlength=nodes)
+            back = np.log(back)
+        logs = np.minimum(own + back[target] - back[source], 0)
         share = np.cumsum(np.exp(logs))
-        ends = np.cumsum(many)
         start = np.concatenate([[0.0], share])[ends - many]
         cum = share - np.repeat(start, many)
         cum[ends[many > 0] - 1] = 2  # no draw goes past a node's last edge
-        self.to.add(np.where(target == np.repeat((place + size), size + 1)[source], -1, target + self.ways.n))  # -1: the run's end
+        self.to.add(np.where(inside[target], target + self.ways.n, -1))  # -1: the run's end
         self.edge_at.add(self.piece.n + ends)
-        self.first.add(self.ways.n + place + size + 1)
+        self.first.add(self.ways.n + stop + 1)
         self.piece.add(piece)
         self.cum.add(cum)
         self.log.add(logs)
-        self.ways.add(np.concatenate([ways[i, : n + 1] for i, n in enumerate(size.tolist())]))
+        self.ways.add(np.minimum(ways, MOST))
 
     def _runs(self, stretch: bytes) -> list[str]:
-        """The runs of a stretch of a text; short ones may as well be cut less often."""
+        """The runs of a stretch of a text; short ones may as well be cut less often. A mark of the text is ``LITERAL``."""
         text = stretch.decode()
         if MARK in text or len(text) > LONG:
             text = text.replace(MARK, LITERAL).replace(" ", MARK)
             edge = [0, *(i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.beside), len(text)]
+            text = text.replace(MARK, " ")
             return [text[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)]
-        return [text.replace(" ", MARK)]
+        return [text]
 
     def _learn(self, stretches: list[bytes]) -> np.ndarray:
         """Where the runs of each stretch begin in ``parts``, and how many they are."""
-        mark, many, name = MARK.encode(), np.ones(len(stretches), np.int64), xxhash.xxh3_64_intdigest
-        flat: list[str] = []
-        raw: list[bytes] = []
-        for k, s in enumerate(stretches):
-            if len(s) <= LONG and mark not in s:  # one run
-                raw.append(s.replace(b" ", mark))
-                flat.append(raw[-1].decode())
-            else:
-                runs = self._runs(s)
-                many[k] = len(runs)
-                flat += runs
-                raw += [r.encode("utf-8", "surrogatepass") for r in runs]
-        names = np.array([name(r) for r in raw], np.uint64)
+        mark, many = MARK.encode(), np.ones(len(stretches), np.int64)
+        raw, done = [], 0
+        for k in [k for k, s in enumerate(stretches) if len(s) > LONG or mark in s]:  # others are one run
+            runs = self._runs(stretches[k])
+            many[k] = len(runs)
+            raw += stretches[done:k]
+            raw += [r.encode("utf-8", "surrogatepass") for r in runs]
+            done = k + 1
+        raw += stretches[done:]
+        stops = np.cumsum(np.array(list(map(len, raw)), np.int64))
+        names = self.hashes(np.frombuffer(b"".join(raw), np.uint8), np.append(0, stops[:-1]), stops) if raw else np.zeros(0, np.uint64)
         new = np.flatnonzero(self.index.find(names) < 0)
         if len(new):
-            self._store({flat[i]: n for i, n in zip(new.tolist(), names[new].tolist(), strict=True)})
+            _, first = np.unique(names[new], return_index=True)
+            new = new[np.sort(first)]
+            self._store([raw[i] for i in new.tolist()], names[new])
         out = np.stack([self.parts.n + np.cumsum(many) - many, many], 1)
         self.parts.add(self.index.find(names))
         return out

@@ -72,3 +72,34 @@ class Trie:
                 found = self.ends[state]
                 hit = found > 0
                 yield i, j, live[hit], found[hit]
+
+    def edges(self, chars: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All spans as ``spans`` gives them, of many words in a row: place, length, string number, which of its place's by length, and each place's count.
+
+        ``chars`` are the words' code points; places are theirs and one behind each word, where ``inside`` is false.
+        """
+        source = np.flatnonzero(inside)
+        own = self.number[chars].astype(np.int64)
+        plain = np.zeros(len(inside) + self.longest, np.int64)
+        plain[source] = np.where(own <= self.inner, own, 0)
+        flat, row = self.next.ravel(), self.inner + 1
+        state = flat[row + plain[source]]
+        found = [np.where(own > self.inner, self.alone[np.maximum(own - self.inner, 0)], self.ends[state])]
+        starts, rank = [source], [np.zeros(len(source), np.int64)]
+        many = inside.astype(np.int64)
+        width = [1]
+        for n in range(2, 1 + self.longest):
+            on = np.flatnonzero((state > 0) & (state < self.open))
+            if not len(on):
+                break
+            source = source[on]
+            state = flat[state[on].astype(np.int64) * row + plain[source + (n - 1)]]
+            ends = self.ends[state]
+            hit = np.flatnonzero(ends)
+            at = source[hit]
+            starts.append(at)
+            found.append(ends[hit])
+            rank.append(many[at])
+            many[at] += 1
+            width.append(n)
+        return np.concatenate(starts), np.repeat(width, list(map(len, starts))), np.concatenate(found), np.concatenate(rank), many
