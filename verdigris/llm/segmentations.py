@@ -45,6 +45,8 @@ SPELT = 1 << 31
 LONG = 64
 #: Bytes of texts that are worked on at once, edges that are kept for later ones, and characters of new runs at once.
 PORTION, EDGES, CELLS = 1 << 19, 2_500_000, 100_000
+#: Runs of a text where its path is left first; others are looked at where these cannot hold the largest values. The least exponential number.
+HEAD, LEAST = 160, 2.0**-54
 #: Paths are counted up to here, which 32-bit floats can hold.
 MOST = 1e38
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -105,9 +107,7 @@ class Lattice:
         self.scores = np.array([0.0, *(-sharpness * math.log(max(1, i - base + 2)) for _, i in pieces)])
         self.byte_score = -sharpness * (math.log(size) + 5)
         self.lead = sp.encode("\n")  # before a run it keeps the library from adding a mark
-        self.size_of = np.array([len(b) for b in self.bytes_of], np.int64)
-        self.spelling = np.frombuffer(b"".join(self.bytes_of), np.uint8)
-        self.spelling_at = np.cumsum(self.size_of) - self.size_of
+        self.spellings = pa.array(self.bytes_of, pa.large_binary())
         self.stretches, self.hashes = WordRows(self._learn, 1 << 40), Hasher()  # bounded with the runs
         self._clear()
 
@@ -157,35 +157,21 @@ class Lattice:
         have = self.index.many
         self.index.add(names[order], np.arange(have, have + len(order)))
         self.names.add(names[order])
-        self._encode([raw[i] for i in order.tolist()])
-
-    def _encode(self, raw: list[bytes]) -> None:
-        """The model's encoding of runs, many in a call: no piece holds a line feed, so one stands between them."""
-        many = np.zeros(len(raw), np.int64)
-        alone = {i: ids for i, ids in ((i, self._alone(r)) for i, r in enumerate(raw) if len(r) <= 3) if ids is not None}
-        out, feed = [], self.lead[-1]
-        for a in range(0, len(raw), 1024):
-            part = [i for i in range(a, min(a + 1024, len(raw))) if i not in alone]
-            ids = np.array(self.sp.encode(b"\n".join([b"", *(raw[i] for i in part)]).decode()), np.uint32)
-            feeds = np.flatnonzero(ids == feed)
-            many[part] = np.diff(np.append(feeds, len(ids))) - 1 if part else 0
-            ids = np.delete(ids, np.concatenate([np.arange(len(self.lead) - 1), feeds])) if part else ids[:0]
-            inner = [i for i in range(a, min(a + 1024, len(raw))) if i in alone]
-            if inner:
-                ends = np.cumsum(many[a : a + 1024])
-                many[inner] = [len(alone[i]) for i in inner]
-                places = np.repeat(ends[np.array(inner) - a], many[inner])
-                ids = np.insert(ids, places, np.array([x for i in inner for x in alone[i]], np.uint32))
-            out.append(ids)
-        self.ids_at.add(self.ids.n + np.cumsum(many))
-        for ids in out:
-            self.ids.add(ids)
-
-    def _alone(self, run: bytes) -> list[int] | None:
-        """The encoding of a run that is a line feed, or a mark of the text."""
-        if run == b"\n":
-            return self.sp.encode("\n\n")[len(self.lead) :]
-        return self._raw(MARK) if run == LITERAL.encode("utf-8", "surrogatepass") else None
+        self._encode([raw[i] for i in order.tolist()], int(np.searchsorted(size[order], 1, "right")))
+
+    def _encode(self, raw: list[bytes], single: int) -> None:
+        """The model's encoding of runs, the first ``single`` of one character. No piece holds a line feed, so the others go many in a call with one before each."""
+        cut, feed = len(self.lead), self.lead[-1]
+        one = [r.decode("utf-8", "surrogatepass") for r in raw[:single]]
+        ids = [self._raw(MARK) if r == LITERAL else self.sp.encode("\n" + r)[cut:] for r in one]
+        out = [(np.array([x for own in ids for x in own], np.uint32), np.array(list(map(len, ids)), np.int64))]
+        for a in range(single, len(raw), 1024):
+            found = np.array(self.sp.encode(b"\n".join([b"", *raw[a : a + 1024]]).decode()), np.uint32)[cut - 1 :]
+            between = found == feed
+            out.append((found[~between], np.diff(np.append(np.flatnonzero(between), len(found))) - 1))
+        for found, many in out:
+            self.ids_at.add(self.ids.n + np.cumsum(many))
+            self.ids.add(found)
 
     def _raw(self, character: str) -> list[int]:
         return [int(self.byte_ids[x]) for x in character.encode()]
@@ -312,7 +298,7 @@ class Lattice:
         """A path drawn for each of ``rows``: edges of all, how many each has, log-probabilities. ``keys`` seed the draws."""
         at = self.first.all[rows]
         alive, seeds = np.arange(len(rows)), keys
-        taken, logs = [], np.zeros(len(rows))
+        taken, many = [], np.zeros(len(rows), np.int64)
         step = 0
         while len(alive):
             if step < 2:  # half of the key each
@@ -328,20 +314,15 @@ class Lattice:
                 more = np.flatnonzero(wanted >= self.cum.all[tried])
                 on, wanted = on[more], wanted[more]
             taken.append((alive, edge))
-            if step:
-                logs[alive] += self.log.all[edge]
-            else:
-                logs += self.log.all[edge]
+            many[alive] = step + 1
             at = self.to.all[edge]
             more = np.flatnonzero(at >= 0)
             alive, at, seeds, step = alive[more], at[more], seeds[more], step + 1
-        many = np.zeros(len(rows), np.int64)
-        for alive, _ in taken:
-            many[alive] += 1
         start = np.cumsum(many) - many
-        out = np.zeros(int(many.sum()), np.int64)
+        out = np.empty(int(many.sum()), np.int64)
         for i, (alive, edge) in enumerate(taken):
             out[start[alive] + i] = edge
+        logs = np.add.reduceat(self.log.all[out], start, dtype=np.float64) if len(rows) else np.zeros(0)
         return out, many, logs
 
     def other(self, row: int, barred: list[tuple[int, ...]], key: int) -> tuple[tuple[int, ...], float]:
@@ -385,6 +366,23 @@ class Lattice:
             ids[place] = np.array([x for s in spellings for x in s], np.uint32)[np.repeat((np.cumsum(sizes) - sizes)[which], own) + within]
         return ids, many
 
+    def _ways(self, rows: np.ndarray | int) -> np.ndarray:
+        """How many paths runs have."""
+        return self.ways.all[self.first.all[rows]]
+
+    def _cuts(self, logs: np.ndarray, open_: np.ndarray, keys: np.ndarray, values: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts x runs: the perturbed value, less its sign, of what leaves a text's path at a run (infinite where not ``open_``); and each path's log-probability up to the last run.
+
+        ``logs`` are those of the path's runs, ``before`` is what comes before them, ``values`` the perturbed values of the paths.
+        """
+        total = np.cumsum(np.concatenate([before[:, None], logs], 1), 1)
+        cuts = np.full(logs.shape, np.inf)
+        own, run = np.nonzero(open_)
+        loc = np.log(np.maximum(-np.expm1(logs[own, run]), 1e-12)) + total[own, run]
+        noise = np.maximum(-np.log(uniform(keys[own, run] ^ _STEP)), LEAST)  # exponential numbers
+        cuts[own, run] = np.logaddexp(-values[own], np.log(noise) - loc)
+        return cuts, total[:, -1]
+
     def draw(self, rows: np.ndarray, ends: np.ndarray, keys: list[int], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text up to k distinct segmentations out of all: (ids, log-probability, perturbed value, log inclusion probability).
 
@@ -394,54 +392,49 @@ class Lattice:
         """
         n = len(keys)
         seeds = np.array(keys, np.uint64)
-        ways = self.ways.all[self.first.all[rows]]
         tops = (-np.log(-np.log(uniform(seeds ^ np.uint64(1))))).tolist()
         queues: list[list[tuple]] = [[] for _ in range(n)]
         found: list[list[tuple]] = [[] for _ in range(n)]
         jobs = [(i, int(ends[i]), None, None, None) for i in range(n)]  # text, first run to draw, the leaf it continues, its path there, value
         for turn in range(k):
-            lows = np.array([j[1] for j in jobs], np.int64)
-            highs = ends[1:][[j[0] for j in jobs]] if jobs else lows
-            many = highs - lows
+            texts, lows = np.array([j[0] for j in jobs], np.int64), np.array([j[1] for j in jobs], np.int64)
+            many = ends[texts + 1] - lows
             stop = np.cumsum(many)
             flat = np.repeat(lows - stop + many, many) + np.arange(int(many.sum()))
-            own = np.repeat(seeds[[j[0] for j in jobs]] if jobs else seeds[:0], many)
-            place = mix(own + (flat - np.repeat(ends[:-1][[j[0] for j in jobs]] if jobs else lows, many)).astype(np.uint64) * _STEP + np.uint64(turn))
+            place = mix(np.repeat(seeds[texts] - ends[texts].astype(np.uint64) * _STEP + np.uint64(turn), many) + flat.astype(np.uint64) * _STEP)
             edges, sizes, logs = self.walk(rows[flat], place)
             edge_stop = np.concatenate([[0], np.cumsum(sizes)])[stop] if len(stop) else stop
-            noise = -np.log(uniform(place ^ _STEP))  # exponential numbers
-            open_ = ways[flat] > 1
-            loc = np.full(len(flat), -np.inf)  # log of what leaves a segmentation at each run, first within the run
-            loc[open_] = np.log(np.maximum(-np.expm1(logs[open_]), 1e-12))
-            values = np.empty(len(flat))
+            reach = k - turn  # of a text, no more can be reached
             leaves = []
             a = b = 0
             for job, x, y in zip(jobs, stop.tolist(), edge_stop.tolist(), strict=True):
                 i, low, old, path, value = job
+                t = low - int(ends[i])  # the first run that is new
                 if old is None:
                     value = tops[i]
                     leaf = (edges[b:y], sizes[a:x], logs[a:x])
                 else:
-                    t = low - 1 - int(ends[i])
-                    before = int(old[1][:t].sum())
-                    leaf = (np.concatenate([old[0][:before], path[0], edges[b:y]]), np.concatenate([old[1][:t], [len(path[0])], sizes[a:x]]), np.concatenate([old[2][:t], [path[1]], logs[a:x]]))
-                if x > a:
-                    loc[a:x] += (np.cumsum(leaf[2]) - leaf[2])[low - int(ends[i]) :]
-                    values[a:x] = value
-                leaves.append((i, low, leaf, value, a, x))
+                    before = int(old[1][: t - 1].sum())
+                    leaf = (np.concatenate([old[0][:before], path[0], edges[b:y]]), np.concatenate([old[1][: t - 1], [len(path[0])], sizes[a:x]]), np.concatenate([old[2][: t - 1], [path[1]], logs[a:x]]))
+                leaves.append((i, t, leaf, value, float(leaf[2][:t].sum()), a, x))
                 a, b = x, y
-            cuts = np.log(np.exp(loc - values) + noise) - loc  # the perturbed values, negative
-            reach = k - turn  # of a text, no more can be reached
+            near = np.minimum(np.arange(HEAD), np.maximum(many - 1, 0)[:, None]) + (stop - many)[:, None] if len(flat) else np.zeros((len(jobs), 0), np.int64)
+            near = np.minimum(near, len(flat) - 1)
+            heads = self._cuts(logs[near], (self._ways(rows[flat[near]]) > 1) & (np.arange(near.shape[1]) < many[:, None]), place[near], np.array([x[3] for x in leaves]), np.array([x[4] for x in leaves]))
             done = []
-            for i, low, leaf, value, a, x in leaves:
+            for (i, first, leaf, value, before, a, x), cut, rest in zip(leaves, *heads, strict=True):
                 found[i].append((leaf, float(leaf[2].sum()), value))
-                if x > a:
-                    first, cut = low - int(ends[i]), cuts[a:x]
-                    top = [int(cut.argmin())] if reach == 1 else np.argpartition(cut, reach)[:reach].tolist() if len(cut) > reach else range(len(cut))
-                    for t in top:
-                        if loc[a + t] > -np.inf:
-                            heapq.heappush(queues[i], (float(cut[t]), len(found[i]), first + t, leaf, None))
                 done.append(i)
+                if x == a:
+                    continue
+                cut = cut[: x - a]
+                # what leaves the path later has no more mass than all from there, so a perturbed value below this
+                if x - a > HEAD and (reach > HEAD or np.partition(cut, reach - 1)[reach - 1] >= np.logaddexp(-value, math.log(LEAST) - rest)):
+                    cut = self._cuts(logs[None, a:x], self._ways(rows[None, flat[a:x]]) > 1, place[None, a:x], np.array([value]), np.array([before]))[0][0]
+                top = [int(cut.argmin())] if reach == 1 else np.argpartition(cut, reach)[:reach].tolist() if len(cut) > reach else range(len(cut))
+                for t in top:
+                    if cut[t] < np.inf:
+                        heapq.heappush(queues[i], (float(cut[t]), len(found[i]), first + t, leaf, None))
             jobs = []
             if turn == k - 1:
                 break
@@ -455,7 +448,7 @@ class Lattice:
                     barred = [tuple(old[0][at : at + int(old[1][t])].tolist())]
                 path, logp = self.other(row, barred, xxhash.xxh3_64_intdigest(struct.pack("<QQI", keys[i], t, turn)))
                 barred = [*barred, path]
-                if len(barred) < ways[ends[i] + t]:
+                if len(barred) < self._ways(row):
                     left = max(1.0 - sum(math.exp(float(self.log.all[list(p)].sum(dtype=np.float64))) for p in barred), 1e-12)
                     loc = float(old[2][:t].sum()) + math.log(left)
                     e = math.log(-math.log((xxhash.xxh3_64_intdigest(struct.pack("<QQQ", keys[i], t, turn)) + 0.5) / 2.0**64))
@@ -479,9 +472,9 @@ class Lattice:
         return self._bytes(ids)[0].tobytes()[1:]
 
     def _bytes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        many = self.size_of[ids]
-        total = np.cumsum(many)
-        return self.spelling[np.repeat(self.spelling_at[ids] - total + many, many) + np.arange(int(many.sum()))], total
+        _, at, data = self.spellings.take(pa.array(ids.astype(np.int32, copy=False))).buffers()
+        total = np.frombuffer(at, np.int64)[1 : len(ids) + 1]
+        return np.frombuffer(data, np.uint8)[: total[-1]] if len(ids) else np.zeros(0, np.uint8), total
 
     def decodes_to(self, ids: list[np.ndarray], texts: list[bytes]) -> list[bool]:
         """Whether ids spell the text of the same number, for all at once."""
