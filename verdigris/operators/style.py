@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.functions.text import WORD, phrase_per_1k, word_count
+from verdigris.functions.text import WORD, phrase_per_1k, rounded, word_count
 
 
 def rates(docs: DataFrame, key: str, words: dict[str, str], phrases: dict[str, str], text: str = "text") -> DataFrame:
@@ -14,10 +14,10 @@ def rates(docs: DataFrame, key: str, words: dict[str, str], phrases: dict[str, s
     found = F.regexp_extract_all(F.lower(F.col(text)), F.lit("([a-z']+)"), 1)
 
     def uses(target: str) -> Column:
-        return F.round(1000.0 * F.size(F.filter(found, lambda w: w == target)) / F.greatest(n, F.lit(1)), 2)
+        return rounded(1000.0 * F.size(F.filter(found, lambda w: w == target)) / F.greatest(n, F.lit(1)), 2)
 
     own = [uses(target).alias(name) for name, target in words.items()]
-    return docs.select(key, n.alias("words"), *own, *[F.round(phrase_per_1k(text, p), 3).alias(name) for name, p in phrases.items()])
+    return docs.select(key, n.alias("words"), *own, *[rounded(phrase_per_1k(text, p), 3).alias(name) for name, p in phrases.items()])
 
 
 def sentence_spread(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -30,7 +30,7 @@ def sentence_spread(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     p90 = F.when(F.col("n") > 9, low + (9 * (F.col("n") + 1) - 10 * j) * (high - low) / F.lit(10.0)).otherwise(F.element_at("ns", -1).cast("double"))
     middle = (F.get("ns", F.expr("(n - 1) div 2").cast("int")) + F.get("ns", F.expr("n div 2").cast("int"))) / F.lit(2.0)
     mean = F.aggregate("ns", F.lit(0), lambda a, b: a + b) / F.col("n")
-    return rows.select(key, F.col("n").alias("sentences"), F.round(mean, 2).alias("mean_len"), F.round(middle, 2).alias("median_len"), F.round(p90, 2).alias("p90_len"))
+    return rows.select(key, F.col("n").alias("sentences"), rounded(mean, 2).alias("mean_len"), rounded(middle, 2).alias("median_len"), rounded(p90, 2).alias("p90_len"))
 
 
 def analyse(docs: DataFrame, key: str, pronouns: list[str], connectives: list[str], hedges: list[str], probes: list[str], text: str = "text") -> DataFrame:
@@ -46,29 +46,29 @@ def analyse(docs: DataFrame, key: str, pronouns: list[str], connectives: list[st
     blank = F.size(F.filter(parts, lambda p: F.regexp_replace(p, "[ \\t\\n\\r\\f\\x0B]+", "") != ""))
     spread = sentence_spread(rows, key, "_x").drop("sentences")
     def uses(target: str) -> Column:
-        return F.round(1000.0 * F.size(F.filter(words, lambda w: w == target)) / F.greatest(n, F.lit(1)), 2).alias(f"pronoun_{target}_per_1k")
+        return rounded(1000.0 * F.size(F.filter(words, lambda w: w == target)) / F.greatest(n, F.lit(1)), 2).alias(f"pronoun_{target}_per_1k")
 
     per = [uses(p) for p in pronouns]
 
     def phrases(which: list[str], digits: int) -> Column:
-        return F.create_map(*[v for p in which for v in (F.lit(p), F.round(phrase_per_1k("_x", p), digits))])
+        return F.create_map(*[v for p in which for v in (F.lit(p), rounded(phrase_per_1k("_x", p), digits))])
 
     hedged = F.lit(0.0)
     for h in hedges:
         hedged = hedged + phrase_per_1k("_x", h)
-    told = rows.select(key, n.alias("words"), blank.alias("sentences"), *per, phrases(connectives, 3).alias("connectives"), F.round(hedged, 3).alias("hedges_per_1k"), phrases(probes, 4).alias("probes"))
+    told = rows.select(key, n.alias("words"), blank.alias("sentences"), *per, phrases(connectives, 3).alias("connectives"), rounded(hedged, 3).alias("hedges_per_1k"), phrases(probes, 4).alias("probes"))
     zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean_len", "median_len", "p90_len")]
     return told.join(spread, key, "left").select(key, "words", "sentences", *zero, *[p for p in told.columns if p not in (key, "words", "sentences")])
 
 
 def merge(stats: DataFrame, by: str, weight: str, means: list[str]) -> DataFrame:
     """Statistics of groups of texts: the total weight, and means weighted by it."""
-    return stats.groupBy(by).agg(F.sum(weight).alias(weight), *[F.round(F.sum(F.col(m) * F.col(weight)) / F.sum(weight), 2).alias(m) for m in means])
+    return stats.groupBy(by).agg(F.sum(weight).alias(weight), *[rounded(F.sum(F.col(m) * F.col(weight)) / F.sum(weight), 2).alias(m) for m in means])
 
 
 def distance(sample: DataFrame, base: DataFrame, names: list[str]) -> DataFrame:
     """(name, distance): relative distances of one-row statistics, where the base is large enough to tell."""
     rows = [(n, F.col(f"s.{n}"), F.col(f"b.{n}")) for n in names]
     both = sample.limit(1).alias("s").join(F.broadcast(base.limit(1)).alias("b"))  # one row each
-    cases = F.array(*[F.struct(F.lit(n).alias("name"), F.when(b >= 0.1, F.round(F.abs(s - b) / b, 3)).alias("distance")) for n, s, b in rows])
+    cases = F.array(*[F.struct(F.lit(n).alias("name"), F.when(b >= 0.1, rounded(F.abs(s - b) / b, 3)).alias("distance")) for n, s, b in rows])
     return both.select(F.explode(cases).alias("c")).select("c.name", "c.distance").where(F.col("distance").isNotNull())
