@@ -47,7 +47,8 @@ def fold(ops: DataFrame, cap: float = 2.0, step: float = 0.1) -> DataFrame:
     line = rows.unionByName(marks, allowMissingColumns=True)
     order = W.partitionBy("tenant", "s", "o", "p").orderBy("ts", "id", F.desc("mark"))
     line = line.withColumn("segment", F.coalesce(F.sum("mark").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + F.col("mark"))
-    line = line.withColumn("gone", F.min(F.when(F.col("mark") == 1, F.col("ts"))).over(order.rowsBetween(1, W.unboundedFollowing)))
+    back = W.partitionBy("tenant", "s", "o", "p").orderBy(F.desc("ts"), F.desc("id"), "mark")  # a frame that reaches ahead costs the square of a group's rows
+    line = line.withColumn("gone", F.min(F.when(F.col("mark") == 1, F.col("ts"))).over(back.rowsBetween(W.unboundedPreceding, -1)))
     keys = ["tenant", "session", "s", "p", "o", "segment"]
     edge = line.where(F.col("mark") == 0).groupBy(*keys).agg(
         F.count("*").alias("observations"),
@@ -199,7 +200,8 @@ def merge(edges: DataFrame, ops: DataFrame, cap: float = 2.0, step: float = 0.1)
     line = new.unionByName(marks, allowMissingColumns=True).unionByName(old, allowMissingColumns=True)
     order = W.partitionBy("tenant", "s", "o", "p").orderBy("late", "ts", "id", F.desc("mark"))
     line = line.withColumn("segment", F.coalesce(F.sum("mark").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    line = line.withColumn("gone", F.first(F.when(F.col("mark") == 1, F.struct("ts", "reason")), ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing)))
+    back = W.partitionBy("tenant", "s", "o", "p").orderBy(F.desc("late"), F.desc("ts"), F.desc("id"), "mark")
+    line = line.withColumn("gone", F.last(F.when(F.col("mark") == 1, F.struct("ts", "reason")), ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, -1)))
     asked = F.when(F.col("late") == 1, F.struct("ts", "id"))
     edge = line.where(F.col("mark") == 0).groupBy("tenant", "session", "s", "p", "o", "segment").agg(
         F.first("old", ignorenulls=True).alias("old"),
