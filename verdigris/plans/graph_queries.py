@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from verdigris.operators import beliefs as B
 from verdigris.operators import graph as G
-from verdigris.operators.lineage import step_path
+from verdigris.operators.lineage import step_path, written
 from verdigris.plans.registry import query
 from verdigris.sources.tables import table
 from verdigris.streaming.belief_table import BeliefTable
@@ -147,8 +147,8 @@ GRAPH_SQL = f"""{FULL}, g AS (SELECT 'u' || s AS s, 'c' || o AS o, MAX(weight) A
 
 
 def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Live relations between all students and concepts, by their strongest edge."""
-    return B.current(edges(spark, sf_dir)).groupBy(F.concat(F.lit("u"), "s").alias("s"), F.concat(F.lit("c"), "o").alias("o")).agg(F.max("weight").alias("weight"))
+    """Live relations between all students and concepts, by their strongest edge; written, since each hop reads them in both directions."""
+    return written(B.current(edges(spark, sf_dir)).groupBy(F.concat(F.lit("u"), "s").alias("s"), F.concat(F.lit("c"), "o").alias("o")).agg(F.max("weight").alias("weight")))
 
 
 TWO_HOP_SQL = f"""{GRAPH_SQL}, one AS (SELECT dst, round(weight * 0.85::DOUBLE, 15) AS w FROM free WHERE src IN ('u0', 'u1') AND weight > 0.05),
