@@ -76,7 +76,7 @@ def neighbours(hits: DataFrame, chunks: DataFrame, window: int = 1) -> DataFrame
     if window <= 0 and "chunk_text" in hits.columns:
         return hits.select("query_id", "source_file", "chunk_index", "chunk_text")
     wanted = hits.select("query_id", "source_file", F.explode(F.sequence(F.col("chunk_index") - window, F.col("chunk_index") + window)).alias("chunk_index")).distinct()
-    return wanted.join(chunks.select("source_file", "chunk_index", "chunk_text"), ["source_file", "chunk_index"]).select("query_id", "source_file", "chunk_index", "chunk_text")
+    return chunks.select("source_file", "chunk_index", "chunk_text").join(_bounded(wanted), ["source_file", "chunk_index"]).select("query_id", "source_file", "chunk_index", "chunk_text")
 
 
 def passages(hits: DataFrame, around: DataFrame) -> DataFrame:
