@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,9 +21,10 @@ GENERIC = [
 def relevant(memories: DataFrame, queries: DataFrame, n: int = 5) -> DataFrame:
     """(query_id, id, score, rank): memories that share words with a query, scored by overlap, tags, topic and importance.
 
-    ``memories`` is (id, memory, tags, topic, importance, ts); ``queries`` is (query_id, text). Words
-    meet in an equi-join, so memories without a shared word never meet a query. A tag counts that is a
-    word of the query, a topic that holds one. A query that asks for memories in general gets the most
+    ``memories`` is (id, memory, tags, topic, importance, ts); ``queries`` is (query_id, text). A
+    memory without a shared word is not found. A tag counts that is a word of the query, a topic that holds
+    one. Blocks of memories meet blocks of queries, a task each, and leave the n best of every query, so
+    that pairs are neither kept nor shuffled; their number still grows with the square of the input. A query that asks for memories in general gets the most
     important and recent ones, without a score.
     """
 
@@ -26,19 +32,86 @@ def relevant(memories: DataFrame, queries: DataFrame, n: int = 5) -> DataFrame:
         return F.array_distinct(F.filter(F.split(F.lower(F.col(c)), "[^a-z0-9]+"), lambda w: w != ""))
 
     general = F.exists(F.lit(GENERIC), lambda t: F.contains(F.lower(F.col("text")), t))
-    m = memories.select("id", "tags", "topic", "importance", "ts", F.explode(words("memory")).alias("w"))
-    q = queries.where(~F.coalesce(general, F.lit(False))).select("query_id", words("text").alias("qw")).select("query_id", "qw", F.explode("qw").alias("w"))
-    both = m.join(q, "w").groupBy("query_id", "id", "qw", "tags", "topic", "importance", "ts").agg(F.count("*").alias("overlap"))
-    tag = F.when(F.arrays_overlap(F.transform("tags", lambda t: F.lower(t)), "qw"), 1.5).otherwise(0.0)
-    topic = F.when(F.exists("qw", lambda w: F.contains(F.lower(F.col("topic")), w)), 1.0).otherwise(0.0)
-    score = F.round(F.col("overlap") + F.coalesce(tag, F.lit(0.0)) + F.coalesce(topic, F.lit(0.0)) + 0.4 * F.least(F.col("importance"), F.lit(3)), 6)
+    m = memories.select("id", "ts", words("memory").alias("w"), F.transform("tags", lambda t: F.lower(t)).alias("tags"), F.lower("topic").alias("topic"), (0.4 * F.least(F.col("importance"), F.lit(3))).alias("base")).where(F.size("w") > 0)
+    q = queries.where(~F.coalesce(general, F.lit(False))).select("query_id", words("text").alias("qw")).where(F.size("qw") > 0)
+    found = _best_of_blocks(m, q, n)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("ts"), "id"))
-    own = both.withColumn("score", score).withColumn("rank", rank).where(F.col("rank") <= n).select("query_id", "id", "score", "rank")
+    own = found.withColumn("rank", rank).where(F.col("rank") <= n).select("query_id", "id", "score", "rank")
     first = memories.select("id", "importance", "ts").orderBy(F.desc("importance"), F.desc("ts"), "id").limit(n)
     first = first.withColumn("rank", F.row_number().over(W.orderBy(F.desc("importance"), F.desc("ts"), "id"))).select("id", F.lit(None).cast("double").alias("score"), "rank")  # n rows
     return own.unionByName(queries.where(general).select("query_id").join(F.broadcast(first)).select("query_id", "id", "score", "rank"))
 
 
+#: Memories and queries of a block.
+BLOCK, ASKS = 16_384, 4_096
+
+
+def _best_of_blocks(m: DataFrame, q: DataFrame, n: int) -> DataFrame:
+    """(query_id, id, score, ts): for each query the n best memories of every block; ``m`` is (id, ts, w, tags, topic, base), ``q`` is (query_id, qw)."""
+    high, wide = -(-m.count() // BLOCK) or 1, -(-q.count() // ASKS) or 1
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = m.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(high)).cast("int")).withColumn("c", every(wide))
+    right = q.withColumn("c", F.pmod(F.xxhash64("query_id"), F.lit(wide)).cast("int")).withColumn("b", every(high))
+    told = dict(m.dtypes), dict(q.dtypes)
+
+    def run(known: pa.Table, asked: pa.Table) -> pa.Table:
+        known = known.sort_by([("ts", "descending"), ("id", "ascending")])  # among equal scores the first rows win
+        size, base = len(known), known["base"].to_numpy()
+        asks = [set(ws) for ws in asked["qw"].to_pylist()]
+        wanted = set().union(*asks)
+        longest = max(map(len, wanted), default=0)
+        inside: dict[str, set] = {}  # the wanted words within a run of letters and digits of a topic
+        shared, tagged, themes = defaultdict(list), defaultdict(list), defaultdict(list)
+        for i, (ws, tags, topic) in enumerate(zip(known["w"].to_pylist(), known["tags"].to_pylist(), known["topic"].to_pylist(), strict=True)):
+            for w in wanted.intersection(ws):
+                shared[w].append(i)
+            for t in wanted.intersection(tags or ()):
+                tagged[t].append(i)
+            for t in set(re.findall("[a-z0-9]+", topic or "")):
+                if t not in inside:
+                    inside[t] = {x for a in range(len(t)) for z in range(a + 1, min(len(t), a + longest) + 1) if (x := t[a:z]) in wanted}
+            for w in set().union(*(inside[t] for t in set(re.findall("[a-z0-9]+", topic or "")))):
+                themes[w].append(i)
+        places = [{w: np.array(x) for w, x in d.items()} for d in (shared, tagged, themes)]
+        for d in places:  # what most rows have is a mask, which is added faster than places
+            for w, x in d.items():
+                if 8 * len(x) > size:
+                    d[w] = np.zeros(size, bool)
+                    d[w][x] = True
+
+        def marked(d: dict, ws: set) -> np.ndarray:
+            out = np.zeros(size, bool)
+            for w in ws & d.keys():
+                if d[w].dtype == bool:
+                    out |= d[w]
+                else:
+                    out[d[w]] = True
+            return out
+
+        who, where, scores = [], [], []
+        for k, ws in enumerate(asks):
+            overlap = np.zeros(size)
+            for w in ws & places[0].keys():
+                overlap[places[0][w]] += 1
+            met = np.flatnonzero(overlap)
+            if not len(met):
+                continue
+            score = np.round(overlap[met] + np.where(marked(places[1], ws)[met], 1.5, 0.0) + marked(places[2], ws)[met] + base[met], 6)
+            if len(met) > n:
+                least = np.partition(score, -n)[-n]
+                above = np.flatnonzero(score > least)
+                kept = np.concatenate([above, np.flatnonzero(score == least)[: n - len(above)]])
+                met, score = met[kept], score[kept]
+            who.append(np.full(len(met), k))
+            where.append(met)
+            scores.append(score)
+        cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+        at = pa.array(cat(where, np.int64))
+        return pa.table({"query_id": asked["query_id"].take(pa.array(cat(who, np.int64))), "id": known["id"].take(at), "score": pa.array(cat(scores, np.float64)), "ts": known["ts"].take(at)})
+
+    return left.groupBy("b", "c").cogroup(right.groupBy("b", "c")).applyInArrow(run, f"query_id {told[1]['query_id']}, id {told[0]['id']}, score double, ts {told[0]['ts']}")
+
+
 def remember(old: DataFrame, new: DataFrame, most: int = 250) -> DataFrame:
     """Memories of each ``owner`` with new ones added: no repeats by lower-cased text, importance in 1..3, the ``most`` most important and recent kept."""
     clean = new.withColumn("importance", F.greatest(F.lit(1), F.least(F.col("importance"), F.lit(3)))).withColumn("tags", F.slice(F.array_distinct("tags"), 1, 6))
