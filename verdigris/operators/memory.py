@@ -57,10 +57,11 @@ def _best_of_blocks(m: DataFrame, q: DataFrame, n: int) -> DataFrame:
     def run(known: pa.Table, asked: pa.Table) -> pa.Table:
         known = known.sort_by([("ts", "descending"), ("id", "ascending")])  # among equal scores the first rows win
         size, base = len(known), known["base"].to_numpy()
+        worst, most = base.min(initial=np.inf), base.max(initial=-np.inf)
         asks = [set(ws) for ws in asked["qw"].to_pylist()]
         wanted = set().union(*asks)
         longest = max(map(len, wanted), default=0)
-        inside: dict[str, set] = {}  # the wanted words within a run of letters and digits of a topic
+        runs = defaultdict(list)  # the rows whose topic has a run of letters and digits; a theme is a wanted word within a run
         shared, tagged, themes = defaultdict(list), defaultdict(list), defaultdict(list)
         for i, (ws, tags, topic) in enumerate(zip(known["w"].to_pylist(), known["tags"].to_pylist(), known["topic"].to_pylist(), strict=True)):
             for w in wanted.intersection(ws):
@@ -68,11 +69,12 @@ def _best_of_blocks(m: DataFrame, q: DataFrame, n: int) -> DataFrame:
             for t in wanted.intersection(tags or ()):
                 tagged[t].append(i)
             for t in set(re.findall("[a-z0-9]+", topic or "")):
-                if t not in inside:
-                    inside[t] = {x for a in range(len(t)) for z in range(a + 1, min(len(t), a + longest) + 1) if (x := t[a:z]) in wanted}
-            for w in set().union(*(inside[t] for t in set(re.findall("[a-z0-9]+", topic or "")))):
-                themes[w].append(i)
-        places = [{w: np.array(x) for w, x in d.items()} for d in (shared, tagged, themes)]
+                runs[t].append(i)
+        for t, rows in runs.items():
+            rows = np.array(rows)
+            for x in {x for a in range(len(t)) for z in range(a + 1, min(len(t), a + longest) + 1) if (x := t[a:z]) in wanted}:
+                themes[x].append(rows)
+        places = [*({w: np.array(x) for w, x in d.items()} for d in (shared, tagged)), {w: np.concatenate(x) for w, x in themes.items()}]
         for d in places:  # what most rows have is a mask, which is added faster than places
             for w, x in d.items():
                 if 8 * len(x) > size:
@@ -90,13 +92,19 @@ def _best_of_blocks(m: DataFrame, q: DataFrame, n: int) -> DataFrame:
 
         who, where, scores = [], [], []
         for k, ws in enumerate(asks):
-            overlap = np.zeros(size)
+            half = np.zeros(size, np.uint32)  # the score without the base, in halves
             for w in ws & places[0].keys():
-                overlap[places[0][w]] += 1
-            met = np.flatnonzero(overlap)
+                half[places[0][w]] += 2
+            met = np.flatnonzero(half != 0)
             if not len(met):
                 continue
-            score = np.round(overlap[met] + np.where(marked(places[1], ws)[met], 1.5, 0.0) + marked(places[2], ws)[met] + base[met], 6)
+            half = half[met] + marked(places[1], ws)[met] * np.uint32(3) + marked(places[2], ws)[met] * np.uint32(2)
+            if len(met) > n:  # n rows reach a level; what even the best base does not lift to it is out
+                reach = np.cumsum(np.bincount(half)[::-1])[::-1]
+                level = np.flatnonzero(reach >= n)[-1]
+                near = np.flatnonzero(half * 0.5 + most + 1e-5 >= level * 0.5 + worst)
+                met, half = met[near], half[near]
+            score = np.round(half * 0.5 + base[met], 6)
             if len(met) > n:
                 least = np.partition(score, -n)[-n]
                 above = np.flatnonzero(score > least)
